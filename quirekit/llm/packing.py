@@ -88,7 +88,7 @@ def pack(items: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens",
     n = F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0))
     pieces = (
         items.select(F.col(id_col), n.alias("_n"))
-        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"(_n + {most} - 1) div {most} - 1"), F.lit(0).cast("long")))))
+        .withColumn("piece", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"(_n + {most} - 1) div {most} - 1"), F.lit(0).cast("long")))))
         .withColumn("piece_len", F.least(F.lit(most).cast("long"), F.col("_n") - F.col("piece") * most))
         .withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col), "piece"), F.lit(salts)))
         .drop("_n")
