@@ -1,7 +1,7 @@
 """Parts of exact set-similarity joins: rarity order, prefix postings, shared tokens.
 
-A token is a 64-bit hash. Its rarity is the number of sets that hold a token of its bucket (the
-lowest 16 bits), counted over all sets: a fixed-size table that any number of documents fits in. The
+A token is a 64-bit hash. Its rarity is how often tokens of its bucket (its lowest bits) occur in
+all documents: a table of fixed size, however many documents there are. The
 key of a token puts the rank of its bucket above the rest of the hash; it keeps all 64 bits, so keys
 differ where hashes do, and sorting keys puts rare tokens first. Any one order of all tokens makes
 the prefix filter exact; rarity makes it cheap.
@@ -19,17 +19,24 @@ BUCKETS = 1 << 16
 BITMAP_BITS = 24
 
 
-def ranks(bucket_counts: DataFrame) -> DataFrame:
-    """From rows (bucket, n) one row with the rank of every bucket, from -32768 (rarest) up."""
-    every = bucket_counts.select("bucket", "n").unionByName(bucket_counts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n")))
-    one = every.groupBy("bucket").agg(F.sum("n").alias("n")).agg(F.array_sort(F.collect_list(F.struct("n", "bucket"))).alias("x"))
-    turned = F.array_sort(F.transform("x", lambda s, i: F.struct(s["bucket"].alias("bucket"), (i - BUCKETS // 2).cast("long").alias("rank"))))
-    return one.select(F.transform(turned, lambda s: s["rank"]).alias("ranks"))
+def ranks(bucket_counts: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """From rows (bucket, n), one for each bucket at most, the rank of every bucket, from -buckets/2 (rarest) up."""
+    counts = dict.fromkeys(range(buckets), 0) | {r["bucket"]: r["n"] for r in bucket_counts.collect()}
+    out = [0] * buckets
+    for rank, bucket in enumerate(sorted(counts, key=lambda b: (counts[b], b))):
+        out[bucket] = rank - buckets // 2
+    return out
 
 
-def key(hash_: Column, ranks_: Column) -> Column:
-    """The sortable key of a token hash."""
-    return F.shiftleft(F.get(ranks_, hash_.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 48).bitwiseOR(F.shiftrightunsigned(hash_, 16))
+def bucket(hash_: Column, buckets: int) -> Column:
+    return hash_.bitwiseAND(F.lit(buckets - 1)).cast("int")
+
+
+def key(hash_: Column, ranks_: list[int]) -> Column:
+    """The sortable key of a token hash: the rank of its bucket, then the hash's other bits."""
+    bits = len(ranks_).bit_length() - 1
+    table = F.expr(f"cast(split('{','.join(map(str, ranks_))}', ',') as array<bigint>)")  # folded to one literal
+    return F.shiftleft(F.get(table, bucket(hash_, len(ranks_))), 64 - bits).bitwiseOR(F.shiftrightunsigned(hash_, bits))
 
 
 def prefix_size(n: Column) -> Column:
@@ -52,17 +59,16 @@ def in_bitmap(value: Column, bits_: Column, bits: int = BITMAP_BITS) -> Column:
 
 
 def shared(sets: DataFrame, carried: list[str]) -> DataFrame:
-    """Postings (token, pos from 1, carried columns) of the tokens in the prefixes of at least two sets.
+    """Postings (carried columns, pos from 1, token) of the tokens in the prefixes of at least two sets, and of a few more.
 
     ``sets`` has a long column ``k`` that tells sets apart and ``prefix``, ordered keys. The first
-    shuffle takes only token and k, pre-aggregated, so a token of many sets is one row per task; the
-    second takes only postings whose token is in the bitmap of shared ones. Kept in the shared folder.
+    shuffle takes only token and k, pre-aggregated, so a token of many sets is one row per task; later
+    steps get only postings whose token is in the bitmap of shared ones.
     """
     spread = sets.select("k", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    tokens = store(spread.where("lo < hi").select(F.col("token"), F.xxhash64("token").alias("mix")), "tokens")
+    tokens = store(spread.where("lo < hi").select(F.xxhash64("token").alias("mix")), "tokens")
     posted = sets.select(*carried, F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
-    likely = posted.where(in_bitmap(F.xxhash64("token"), bitmap(tokens, "mix")))
-    return store(likely, "postings")
+    return posted.where(in_bitmap(F.xxhash64("token"), bitmap(tokens, "mix")))
 
 
 def overlap_needed(n: Column, m: Column) -> Column:

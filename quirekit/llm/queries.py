@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirekit.llm import decontaminate, hamming, packing, tokens
+from quirekit.llm import decontaminate, hamming, line_dedup, ngram_join, packing, tokens
 from quirekit.llm.common import SPACED_WORDS
 
 
@@ -20,6 +20,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,11 +44,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(word_lengths(table(spark, sf_dir, "documents")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("kept", ",").alias("kept_lines"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op6_topk_search": op6_topk_search,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -73,6 +84,53 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
         FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
     """,
+    "op3_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ),
+        sh AS (
+            SELECT DISTINCT doc_id, w[i + 1 : i + least(5, len(w))] AS s
+            FROM (SELECT doc_id, w, unnest(range(0, len(w) - least(5, len(w)) + 1)) AS i FROM d WHERE len(w) > 0)
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (
+            SELECT a, b FROM common JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 80 * (na.n + nb.n - c)
+        ),
+        reach AS (
+            SELECT DISTINCT a AS doc_id, a AS other FROM links
+            UNION
+            SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
+        ),
+        least_id AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m, d.doc_id) AS component_id
+        FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN least_id ON d.doc_id = least_id.doc_id
+    """,
+    "op10_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(range(0, len(x))) AS i, unnest(x) AS line, len(x) AS n_lines FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
+        ),
+        t AS (
+            SELECT doc_id, i, n_lines, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS w FROM l
+        ),
+        c AS (SELECT w, len(w) AS n, min({'d': doc_id, 'i': i}) AS place, row_number() OVER () AS c FROM t WHERE len(w) > 0 GROUP BY w),
+        u AS (SELECT c, n, place, unnest(w) AS tok FROM c),
+        df AS (SELECT tok, count(*) AS f FROM u GROUP BY tok),
+        p AS (SELECT c, n, place, tok, row_number() OVER (PARTITION BY c ORDER BY f, tok) AS pos FROM u JOIN df USING (tok) QUALIFY pos <= n - ceil(0.8 * n) + 1),
+        cand AS (
+            SELECT DISTINCT x.c AS late, y.c AS early FROM p x JOIN p y ON x.tok = y.tok AND y.place < x.place AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n
+        ),
+        gone AS (
+            SELECT DISTINCT late FROM cand JOIN c x ON late = x.c JOIN c y ON early = y.c
+            WHERE 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n)
+        ),
+        stay AS (SELECT place.d AS doc_id, place.i AS i FROM c WHERE c NOT IN (SELECT late FROM gone) UNION ALL SELECT doc_id, i FROM t WHERE len(w) = 0),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS k FROM stay GROUP BY doc_id),
+        n AS (SELECT doc_id, max(n_lines) AS n_lines FROM l GROUP BY doc_id)
+        SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_lines, 0) - coalesce(kept.n, 0) AS n_removed, coalesce(k, '') AS kept_lines
+        FROM documents LEFT JOIN n ON documents.doc_id = n.doc_id LEFT JOIN kept ON documents.doc_id = kept.doc_id
+    """,
     "op6_topk_search": """
         WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS code FROM embeddings),
         d AS (
