@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +47,10 @@ def lower_ascii(text: Column) -> Column:
 def training_row(doc_id: Column, folds: int) -> Column:
     """True outside the held-out fold: crc32 of the id's text, modulo ``folds``, is not 0 (a null id counts as '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds != 0
+
+
+def slices(batches: Iterable, rows: int = 512) -> Iterator:
+    """Arrow batches in pieces of at most ``rows`` rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

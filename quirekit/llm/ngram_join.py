@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import store
+from quirekit.llm.common import slices, store
 from quirekit.llm.components import components
 from quirekit.llm.postings import BUCKETS, bitmap, in_bitmap, possible, ranks, shared
 
@@ -31,7 +31,7 @@ GRAM = 5
 #: Member sets in one trie; larger groups are cut into several, each with its own copy of the probing set.
 TRIE = 512
 #: Word hashes that a task remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,7 +109,7 @@ def bucket_order(docs: DataFrame, n: int) -> np.ndarray:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = Words(), np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 total += np.bincount((shingle_hashes(text, known, n) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
@@ -124,7 +124,7 @@ def sets_of(docs: DataFrame, order: np.ndarray, n: int, id_kind: str) -> DataFra
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = Words(), set()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, k, k2, prefixes = [], [], [], []
             for text in batch.column(2).to_pylist():
                 keys = keys_of(shingle_hashes(text, known, n), order)
@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, texts: DataFrame, order: np.ndarray, n: int) -> D
             columns = [[now[0]] * len(won), [now[1]] * len(won), [b[0] for b in won], [b[1] for b in won]]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["ak", "ak2", "bk", "bk2"])
 
-        for batch in batches:
+        for batch in slices(batches, 64):
             for ak, ak2, part, bk, bk2, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (ak, ak2, part) != now:
                     if held:

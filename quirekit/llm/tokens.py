@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quirekit.llm.common import slices
+
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Merged units that a task remembers before it starts anew.
@@ -86,7 +88,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(model, whole)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             counts = [counter.count(t) if t else 0 for t in texts]
             sizes = [len(t.encode()) if t else 0 for t in texts]
