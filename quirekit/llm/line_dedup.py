@@ -1,11 +1,14 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its words. Equal sets are one class, kept at its first place. Classes are joined
-on the prefixes of their words in order of rarity, bounded by length and position; Jaccard similarity
-is verified on the whole sets. A line goes if an earlier line has a similarity of 0.8 or more.
+A line is the set of its tokens: five-word shingles, or all its words where it has fewer. (Single words
+are no tokens for this: the rarest words of a line are shared by more and more other lines as a corpus
+grows, and with them the candidates; see the README for figures.) Equal sets are one class, kept at its
+first place. Classes are joined on the prefixes of their tokens in order of rarity, bounded by length
+and position; Jaccard similarity is verified on the whole sets. A line goes if an earlier line has a
+similarity of 0.8 or more. A token's rarity is that of its first word, counted over all documents.
 
 A group of near copies would make as many pairs as the square of its size. So classes are first
-compared with the earliest class of each shared word only: almost all of a group is settled there.
+compared with the earliest class of each shared token only: almost all of a group is settled there.
 Only lines still open are then compared with every earlier line that the bounds allow.
 """
 
@@ -14,19 +17,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import lower_ascii, store
-from quirekit.llm.postings import bitmap, bucket, in_bitmap, key, possible, prefix_size, ranks, shared
+from quirekit.llm.common import store
+from quirekit.llm.postings import bitmap, bucket, in_bitmap, key_of, possible, prefix_size, ranks, shared
 
 #: Buckets of the rarity table; it is a literal of the plan, so it is kept small.
 BUCKETS = 1 << 12
+GRAM = 5
 SPACES = r"[\x20\x09-\x0D]+"
 SOME_WORD = r"[^\x20\x09-\x0D]"
 
 
-def hashes(text: Column) -> Column:
-    """The 64-bit hashes of a text's words, in order."""
-    words = F.filter(F.split(lower_ascii(text), SPACES), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), SPACES), lambda w: w != "")
+
+
+def tokens_of(words: Column, ranks_: list[int]) -> Column:
+    """The keys of a line's tokens, in order: the rank of the first word's bucket, then the token's hash."""
+    one = lambda first, token: key_of(F.xxhash64(first), token, ranks_)
+    many = F.transform(F.sequence(F.lit(0), F.size(words) - GRAM), lambda i: one(F.get(words, i), F.xxhash64(*[F.get(words, i + j) for j in range(GRAM)])))
+    return F.when(F.size(words) >= GRAM, many).otherwise(F.array(one(F.get(words, F.lit(0)), F.xxhash64(words))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -36,9 +45,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def keyed(lines: DataFrame, ranks_: list[int]) -> DataFrame:
-    """Adds keys (the line's distinct words, rare ones first) and k, k2, which tell sets apart."""
-    tokens = lines.withColumn("tokens", F.array_distinct(hashes(F.col("line")))).drop("line")
-    keys = tokens.withColumn("keys", F.sort_array(F.transform("tokens", lambda h: key(h, ranks_)))).drop("tokens")
+    """Adds keys (the line's distinct tokens, rare ones first) and k, k2, which tell sets apart."""
+    words = lines.withColumn("words", words_of(F.col("line"))).drop("line")
+    keys = words.withColumn("keys", F.sort_array(F.array_distinct(tokens_of(F.col("words"), ranks_)))).drop("words")
     return keys.withColumn("k", F.xxhash64("keys")).withColumn("k2", F.xxhash64(F.lit(1), "keys"))
 
 
@@ -52,8 +61,8 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(id, mark, kept): the numbers of the lines with words that stay. docs: id, mark, text."""
-    met = docs.select(F.explode_outer(F.transform(hashes(F.col("text")), lambda h: bucket(h, BUCKETS))).alias("bucket"))
-    order = ranks(met.groupBy("bucket").agg(F.count("*").alias("n")).where("bucket is not null"), BUCKETS)
+    met = docs.select(F.explode_outer(F.split(F.lower("text"), SPACES)).alias("word")).groupBy(bucket(F.xxhash64("word"), BUCKETS).alias("bucket"))
+    order = ranks(met.agg(F.count("*").alias("n")), BUCKETS)
     found = keyed(lines_of(docs), order)
     n = F.size("keys")
     place = F.struct("id", "mark", "line_no")
@@ -61,14 +70,14 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     classes = store(classes.groupBy("k", "k2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "lines")
     postings = store(shared(classes, ["k", "k2", "at", "n"]), "postings")
 
-    # the whole sets of the classes that share a word of their prefixes with another
+    # the whole sets of the classes that share a token of their prefixes with another
     at_hash = F.xxhash64("at.id", "at.mark", "at.line_no")
     wanted = postings.select(at_hash.alias("line"), F.xxhash64("at.id", "at.mark").alias("doc"))
     read = docs.where(in_bitmap(F.xxhash64("id", "mark"), bitmap(wanted, "doc")))
     some = lines_of(read).where(in_bitmap(F.xxhash64("id", "mark", "line_no"), bitmap(wanted, "line")))
     sets = store(keyed(some, order).groupBy("k", "k2").agg(F.first("keys").alias("keys")), "sets")
 
-    # every class with the earliest of each word
+    # every class with the earliest of each token
     firsts = store(postings.groupBy("token").agg(F.min(F.struct("at", "k", "k2", "n")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e"), "firsts")
     star = postings.join(firsts, "token").where((F.col("k") != F.col("e.k")) & (F.col("n") * 5 >= F.col("e.n") * 4) & (F.col("e.n") * 5 >= F.col("n") * 4))
     star = store(star.select("k", "k2", F.col("e.k").alias("e_k"), F.col("e.k2").alias("e_k2")).distinct(), "star")
@@ -88,7 +97,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, its text without repeated lines, and n_lines, n_removed, kept (line numbers).
 
-    Lines end at \\n; words are what ASCII white space separates, A-Z lower-cased. Lines come in the
+    Lines end at \\n; words are what ASCII white space separates, in lower case. Lines come in the
     order of id (null first), a hash of the text for rows of one id, and line number; a line goes if
     any earlier one is similar, whether or not that one stays. Lines without words always stay. A
     null text stays null with 0 lines; an empty text is one line without words. A document may lose

@@ -1,9 +1,8 @@
 """Parts of exact set-similarity joins: rarity order, prefix postings, shared tokens.
 
-A token is a 64-bit hash. Its rarity is how often tokens of its bucket (its lowest bits) occur in
-all documents: a table of fixed size, however many documents there are. The
-key of a token puts the rank of its bucket above the rest of the hash; it keeps all 64 bits, so keys
-differ where hashes do, and sorting keys puts rare tokens first. Any one order of all tokens makes
+A token is a 64-bit hash. Rarity is how often hashes of one bucket (the same lowest bits) occur in all
+documents: a table of fixed size, however many documents there are. A key puts the rank of a bucket
+above the rest of the hash, so sorting keys puts rare tokens first. Any one order of all tokens makes
 the prefix filter exact; rarity makes it cheap.
 """
 
@@ -32,11 +31,11 @@ def bucket(hash_: Column, buckets: int) -> Column:
     return hash_.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-def key(hash_: Column, ranks_: list[int]) -> Column:
-    """The sortable key of a token hash: the rank of its bucket, then the hash's other bits."""
+def key_of(ranked: Column, token: Column, ranks_: list[int]) -> Column:
+    """A sortable key: the rank of the bucket of ``ranked`` above the high bits of the hash ``token``."""
     bits = len(ranks_).bit_length() - 1
     table = F.expr(f"cast(split('{','.join(map(str, ranks_))}', ',') as array<bigint>)")  # folded to one literal
-    return F.shiftleft(F.get(table, bucket(hash_, len(ranks_))), 64 - bits).bitwiseOR(F.shiftrightunsigned(hash_, bits))
+    return F.shiftleft(F.get(table, bucket(ranked, len(ranks_))), 64 - bits).bitwiseOR(F.shiftrightunsigned(token, bits))
 
 
 def prefix_size(n: Column) -> Column:

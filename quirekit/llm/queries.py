@@ -133,10 +133,14 @@ ORACLES: dict[str, str] = {
         WITH l AS (
             SELECT doc_id, unnest(range(0, len(x))) AS i, unnest(x) AS line, len(x) AS n_lines FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
         ),
+        v AS (SELECT doc_id, i, n_lines, regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+') AS q FROM l),
         t AS (
-            SELECT doc_id, i, n_lines, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS w FROM l
+            SELECT doc_id, i, n_lines,
+                   CASE WHEN len(q) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(q) - 3), lambda j: array_to_string(q[j : j + 4], ' '))))
+                        WHEN len(q) > 0 THEN [array_to_string(q, ' ')] ELSE [] END AS w
+            FROM v
         ),
-        c AS (SELECT w, len(w) AS n, min({'d': doc_id, 'i': i}) AS place, row_number() OVER () AS c FROM t WHERE len(w) > 0 GROUP BY w),
+        c AS MATERIALIZED (SELECT w, len(w) AS n, min({'d': doc_id, 'i': i}) AS place, row_number() OVER () AS c FROM t WHERE len(w) > 0 GROUP BY w),
         u AS (SELECT c, n, place, unnest(w) AS tok FROM c),
         df AS (SELECT tok, count(*) AS f FROM u GROUP BY tok),
         p AS (SELECT c, n, place, tok, row_number() OVER (PARTITION BY c ORDER BY f, tok) AS pos FROM u JOIN df USING (tok) QUALIFY pos <= n - ceil(0.8 * n) + 1),
