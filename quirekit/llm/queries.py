@@ -133,7 +133,7 @@ ORACLES: dict[str, str] = {
         WITH l AS (
             SELECT doc_id, unnest(range(0, len(x))) AS i, unnest(x) AS line, len(x) AS n_lines FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
         ),
-        v AS (SELECT doc_id, i, n_lines, regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+') AS q FROM l),
+        v AS (SELECT doc_id, i, n_lines, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS q FROM l),
         t AS (
             SELECT doc_id, i, n_lines,
                    CASE WHEN len(q) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(q) - 3), lambda j: array_to_string(q[j : j + 4], ' '))))
