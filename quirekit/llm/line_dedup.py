@@ -68,7 +68,11 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("id", "mark", "line_no")
     classes = found.select("k", "k2", place.alias("at"), n.alias("n"), F.slice("keys", F.lit(1), prefix_size(n)).alias("prefix"))
     classes = store(classes.groupBy("k", "k2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "lines")
-    postings = store(shared(classes, ["k", "k2", "at", "n"]), "postings")
+    likely = store(shared(classes, ["k", "k2", "at", "n"]), "likely")
+
+    # the earliest class of each token that at least two have, and the postings of those tokens
+    firsts = store(likely.groupBy("token").agg(F.min(F.struct("at", "k", "k2", "n")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e"), "firsts")
+    postings = store(likely.join(firsts, "token").select("token", "pos", "k", "k2", "at", "n", "e"), "postings")
 
     # the whole sets of the classes that share a token of their prefixes with another
     at_hash = F.xxhash64("at.id", "at.mark", "at.line_no")
@@ -78,8 +82,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     sets = store(keyed(some, order).groupBy("k", "k2").agg(F.first("keys").alias("keys")), "sets")
 
     # every class with the earliest of each token
-    firsts = store(postings.groupBy("token").agg(F.min(F.struct("at", "k", "k2", "n")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e"), "firsts")
-    star = postings.join(firsts, "token").where((F.col("k") != F.col("e.k")) & (F.col("n") * 5 >= F.col("e.n") * 4) & (F.col("e.n") * 5 >= F.col("n") * 4))
+    star = postings.where((F.col("k") != F.col("e.k")) & (F.col("n") * 5 >= F.col("e.n") * 4) & (F.col("e.n") * 5 >= F.col("n") * 4))
     star = store(star.select("k", "k2", F.col("e.k").alias("e_k"), F.col("e.k2").alias("e_k2")).distinct(), "star")
     gone = store(similar(star, sets), "gone")
 

@@ -185,6 +185,8 @@ def verified(pairs: DataFrame, texts: DataFrame, order: np.ndarray, n: int) -> D
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM) -> DataFrame:
     """One row per row of ``docs``: its id, n_shingles (set size) and component_id, the least id reachable by links.
 
+    Also mark, a hash of the text, and component_key, a hash that is one for a component (null for empty sets).
+
     Rows link whose sets have 100 * intersection >= 80 * union. Words are what ASCII white space
     separates, A-Z lower-cased. Null, empty and wordless texts have the empty set and link with
     nothing; a text of fewer than n words is one shingle. Rows of equal sets are linked whatever
@@ -198,19 +200,21 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     some = sets.where("prefix is not null")
     s = F.struct("k", "k2")
     likely = shared(some, ["id", "mark", "n", "k", "k2"])
-    postings = likely.groupBy("token", "pos", "n", "k", "k2").agg(F.min(F.struct("id", "mark")).alias("at")).select("token", "pos", "n", s.alias("s"), "at")
-    postings = store(postings, "postings")
+    once = likely.groupBy("token", "pos", "n", "k", "k2").agg(F.min(F.struct("id", "mark")).alias("at")).select("token", "pos", "n", s.alias("s"), "at")
+    once = store(once, "likely")
+
+    # the first set of each token that at least two have, and the postings of those tokens
+    firsts = once.groupBy("token").agg(F.min(F.struct("at", "s", "n")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e")
+    postings = store(once.join(store(firsts, "firsts"), "token"), "postings")
 
-    # the texts of the sets that share a token of their prefixes with another, one row for each set
-    firsts = postings.groupBy("token").agg(F.min(F.struct("at", "s", "n")).alias("e"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi").select("token", "e")
-    firsts = store(firsts, "firsts")
+    # the texts of these sets, one row for each
     places = store(postings.groupBy("s").agg(F.min("at").alias("at")), "places")
     near = base.where(in_bitmap(F.xxhash64("id", "mark"), bitmap(places.select(F.xxhash64("at.id", "at.mark").alias("doc")), "doc"))).alias("d")
     texts = near.join(places.alias("p"), F.col("d.id").eqNullSafe(F.col("p.at.id")) & (F.col("d.mark") == F.col("p.at.mark"))).select("s", "text")
     texts = store(texts.groupBy("s").agg(F.first("text").alias("text")), "texts")
 
     fits = (F.col("n") * 5 >= F.col("e.n") * 4) & (F.col("e.n") * 5 >= F.col("n") * 4)
-    star = postings.join(firsts, "token").where((F.col("s") != F.col("e.s")) & fits).select(F.col("e.s").alias("a"), F.col("s").alias("b")).distinct()
+    star = postings.where((F.col("s") != F.col("e.s")) & fits).select(F.col("e.s").alias("a"), F.col("s").alias("b")).distinct()
     star = store(star, "star")
     links = store(verified(star, texts, order, n), "links")
     labels = components(links)
@@ -237,6 +241,23 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = classes.join(labels.select(F.col("node.k").alias("k"), F.col("node.k2").alias("k2"), "label"), ["k", "k2"], "left").withColumn("label", F.coalesce("label", s))
     named = store(named, "classes")
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_class = store(named.join(least, "label").select(F.col("k").alias("c_k"), F.col("k2").alias("c_k2"), "component_id"), "of-class")
+    of_class = store(named.join(least, "label").select(F.col("k").alias("c_k"), F.col("k2").alias("c_k2"), "component_id", F.xxhash64("label").alias("component_key")), "of-class")
     out = sets.join(of_class, (F.col("k") == F.col("c_k")) & (F.col("k2") == F.col("c_k2")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "mark", "component_key")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM) -> DataFrame:
+    """``docs`` with one document of each component: the one of least id (null last), then least hash of the text.
+
+    All documents of the empty set stay. Of repeated rows that stay, one does; documents of one id
+    that do not link all stay.
+    """
+    found = ngram_components(docs, id_col, text_col, n)
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "mark")
+    chosen = found.where("component_key is not null").groupBy("component_key").agg(F.min(place).alias("p")).select("p.id", "p.mark")
+    alone = found.where("component_key is null").select(F.col(id_col).alias("id"), "mark").distinct()
+    stay = chosen.unionByName(alone).withColumnsRenamed({"id": "_id", "mark": "_m"})
+    rows = docs.withColumn("_mark", F.xxhash64(text_col))
+    kept = rows.join(stay, rows[id_col].eqNullSafe(stay["_id"]) & (rows["_mark"] == stay["_m"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_mark"]).select(*docs.columns)

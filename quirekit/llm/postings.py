@@ -44,21 +44,26 @@ def prefix_size(n: Column) -> Column:
 
 
 def bitmap(df: DataFrame, value: str, bits: int = BITMAP_BITS) -> Column:
-    """A scalar column: the set of ``value``'s lowest bits over all rows, as an array of longs."""
-    low = F.col(value).bitwiseAND(F.lit((1 << bits) - 1))
-    words = df.select(F.shiftright(low, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(`{value}` & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    """A scalar column: a Bloom filter of two hash functions over ``value`` (a 64-bit hash), as an array of longs."""
+    places = F.explode(F.array(*_places(F.col(value), bits))).alias("place")
+    words = df.select(places).select(F.shiftright("place", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     blank = df.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
     full = words.unionByName(blank).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda s: s["bits"]).alias("m")).scalar()
 
 
+def _places(value: Column, bits: int) -> list[Column]:
+    mask = F.lit((1 << bits) - 1)
+    return [value.bitwiseAND(mask), F.shiftrightunsigned(value, 32).bitwiseAND(mask)]
+
+
 def in_bitmap(value: Column, bits_: Column, bits: int = BITMAP_BITS) -> Column:
-    low = value.bitwiseAND(F.lit((1 << bits) - 1))
-    return F.expr("1L").bitwiseAND(F.call_function("shiftright", F.get(bits_, F.shiftright(low, 6).cast("int")), low.bitwiseAND(F.lit(63)).cast("int"))) == 1
+    one, other = (F.expr("1L").bitwiseAND(F.call_function("shiftright", F.get(bits_, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int"))) == 1 for p in _places(value, bits))
+    return one & other
 
 
 def shared(sets: DataFrame, carried: list[str]) -> DataFrame:
-    """Postings (carried columns, pos from 1, token) of the tokens in the prefixes of at least two sets, and of a few more.
+    """Postings (carried columns, pos from 1, token) of the tokens in the prefixes of at least two sets, and of a few more (the filter's false positives).
 
     ``sets`` has a long column ``k`` that tells sets apart and ``prefix``, ordered keys. The first
     shuffle takes only token and k, pre-aggregated, so a token of many sets is one row per task; later

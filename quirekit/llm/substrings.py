@@ -100,8 +100,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
                 ends, words, high, low = chunk(data)
                 sizes.append(len(data))
                 numbers.append(len(ends))
-                m = xxhash64_longs(high) & mask
-                on = np.flatnonzero((table[(m >> np.uint64(6)).astype(np.intp)] >> (m & np.uint64(63))) & np.uint64(1)) if len(m) else np.zeros(0, dtype=np.intp)
+                mixed = xxhash64_longs(high)
+                there = lambda m: (table[(m >> np.uint64(6)).astype(np.intp)] >> (m & np.uint64(63))) & np.uint64(1)  # noqa: E731, B023
+                on = np.flatnonzero(there(mixed & mask) & there((mixed >> np.uint64(32)) & mask))
                 starts = ends - np.diff(ends, prepend=0)
                 for c, x in zip(columns, (on, starts[on], ends[on], words[on], high[on], low[on])):
                     c.append(x.astype(np.int64))
@@ -165,7 +166,7 @@ def xxhash64_longs(values: np.ndarray, seed: int = 42) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """``docs`` with the repeated passages cut out of the text; other columns stay. Half a character at a cut stays whole."""
-    found = repeats(docs, id_col, text_col, run_words).where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("mark").alias("_m"), "spans").dropDuplicates(["_id", "_m"])
+    found = repeats(docs, id_col, text_col, run_words).where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("mark").alias("_m"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_m"])
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -188,4 +189,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.withColumn("_mark", F.xxhash64(text_col))
     joined = rows.join(found, rows[id_col].eqNullSafe(found["_id"]) & (rows["_mark"] == found["_m"]), "left")
-    return joined.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("spans")))).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))).select(*docs.columns)

@@ -74,7 +74,7 @@ def test_components_equal_brute_force(spark, seed, monkeypatch):
 def test_components_of_empty_and_single(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert ngram_join.ngram_components(df.limit(0)).count() == 0
-    assert [tuple(r) for r in ngram_join.ngram_components(df).collect()] == [(1, 1, 1)]
+    assert [tuple(r)[:3] for r in ngram_join.ngram_components(df).collect()] == [(1, 1, 1)]
 
 
 @pytest.mark.parametrize("seed", range(8))
