@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirekit.llm.common import store
-from quirekit.llm.postings import bitmap, bucket, in_bitmap, key_of, possible, prefix_size, ranks, shared
+from quirekit.llm.postings import bitmap, bucket, in_bitmap, key_of, near_in_size, prefix_size, ranks, shared, within_reach
 
 #: Buckets of the rarity table; it is a literal of the plan, so it is kept small.
 BUCKETS = 1 << 12
@@ -51,9 +51,15 @@ def keyed(lines: DataFrame, ranks_: list[int]) -> DataFrame:
     return keys.withColumn("k", F.xxhash64("keys")).withColumn("k2", F.xxhash64(F.lit(1), "keys"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (k, k2) of pairs whose sets have Jaccard 0.8 or more. pairs: k, k2, e_k, e_k2; sets: k, k2, keys."""
-    with_own = pairs.join(sets, ["k", "k2"])
+def similar(pairs: DataFrame, docs: DataFrame, order: list[int]) -> DataFrame:
+    """The (k, k2) of pairs whose sets have Jaccard 0.8 or more. pairs: k, k2, at, e_k, e_k2, e_at; at tells where a set's line is."""
+    at_hash = lambda at: F.xxhash64(f"{at}.id", f"{at}.mark", f"{at}.line_no").alias("line")
+    doc_hash = lambda at: F.xxhash64(f"{at}.id", f"{at}.mark").alias("doc")
+    wanted = pairs.select(at_hash("at"), doc_hash("at")).unionByName(pairs.select(at_hash("e_at"), doc_hash("e_at")))
+    read = docs.where(in_bitmap(F.xxhash64("id", "mark"), bitmap(wanted, "doc")))
+    some = lines_of(read).where(in_bitmap(F.xxhash64("id", "mark", "line_no"), bitmap(wanted, "line")))
+    sets = store(keyed(some, order).groupBy("k", "k2").agg(F.first("keys").alias("keys")), "sets")
+    with_own = pairs.select("k", "k2", "e_k", "e_k2").join(sets, ["k", "k2"])
     other = sets.select(F.col("k").alias("e_k"), F.col("k2").alias("e_k2"), F.col("keys").alias("e_keys"))
     both = with_own.join(other, ["e_k", "e_k2"]).select("k", "k2", F.size(F.array_intersect("keys", "e_keys")).alias("common"), (F.size("keys") + F.size("e_keys")).alias("total"))
     return both.where(F.col("common") * 9 >= F.col("total") * 4).select("k", "k2").distinct()
@@ -68,30 +74,27 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("id", "mark", "line_no")
     classes = found.select("k", "k2", place.alias("at"), n.alias("n"), F.slice("keys", F.lit(1), prefix_size(n)).alias("prefix"))
     classes = store(classes.groupBy("k", "k2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "lines")
-    likely = store(shared(classes, ["k", "k2", "at", "n"]), "likely")
+    likely = store(shared(classes.withColumn("last", F.element_at("prefix", -1)), ["k", "k2", "at", "n", "last"]), "likely")
 
     # the earliest class of each token that at least two have, and the postings of those tokens
-    firsts = store(likely.groupBy("token").agg(F.min(F.struct("at", "k", "k2", "n")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e"), "firsts")
-    postings = store(likely.join(firsts, "token").select("token", "pos", "k", "k2", "at", "n", "e"), "postings")
-
-    # the whole sets of the classes that share a token of their prefixes with another
-    at_hash = F.xxhash64("at.id", "at.mark", "at.line_no")
-    wanted = postings.select(at_hash.alias("line"), F.xxhash64("at.id", "at.mark").alias("doc"))
-    read = docs.where(in_bitmap(F.xxhash64("id", "mark"), bitmap(wanted, "doc")))
-    some = lines_of(read).where(in_bitmap(F.xxhash64("id", "mark", "line_no"), bitmap(wanted, "line")))
-    sets = store(keyed(some, order).groupBy("k", "k2").agg(F.first("keys").alias("keys")), "sets")
+    firsts = store(likely.groupBy("token").agg(F.min(F.struct("at", "k", "k2", "n", "last")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e"), "firsts")
+    postings = store(likely.join(firsts, "token").select("token", "k", "k2", "at", "n", "last", "e"), "postings")
 
     # every class with the earliest of each token
-    star = postings.where((F.col("k") != F.col("e.k")) & (F.col("n") * 5 >= F.col("e.n") * 4) & (F.col("e.n") * 5 >= F.col("n") * 4))
-    star = store(star.select("k", "k2", F.col("e.k").alias("e_k"), F.col("e.k2").alias("e_k2")).distinct(), "star")
-    gone = store(similar(star, sets), "gone")
+    columns = ["k", "k2", "at", "n", "last", "e_k", "e_k2", "e_at", "e_n", "e_last"]
+    in_reach = within_reach(F.col("n"), F.col("last"), F.col("e_n"), F.col("e_last"), F.col("common"))
+    star = postings.where(F.col("k") != F.col("e.k")).select("k", "k2", "at", "n", "last", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("k", "k2", "at", "n", "last")])
+    star = star.where(near_in_size(F.col("n"), F.col("e_n"))).groupBy(*columns).agg(F.count("*").alias("common")).where(in_reach)
+    star = store(star.select("k", "k2", "at", "e_k", "e_k2", "e_at"), "star")
+    gone = store(similar(star, docs, order), "gone")
 
     # what is still open with every earlier class within the bounds
-    open_ = postings.join(gone, ["k", "k2"], "left_anti")
-    early = postings.select("token", F.col("k").alias("e_k"), F.col("k2").alias("e_k2"), F.col("at").alias("e_at"), F.col("n").alias("e_n"), F.col("pos").alias("e_pos"))
-    rest = open_.join(early, "token").where((F.col("e_at") < F.col("at")) & possible(F.col("n"), F.col("pos"), F.col("e_n"), F.col("e_pos")))
-    rest = store(rest.select("k", "k2", "e_k", "e_k2").distinct().join(star, ["k", "k2", "e_k", "e_k2"], "left_anti"), "rest")
-    later = similar(rest, sets)
+    open_ = postings.drop("e").join(gone, ["k", "k2"], "left_anti")
+    early = postings.select("token", *[F.col(c).alias(f"e_{c}") for c in ("k", "k2", "at", "n", "last")])
+    rest = open_.join(early, "token").where((F.col("e_at") < F.col("at")) & near_in_size(F.col("n"), F.col("e_n")))
+    rest = rest.groupBy(*columns).agg(F.count("*").alias("common")).where(in_reach).select("k", "k2", "at", "e_k", "e_k2", "e_at")
+    rest = store(rest.join(star.select("k", "k2", "e_k", "e_k2"), ["k", "k2", "e_k", "e_k2"], "left_anti"), "rest")
+    later = similar(rest, docs, order)
 
     stay = classes.select("k", "k2", "at").join(gone.unionByName(later), ["k", "k2"], "left_anti")
     return stay.groupBy(F.col("at.id").alias("id"), F.col("at.mark").alias("mark")).agg(F.collect_list("at.line_no").alias("kept"))

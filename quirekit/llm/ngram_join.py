@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quirekit.llm.common import slices, store
 from quirekit.llm.components import components
-from quirekit.llm.postings import BUCKETS, bitmap, in_bitmap, possible, ranks, shared
+from quirekit.llm.postings import BUCKETS, bitmap, in_bitmap, near_in_size, ranks, shared, within_reach
 
 GRAM = 5
 #: Member sets in one trie; larger groups are cut into several, each with its own copy of the probing set.
@@ -144,8 +144,13 @@ def sets_of(docs: DataFrame, order: np.ndarray, n: int, id_kind: str) -> DataFra
     return docs.select("id", "mark", "text").mapInArrow(rows, f"id {id_kind}, mark long, n int, k long, k2 long, prefix array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, order: np.ndarray, n: int) -> DataFrame:
-    """The pairs (a, b: structs k, k2) that link. texts: s (struct k, k2), text."""
+def verified(pairs: DataFrame, base: DataFrame, places: DataFrame, order: np.ndarray, n: int) -> DataFrame:
+    """The pairs (a, b: structs k, k2) that link. places: s (struct k, k2) and at (id, mark), where a set's text is."""
+    wanted = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+    p = store(places.join(wanted, "s", "left_semi"), "wanted").alias("p")
+    near = base.where(in_bitmap(F.xxhash64("id", "mark"), bitmap(p.select(F.xxhash64("at.id", "at.mark").alias("doc")), "doc"))).alias("d")
+    texts = near.join(p, F.col("d.id").eqNullSafe(F.col("p.at.id")) & (F.col("d.mark") == F.col("p.at.mark"))).select("s", "text")
+    texts = store(texts.groupBy("s").agg(F.first("text").alias("text")), "texts")
     many = pairs.groupBy("a").agg(F.count("*").alias("m"))
     dealt = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / TRIE)))
     members = dealt.join(texts.select(F.col("s").alias("b"), "text"), "b").select("a", "part", "b", "text")
@@ -199,41 +204,39 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = store(sets_of(base, order, n, docs.schema[id_col].dataType.simpleString()), "sets")
     some = sets.where("prefix is not null")
     s = F.struct("k", "k2")
-    likely = shared(some, ["id", "mark", "n", "k", "k2"])
-    once = likely.groupBy("token", "pos", "n", "k", "k2").agg(F.min(F.struct("id", "mark")).alias("at")).select("token", "pos", "n", s.alias("s"), "at")
+    likely = shared(some.withColumn("last", F.element_at("prefix", -1)), ["id", "mark", "n", "k", "k2", "last"])
+    once = likely.groupBy("token", "n", "k", "k2", "last").agg(F.min(F.struct("id", "mark")).alias("at")).select("token", "n", s.alias("s"), "last", "at")
     once = store(once, "likely")
 
     # the first set of each token that at least two have, and the postings of those tokens
-    firsts = once.groupBy("token").agg(F.min(F.struct("at", "s", "n")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e")
+    firsts = once.groupBy("token").agg(F.min(F.struct("at", "s", "n", "last")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e")
     postings = store(once.join(store(firsts, "firsts"), "token"), "postings")
-
-    # the texts of these sets, one row for each
     places = store(postings.groupBy("s").agg(F.min("at").alias("at")), "places")
-    near = base.where(in_bitmap(F.xxhash64("id", "mark"), bitmap(places.select(F.xxhash64("at.id", "at.mark").alias("doc")), "doc"))).alias("d")
-    texts = near.join(places.alias("p"), F.col("d.id").eqNullSafe(F.col("p.at.id")) & (F.col("d.mark") == F.col("p.at.mark"))).select("s", "text")
-    texts = store(texts.groupBy("s").agg(F.first("text").alias("text")), "texts")
 
-    fits = (F.col("n") * 5 >= F.col("e.n") * 4) & (F.col("e.n") * 5 >= F.col("n") * 4)
-    star = postings.where((F.col("s") != F.col("e.s")) & fits).select(F.col("e.s").alias("a"), F.col("s").alias("b")).distinct()
-    star = store(star, "star")
-    links = store(verified(star, texts, order, n), "links")
+    star = postings.where((F.col("s") != F.col("e.s")) & near_in_size(F.col("n"), F.col("e.n")))
+    star = star.groupBy(F.col("e.s").alias("a"), F.col("s").alias("b"), F.col("e.n").alias("a_n"), F.col("e.last").alias("a_last"), "n", "last").agg(F.count("*").alias("common"))
+    star = store(star.where(within_reach(F.col("n"), F.col("last"), F.col("a_n"), F.col("a_last"), F.col("common"))).select("a", "b"), "star")
+    links = store(verified(star, base, places, order, n), "links")
     labels = components(links)
 
     # tokens that sets of different components share: all pairs across components within the bounds
-    marked = postings.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
+    marked = postings.drop("e").join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
     marked = store(marked, "marked")
     by_label = marked.groupBy("token", "label").agg(F.count("*").alias("m"))
     mixed = by_label.groupBy("token").agg(F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     mixed = store(mixed.select("token", F.col("most.label").alias("major")), "mixed")
-    met = marked.join(mixed, "token")
+    met = store(marked.join(mixed, "token"), "mixed-postings")
     minor = met.where(F.col("label") != F.col("major"))
-    other = met.select("token", F.col("s").alias("o"), F.col("n").alias("o_n"), F.col("pos").alias("o_pos"), F.col("label").alias("o_label"))
-    across = minor.join(other, "token").where((F.col("label") != F.col("o_label")) & ((F.col("o_label") == F.col("major")) | (F.col("s") < F.col("o"))) & possible(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos")))
-    across = across.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
+    other = met.select("token", F.col("s").alias("o"), F.col("n").alias("o_n"), F.col("last").alias("o_last"), F.col("label").alias("o_label"))
+    across = minor.join(other, "token").where((F.col("label") != F.col("o_label")) & ((F.col("o_label") == F.col("major")) | (F.col("s") < F.col("o"))) & near_in_size(F.col("n"), F.col("o_n")))
+    swap = F.col("o") < F.col("s")
+    side = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    across = across.select(side("s", "o", "a"), side("o", "s", "b"), side("n", "o_n", "a_n"), side("o_n", "n", "n"), side("last", "o_last", "a_last"), side("o_last", "last", "last"))
+    across = across.groupBy("a", "b", "a_n", "a_last", "n", "last").agg(F.count("*").alias("common")).where(within_reach(F.col("n"), F.col("last"), F.col("a_n"), F.col("a_last"), F.col("common")))
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = store(across.join(tried, ["a", "b"], "left_anti"), "across")
+    across = store(across.select("a", "b").join(tried, ["a", "b"], "left_anti"), "across")
     if across.limit(1).count():
-        more = store(verified(across, texts, order, n), "links")
+        more = store(verified(across, base, places, order, n), "links")
         if more.limit(1).count():
             labels = components(links.unionByName(more))
 

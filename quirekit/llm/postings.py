@@ -80,6 +80,16 @@ def overlap_needed(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * 4 / 9)
 
 
-def possible(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length and positional bounds for sets of n and m tokens whose first common token is the i-th and j-th."""
-    return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (F.least(n - i, m - j) + 1 >= overlap_needed(n, m))
+def near_in_size(n: Column, m: Column) -> Column:
+    """The length bound for Jaccard 0.8."""
+    return (n * 5 >= m * 4) & (m * 5 >= n * 4)
+
+
+def within_reach(n: Column, last: Column, m: Column, other_last: Column, common: Column) -> Column:
+    """The positional bound, once the common tokens of two prefixes are counted.
+
+    ``last`` is the last key of a prefix. Any further common token comes after the prefix that ends
+    first, so there are at most as many as that set has tokens beyond its prefix.
+    """
+    beyond = F.when(last <= other_last, n - prefix_size(n)).otherwise(m - prefix_size(m))
+    return common + beyond >= overlap_needed(n, m)
