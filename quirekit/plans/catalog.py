@@ -1,6 +1,425 @@
-"""The registered queries over the document tables and their SQL."""
+"""The registered queries over the document tables, and the same as DuckDB SQL.
+
+Results have primitive columns; lists are joined to strings in a defined order.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirekit.functions import folds
+from quirekit.functions import text as T
+from quirekit.operators import layout, quality, records, references, trees
+from quirekit.plans import sql as S
+from quirekit.sources import fixtures as X
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL if SQL can say it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _million(x):
+    return F.floor(x * 1000000 + 0.5) / 1000000
+
+
+@query(f"WITH {S.TYPED}, {S.TAXONOMY}, c AS (SELECT nullif(section_type, '') AS t, count(*) AS n FROM typed GROUP BY ALL) SELECT ord, type_name, label, coalesce(n, 0) AS n FROM tax LEFT JOIN c ON type_name = t UNION ALL SELECT 1000000, NULL, 'Untagged', n FROM c WHERE t IS NULL")
+def type_summary(spark, d):
+    return records.type_summary(X.typed(spark, d), X.taxonomy(spark))
+
+
+@query(f"WITH {S.TYPED}, {S.SOURCES} SELECT coalesce(nullif(s.title, ''), t.doc_id) AS title, t.doc_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY lft, id) AS ids FROM typed t LEFT JOIN src s ON t.doc_id = s.doc_id WHERE section_type = 'en' GROUP BY ALL")
+def sections_by_type(spark, d):
+    return records.by_document(X.typed(spark, d), X.sources(spark, d), "en")
+
+
+@query(f"WITH {S.TYPED}, {S.SOURCES} SELECT coalesce(nullif(s.title, ''), t.doc_id) AS title, t.doc_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY lft, id) AS ids FROM typed t LEFT JOIN src s ON t.doc_id = s.doc_id WHERE section_type IS NULL AND (lower(t.title) LIKE '%7%' OR lower(path) LIKE '%7%') GROUP BY ALL")
+def untagged_search(spark, d):
+    return records.by_document(X.typed(spark, d), X.sources(spark, d), None, "7")
+
+
+@query(f"WITH {S.TYPED}, {S.SOURCES} SELECT nullif(section_type, '') AS section_type, count(*) AS n FROM typed WHERE doc_id IN (SELECT doc_id FROM src WHERE project_id = 'p0') GROUP BY ALL")
+def doc_counts_scoped(spark, d):
+    return records.type_counts(records.scoped(X.typed(spark, d), X.sources(spark, d), project="p0"))
+
+
+@query(f"WITH {S.SOURCES}, c AS (SELECT project_id, count(*) AS n FROM src GROUP BY ALL), p AS (SELECT unnest(['p0', 'p1', 'p2', 'p9']) AS project_id) SELECT p.project_id, coalesce(n, 0) AS imports FROM p LEFT JOIN c ON p.project_id = c.project_id")
+def project_import_counts(spark, d):
+    projects = spark.createDataFrame([("p0",), ("p1",), ("p2",), ("p9",)], "project_id string")
+    counts = X.sources(spark, d).groupBy("project_id").agg(F.count("*").alias("n"))
+    return projects.join(counts, "project_id", "left").select("project_id", F.coalesce("n", F.lit(0).cast("long")).alias("imports"))
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)")
+def token_counts(spark, d):
+    t = X.table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+@query(f"WITH {S.RECALL}, {S.OVERLAP} SELECT page_id, n_truth, n_md, common, floor(CASE WHEN n_truth = 0 THEN 1.0 ELSE common / n_truth END * 1000000 + 0.5) / 1000000 AS recall, floor(CASE WHEN n_md = 0 THEN 0.0 ELSE (n_md - common) / n_md END * 1000000 + 0.5) / 1000000 AS extra FROM overlap")
+def text_recall_extra(spark, d):
+    o = quality.token_overlap(X.recall_pages(spark, d), ["page_id"], "truth", "markdown")
+    return o.select("page_id", "n_truth", "n_md", "common", _million(quality.recall(F.col("common"), F.col("n_truth"))).alias("recall"), _million(quality.extra(F.col("common"), F.col("n_md"))).alias("extra"))
+
+
+_SCORED = f"""WITH {S.RECALL}, {S.OVERLAP},
+rat AS (SELECT page_id, CASE WHEN n_truth = 0 THEN CAST(1 AS DOUBLE) ELSE common / n_truth END AS recall, CASE WHEN n_md = 0 THEN CAST(0 AS DOUBLE) ELSE (n_md - common) / n_md END AS extra FROM overlap),
+ts AS (SELECT page_id, len(list_filter(string_split(truth, chr(10)), lambda x: len(regexp_extract_all(x, '\\S {{2,}}')) >= 2)) >= 3 AS tab FROM rp),
+terms AS (SELECT page_id, recall, extra, CASE WHEN tab THEN CAST(0 AS DOUBLE) END AS table_score FROM rat JOIN ts USING (page_id)),
+scored AS (SELECT page_id, recall, extra, table_score, floor((CAST(0.4 AS DOUBLE) * recall + CAST(0.15 AS DOUBLE) * (CAST(1 AS DOUBLE) - extra) + CASE WHEN table_score IS NOT NULL THEN CAST(0.15 AS DOUBLE) * table_score ELSE CAST(0 AS DOUBLE) END) / (CAST(0.4 AS DOUBLE) + CAST(0.15 AS DOUBLE) + CASE WHEN table_score IS NOT NULL THEN CAST(0.15 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 1000 + 0.5) / 1000 AS composite FROM terms),
+v AS (SELECT *, CASE WHEN composite >= 0.9 THEN 'pass' WHEN composite >= 0.7 THEN 'escalate' ELSE 'review' END AS verdict FROM scored)"""
+
+
+@query(_SCORED + " SELECT page_id, floor(recall * 1000000 + 0.5) / 1000000 AS recall, floor(extra * 1000000 + 0.5) / 1000000 AS extra, table_score, composite, verdict, (recall < 0.85)::INT + (extra > 0.25)::INT + coalesce((table_score = 0)::INT, 0) AS n_notes FROM v")
+def page_scores(spark, d):
+    s = quality.score_pages(X.recall_pages(spark, d), ["page_id"], "truth", "markdown")
+    return s.select("page_id", _million(F.col("recall")).alias("recall"), _million(F.col("extra")).alias("extra"), "table_score", "composite", "verdict", F.size("notes").alias("n_notes"))
+
+
+@query(_SCORED + " SELECT verdict, count(*) AS pages, floor(avg(composite) * 1000 + 0.5) / 1000 AS mean FROM v GROUP BY verdict")
+def verdict_counts(spark, d):
+    s = quality.score_pages(X.recall_pages(spark, d), ["page_id"], "truth", "markdown")
+    return s.groupBy("verdict").agg(F.count("*").alias("pages"), T.thousandths(F.avg("composite")).alias("mean"))
+
+
+@query(f"WITH {S.WEB}, {S.BOILER} SELECT doc_id, normal, n FROM boiler")
+def boilerplate_lines(spark, d):
+    return layout.boilerplate(X.web_lines(spark, d))
+
+
+@query(f"WITH {S.WEB}, p AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM web GROUP BY ALL), c AS (SELECT doc_id, {S.running('line')} AS normal, count(DISTINCT page_no) AS n FROM web GROUP BY ALL) SELECT doc_id, normal, n FROM c JOIN p USING (doc_id) WHERE pages >= 3 AND len(normal) >= 6 AND n >= greatest(2, round_even(0.5 * pages, 0))")
+def furniture_lines(spark, d):
+    return layout.furniture(X.web_lines(spark, d))
+
+
+@query(f"WITH {S.WEB}, {S.BOILER} SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY line_no) AS markdown FROM web w WHERE NOT EXISTS (SELECT 1 FROM boiler b WHERE b.doc_id = w.doc_id AND b.normal = {S.plain('w.line')}) AND NOT {S.stamp('line')} GROUP BY ALL")
+def clean_pages(spark, d):
+    return layout.joined(layout.cleaned(X.web_lines(spark, d)), ["doc_id", "page_no"])
+
+
+@query(f"WITH {S.PAGES}, l AS (SELECT doc_id, page_no, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT doc_id, page_no, string_split(md, chr(10)) AS x FROM pg)), m AS (SELECT *, regexp_matches(line, '^(#{{1,6}})\\s+(.*\\S)\\s*$') AS h, sum(regexp_matches(line, '^(#{{1,6}})\\s+(.*\\S)\\s*$')::INT) OVER (PARTITION BY doc_id ORDER BY page_no, line_no) AS section_no FROM l), g AS (SELECT doc_id, section_no, max(CASE WHEN h THEN line END) AS heading, min(page_no) AS page_start, max(page_no) AS page_end, coalesce(string_agg(CASE WHEN NOT h THEN line END, chr(10) ORDER BY page_no, line_no), '') AS body FROM m WHERE section_no > 0 GROUP BY ALL) SELECT doc_id, section_no, trim(regexp_extract(heading, '^(#{{1,6}})\\s+(.*\\S)\\s*$', 2)) AS title, 1 AS level, page_start, page_end, md5(body) AS body_md5 FROM g")
+def section_bodies_windowed(spark, d):
+    p = X.pages(spark, d)
+    lines = p.select("doc_id", "page_no", F.posexplode(T.lines(F.col("md"))).alias("i", "line")).select("doc_id", "page_no", (F.col("i") + 1).alias("line_no"), "line")
+    return trees.windowed_sections(lines).select("doc_id", "section_no", "title", "level", "page_start", "page_end", F.md5("body").alias("body_md5"))
+
+
+@query()
+def sectionize_full(spark, d):
+    found = trees.sectionize(X.pages(spark, d).select("doc_id", "page_no", F.col("md").alias("markdown")))
+    return found.select("doc_id", "ord", "title", "level", F.array_join("path", " > ").alias("path"), "page_start", "page_end", F.md5("markdown").alias("body_md5"))
+
+
+_TREE = f"WITH RECURSIVE {S.REGIONS}, walk AS (SELECT doc_id, id, parent_id, 1 AS level, [{{'o': ord, 'i': id}}] AS way FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.doc_id, t.id, t.parent_id, w.level + 1, list_append(w.way, {{'o': t.ord, 'i': t.id}}) FROM tree t JOIN walk w ON t.doc_id = w.doc_id AND t.parent_id = w.id), up AS (SELECT doc_id, id AS ancestor, id FROM tree UNION ALL SELECT u.doc_id, t.parent_id, u.id FROM up u JOIN tree t ON u.doc_id = t.doc_id AND u.ancestor = t.id WHERE t.parent_id IS NOT NULL), size AS (SELECT doc_id, ancestor AS id, count(*) AS n FROM up GROUP BY ALL), num AS (SELECT doc_id, id, parent_id, level, 2 * row_number() OVER (PARTITION BY doc_id ORDER BY way) - level AS lft FROM walk), ns AS (SELECT num.doc_id, num.id, parent_id, level, lft, lft + 2 * n - 1 AS rgt FROM num JOIN size ON num.doc_id = size.doc_id AND num.id = size.id)"
+
+
+@query(_TREE + " SELECT doc_id, id, level, lft, rgt FROM ns")
+def nested_set(spark, d):
+    return trees.nested_set(X.regions(spark, d)).select("doc_id", "id", "level", "lft", "rgt")
+
+
+@query(_TREE + " SELECT doc_id, ancestor AS root, count(*) AS n FROM up GROUP BY ALL")
+def subtree_counts(spark, d):
+    tree = trees.nested_set(X.regions(spark, d))
+    return trees.closure(tree).groupBy("doc_id", F.col("ancestor").alias("root")).agg(F.count("*").alias("n"))
+
+
+@query(_TREE + ", inc AS (SELECT ns.*, included FROM ns JOIN tree ON ns.doc_id = tree.doc_id AND ns.id = tree.id WHERE included) SELECT a.doc_id, a.id, max_by(b.id, b.lft) AS ancestor FROM inc a LEFT JOIN inc b ON a.doc_id = b.doc_id AND b.lft < a.lft AND a.rgt < b.rgt GROUP BY ALL")
+def nearest_included_ancestor(spark, d):
+    """Ancestors come from the parent closure: linear in the tree's depth, where bounds alone would pair all nodes of a document."""
+    tree = X.regions(spark, d)
+    some = tree.where("included").select("doc_id", F.col("id").alias("ancestor"))
+    up = trees.closure(tree).where("distance > 0").join(some, ["doc_id", "ancestor"])
+    near = up.groupBy("doc_id", F.col("node").alias("id")).agg(F.min_by("ancestor", "distance").alias("ancestor"))
+    return tree.where("included").select("doc_id", "id").join(near, ["doc_id", "id"], "left")
+
+
+@query(_TREE + " SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY lft) - 1 AS sort_order FROM ns")
+def sibling_order(spark, d):
+    return trees.sibling_order(trees.nested_set(X.regions(spark, d))).select("doc_id", "id", "sort_order")
+
+
+@query(f"WITH {S.REGIONS} SELECT doc_id, id, {S.slug('title')} AS slug FROM tree")
+def slugs(spark, d):
+    return X.regions(spark, d).select("doc_id", "id", T.slug(F.col("title")).alias("slug"))
+
+
+@query()
+def slug_routes(spark, d):
+    return trees.slug_routes(trees.nested_set(X.regions(spark, d).withColumn("title", F.when(F.col("id") > 1000, F.concat(F.lit("Customer "), (F.col("id") % 7).cast("string"))).otherwise(F.col("title")))))
+
+
+@query(_TREE + f", kids AS (SELECT ns.doc_id, ns.parent_id AS id, string_agg('- [' || title || '](/' || {S.slug('title')} || ')' || chr(10), '' ORDER BY lft) AS k FROM ns JOIN tree ON ns.doc_id = tree.doc_id AND ns.id = tree.id WHERE ns.parent_id IS NOT NULL GROUP BY ALL) SELECT doc_id, id, md5('## Contents' || chr(10) || chr(10) || k) AS content_md5 FROM kids")
+def contents_rollup(spark, d):
+    tree = trees.nested_set(X.regions(spark, d)).withColumn("markdown", F.lit(""))
+    routes = tree.select("doc_id", "id", T.slug(F.col("title")).alias("route"))
+    return trees.contents(tree, routes).select("doc_id", "id", F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH {S.SPANS}, {S.POINTS} SELECT doc_id, page, min_by(id, {{'s': page_end - page_start, 'o': ord}}) AS id FROM pts JOIN spans USING (doc_id) WHERE page BETWEEN page_start AND page_end GROUP BY ALL")
+def smallest_covering(spark, d):
+    return references.smallest_covering(X.points(spark, d), X.spans(spark, d))
+
+
+@query(f"WITH {S.SPANS}, {S.POINTS}, c AS (SELECT doc_id, page, id, page_start, page_end FROM pts JOIN spans USING (doc_id) WHERE page BETWEEN page_start AND page_end) SELECT doc_id, page, id FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE a.doc_id = b.doc_id AND a.page = b.page AND a.page_start * 100 < b.page_start * 100 AND b.page_end * 100 < a.page_end * 100)")
+def deepest_covering(spark, d):
+    tree = X.spans(spark, d).withColumn("lft", F.col("page_start") * 100).withColumn("rgt", F.col("page_end") * 100)
+    return references.deepest_covering(X.points(spark, d), tree)
+
+
+@query(f"WITH {S.SPANS} SELECT a.doc_id, a.id, b.id AS other FROM spans a JOIN spans b ON a.doc_id = b.doc_id AND a.id <> b.id AND a.page_start <= b.page_end AND b.page_start <= a.page_end WHERE NOT (a.page_start < b.page_start AND b.page_end < a.page_end) AND NOT (b.page_start < a.page_start AND a.page_end < b.page_end)")
+def overlaps(spark, d):
+    return references.overlapping(X.spans(spark, d).withColumn("lft", F.col("page_start")).withColumn("rgt", F.col("page_end")))
+
+
+_REFS = f"WITH {S.PAGES}, refs AS (SELECT doc_id, page_no AS from_id, n_pages, CAST(regexp_extract(md, 'See page (\\d+)', 1) AS INT) AS page FROM pg), tgt AS (SELECT doc_id, from_id, page, CASE WHEN page = 1 AND n_pages > 1 THEN 1 ELSE page END AS to_id FROM refs), body AS (SELECT * FROM tgt WHERE from_id <> to_id)"
+
+
+@query(_REFS + " SELECT doc_id, from_id, to_id, page, count(*) AS occurrences FROM body GROUP BY ALL")
+def reference_edges(spark, d):
+    s = X.sections(spark, d).withColumn("markdown", F.element_at(T.lines(F.col("markdown")), -1))
+    return references.extract(s, s.groupBy("doc_id").agg(F.max("n_pages").alias("page_count")))
+
+
+@query(_REFS + ", e AS (SELECT doc_id, from_id, to_id, count(*) AS weight FROM body GROUP BY ALL) SELECT doc_id, id, sum(weight)::BIGINT AS degree FROM (SELECT doc_id, from_id AS id, weight FROM e UNION ALL SELECT doc_id, to_id, weight FROM e) GROUP BY ALL")
+def node_degree(spark, d):
+    s = X.sections(spark, d).withColumn("markdown", F.element_at(T.lines(F.col("markdown")), -1))
+    found = references.extract(s, s.groupBy("doc_id").agg(F.max("n_pages").alias("page_count")))
+    return references.degrees(references.weighted_edges(found))
+
+
+@query(f"WITH {S.EDGES} SELECT doc_id, from_id, to_id, sum(coalesce(nullif(occurrences, 0), 1))::BIGINT AS weight FROM edges GROUP BY ALL")
+def weighted_references(spark, d):
+    return references.weighted_edges(X.part_edges(spark, d))
+
+
+@query(f"WITH {S.EDGES}, n AS (SELECT 0 AS doc_id, s_suppkey AS id FROM supplier WHERE s_nationkey < 12 UNION ALL SELECT 0, p_partkey + 1000000 FROM part WHERE p_size < 25), e AS (SELECT DISTINCT from_id, to_id FROM edges WHERE from_id IN (SELECT id FROM n) AND to_id IN (SELECT id FROM n)), m AS (SELECT from_id AS id, to_id AS o FROM e UNION SELECT to_id, from_id FROM e UNION SELECT id, id FROM n) SELECT CAST(0 AS BIGINT) AS doc_id, id, count(*) AS neighbours FROM m GROUP BY id")
+def neighborhood(spark, d):
+    nodes = X.table(spark, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("id")).unionByName(X.table(spark, d, "part").where("p_size < 25").select((F.col("p_partkey") + 1_000_000).alias("id"))).withColumn("doc_id", F.lit(0).cast("long"))
+    return references.neighbourhood(references.both_ends(X.part_edges(spark, d).select("doc_id", "from_id", "to_id"), nodes), nodes)
+
+
+@query(_REFS + ", e AS (SELECT doc_id, from_id, to_id, count(*) AS weight FROM body GROUP BY ALL) SELECT doc_id, 'REFERENCES' AS rel, count(*) AS edges, sum(weight)::BIGINT AS weight FROM e GROUP BY ALL UNION ALL SELECT doc_id, CASE WHEN page_no = 1 THEN 'HAS_SECTION' ELSE 'PART_OF' END, count(*), count(*) FROM pg GROUP BY ALL")
+def document_graph(spark, d):
+    s = X.sections(spark, d).withColumn("markdown", F.element_at(T.lines(F.col("markdown")), -1)).withColumn("parent_id", F.when(F.col("id") > 1, F.lit(1)))
+    _, edges = references.graph(s, references.extract(s, s.groupBy("doc_id").agg(F.max("n_pages").alias("page_count"))))
+    return edges.groupBy("doc_id", "rel").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
+
+
+@query(f"WITH {S.SCORES} SELECT doc_id, page_no, concat_ws(',', CASE WHEN recall < 0.95 THEN 'text_recall' END, CASE WHEN extra > 0.15 THEN 'extra_text_ratio' END, CASE WHEN table_score < 1 THEN 'table_score' END) AS reasons FROM sa WHERE recall < 0.95 OR extra > 0.15 OR table_score < 1")
+def escalation_reasons(spark, d):
+    s = X.scores(spark, d, "a").withColumn("r", quality.escalation_reasons(F.col("recall"), F.col("extra"), F.col("table_score")))
+    return s.where(F.size("r") > 0).select("doc_id", "page_no", F.array_join("r", ",").alias("reasons"))
+
+
+@query(f"WITH {S.SCORES}, j AS (SELECT sa.doc_id, sa.page_no, coalesce(sa.recall, 1.0) AS lr, coalesce(sa.extra, 0.0) AS le, coalesce(sa.table_score, 1.0) AS lt, coalesce(sb.recall, 0.0) AS cr, coalesce(sb.extra, 1.0) AS ce, coalesce(sb.table_score, 1.0) AS ct FROM sa LEFT JOIN sb ON sa.doc_id = sb.doc_id AND sa.page_no = sb.page_no) SELECT doc_id, page_no, cr >= least(0.95, lr) AND ct >= lt AND ((cr > lr AND ce <= greatest(le, 0.15)) OR (ce < le AND cr >= 0.95)) AS accepted FROM j")
+def hybrid_accept(spark, d):
+    a, b = X.scores(spark, d, "a"), X.scores(spark, d, "b").select("doc_id", "page_no", *[F.col(c).alias(f"c_{c}") for c in ("recall", "extra", "table_score")])
+    better = quality.cloud_is_better({"recall": F.col("recall"), "extra": F.col("extra"), "table": F.col("table_score")}, {"recall": F.col("c_recall"), "extra": F.col("c_extra"), "table": F.col("c_table_score")})
+    return a.join(b, ["doc_id", "page_no"], "left").select("doc_id", "page_no", better.alias("accepted"))
+
+
+_CAND = f"WITH {S.SCORES}, c AS (SELECT sa.doc_id, sa.page_no, sa.recall AS base, CASE WHEN sa.page_no % 5 <> 0 THEN sb.recall END AS vlm, CASE WHEN sa.page_no % 2 = 0 THEN 1.0 - sa.extra END AS cleanup, sa.recall AS bc, 1.0 - sa.extra AS cc FROM sa LEFT JOIN sb ON sa.doc_id = sb.doc_id AND sa.page_no = sb.page_no), k AS (SELECT *, coalesce(vlm > base, false) AS v, cleanup IS NOT NULL AND coalesce(cc >= bc - CAST(0.12 AS DOUBLE), false) AS u FROM c), m AS (SELECT *, CASE WHEN v AND (NOT u OR vlm >= cleanup) THEN 'vlm' WHEN u THEN 'cleanup' ELSE 'baseline' END AS method FROM k)"
+
+
+@query(_CAND + " SELECT doc_id, page_no, method, CASE method WHEN 'vlm' THEN vlm WHEN 'cleanup' THEN cleanup ELSE base END AS composite, CASE WHEN method <> 'baseline' THEN method WHEN vlm IS NOT NULL THEN 'vlm' WHEN cleanup IS NOT NULL THEN 'cleanup' ELSE 'vlm' END AS recorded FROM m")
+def adoption_winner(spark, d):
+    return quality.adopt(_candidates(spark, d), ["doc_id", "page_no"])
+
+
+def _candidates(spark, d):
+    a, b = X.scores(spark, d, "a"), X.scores(spark, d, "b").select("doc_id", "page_no", F.col("recall").alias("b_recall"))
+    j = a.join(b, ["doc_id", "page_no"], "left")
+    return j.select("doc_id", "page_no", F.col("recall").alias("base"), F.when(F.col("page_no") % 5 != 0, F.col("b_recall")).alias("vlm"), F.when(F.col("page_no") % 2 == 0, 1.0 - F.col("extra")).alias("cleanup"), F.col("recall").alias("base_content"), (1.0 - F.col("extra")).alias("cleanup_content"))
+
+
+@query(_CAND + ", n AS (SELECT doc_id, floor(sum(CAST(round(CASE method WHEN 'vlm' THEN vlm WHEN 'cleanup' THEN cleanup ELSE base END * 100) AS BIGINT))::BIGINT * 10 / count(*) + 0.5) / 1000 AS canonical_mean, count(*) FILTER (method <> 'baseline') AS adopted FROM m GROUP BY doc_id) SELECT doc_id, canonical_mean, adopted FROM n")
+def canonical_mean(spark, d):
+    w = quality.adopt(_candidates(spark, d), ["doc_id", "page_no"])
+    return w.groupBy("doc_id").agg((F.floor(F.sum(F.round(F.col("composite") * 100).cast("long")) * 10 / F.count("*") + 0.5) / 1000).alias("canonical_mean"), F.count_if(F.col("method") != "baseline").alias("adopted"))
+
+
+@query(f"WITH {S.SCORES}, v AS (SELECT *, recall >= 0.9 AS ok FROM sa) SELECT doc_id, count(*) AS pages, sum(CAST(round(recall * 100) AS BIGINT))::BIGINT / count(*) AS avg_recall, min(recall) AS min_recall, CASE WHEN count(table_score) = 0 THEN 1.0 ELSE count(*) FILTER (table_score = 1) / count(table_score) END AS table_coverage, count(*) FILTER (ok) / count(*) AS pass_share FROM v GROUP BY doc_id")
+def scorecard(spark, d):
+    s = X.scores(spark, d, "a").withColumn("verdict", quality.verdict(F.col("recall")))
+    return quality.card(s, ["doc_id"]).select("doc_id", "pages", (F.round(F.col("avg_recall") * F.col("pages") * 100).cast("long") / F.col("pages")).alias("avg_recall"), "min_recall", "table_coverage", "pass_share")
+
+
+@query(f"WITH {S.SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY recall, page_no) AS place FROM sa) SELECT doc_id, page_no, place, recall FROM r WHERE place <= 3")
+def worst_pages(spark, d):
+    """The three worst pages of every document: a bake-off's sample."""
+    return records.per_owner_limit(X.scores(spark, d, "a"), ["doc_id"], [F.col("recall"), F.col("page_no")], 3).select("doc_id", "page_no", "place", "recall")
+
+
+@query(f"WITH {S.PAGES} SELECT doc_id, page_no FROM pg WHERE (page_no - 1) % greatest(1, n_pages // 4) = 0")
+def systematic_sample(spark, d):
+    return records.systematic(X.pages(spark, d).select("doc_id", "page_no"), 4).select("doc_id", "page_no")
+
+
+@query(f"WITH {S.SCORES}, j AS (SELECT sa.doc_id, sa.page_no, sa.recall AS a, sb.recall AS b FROM sa LEFT JOIN sb ON sa.doc_id = sb.doc_id AND sa.page_no = sb.page_no) SELECT page_no, sum(CAST(round(a * 100) AS BIGINT))::BIGINT AS a, sum(CAST(round(b * 100) AS BIGINT))::BIGINT AS b, count(*) FILTER (a >= coalesce(b, 0)) AS a_wins FROM j GROUP BY page_no")
+def bake_off(spark, d):
+    runs = X.scores(spark, d, "a").withColumn("model", F.lit("a")).unionByName(X.scores(spark, d, "b").withColumn("model", F.lit("b")))
+    wide = runs.groupBy("doc_id", "page_no").pivot("model", ["a", "b"]).agg(F.first("recall"))
+    return wide.groupBy("page_no").agg(F.sum(F.round(F.col("a") * 100).cast("long")).alias("a"), F.sum(F.round(F.col("b") * 100).cast("long")).alias("b"), F.count_if(F.col("a") >= F.coalesce("b", F.lit(0.0))).alias("a_wins"))
+
+
+@query()
+def lint_issues(spark, d):
+    return references.lint(X.pages(spark, d), ["doc_id", "page_no"], "md")
+
+
+@query(f"WITH {S.PAGES}, c AS (SELECT doc_id, count(*) AS pages FROM pg GROUP BY ALL) SELECT CASE doc_id % 4 WHEN 1 THEN 'missing_separator' WHEN 2 THEN 'ragged_row' ELSE 'lone_pipe_row' END AS code, sum(pages)::BIGINT AS n FROM c WHERE doc_id % 4 <> 0 GROUP BY ALL")
+def lint_counts(spark, d):
+    p = X.pages(spark, d)
+    shown = F.array_join(F.filter(T.lines(F.col("md")), lambda x: x.startswith("| ") & x.endswith(" |") | x.startswith("|---")), "\n")
+    return references.lint(p.select("doc_id", "page_no", shown.alias("md")), ["doc_id"], "md").groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query()
+def fix_separators(spark, d):
+    return references.with_separators(X.pages(spark, d), ["doc_id", "page_no"], "md").select("doc_id", "page_no", F.md5("md").alias("md_md5"))
+
+
+@query()
+def stitch_tables(spark, d):
+    return references.stitched(X.pages(spark, d).select("doc_id", "page_no", F.col("md").alias("markdown"))).select("doc_id", "page_no", F.md5("markdown").alias("md_md5"))
+
+
+@query()
+def markdown_blocks(spark, d):
+    return references.blocks(X.pages(spark, d), ["doc_id", "page_no"], "md").groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+
+
+@query()
+def linked_pages(spark, d):
+    s = X.sections(spark, d).withColumn("page_count", F.col("n_pages"))
+    routes = s.select("doc_id", "id", F.concat(F.lit("wiki/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("id").cast("string")).alias("route"))
+    return references.with_links(s, routes).select("doc_id", "id", F.md5("content").alias("content_md5"), "links")
+
+
+@query(f"WITH {S.CALLS} SELECT job, count(*) AS calls, sum(CAST(round(coalesce(cost, 0) * 100) AS BIGINT))::BIGINT AS cents, bool_and(cost IS NOT NULL) AS cost_known, sum(CASE WHEN label <> 'judge' THEN CAST(round(coalesce(cost, 0) * 100) AS BIGINT) ELSE 0 END)::BIGINT AS parse_cents FROM calls GROUP BY job")
+def cost_by_job(spark, d):
+    c = X.calls(spark, d).withColumn("cost", F.round(F.col("cost") * 100))
+    long = lambda x: x.cast("long")
+    return records.costs(c, ["job"]).select("job", "calls", long(F.col("cost")).alias("cents"), "cost_known", long(F.col("parse_cost")).alias("parse_cents"))
+
+
+@query(f"WITH {S.CALLS} SELECT job, max_by(status, seq) AS status, max(seq) AS seq FROM calls GROUP BY job")
+def last_status(spark, d):
+    return records.latest(X.calls(spark, d), ["job"], [F.desc("seq")]).select("job", "status", "seq")
+
+
+@query(f"WITH {S.CALLS} SELECT seq, job, row_number() OVER (PARTITION BY job ORDER BY ts, seq) - 1 AS log_seq FROM calls")
+def log_sequence(spark, d):
+    return records.per_owner_limit(X.calls(spark, d), ["job"], [F.col("ts"), F.col("seq")], 2**31 - 1).select("seq", "job", (F.col("place") - 1).alias("log_seq"))
+
+
+@query(f"WITH {S.CALLS}, s AS (SELECT *, lag(status) OVER (PARTITION BY job ORDER BY seq) AS src FROM calls) SELECT src, status AS dst, count(*) AS n FROM s WHERE src IS NOT NULL AND NOT ((src = 'signup') OR (src = 'view' AND status IN ('click', 'view')) OR (src = 'click' AND status = 'purchase')) GROUP BY ALL")
+def invalid_transitions(spark, d):
+    allowed = [("signup", s) for s in ("signup", "error", "click", "view", "purchase")] + [("view", "click"), ("view", "view"), ("click", "purchase")]
+    wrong = records.invalid_steps(X.calls(spark, d), spark.createDataFrame(allowed, "src string, dst string"), ["job"], [F.col("seq")])
+    return wrong.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {S.CALLS}, f AS (SELECT job, status, min(seq) AS o FROM calls GROUP BY ALL) SELECT job, string_agg(status, ',' ORDER BY o, status) AS layers FROM f GROUP BY job")
+def changed_layers(spark, d):
+    return records.distinct_in_order(X.calls(spark, d), ["job"], "seq", "status")
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text, count(*) AS chunks FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+def message_fold(spark, d):
+    c = X.table(spark, d, "conversations").where("role <> 'system'").withColumnRenamed("turn", "seq")
+    return records.folded_messages(c, ["conv_id"])
+
+
+@query("WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE role <> 'system') SELECT conv_id, turn, role, place FROM r WHERE place <= 40")
+def history(spark, d):
+    """The oldest 40 messages of every conversation, as the assistant replays them."""
+    c = X.table(spark, d, "conversations").where("role <> 'system'")
+    return records.per_owner_limit(c, ["conv_id"], [F.col("turn")], 40).select("conv_id", "turn", "role", "place")
+
+
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
+def integrity_orphans(spark, d):
+    have = X.table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return records.missing(X.table(spark, d, "lineitem"), have, ["l_orderkey"])
+
+
+@query("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return records.duplicates(X.table(spark, d, "lineitem"), ["l_orderkey", "l_partkey"])
+
+
+@query("SELECT DISTINCT ps.p_partkey AS part FROM part ps WHERE ps.p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+def stale_pages(spark, d):
+    """Descendants that are no longer kept: parts without a line item."""
+    parts = X.table(spark, d, "part").select(F.col("p_partkey").alias("part"))
+    return records.missing(parts, X.table(spark, d, "lineitem").select(F.col("l_partkey").alias("part")), ["part"])
+
+
+@query("SELECT o_orderpriority AS status, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM orders GROUP BY o_orderpriority")
+def review_status_counts(spark, d):
+    by = X.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("status")).agg(F.count("*").alias("n"))
+    return by.withColumn("total", by.agg(F.sum("n").alias("total")).scalar())
+
+
+@query("WITH t AS (SELECT lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS k, min_by(p_brand || '/' || p_partkey, {'s': p_partkey % 3 = 0, 'c': p_partkey}) AS survivor FROM part GROUP BY 1) SELECT p_brand || '/' || p_partkey AS name, survivor FROM part JOIN t ON lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) = k WHERE p_brand || '/' || p_partkey <> survivor")
+def same_label_types(spark, d):
+    p = X.table(spark, d, "part")
+    name = F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"))
+    key = p.select(name.alias("name"), T.label_key(F.col("p_type")).alias("key"), F.struct(F.col("p_partkey") % 3 == 0, "p_partkey").alias("o"))
+    first = key.groupBy("key").agg(F.min_by("name", "o").alias("survivor"))
+    return key.join(first, "key").where(F.col("name") != F.col("survivor")).select("name", "survivor")
+
+
+@query("SELECT c.c_custkey, c.c_name, c.c_acctbal AS value, false AS is_new FROM customer c WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_name || '*', c_acctbal + 1, false FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT s_suppkey + 10000000, s_name, s_acctbal, true FROM supplier")
+def upsert_snapshot(spark, d):
+    c = X.table(spark, d, "customer")
+    old = c.select("c_custkey", "c_name", F.col("c_acctbal").alias("value"), F.lit(False).alias("is_new"))
+    fresh = X.table(spark, d, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("value"), F.lit(True).alias("is_new"))
+    new = c.where("c_custkey % 3 = 0").select("c_custkey", F.concat("c_name", F.lit("*")).alias("c_name"), (F.col("c_acctbal") + 1).alias("value"), F.lit(True).alias("is_new")).unionByName(fresh)
+    return records.upsert(old, new, ["c_custkey"], created="is_new")
+
+
+@query(_TREE + ", gone AS (SELECT u.doc_id, u.id FROM up u WHERE u.ancestor BETWEEN 100 AND 110) SELECT doc_id, id FROM tree t WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = t.doc_id AND g.id = t.id)")
+def delete_subtrees(spark, d):
+    tree = trees.nested_set(X.regions(spark, d))
+    return trees.without_subtree(tree, tree.where(F.col("id").between(100, 110)).select("doc_id", "id")).select("doc_id", "id")
+
+
+@query(f"WITH {S.PAGES} SELECT doc_id, page_no FROM pg WHERE page_no IN (2, 1, 3, 5)")
+def page_range(spark, d):
+    """Pages 3-1 and 5 of every document."""
+    wanted = spark.createDataFrame([(n,) for n in folds.page_range("3-1,5", 5)], "page_no int")
+    return X.pages(spark, d).select("doc_id", "page_no").join(F.broadcast(wanted), "page_no", "left_semi").select("doc_id", "page_no")
+
+
+@query("SELECT source AS doc_id, lang AS run_id, count(*) AS pages, min(doc_id) AS first_page, max(doc_id) AS last_page FROM documents GROUP BY ALL")
+def run_overview(spark, d):
+    return X.table(spark, d, "documents").groupBy(F.col("source").alias("doc_id"), F.col("lang").alias("run_id")).agg(F.count("*").alias("pages"), F.min("doc_id").alias("first_page"), F.max("doc_id").alias("last_page"))
+
+
+@query("SELECT doc_id, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, c: (a * 31 + c) % 2147483648) % 12 AS color, floor(least(14.0, 4 + sqrt(n_chars) * 2 / 100) * 1000 + 0.5) / 1000 AS radius FROM documents WHERE n_chars > 0")
+def node_style(spark, d):
+    codes = F.transform(F.split(F.col("doc_id").cast("string"), ""), lambda c: F.ascii(c).cast("long"))
+    h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c) % 2147483648)
+    return X.table(spark, d, "documents").where("n_chars > 0").select("doc_id", (h % 12).alias("color"), T.thousandths(F.least(F.lit(14.0), 4 + F.sqrt("n_chars") * 2 / 100)).alias("radius"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_events(spark, d):
+    """An addition of this library: tumbling windows over the event table."""
+    return X.table(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
