@@ -123,3 +123,19 @@ def nonblank(value: Column) -> Column:
 def first_of(*values: Column) -> Column:
     """The first value that is set: explicit, project, site, built-in."""
     return F.coalesce(*[nonblank(v) for v in values])
+
+
+def valid_label(label: Column, allowed: list[str], other: str = "other") -> Column:
+    """A classifier's label, trimmed and in lower case, or ``other`` if it is missing or not allowed."""
+    plain = F.lower(F.trim(label))
+    return F.when(plain.isin(allowed), plain).otherwise(F.lit(other))
+
+
+def sync_state(page: Column, included: Column, current: Column, written: Column) -> Column:
+    """What keeps a section's page from being in step: excluded, no_page, needs_regenerate; null if nothing does."""
+    return F.when(~included, "excluded").when(page.isNull(), "no_page").when(F.trim(F.coalesce(current, F.lit(""))) != F.trim(F.coalesce(written, F.lit(""))), "needs_regenerate")
+
+
+def top_recent(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The k rows that come first; Spark keeps k rows a task on the way."""
+    return rows.orderBy(*order).limit(k)

@@ -152,3 +152,11 @@ def stitched(pages: DataFrame) -> DataFrame:
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("doc_id", "page_no")}
     return pages.select("doc_id", "page_no", "markdown").groupBy("doc_id").applyInPandas(fold, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, markdown string")
+
+
+def table_cells(pages: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, row, col, cell: the cells of table rows of a text, rows counted from 0 over the text, separator rows left out."""
+    rows = F.filter(T.lines(F.col(column)), lambda x: x.rlike(T.PIPE_ROW) & ~x.rlike(T.SEPARATOR_ROW))
+    row = pages.select(*keys, F.posexplode(rows).alias("row", "line"))
+    inner = F.regexp_replace(F.trim("line"), r"^\||\|$", "")
+    return row.select(*keys, "row", F.posexplode(F.split(inner, r"\|", -1)).alias("col", "c")).select(*keys, "row", "col", F.trim("c").alias("cell"))

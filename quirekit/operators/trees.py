@@ -51,7 +51,10 @@ def parents_by_path(sections: DataFrame) -> DataFrame:
 
 
 def closure(nodes: DataFrame, depth: int = 32) -> DataFrame:
-    """(doc_id, ancestor, node, distance) of every node and all above it, itself included, by joining up the parents."""
+    """(doc_id, ancestor, node, distance) of every node and all above it, itself included, by joining up the parents.
+
+    One join a level, up to the deepest node or ``depth``; nodes of one level are joined all at once.
+    """
     step = nodes.select("doc_id", F.col("id").alias("ancestor"), F.col("id").alias("node"), F.lit(0).alias("distance"))
     up = nodes.where("parent_id is not null").select("doc_id", F.col("id").alias("ancestor"), "parent_id")
     out, now = step, step
@@ -161,3 +164,22 @@ def contents(tree: DataFrame, routes: DataFrame) -> DataFrame:
     kids = tree.select("doc_id", "parent_id", "id", "title", "lft").join(routes, ["doc_id", "id"])
     listed = kids.groupBy("doc_id", F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("lft", F.concat(F.lit("- ["), "title", F.lit("](/"), "route", F.lit(")\n")).alias("x")))).alias("k"))
     return tree.where(F.trim(F.coalesce("markdown", F.lit(""))) == "").select("doc_id", "id").join(listed, ["doc_id", "id"]).select("doc_id", "id", F.concat(F.lit("## Contents\n\n"), F.array_join(F.transform("k", lambda r: r["x"]), "")).alias("content"))
+
+
+def outlines(tree: DataFrame) -> DataFrame:
+    """(doc_id, outline): a tree as indented lines, '- title' with its pages where it has any."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("- "), F.coalesce("title", F.lit("")))
+    return tree.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lft", line.alias("x")))).alias("l")).select("doc_id", F.array_join(F.transform("l", lambda r: r["x"]), "\n").alias("outline"))
+
+
+def breadcrumbs(tree: DataFrame) -> DataFrame:
+    """(doc_id, id, crumbs): titles from the root down, joined by ' > '."""
+    titles = tree.select("doc_id", F.col("id").alias("ancestor"), "title")
+    way = closure(tree).join(titles, ["doc_id", "ancestor"]).groupBy("doc_id", F.col("node").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "title"))).alias("w"))
+    return way.select("doc_id", "id", F.array_join(F.transform("w", lambda r: r["title"]), " > ").alias("crumbs"))
+
+
+def chapters(sections: DataFrame) -> DataFrame:
+    """(doc_id, title, first_ord, page_start, page_end, parts): sections put together by their top title, in order of first appearance; bounds of 0 or null don't count."""
+    top = F.coalesce(F.nullif(F.trim(F.element_at("path", 1)), F.lit("")), F.lit("Preamble"))
+    return sections.groupBy("doc_id", top.alias("title")).agg(F.min("ord").alias("first_ord"), F.min(F.nullif("page_start", F.lit(0))).alias("page_start"), F.max(F.nullif("page_end", F.lit(0))).alias("page_end"), F.count("*").alias("parts"))

@@ -423,3 +423,45 @@ def node_style(spark, d):
 def hourly_events(spark, d):
     """An addition of this library: tumbling windows over the event table."""
     return X.table(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query(_TREE + " SELECT ns.doc_id, md5(string_agg(repeat('  ', CAST(level - 1 AS INT)) || '- ' || title, chr(10) ORDER BY lft)) AS outline_md5 FROM ns JOIN tree ON ns.doc_id = tree.doc_id AND ns.id = tree.id GROUP BY ns.doc_id")
+def tree_outline(spark, d):
+    return trees.outlines(trees.nested_set(X.regions(spark, d))).select("doc_id", F.md5("outline").alias("outline_md5"))
+
+
+@query(f"WITH RECURSIVE {S.REGIONS}, w AS (SELECT doc_id, id, title AS crumbs FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.doc_id, t.id, w.crumbs || ' > ' || t.title FROM tree t JOIN w ON t.doc_id = w.doc_id AND t.parent_id = w.id) SELECT doc_id, id, crumbs FROM w")
+def breadcrumbs(spark, d):
+    return trees.breadcrumbs(X.regions(spark, d))
+
+
+@query(f"WITH {S.PAGES}, s AS (SELECT doc_id, page_no, n_pages, 'Part ' || ((doc_id + page_no) % 7) AS title FROM pg) SELECT doc_id, title, min(page_no) AS first_ord, min(page_no) AS page_start, max(CASE WHEN page_no = 1 THEN n_pages ELSE page_no END) AS page_end, count(*) AS parts FROM s GROUP BY ALL")
+def chapter_pages(spark, d):
+    return trees.chapters(X.sections(spark, d).withColumn("path", F.array("title")))
+
+
+@query(f"WITH {S.PAGES}, l AS (SELECT doc_id, page_no, list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^\\s*\\|.*\\|\\s*$') AND NOT regexp_matches(x, '^\\s*\\|[\\s:|-]+\\|\\s*$')) AS x FROM pg), r AS (SELECT doc_id, page_no, unnest(range(0, len(x))) AS row, unnest(x) AS line FROM l), c AS (SELECT doc_id, page_no, row, string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|') AS q FROM r) SELECT doc_id, page_no, row, col, trim(cell) AS cell FROM (SELECT doc_id, page_no, row, unnest(range(0, len(q))) AS col, unnest(q) AS cell FROM c)")
+def table_cells(spark, d):
+    return references.table_cells(X.pages(spark, d), ["doc_id", "page_no"], "md")
+
+
+@query("SELECT CASE WHEN lower(trim(event_type)) IN ('click', 'view', 'purchase') THEN lower(trim(event_type)) ELSE 'other' END AS label, count(*) AS n FROM events GROUP BY 1")
+def classified_counts(spark, d):
+    """Labels of a classifier, those off the taxonomy as 'other'."""
+    label = records.valid_label(F.col("event_type"), ["click", "view", "purchase"])
+    return X.table(spark, d, "events").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'excluded' WHEN l.l_partkey IS NULL THEN 'no_page' WHEN p_size % 2 = 0 THEN 'needs_regenerate' END AS state FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linenumber = 1) l ON p_partkey = l_partkey")
+def sync_states(spark, d):
+    pages = X.table(spark, d, "lineitem").where("l_linenumber = 1").select("l_partkey").distinct()
+    p = X.table(spark, d, "part").join(pages, F.col("p_partkey") == F.col("l_partkey"), "left")
+    written = F.when(F.col("p_size") % 2 == 0, "old").otherwise("new")
+    return p.select("p_partkey", records.sync_state(F.col("l_partkey"), F.col("p_size") % 5 != 0, F.lit("new"), written).alias("state"))
+
+
+@query("SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id ORDER BY turns DESC, conv_id LIMIT 50")
+def recent_sessions(spark, d):
+    """A top-k report: the fifty longest sessions."""
+    turns = X.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
+    return records.top_recent(turns, [F.desc("turns"), F.col("conv_id")], 50)
