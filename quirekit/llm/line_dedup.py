@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import store
+from quirekit.llm.common import discard, store
 from quirekit.llm.postings import bitmap, bucket, in_bitmap, key_of, near_in_size, prefix_size, ranks, shared, within_reach
 
 #: Buckets of the rarity table; it is a literal of the plan, so it is kept small.
@@ -78,18 +78,19 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 
     # the earliest class of each token that at least two have, and the postings of those tokens
     firsts = store(likely.groupBy("token").agg(F.min(F.struct("at", "k", "k2", "n", "last")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e"), "firsts")
-    postings = store(likely.join(firsts, "token").select("token", "k", "k2", "at", "n", "last", "e"), "postings")
+    postings = store(likely.join(firsts.select("token"), "token", "left_semi").select("token", "k", "k2", "at", "n", "last"), "postings")
+    discard(likely)
 
     # every class with the earliest of each token
     columns = ["k", "k2", "at", "n", "last", "e_k", "e_k2", "e_at", "e_n", "e_last"]
     in_reach = within_reach(F.col("n"), F.col("last"), F.col("e_n"), F.col("e_last"), F.col("common"))
-    star = postings.where(F.col("k") != F.col("e.k")).select("k", "k2", "at", "n", "last", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("k", "k2", "at", "n", "last")])
+    star = postings.join(firsts, "token").where(F.col("k") != F.col("e.k")).select("k", "k2", "at", "n", "last", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("k", "k2", "at", "n", "last")])
     star = star.where(near_in_size(F.col("n"), F.col("e_n"))).groupBy(*columns).agg(F.count("*").alias("common")).where(in_reach)
     star = store(star.select("k", "k2", "at", "e_k", "e_k2", "e_at"), "star")
     gone = store(similar(star, docs, order), "gone")
 
     # what is still open with every earlier class within the bounds
-    open_ = postings.drop("e").join(gone, ["k", "k2"], "left_anti")
+    open_ = postings.join(gone, ["k", "k2"], "left_anti")
     early = postings.select("token", *[F.col(c).alias(f"e_{c}") for c in ("k", "k2", "at", "n", "last")])
     rest = open_.join(early, "token").where((F.col("e_at") < F.col("at")) & near_in_size(F.col("n"), F.col("e_n")))
     rest = rest.groupBy(*columns).agg(F.count("*").alias("common")).where(in_reach).select("k", "k2", "at", "e_k", "e_k2", "e_at")

@@ -9,8 +9,9 @@ and what can still come on either side fall short of what is needed.
 
 A group of n near copies has n^2 links, but their component needs n - 1. Every set is first
 compared with the first set of each token it shares; sets that this connects are never compared
-again. Where sets of different components still share a token, all pairs across the components
-within the bounds are compared, so no link between components is lost.
+again. As long as that would leave many pairs, sets outside a token's largest component are compared
+with a few sets of it, others each turn. At last all pairs across components that share a token are
+compared, within the bounds, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import slices, store
+from quirekit.llm.common import discard, slices, store
 from quirekit.llm.components import components
 from quirekit.llm.postings import BUCKETS, bitmap, in_bitmap, near_in_size, ranks, shared, within_reach
 
 GRAM = 5
 #: Member sets in one trie; larger groups are cut into several, each with its own copy of the probing set.
 TRIE = 512
+#: Turns with a few sets of each largest component, how many, and the pairs a posting that are compared at once without them.
+LEADERS, LOTS, EASY = 4, 3, 4
 #: Word hashes that a task remembers before it starts anew.
 REMEMBERED = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -187,6 +190,46 @@ def verified(pairs: DataFrame, base: DataFrame, places: DataFrame, order: np.nda
     return found.select(F.struct(F.col("ak").alias("k"), F.col("ak2").alias("k2")).alias("a"), F.struct(F.col("bk").alias("k"), F.col("bk2").alias("k2")).alias("b"))
 
 
+def mixed_postings(postings: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
+    """Postings of the tokens that sets of different components share, with label and major (the token's commonest label).
+
+    Also how many these are, and how many pairs of one of another component with any it would take to compare them all.
+    """
+    marked = postings.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
+    marked = store(marked, "marked")
+    by_label = marked.groupBy("token", "label").agg(F.count("*").alias("m"))
+    mixed = by_label.groupBy("token").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = store(mixed.select("token", F.col("most.label").alias("major"), "all", (F.col("all") - F.col("most.m")).alias("others")), "mixed")
+    load = mixed.agg(F.sum("all").alias("rows"), F.sum(F.col("all") * F.col("others")).alias("pairs")).first().asDict()
+    met = store(marked.join(mixed.select("token", "major"), "token"), "mixed-postings")
+    discard(marked)
+    return met, load
+
+
+def across(met: DataFrame, turn: int, whole: bool) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share tokens, within the bounds.
+
+    ``whole``: all of them. Otherwise every set outside the major component of a token with LOTS sets of
+    it, others each turn: as many pairs as LOTS times the postings at most.
+    """
+    outside = met.where(F.col("label") != F.col("major"))
+    if whole:
+        other = met.select("token", F.col("s").alias("o"), F.col("n").alias("o_n"), F.col("last").alias("o_last"), F.col("label").alias("o_label"))
+        fits = (F.col("label") != F.col("o_label")) & ((F.col("o_label") == F.col("major")) | (F.col("s") < F.col("o")))
+    else:
+        lots = F.array(*[F.min(F.struct(F.xxhash64("s", F.lit(turn * LOTS + i)).alias("h"), "s", "n", "last")) for i in range(LOTS)])
+        chosen = met.where(F.col("label") == F.col("major")).groupBy("token").agg(F.array_distinct(lots).alias("l")).select("token", F.explode("l").alias("e"))
+        chosen = chosen.select("token", F.struct("e.s", "e.n", "e.last").alias("e")).distinct()
+        other = store(chosen.select("token", F.col("e.s").alias("o"), F.col("e.n").alias("o_n"), F.col("e.last").alias("o_last")), "leaders")
+        fits = F.lit(True)
+    pairs = outside.join(other, "token").where(fits & near_in_size(F.col("n"), F.col("o_n")))
+    swap = F.col("o") < F.col("s")
+    side = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    pairs = pairs.select(side("s", "o", "a"), side("o", "s", "b"), side("n", "o_n", "a_n"), side("o_n", "n", "n"), side("last", "o_last", "a_last"), side("o_last", "last", "last"))
+    counted = pairs.groupBy("a", "b", "a_n", "a_last", "n", "last").agg(F.count("*").alias("common"))
+    return counted.where(within_reach(F.col("n"), F.col("last"), F.col("a_n"), F.col("a_last"), F.col("common"))).select("a", "b")
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM) -> DataFrame:
     """One row per row of ``docs``: its id, n_shingles (set size) and component_id, the least id reachable by links.
 
@@ -210,35 +253,33 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # the first set of each token that at least two have, and the postings of those tokens
     firsts = once.groupBy("token").agg(F.min(F.struct("at", "s", "n", "last")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e")
-    postings = store(once.join(store(firsts, "firsts"), "token"), "postings")
+    firsts = store(firsts, "firsts")
+    postings = store(once.join(firsts.select("token"), "token", "left_semi"), "postings")
+    discard(once)
     places = store(postings.groupBy("s").agg(F.min("at").alias("at")), "places")
 
-    star = postings.where((F.col("s") != F.col("e.s")) & near_in_size(F.col("n"), F.col("e.n")))
+    star = postings.join(firsts, "token").where((F.col("s") != F.col("e.s")) & near_in_size(F.col("n"), F.col("e.n")))
     star = star.groupBy(F.col("e.s").alias("a"), F.col("s").alias("b"), F.col("e.n").alias("a_n"), F.col("e.last").alias("a_last"), "n", "last").agg(F.count("*").alias("common"))
     star = store(star.where(within_reach(F.col("n"), F.col("last"), F.col("a_n"), F.col("a_last"), F.col("common"))).select("a", "b"), "star")
     links = store(verified(star, base, places, order, n), "links")
     labels = components(links)
 
-    # tokens that sets of different components share: all pairs across components within the bounds
-    marked = postings.drop("e").join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
-    marked = store(marked, "marked")
-    by_label = marked.groupBy("token", "label").agg(F.count("*").alias("m"))
-    mixed = by_label.groupBy("token").agg(F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = store(mixed.select("token", F.col("most.label").alias("major")), "mixed")
-    met = store(marked.join(mixed, "token"), "mixed-postings")
-    minor = met.where(F.col("label") != F.col("major"))
-    other = met.select("token", F.col("s").alias("o"), F.col("n").alias("o_n"), F.col("last").alias("o_last"), F.col("label").alias("o_label"))
-    across = minor.join(other, "token").where((F.col("label") != F.col("o_label")) & ((F.col("o_label") == F.col("major")) | (F.col("s") < F.col("o"))) & near_in_size(F.col("n"), F.col("o_n")))
-    swap = F.col("o") < F.col("s")
-    side = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
-    across = across.select(side("s", "o", "a"), side("o", "s", "b"), side("n", "o_n", "a_n"), side("o_n", "n", "n"), side("last", "o_last", "a_last"), side("o_last", "last", "last"))
-    across = across.groupBy("a", "b", "a_n", "a_last", "n", "last").agg(F.count("*").alias("common")).where(within_reach(F.col("n"), F.col("last"), F.col("a_n"), F.col("a_last"), F.col("common")))
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = store(across.select("a", "b").join(tried, ["a", "b"], "left_anti"), "across")
-    if across.limit(1).count():
-        more = store(verified(across, base, places, order, n), "links")
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
+    tried, more = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), True
+    for turn in range(LEADERS + 1):
+        met, load = mixed_postings(postings, labels)
+        if not load["rows"]:
+            break
+        last_turn = turn == LEADERS or not more or load["pairs"] <= EASY * load["rows"]
+        pairs = across(met, turn, whole=last_turn).join(tried, ["a", "b"], "left_anti")
+        pairs = store(pairs, "pairs")
+        found = store(verified(pairs, base, places, order, n), "links")
+        won = found.count()
+        if won:
+            links = links.unionByName(found)
+            labels = components(links)
+        if last_turn:
+            break
+        tried, more = tried.unionByName(pairs), won * 10 >= pairs.count() > 0
 
     classes = sets.where("n > 0").groupBy("k", "k2").agg(F.min("id").alias("first"))
     named = classes.join(labels.select(F.col("node.k").alias("k"), F.col("node.k2").alias("k2"), "label"), ["k", "k2"], "left").withColumn("label", F.coalesce("label", s))

@@ -65,6 +65,7 @@ def corpus(seed, size=120):
 def test_components_equal_brute_force(spark, seed, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(ngram_join, "TRIE", 4)
+        monkeypatch.setattr(ngram_join, "EASY", 0)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS k", "'x' AS label", "2 AS n")
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(df).collect()), key=str)
