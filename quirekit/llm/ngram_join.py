@@ -31,6 +31,8 @@ from quirekit.llm.postings import BUCKETS, bitmap, in_bitmap, near_in_size, rank
 GRAM = 5
 #: Member sets in one trie; larger groups are cut into several, each with its own copy of the probing set.
 TRIE = 512
+#: Sets of a task that make a token frequent, tokens looked at together, and frequent tokens kept (16 bytes each).
+SEEN, HELD, FREQUENT = 3, 2_000_000, 500_000
 #: Turns with a few sets of each largest component, how many, and the pairs a posting that are compared at once without them.
 LEADERS, LOTS, EASY = 4, 3, 4
 #: Word hashes that a task remembers before it starts anew.
@@ -62,10 +64,21 @@ def shingle_hashes(text: str | None, known: Words, n: int = GRAM) -> np.ndarray:
     return np.unique(h)
 
 
-def keys_of(hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Sortable keys (int64), rare tokens first: the bucket's rank above the other 48 bits."""
-    rank = order[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    return np.sort((rank << 48) | (hashes >> np.uint64(16)).astype(np.int64))
+class Order:
+    """The global order of tokens: by the rank of their bucket; frequent tokens, known one by one, after all others by their count."""
+
+    def __init__(self, ranks_: np.ndarray, frequent: np.ndarray, counts: np.ndarray):
+        self.ranks = (ranks_ >> 1) - BUCKETS // 4  # the lower half of 16 bits
+        self.frequent, self.places = frequent, np.minimum(32767, (64 * np.log2(counts)).astype(np.int64))
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        """Sortable keys (int64) of distinct sorted hashes, rare tokens first: the rank above the hash's other 48 bits."""
+        rank = self.ranks[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
+            known = self.frequent[at] == hashes
+            rank[known] = self.places[at[known]]
+        return np.sort((rank << 48) | (hashes >> np.uint64(16)).astype(np.int64))
 
 
 def trie_join(probe: np.ndarray, members: list[np.ndarray]) -> list[int]:
@@ -107,22 +120,55 @@ def trie_join(probe: np.ndarray, members: list[np.ndarray]) -> list[int]:
     return found
 
 
-def bucket_order(docs: DataFrame, n: int) -> np.ndarray:
-    """The rank of each of the 65,536 buckets by how many documents' sets have a token in it."""
+def token_order(docs: DataFrame, n: int) -> Order:
+    """The order of tokens by how many documents' sets hold them.
+
+    Every token counts in its bucket. A task also sends the tokens that at least SEEN sets of some
+    millions of its tokens hold, with their counts; of these the most frequent ones, FREQUENT at most,
+    are known one by one. Both tables are of bounded size; they decide what is cheap, not what is found.
+    """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = Words(), np.zeros(BUCKETS, dtype=np.int64)
+        known, total, held, size = Words(), np.zeros(BUCKETS, dtype=np.int64), [], 0
+
+        def often():
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            some = times >= SEEN
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), -1, dtype=np.int32)), pa.array(found[some].astype(np.int64)), pa.array(times[some])], names=names)
+
+        names = ["bucket", "token", "n"]
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                total += np.bincount((shingle_hashes(text, known, n) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                hashes = shingle_hashes(text, known, n)
+                total += np.bincount((hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                held.append(hashes)
+                size += len(hashes)
+                if size >= HELD:
+                    yield often()
+                    size = 0
+        if held:
+            yield often()
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    met = docs.select("text").mapInArrow(counts, "bucket int, n long")
-    return np.array(ranks(met.groupBy("bucket").agg(F.sum("n").alias("n"))), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.zeros(len(at), dtype=np.int64)), pa.array(total[at])], names=names)
+
+    met = store(docs.select("text").mapInArrow(counts, "bucket int, token long, n long").groupBy("bucket", "token").agg(F.sum("n").alias("n")), "counts")
+    ranks_ = np.array(ranks(met.where("bucket >= 0").select("bucket", "n")), dtype=np.int64)
+    tokens = met.where("bucket < 0")
+    sizes = {r["k"]: r["count"] for r in tokens.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect()}
+    least, room = 64, FREQUENT
+    for k in sorted(sizes, reverse=True):
+        room -= sizes[k]
+        if room < 0:
+            break
+        least = k
+    kept = tokens.where(F.col("n") >= 2**least).select("token", "n").toArrow() if least < 64 else None
+    hashes, times = (np.asarray(kept.column(c).combine_chunks()).astype(t) for c, t in (("token", np.uint64), ("n", np.int64))) if kept is not None else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    by_hash = np.argsort(hashes)
+    return Order(ranks_, hashes[by_hash], times[by_hash])
 
 
-def sets_of(docs: DataFrame, order: np.ndarray, n: int, id_kind: str) -> DataFrame:
+def sets_of(docs: DataFrame, order: Order, n: int, id_kind: str) -> DataFrame:
     """(id, mark, n, k, k2, prefix) per row. k and k2 tell sets apart; prefix is null for a set that the task has met before."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +176,7 @@ def sets_of(docs: DataFrame, order: np.ndarray, n: int, id_kind: str) -> DataFra
         for batch in slices(batches):
             sizes, k, k2, prefixes = [], [], [], []
             for text in batch.column(2).to_pylist():
-                keys = keys_of(shingle_hashes(text, known, n), order)
+                keys = order.keys(shingle_hashes(text, known, n))
                 digest = xxhash.xxh3_128_digest(keys.tobytes())
                 sizes.append(len(keys))
                 k.append(int.from_bytes(digest[:8], "big", signed=True))
@@ -147,7 +193,7 @@ def sets_of(docs: DataFrame, order: np.ndarray, n: int, id_kind: str) -> DataFra
     return docs.select("id", "mark", "text").mapInArrow(rows, f"id {id_kind}, mark long, n int, k long, k2 long, prefix array<long>")
 
 
-def verified(pairs: DataFrame, base: DataFrame, places: DataFrame, order: np.ndarray, n: int) -> DataFrame:
+def verified(pairs: DataFrame, base: DataFrame, places: DataFrame, order: Order, n: int) -> DataFrame:
     """The pairs (a, b: structs k, k2) that link. places: s (struct k, k2) and at (id, mark), where a set's text is."""
     wanted = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
     p = store(places.join(wanted, "s", "left_semi"), "wanted").alias("p")
@@ -176,7 +222,7 @@ def verified(pairs: DataFrame, base: DataFrame, places: DataFrame, order: np.nda
                     if held:
                         yield ended()
                     now = (ak, ak2, part)
-                keys = keys_of(shingle_hashes(text, known, n), order)
+                keys = order.keys(shingle_hashes(text, known, n))
                 if bk is None:
                     probe = keys
                 else:
@@ -243,7 +289,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Tokens are 64-bit hashes, sets are told apart by 128 bits.
     """
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    order = bucket_order(base, n)
+    order = token_order(base, n)
     sets = store(sets_of(base, order, n, docs.schema[id_col].dataType.simpleString()), "sets")
     some = sets.where("prefix is not null")
     s = F.struct("k", "k2")
