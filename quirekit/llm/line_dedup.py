@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirekit.llm.common import discard, store
-from quirekit.llm.postings import bitmap, bucket, in_bitmap, key_of, near_in_size, prefix_size, ranks, shared, within_reach
+from quirekit.llm.postings import bitmap, bucket, common_needed, in_bitmap, key_of, near_in_size, prefix_size, ranks, shared
 
 #: Buckets of the rarity table; it is a literal of the plan, so it is kept small.
 BUCKETS = 1 << 12
@@ -81,23 +81,27 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     postings = store(likely.join(firsts.select("token"), "token", "left_semi").select("token", "k", "k2", "at", "n", "last"), "postings")
     discard(likely)
 
-    # every class with the earliest of each token; places are put back when few pairs are left
+    # pairs are counted on narrow rows; k2 and places are put back when few are left
     places = store(postings.select("k", "k2", "at").distinct(), "places")
     other_places = places.select(*[F.col(c).alias(f"e_{c}") for c in ("k", "k2", "at")])
-    columns = ["k", "k2", "n", "last", "e_k", "e_k2", "e_n", "e_last"]
-    in_reach = within_reach(F.col("n"), F.col("last"), F.col("e_n"), F.col("e_last"), F.col("common"))
-    placed = lambda pairs: pairs.join(places, ["k", "k2"]).join(other_places, ["e_k", "e_k2"])
-    star = postings.join(firsts, "token").where(F.col("k") != F.col("e.k")).select("k", "k2", "n", "last", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("k", "k2", "n", "last")])
-    star = star.where(near_in_size(F.col("n"), F.col("e_n"))).groupBy(*columns).agg(F.count("*").alias("common")).where(in_reach)
-    star = store(placed(star.select("k", "k2", "e_k", "e_k2")), "star")
+    need = common_needed(F.col("n"), F.col("last"), F.col("e_n"), F.col("e_last")).alias("need")
+
+    def in_reach(rows: DataFrame) -> DataFrame:
+        counted = rows.where(near_in_size(F.col("n"), F.col("e_n"))).select("k", "e_k", need).groupBy("k", "e_k", "need").agg(F.count("*").alias("common"))
+        return counted.where("common >= need").select("k", "e_k")
+
+    placed = lambda pairs: pairs.join(places, "k").join(other_places, "e_k").select("k", "k2", "at", "e_k", "e_k2", "e_at")
+
+    # every class with the earliest of each token
+    star = postings.join(firsts, "token").where(F.col("k") != F.col("e.k")).select("k", "n", "last", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("k", "n", "last")])
+    star = store(placed(in_reach(star)), "star")
     gone = store(similar(star, docs, order), "gone")
 
     # what is still open with every earlier class within the bounds
     open_ = postings.join(gone, ["k", "k2"], "left_anti")
-    early = postings.select("token", *[F.col(c).alias(f"e_{c}") for c in ("k", "k2", "at", "n", "last")])
-    rest = open_.join(early, "token").where((F.col("e_at") < F.col("at")) & near_in_size(F.col("n"), F.col("e_n")))
-    rest = rest.groupBy(*columns).agg(F.count("*").alias("common")).where(in_reach).select("k", "k2", "e_k", "e_k2")
-    rest = store(placed(rest.join(star.select("k", "k2", "e_k", "e_k2"), ["k", "k2", "e_k", "e_k2"], "left_anti")), "rest")
+    early = postings.select("token", *[F.col(c).alias(f"e_{c}") for c in ("k", "at", "n", "last")])
+    rest = in_reach(open_.join(early, "token").where(F.col("e_at") < F.col("at")))
+    rest = store(placed(rest.join(star.select("k", "e_k"), ["k", "e_k"], "left_anti")), "rest")
     later = similar(rest, docs, order)
 
     stay = classes.select("k", "k2", "at").join(gone.unionByName(later), ["k", "k2"], "left_anti")

@@ -85,11 +85,16 @@ def near_in_size(n: Column, m: Column) -> Column:
     return (n * 5 >= m * 4) & (m * 5 >= n * 4)
 
 
-def within_reach(n: Column, last: Column, m: Column, other_last: Column, common: Column) -> Column:
-    """The positional bound, once the common tokens of two prefixes are counted.
+def common_needed(n: Column, last: Column, m: Column, other_last: Column) -> Column:
+    """How many tokens the prefixes of two sets must have in common: the positional bound.
 
     ``last`` is the last key of a prefix. Any further common token comes after the prefix that ends
     first, so there are at most as many as that set has tokens beyond its prefix.
     """
     beyond = F.when(last <= other_last, n - prefix_size(n)).otherwise(m - prefix_size(m))
-    return common + beyond >= overlap_needed(n, m)
+    return overlap_needed(n, m) - beyond
+
+
+def within_reach(n: Column, last: Column, m: Column, other_last: Column, common: Column) -> Column:
+    """Whether two sets whose prefixes have ``common`` tokens in common can be similar."""
+    return common >= common_needed(n, last, m, other_last)
