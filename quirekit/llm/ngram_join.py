@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quirekit.llm.common import discard, slices, store
 from quirekit.llm.components import components
-from quirekit.llm.postings import BUCKETS, bitmap, in_bitmap, near_in_size, ranks, shared, within_reach
+from quirekit.llm.postings import BUCKETS, bitmap, common_needed, in_bitmap, near_in_size, ranks, shared, within_reach
 
 GRAM = 5
 #: Member sets in one trie; larger groups are cut into several, each with its own copy of the probing set.
@@ -263,17 +263,15 @@ def across(met: DataFrame, turn: int, whole: bool) -> DataFrame:
         other = met.select("token", F.col("s").alias("o"), F.col("n").alias("o_n"), F.col("last").alias("o_last"), F.col("label").alias("o_label"))
         fits = (F.col("label") != F.col("o_label")) & ((F.col("o_label") == F.col("major")) | (F.col("s") < F.col("o")))
     else:
-        lots = F.array(*[F.min(F.struct(F.xxhash64("s", F.lit(turn * LOTS + i)).alias("h"), "s", "n", "last")) for i in range(LOTS)])
-        chosen = met.where(F.col("label") == F.col("major")).groupBy("token").agg(F.array_distinct(lots).alias("l")).select("token", F.explode("l").alias("e"))
-        chosen = chosen.select("token", F.struct("e.s", "e.n", "e.last").alias("e")).distinct()
-        other = store(chosen.select("token", F.col("e.s").alias("o"), F.col("e.n").alias("o_n"), F.col("e.last").alias("o_last")), "leaders")
+        inside = met.where(F.col("label") == F.col("major"))
+        lots = F.array(*[F.min(F.struct(F.xxhash64("s", F.lit(turn * LOTS + i)).alias("h"), "s"))["s"] for i in range(LOTS)])
+        chosen = inside.select("label", "s").distinct().groupBy("label").agg(F.array_distinct(lots).alias("l")).select(F.explode("l").alias("s"))
+        other = store(inside.join(chosen, "s", "left_semi").select("token", F.col("s").alias("o"), F.col("n").alias("o_n"), F.col("last").alias("o_last")), "leaders")
         fits = F.lit(True)
     pairs = outside.join(other, "token").where(fits & near_in_size(F.col("n"), F.col("o_n")))
-    swap = F.col("o") < F.col("s")
-    side = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
-    pairs = pairs.select(side("s", "o", "a"), side("o", "s", "b"), side("n", "o_n", "a_n"), side("o_n", "n", "n"), side("last", "o_last", "a_last"), side("o_last", "last", "last"))
-    counted = pairs.groupBy("a", "b", "a_n", "a_last", "n", "last").agg(F.count("*").alias("common"))
-    return counted.where(within_reach(F.col("n"), F.col("last"), F.col("a_n"), F.col("a_last"), F.col("common"))).select("a", "b")
+    need = common_needed(F.col("n"), F.col("last"), F.col("o_n"), F.col("o_last")).alias("need")
+    counted = pairs.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), need).groupBy("a", "b", "need").agg(F.count("*").alias("common"))
+    return counted.where("common >= need").select("a", "b")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM) -> DataFrame:

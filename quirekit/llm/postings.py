@@ -91,7 +91,8 @@ def common_needed(n: Column, last: Column, m: Column, other_last: Column) -> Col
     ``last`` is the last key of a prefix. Any further common token comes after the prefix that ends
     first, so there are at most as many as that set has tokens beyond its prefix.
     """
-    beyond = F.when(last <= other_last, n - prefix_size(n)).otherwise(m - prefix_size(m))
+    own, other = n - prefix_size(n), m - prefix_size(m)
+    beyond = F.when(last < other_last, own).when(last > other_last, other).otherwise(F.least(own, other))
     return overlap_needed(n, m) - beyond
 
 
