@@ -1,14 +1,15 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its tokens: five-word shingles, or all its words where it has fewer. (Single words
-are no tokens for this: the rarest words of a line are shared by more and more other lines as a corpus
-grows, and with them the candidates; see the README for figures.) Equal sets are one class, kept at its
-first place. Classes are joined on the prefixes of their tokens in order of rarity, bounded by length
-and position; Jaccard similarity is verified on the whole sets. A line goes if an earlier line has a
-similarity of 0.8 or more. A token's rarity is that of its first word, counted over all documents.
+A line is the set of its words. Equal sets are one class, kept at its first place. Classes are joined
+on the prefixes of their words in order of rarity, bounded by length and position; Jaccard similarity
+is verified on the whole sets. A line goes if an earlier line has a similarity of 0.8 or more.
+
+A word's rarity is the count, over all documents, of its bucket, one of so many that a rare word seldom
+shares one with a frequent word: with few buckets rare and frequent words are mixed up, prefixes hold
+words of many lines, and almost every line becomes a candidate.
 
 A group of near copies would make as many pairs as the square of its size. So classes are first
-compared with the earliest class of each shared token only: almost all of a group is settled there.
+compared with the earliest class of each shared word only: almost all of a group is settled there.
 Only lines still open are then compared with every earlier line that the bounds allow.
 """
 
@@ -17,25 +18,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import discard, store
-from quirekit.llm.postings import bitmap, bucket, common_needed, in_bitmap, key_of, near_in_size, prefix_size, ranks, shared
+from quirekit.llm.common import discard, lower_ascii, store
+from quirekit.llm.postings import bitmap, bucket, common_needed, in_bitmap, near_in_size, prefix_size, shared
 
-#: Buckets of the rarity table; it is a literal of the plan, so it is kept small.
-BUCKETS = 1 << 12
-GRAM = 5
+#: Bits of a bucket's number in the rarity table, which has a byte for each bucket: 2 MB.
+BUCKET_BITS = 21
+#: Bits of a key that tell rarity, in half powers of two of the count; the others are of the word's hash.
+LEVEL_BITS = 6
 SPACES = r"[\x20\x09-\x0D]+"
 SOME_WORD = r"[^\x20\x09-\x0D]"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), SPACES), lambda w: w != "")
+    return F.split(lower_ascii(text), SPACES)
 
 
-def tokens_of(words: Column, ranks_: list[int]) -> Column:
-    """The keys of a line's tokens, in order: the rank of the first word's bucket, then the token's hash."""
-    one = lambda first, token: key_of(F.xxhash64(first), token, ranks_)
-    many = F.transform(F.sequence(F.lit(0), F.size(words) - GRAM), lambda i: one(F.get(words, i), F.xxhash64(*[F.get(words, i + j) for j in range(GRAM)])))
-    return F.when(F.size(words) >= GRAM, many).otherwise(F.array(one(F.get(words, F.lit(0)), F.xxhash64(words))))
+def rarity(docs: DataFrame) -> DataFrame:
+    """(place, levels): the buckets' levels of frequency, eight in each long, for every place."""
+    met = docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy(bucket(F.xxhash64("word"), 1 << BUCKET_BITS).alias("bucket")).agg(F.count("*").alias("n"))
+    level = F.least(F.floor(F.log2("n") * 2), F.lit((1 << LEVEL_BITS) - 1)).cast("long").alias("level")
+    packed = met.select(F.shiftright("bucket", 3).alias("place"), (F.col("bucket").bitwiseAND(F.lit(7)) * 8).alias("at"), level)
+    blank = docs.sparkSession.range(1 << (BUCKET_BITS - 3)).select(F.col("id").cast("int").alias("place"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("level"))
+    return store(packed.unionByName(blank).groupBy("place").agg(F.expr("bit_or(shiftleft(level, at))").alias("levels")), "rarity")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -44,14 +48,22 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return every.where(F.col("line").rlike(SOME_WORD))
 
 
-def keyed(lines: DataFrame, ranks_: list[int]) -> DataFrame:
-    """Adds keys (the line's distinct tokens, rare ones first) and k, k2, which tell sets apart."""
-    words = lines.withColumn("words", words_of(F.col("line"))).drop("line")
-    keys = words.withColumn("keys", F.sort_array(F.array_distinct(tokens_of(F.col("words"), ranks_)))).drop("words")
-    return keys.withColumn("k", F.xxhash64("keys")).withColumn("k2", F.xxhash64(F.lit(1), "keys"))
+def keyed(lines: DataFrame, order: DataFrame) -> DataFrame:
+    """Adds keys (the line's distinct words, rare ones first) and k, k2, which tell sets apart."""
+    table = order.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "levels"))), lambda s: s["levels"])).scalar()
+
+    def key(h: Column) -> Column:
+        at = bucket(h, 1 << BUCKET_BITS)
+        level = F.call_function("shiftright", F.get("_levels", F.shiftright(at, 3)), at.bitwiseAND(F.lit(7)) * 8).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
+        return F.shiftleft(level - (1 << (LEVEL_BITS - 1)), 64 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(h, LEVEL_BITS))
+
+    # the table is a column as a lambda may not have a subquery; the optimizer puts it into the lambda, so no row holds it
+    hashes = F.transform(F.array_remove(words_of(F.col("line")), ""), lambda w: F.xxhash64(w))
+    found = lines.withColumn("_levels", table).withColumn("keys", F.sort_array(F.transform(F.array_distinct(hashes), key))).drop("line", "_levels")
+    return found.withColumn("k", F.xxhash64("keys")).withColumn("k2", F.xxhash64(F.lit(1), "keys"))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, order: list[int]) -> DataFrame:
+def similar(pairs: DataFrame, docs: DataFrame, order: DataFrame) -> DataFrame:
     """The (k, k2) of pairs whose sets have Jaccard 0.8 or more. pairs: k, k2, at, e_k, e_k2, e_at; at tells where a set's line is."""
     at_hash = lambda at: F.xxhash64(f"{at}.id", f"{at}.mark", f"{at}.line_no").alias("line")
     doc_hash = lambda at: F.xxhash64(f"{at}.id", f"{at}.mark").alias("doc")
@@ -67,8 +79,7 @@ def similar(pairs: DataFrame, docs: DataFrame, order: list[int]) -> DataFrame:
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(id, mark, kept): the numbers of the lines with words that stay. docs: id, mark, text."""
-    met = docs.select(F.explode_outer(F.split(F.lower("text"), SPACES)).alias("word")).groupBy(bucket(F.xxhash64("word"), BUCKETS).alias("bucket"))
-    order = ranks(met.agg(F.count("*").alias("n")), BUCKETS)
+    order = rarity(docs)
     found = keyed(lines_of(docs), order)
     n = F.size("keys")
     place = F.struct("id", "mark", "line_no")
@@ -76,7 +87,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     classes = store(classes.groupBy("k", "k2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "lines")
     likely = store(shared(classes.withColumn("last", F.element_at("prefix", -1)), ["k", "k2", "at", "n", "last"]), "likely")
 
-    # the earliest class of each token that at least two have, and the postings of those tokens
+    # the earliest class of each word that at least two have, and the postings of those words
     firsts = store(likely.groupBy("token").agg(F.min(F.struct("at", "k", "k2", "n", "last")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e"), "firsts")
     postings = store(likely.join(firsts.select("token"), "token", "left_semi").select("token", "k", "k2", "at", "n", "last"), "postings")
     discard(likely)
@@ -92,7 +103,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 
     placed = lambda pairs: pairs.join(places, "k").join(other_places, "e_k").select("k", "k2", "at", "e_k", "e_k2", "e_at")
 
-    # every class with the earliest of each token
+    # every class with the earliest of each word
     star = postings.join(firsts, "token").where(F.col("k") != F.col("e.k")).select("k", "n", "last", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("k", "n", "last")])
     star = store(placed(in_reach(star)), "star")
     gone = store(similar(star, docs, order), "gone")
@@ -111,7 +122,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, its text without repeated lines, and n_lines, n_removed, kept (line numbers).
 
-    Lines end at \\n; words are what ASCII white space separates, in lower case. Lines come in the
+    Lines end at \\n; words are what ASCII white space separates, A-Z lower-cased. Lines come in the
     order of id (null first), a hash of the text for rows of one id, and line number; a line goes if
     any earlier one is similar, whether or not that one stays. Lines without words always stay. A
     null text stays null with 0 lines; an empty text is one line without words. A document may lose

@@ -105,7 +105,7 @@ def brute_lines(rows):
             continue
         lines, keep = text.split("\n"), []
         for line in lines:
-            w = shingles(line.lower())
+            w = set(re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in line)))
             if not w or not any(9 * len(w & s) >= 4 * (len(w) + len(s)) for s in seen):
                 keep.append(line)
             if w:
@@ -118,14 +118,14 @@ def brute_lines(rows):
 def test_line_dedup_equals_brute_force(spark, seed):
     rnd = random.Random(seed)
     vocab = [f"w{i}" for i in range(90)] + ["É", "THE", "the"]
-    pool = [" ".join(rnd.choice(vocab) for _ in range(rnd.choice([1, 2, 4, 9, 20, 45, 90]))) for _ in range(60)]
+    pool = [" ".join(rnd.choice(vocab) for _ in range(rnd.choice([1, 2, 4, 9, 20, 45]))) for _ in range(60)]
     rows = []
     for i in range(90):
         lines = []
         for _ in range(rnd.randint(1, 6)):
             w = rnd.choice(pool).split(" ")
             for _ in range(rnd.randint(0, 2)):
-                w[rnd.choice([0, len(w) - 1, rnd.randrange(len(w))])] = rnd.choice(vocab)
+                w[rnd.randrange(len(w))] = rnd.choice(vocab)
             lines.append(rnd.choice(["", "  ", "\r"]) + " ".join(w))
         rows.append((i, "\n".join(lines)))
     rows += [(200, None), (201, ""), (202, "\n\n"), (203, "the the the"), (204, "THE"), (205, " ".join(vocab * 20))]
@@ -140,3 +140,10 @@ def test_line_dedup_of_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["text"] for r in line_dedup.dedup_lines(df).collect()) == ["a b c\nd e f", "a b c\nd e f", "x"]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_line_with_one_word_changed_in_the_middle_goes(spark):
+    base = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:6] + ["x"] + base[7:])), (3, " ".join(base[::-1])), (4, " ".join(base[:6] + ["x", "y", "z"] + base[9:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
