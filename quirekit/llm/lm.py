@@ -1,18 +1,21 @@
-"""Language model scores from a log-frequency Bloom filter.
+"""Language model scores from log-frequency Bloom filters.
 
-The events are those of the base score: the end, every word of the training tokens, and one event for
-all other words. A word's probability is its discounted share of the training tokens. What the
-discount frees goes to unseen words, as much as words seen once make likely, and to the training
-words in proportion to how well their spelling fits. Discount and shares follow from the numbers of
-words seen once and twice; all probabilities add up to one.
+A word is scored by the two words before it: trigrams back off to bigrams, bigrams to single words.
+Counts of word n-grams of all training texts are kept as quantised logarithms in a Bloom filter: an
+n-gram of level q is in the filter with each of the levels 1 to q, and a count is found again by
+asking for level after level until one is missing. Texts begin with two start marks and have an end.
+The filter's size follows the number of its entries; it is sent to all workers.
 
-The spelling model is an n-gram model over the bytes of words, trained on the distinct training words.
-Its n-gram counts are kept as quantised logarithms in a Bloom filter that is broadcast: an n-gram of
-level q is in the filter with each of the levels 1 to q, and a count is found again by asking for
-level after level until one is missing. Probabilities are smoothed from one order to the next longer.
+The events of single words are those of the base score: the end, every word of the training tokens,
+and one event for all other words. A word's probability is its discounted share of the training
+tokens, by exact counts. What the discount frees goes to unseen words, as much as words seen once make
+likely, and to the training words in proportion to how well their spelling fits. Discount and shares
+follow from the numbers of words seen once and twice; these probabilities add up to one. Those with
+context do so up to the quantisation of counts and the filter's false positives.
 
-The filter's size is bounded (FILTER_BITS), whatever the corpus; the exact counts of words, which
-grow with it, stay in a table of the shared folder.
+The spelling model is an n-gram model over the bytes of words, trained on the distinct training words.
+Its counts are in a filter of the same kind, whose size is bounded (FILTER_BITS). The exact counts of
+words, which grow with the corpus, stay in a table of the shared folder.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ BROADCAST_WORDS = 5_000_000
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 200_000
 START, END = 2, 3
+#: What the next shorter word n-gram weighs after a context seen c times: CONTEXT_WEIGHT * c ** CONTEXT_POWER.
+CONTEXT_WEIGHT, CONTEXT_POWER = 3.0, 0.8
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -80,8 +85,8 @@ def levels(counts: np.ndarray) -> np.ndarray:
 class Filter:
     """A Bloom filter over (n-gram, level), in segments of equal size."""
 
-    def __init__(self, segments: list[np.ndarray]):
-        self.segments = np.concatenate(segments)
+    def __init__(self, segments: list[np.ndarray] | np.ndarray):
+        self.segments = segments.reshape(-1) if isinstance(segments, np.ndarray) else np.concatenate(segments)
         self.bits = np.uint64(len(segments[0]) * 64)
         self.found: dict[int, float] = {}
 
@@ -156,7 +161,11 @@ def spelling_filter(words: DataFrame) -> list[np.ndarray]:
                 found, n = np.unique(every, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], names=["code", "n"])
 
-    grams = store(words.where("c > 0").select("word").mapInArrow(rows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams")
+    return filter_of(store(words.where("c > 0").select("word").mapInArrow(rows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams"), FILTER_BITS)
+
+
+def filter_of(grams: DataFrame, most: int | None = None) -> list[np.ndarray]:
+    """The segments of a filter over grams (code, n), of ``most`` bits at most if given."""
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +174,10 @@ def spelling_filter(words: DataFrame) -> list[np.ndarray]:
 
     marked = store(grams.mapInArrow(sized, "code long, level long, segment int"), "levels")
     entries = marked.agg(F.sum("level")).first()[0] or 0
-    bits = min(FILTER_BITS, max(SEGMENTS * 64, 1 << (int(entries) * ENTRY_BITS).bit_length())) // SEGMENTS
+    if most:
+        bits = min(most, max(SEGMENTS * 64, 1 << (int(entries) * ENTRY_BITS).bit_length())) // SEGMENTS
+    else:
+        bits = 64 * (int(entries) * ENTRY_BITS // (SEGMENTS * 64) + 1)
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
@@ -185,6 +197,51 @@ def spelling_filter(words: DataFrame) -> list[np.ndarray]:
     return [blocks.get(s, empty) for s in range(SEGMENTS)]
 
 
+def hashed(words: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64)
+
+
+def word_grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of one, two and three words that end at each event of texts given as word hashes, and which are real.
+
+    The events of a text are a start mark, its words and an end; the mark is the one event that is not real.
+    """
+    start, end = np.array([START, START], dtype=np.uint64), np.array([END], dtype=np.uint64)
+    every = np.concatenate([x for t in texts for x in (start, t, end)]) if texts else np.zeros(0, dtype=np.uint64)
+    sizes = np.array([len(t) + 3 for t in texts], dtype=np.int64)
+    first = np.zeros(len(every), dtype=bool)
+    first[np.cumsum(sizes) - sizes] = True
+    before, earlier = np.roll(every, 1), np.roll(every, 2)
+    real = ~first & ~np.roll(first, 1)
+    two = mix(mix(before, 22) + every, 23)
+    three = mix(mix(mix(earlier, 24) + before, 25) + every, 26)
+    return mix(every, 21)[~first], two[~first], three[~first], real[~first]
+
+
+def word_filter(docs: DataFrame) -> np.ndarray:
+    """The filter's segments over the word n-grams of training texts. docs: text, training."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            one, two, three, real = word_grams([hashed(t.encode().lower().split() if t else ()) for t in batch.column(0).to_pylist()])
+            found, n = np.unique(np.concatenate([one, two, three[real]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["code", "n"])
+
+    grams = docs.where("training").select("text").mapInArrow(rows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return np.stack(filter_of(grams))
+
+
+def in_context(known: Filter, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) for every word and end of the texts: with its probability p as a single word, that in its context is a + b p."""
+    one, two, three, real = word_grams(texts)
+    n1, n2, n3 = np.split(known.counts(np.concatenate([one, two, three])), 3)
+    a, b = np.zeros(len(one)), np.ones(len(one))
+    for seen, context_ in ((n2, np.roll(n1, 1)), (n3, np.roll(n2, 1))):
+        weight = np.where(context_ > 0, CONTEXT_WEIGHT * context_**CONTEXT_POWER, 1.0)
+        a, b = (np.minimum(seen, context_) + weight * a) / (context_ + weight), weight * b / (context_ + weight)
+    return a[real], b[real]
+
+
 def word_scores(words: DataFrame, total: int, distinct: int, once: int, twice: int) -> tuple[DataFrame, float]:
     """(h, c, score): the hash, training count and log10 probability of every word; and the discount."""
     sent = words.sparkSession.sparkContext.broadcast(spelling_filter(words))
@@ -225,7 +282,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scores, discount = word_scores(words, total, distinct, tallied["once"] or 0, tallied["twice"] or 0)
     base_log = lambda c: np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
     end_p = (ends - discount) / total if ends else 1.0
-    end_base, end_score, end_known = float(base_log(ends)), float(np.log10(end_p)), int(ends > 0)
+    end_base, end_known = float(base_log(ends)), int(ends > 0)
+    grams = docs.sparkSession.sparkContext.broadcast(word_filter(base))
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -238,6 +296,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, c, score = sent.value
+            known = Filter(grams.value)
             place: dict[bytes, int] = {}
             for batch in slices(batches):
                 out = []
@@ -246,10 +305,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     place = {}
                 fresh = list(set().union(*texts).difference(place))
                 place.update(zip(fresh, np.searchsorted(h, np.fromiter((xxhash.xxh3_64_intdigest(w) - 2**63 for w in fresh), dtype=np.int64, count=len(fresh))).tolist()))
-                for found in texts:
-                    at = np.fromiter(map(place.__getitem__, found), dtype=np.intp, count=len(found))
+                places = [np.fromiter(map(place.__getitem__, found), dtype=np.intp, count=len(found)) for found in texts]
+                a, b = in_context(known, [h[at].astype(np.uint64) + np.uint64(1 << 63) for at in places])
+                done = 0
+                for found, at in zip(texts, places):
+                    p = np.append(10.0 ** score[at].astype(np.float64), end_p)
+                    log = float(np.log10(a[done : done + len(p)] + b[done : done + len(p)] * p).sum())
+                    done += len(p)
                     n = c[at].astype(np.float64)
-                    out.append((len(found) + 1, int((n > 0).sum()) + end_known, total, float(base_log(n).sum()) + end_base, float(score[at].sum(dtype=np.float64)) + end_score))
+                    out.append((len(found) + 1, int((n > 0).sum()) + end_known, total, float(base_log(n).sum()) + end_base, log))
                 columns = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([not t for t in batch.column(2).to_pylist()], pa.bool_()), *(pa.array(x, pa.int64()) for x in columns[:3]), *(pa.array(x, pa.float64()) for x in columns[3:])], names=names
@@ -258,25 +322,35 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return base.mapInArrow(scored, schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filter(grams.value)
         for batch in slices(batches, 256):
-            where, hashes, times = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                found = Counter(text.encode().lower().split() if text else ())
-                where += [i] * len(found)
-                hashes += [xxhash.xxh3_64_intdigest(w) - 2**63 for w in found]
-                times += found.values()
-            at = pa.array(where, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes, pa.int64()), pa.array(times, pa.int64())], names=["id", "mark", "h", "times"])
+            texts = [hashed(t.encode().lower().split() if t else ()) for t in batch.column(2).to_pylist()]
+            a, b = in_context(known, texts)
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
+            last = np.zeros(len(a), dtype=bool)
+            last[np.cumsum(sizes + 1) - 1] = True
+            end = np.log10(a[last] + b[last] * end_p)
+            # every word of a text in a row, and one row without a word for its end
+            order = np.repeat(np.arange(len(texts)), sizes + 1)
+            hashes = np.zeros(len(a), dtype=np.uint64)
+            hashes[~last] = np.concatenate(texts)
+            ends_ = np.zeros(len(a))
+            ends_[last] = end
+            at = pa.array(order)
+            h = pa.array((hashes - np.uint64(1 << 63)).view(np.int64), mask=last)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), h, pa.array(a), pa.array(b), pa.array(ends_)], names=["id", "mark", "h", "a", "b", "log"])
 
     marked = base.withColumn("mark", F.xxhash64("text"))
-    used = marked.select("id", "mark", "text").mapInArrow(counted, f"id {kind}, mark long, h long, times long").groupBy("id", "mark", "h").agg(F.max("times").alias("times"))
+    used = marked.select("id", "mark", "text").dropDuplicates(["id", "mark"]).mapInArrow(counted, f"id {kind}, mark long, h long, a double, b double, log double")
     log_base = F.log10((F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
-    sums = used.join(scores, "h").groupBy("id", "mark").agg(F.sum("times").alias("n"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * log_base).alias("b"), F.sum(F.col("times") * F.col("score")).alias("s"))
+    known_word, is_word = F.col("c") > 0, F.col("h").isNotNull()
+    log_score = F.when(is_word, F.log10(F.col("a") + F.col("b") * F.pow(F.lit(10.0), F.col("score")))).otherwise(F.col("log"))
+    sums = used.join(scores, "h", "left").groupBy("id", "mark").agg(F.count("h").alias("n"), F.count_if(known_word).alias("k"), F.sum(log_base).alias("b"), F.sum(log_score).alias("s"))
     sums = sums.select(F.col("id").alias("_id"), F.col("mark").alias("_m"), "n", "k", "b", "s")
     rows = marked.select("id", "mark", (~F.col("training")).alias("held_out"))
     joined = rows.join(sums, rows["id"].eqNullSafe(sums["_id"]) & (rows["mark"] == sums["_m"]), "left")
     zero, none = F.lit(0).cast("long"), F.lit(0.0)
     return joined.select(
         F.col("id").alias(id_col), "held_out", (F.coalesce("n", zero) + 1).alias("n_tokens"), (F.coalesce("k", zero) + end_known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.coalesce("b", none) + end_base).alias("base_score"), (F.coalesce("s", none) + end_score).alias("score"),
+        (F.coalesce("b", none) + end_base).alias("base_score"), F.col("s").alias("score"),
     )

@@ -146,6 +146,15 @@ def test_lm_without_training_rows(spark):
     assert lm.score_texts(df.limit(0)).count() == 0
 
 
+def test_lm_looks_at_words_before(spark):
+    order = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(order)) for i in range(1, 60)] + [(100 + i, " ".join(order[i % 30 :] + order[: i % 30][::-1])) for i in range(60)]
+    df = spark.createDataFrame(rows + [(1000, " ".join(order)), (1001, " ".join(order[::2] + order[1::2]))], "doc_id long, text string")
+    one, other = ({r["doc_id"]: r["score"] for r in lm.score_texts(df, broadcast_words=n).collect()} for n in (10**6, 0))
+    assert one == pytest.approx(other, rel=1e-5)
+    assert one[1000] > one[1001] + 10  # the same words in another order
+
+
 def test_filter_gives_back_quantised_counts():
     rnd = np.random.default_rng(5)
     codes, counts = np.unique(rnd.integers(0, 1 << 62, 3000).astype(np.uint64)), rnd.integers(1, 100_000, 3000)[: len(np.unique(rnd.integers(0, 1, 1)))]
