@@ -233,3 +233,8 @@ def test_repeated_rows_are_one_document(spark):
     rows = [(1, " ".join(f"word{i}" for i in range(80)))] * 2 + [(2, "x y " + " ".join(f"word{i}" for i in range(80)))]
     got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["removed_words"] > 40) for r in got) == [(1, False), (1, False), (2, True)]
+
+
+def test_lm_counts_are_kept_to_a_tenth():
+    counts = np.arange(1, 5000)
+    assert lm.ORDER == 6 and np.abs(np.log(lm.BASE ** (lm.levels(counts) - 1.0) / counts)).max() < 0.1
