@@ -190,13 +190,13 @@ _REFS = f"WITH {S.PAGES}, refs AS (SELECT doc_id, page_no AS from_id, n_pages, C
 
 @query(_REFS + " SELECT doc_id, from_id, to_id, page, count(*) AS occurrences FROM body GROUP BY ALL")
 def reference_edges(spark, d):
-    s = X.sections(spark, d).withColumn("markdown", F.element_at(T.lines(F.col("markdown")), -1))
+    s = X.sections(spark, d)
     return references.extract(s, s.groupBy("doc_id").agg(F.max("n_pages").alias("page_count")))
 
 
 @query(_REFS + ", e AS (SELECT doc_id, from_id, to_id, count(*) AS weight FROM body GROUP BY ALL) SELECT doc_id, id, sum(weight)::BIGINT AS degree FROM (SELECT doc_id, from_id AS id, weight FROM e UNION ALL SELECT doc_id, to_id, weight FROM e) GROUP BY ALL")
 def node_degree(spark, d):
-    s = X.sections(spark, d).withColumn("markdown", F.element_at(T.lines(F.col("markdown")), -1))
+    s = X.sections(spark, d)
     found = references.extract(s, s.groupBy("doc_id").agg(F.max("n_pages").alias("page_count")))
     return references.degrees(references.weighted_edges(found))
 
@@ -214,7 +214,7 @@ def neighborhood(spark, d):
 
 @query(_REFS + ", e AS (SELECT doc_id, from_id, to_id, count(*) AS weight FROM body GROUP BY ALL) SELECT doc_id, 'REFERENCES' AS rel, count(*) AS edges, sum(weight)::BIGINT AS weight FROM e GROUP BY ALL UNION ALL SELECT doc_id, CASE WHEN page_no = 1 THEN 'HAS_SECTION' ELSE 'PART_OF' END, count(*), count(*) FROM pg GROUP BY ALL")
 def document_graph(spark, d):
-    s = X.sections(spark, d).withColumn("markdown", F.element_at(T.lines(F.col("markdown")), -1)).withColumn("parent_id", F.when(F.col("id") > 1, F.lit(1)))
+    s = X.sections(spark, d).withColumn("parent_id", F.when(F.col("id") > 1, F.lit(1)))
     _, edges = references.graph(s, references.extract(s, s.groupBy("doc_id").agg(F.max("n_pages").alias("page_count"))))
     return edges.groupBy("doc_id", "rel").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
 
@@ -283,9 +283,7 @@ def lint_issues(spark, d):
 
 @query(f"WITH {S.PAGES}, c AS (SELECT doc_id, count(*) AS pages FROM pg GROUP BY ALL) SELECT CASE doc_id % 4 WHEN 1 THEN 'missing_separator' WHEN 2 THEN 'ragged_row' ELSE 'lone_pipe_row' END AS code, sum(pages)::BIGINT AS n FROM c WHERE doc_id % 4 <> 0 GROUP BY ALL")
 def lint_counts(spark, d):
-    p = X.pages(spark, d)
-    shown = F.array_join(F.filter(T.lines(F.col("md")), lambda x: x.startswith("| ") & x.endswith(" |") | x.startswith("|---")), "\n")
-    return references.lint(p.select("doc_id", "page_no", shown.alias("md")), ["doc_id"], "md").groupBy("code").agg(F.count("*").alias("n"))
+    return references.lint(X.pages(spark, d), ["doc_id"], "md").groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quirekit.functions import text as T
 from quirekit.operators import layout, quality, records, references, trees
+from quirekit.plans import catalog
 from quirekit.sources import readers
 from quirekit.streaming import jobs
 
@@ -239,3 +240,15 @@ def test_state_machine_and_order(spark):
     assert [(r["src"], r["dst"]) for r in bad] == [("b", "a")]
     assert {r["job"]: r["layers"] for r in records.distinct_in_order(df, ["job"], "seq", "status").collect()} == {1: "a,b", 2: "b"}
     assert [tuple(r) for r in records.replaced(df, df.limit(0), df.where("job = 2"), "job").select("job").distinct().collect()] == [(1,)]
+
+
+def test_references_and_faults_of_the_body_are_read(spark, tmp_path):
+    body = "| a | b |\n| 1 | 2 |\n\nSee page 2 for more.\nx"
+    text = "\n".join([body] + ["more"] * 10)
+    spark.createDataFrame([(4, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    edges = {(r["from_id"], r["to_id"]): r["occurrences"] for r in catalog.reference_edges(spark, str(tmp_path)).collect()}
+    found = {r["code"]: r["n"] for r in catalog.lint_counts(spark, str(tmp_path)).collect()}
+    degrees = {r["id"]: r["degree"] for r in catalog.node_degree(spark, str(tmp_path)).collect()}
+    weights = {r["rel"]: r["weight"] for r in catalog.document_graph(spark, str(tmp_path)).collect()}
+    assert edges[(1, 2)] == 1 and found["missing_separator"] == 1
+    assert sum(degrees.values()) == 2 * sum(edges.values()) and weights["REFERENCES"] == sum(edges.values())
