@@ -53,15 +53,18 @@ def parents_by_path(sections: DataFrame) -> DataFrame:
 def closure(nodes: DataFrame, depth: int = 32) -> DataFrame:
     """(doc_id, ancestor, node, distance) of every node and all above it, itself included, by joining up the parents.
 
-    One join a level, up to the deepest node or ``depth``; nodes of one level are joined all at once.
+    One join a level, up to the deepest node; nodes of one level are joined all at once. A node with more
+    than ``depth`` others above it (or a cycle of parents) is an error, so no ancestor is left out in silence.
     """
     step = nodes.select("doc_id", F.col("id").alias("ancestor"), F.col("id").alias("node"), F.lit(0).alias("distance"))
     up = nodes.where("parent_id is not null").select("doc_id", F.col("id").alias("ancestor"), "parent_id")
     out, now = step, step
-    for d in range(1, depth + 1):
+    for d in range(1, depth + 2):
         now = now.join(up, ["doc_id", "ancestor"]).select("doc_id", F.col("parent_id").alias("ancestor"), "node", F.lit(d).alias("distance"))
         if now.limit(1).count() == 0:
             break
+        if d > depth:
+            raise ValueError(f"a node has more than {depth} ancestors: pass a larger depth")
         out = out.unionByName(now)
     return out
 

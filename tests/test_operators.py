@@ -252,3 +252,11 @@ def test_references_and_faults_of_the_body_are_read(spark, tmp_path):
     weights = {r["rel"]: r["weight"] for r in catalog.document_graph(spark, str(tmp_path)).collect()}
     assert edges[(1, 2)] == 1 and found["missing_separator"] == 1
     assert sum(degrees.values()) == 2 * sum(edges.values()) and weights["REFERENCES"] == sum(edges.values())
+
+
+def test_trees_deeper_than_the_limit_are_an_error(spark):
+    chain = spark.createDataFrame([(0, i, i - 1 if i > 1 else None, i) for i in range(1, 6)], "doc_id long, id long, parent_id long, ord long")
+    got = {r["id"]: (r["level"], r["lft"], r["rgt"]) for r in trees.nested_set(chain, depth=4).collect()}
+    assert got == {i: (i, i, 11 - i) for i in range(1, 6)}
+    with pytest.raises(ValueError):
+        trees.nested_set(chain, depth=3)
