@@ -1,16 +1,16 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words. Equal sets are one class, kept at its first place. Classes are joined
-on the prefixes of their words in order of rarity, bounded by length and position; Jaccard similarity
-is verified on the whole sets. A line goes if an earlier line has a similarity of 0.8 or more.
-
-A word's rarity is the count, over all documents, of its bucket, one of so many that a rare word seldom
-shares one with a frequent word: with few buckets rare and frequent words are mixed up, prefixes hold
-words of many lines, and almost every line becomes a candidate.
-
-A group of near copies would make as many pairs as the square of its size. So classes are first
-compared with the earliest class of each shared word only: almost all of a group is settled there.
-Only lines still open are then compared with every earlier line that the bounds allow.
+on the prefixes of their words in order of rarity; pairs are bounded by length, by the places of the
+shared word in both prefixes, and by sketches of the whole sets: each word flips one of 128 bits, so
+two sketches differ in at most as many bits as the sets differ in words. Jaccard similarity is verified
+on the whole sets. A line goes if an earlier line has a similarity of 0.8 or more.
+
+A group of near copies would make as many pairs as the square of its size. So no pair is ever made:
+both joins are semi-joins, which end a row's search at its first partner. The first one, on narrow
+rows, leaves the prefix words at which a class has some partner within the bounds, in either order;
+only these classes get their whole sets, read again from the texts, for the second one, which asks for
+an earlier similar class.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirekit.llm.common import discard, lower_ascii, store
-from quirekit.llm.postings import bitmap, bucket, common_needed, in_bitmap, near_in_size, prefix_size, shared
+from quirekit.llm.postings import bitmap, bitmap_bits, bucket, in_bitmap, near_in_size, overlap_needed, prefix_size
 
-#: Bits of a bucket's number in the rarity table, which has a byte for each bucket: 2 MB.
-BUCKET_BITS = 21
+#: Bits of a bucket's number in the rarity table, which has a byte for each bucket: 256 KB.
+BUCKET_BITS = 18
 #: Bits of a key that tell rarity, in half powers of two of the count; the others are of the word's hash.
 LEVEL_BITS = 6
+#: Longs of a sketch.
+SKETCH = 2
 SPACES = r"[\x20\x09-\x0D]+"
 SOME_WORD = r"[^\x20\x09-\x0D]"
 
@@ -63,59 +65,53 @@ def keyed(lines: DataFrame, order: DataFrame) -> DataFrame:
     return found.withColumn("k", F.xxhash64("keys")).withColumn("k2", F.xxhash64(F.lit(1), "keys"))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, order: DataFrame) -> DataFrame:
-    """The (k, k2) of pairs whose sets have Jaccard 0.8 or more. pairs: k, k2, at, e_k, e_k2, e_at; at tells where a set's line is."""
-    at_hash = lambda at: F.xxhash64(f"{at}.id", f"{at}.mark", f"{at}.line_no").alias("line")
-    doc_hash = lambda at: F.xxhash64(f"{at}.id", f"{at}.mark").alias("doc")
-    wanted = pairs.select(at_hash("at"), doc_hash("at")).unionByName(pairs.select(at_hash("e_at"), doc_hash("e_at")))
-    read = docs.where(in_bitmap(F.xxhash64("id", "mark"), bitmap(wanted, "doc")))
-    some = lines_of(read).where(in_bitmap(F.xxhash64("id", "mark", "line_no"), bitmap(wanted, "line")))
-    sets = store(keyed(some, order).groupBy("k", "k2").agg(F.first("keys").alias("keys")), "sets")
-    with_own = pairs.select("k", "k2", "e_k", "e_k2").join(sets, ["k", "k2"])
-    other = sets.select(F.col("k").alias("e_k"), F.col("k2").alias("e_k2"), F.col("keys").alias("e_keys"))
-    both = with_own.join(other, ["e_k", "e_k2"]).select("k", "k2", F.size(F.array_intersect("keys", "e_keys")).alias("common"), (F.size("keys") + F.size("e_keys")).alias("total"))
-    return both.where(F.col("common") * 9 >= F.col("total") * 4).select("k", "k2").distinct()
+def sketch(keys: Column, i: int) -> Column:
+    """The ith long of a set's sketch: of the words whose key names this long, each flips the bit that its key names."""
+    own = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(SKETCH - 1)) == i
+    flip = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.when(own(x), flip(x)).otherwise(F.lit(0).cast("long"))))
+
+
+def within_bounds(a: str, b: str) -> Column:
+    """Whether the sets of two postings of one word can have Jaccard 0.8: length, position and sketch."""
+    of = lambda side, c: F.col(f"{side}.{c}")
+    n, m = of(a, "n"), of(b, "n")
+    need = overlap_needed(n, m)
+    before, after = F.least(of(a, "pos"), of(b, "pos")), F.least(n - of(a, "pos"), m - of(b, "pos"))
+    differ = sum((F.bit_count(of(a, f"s{i}").bitwiseXOR(of(b, f"s{i}"))) for i in range(SKETCH)), F.lit(0))
+    return near_in_size(n, m) & (before + after >= need) & (differ <= n + m - need * 2)
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(id, mark, kept): the numbers of the lines with words that stay. docs: id, mark, text."""
     order = rarity(docs)
-    found = keyed(lines_of(docs), order)
     n = F.size("keys")
     place = F.struct("id", "mark", "line_no")
-    classes = found.select("k", "k2", place.alias("at"), n.alias("n"), F.slice("keys", F.lit(1), prefix_size(n)).alias("prefix"))
-    classes = store(classes.groupBy("k", "k2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "lines")
-    likely = store(shared(classes.withColumn("last", F.element_at("prefix", -1)), ["k", "k2", "at", "n", "last"]), "likely")
-
-    # the earliest class of each word that at least two have, and the postings of those words
-    firsts = store(likely.groupBy("token").agg(F.min(F.struct("at", "k", "k2", "n", "last")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e"), "firsts")
-    postings = store(likely.join(firsts.select("token"), "token", "left_semi").select("token", "k", "k2", "at", "n", "last"), "postings")
-    discard(likely)
-
-    # pairs are counted on narrow rows; k2 and places are put back when few are left
-    places = store(postings.select("k", "k2", "at").distinct(), "places")
-    other_places = places.select(*[F.col(c).alias(f"e_{c}") for c in ("k", "k2", "at")])
-    need = common_needed(F.col("n"), F.col("last"), F.col("e_n"), F.col("e_last")).alias("need")
-
-    def in_reach(rows: DataFrame) -> DataFrame:
-        counted = rows.where(near_in_size(F.col("n"), F.col("e_n"))).select("k", "e_k", need).groupBy("k", "e_k", "need").agg(F.count("*").alias("common"))
-        return counted.where("common >= need").select("k", "e_k")
-
-    placed = lambda pairs: pairs.join(places, "k").join(other_places, "e_k").select("k", "k2", "at", "e_k", "e_k2", "e_at")
-
-    # every class with the earliest of each word
-    star = postings.join(firsts, "token").where(F.col("k") != F.col("e.k")).select("k", "n", "last", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("k", "n", "last")])
-    star = store(placed(in_reach(star)), "star")
-    gone = store(similar(star, docs, order), "gone")
-
-    # what is still open with every earlier class within the bounds
-    open_ = postings.join(gone, ["k", "k2"], "left_anti")
-    early = postings.select("token", *[F.col(c).alias(f"e_{c}") for c in ("k", "at", "n", "last")])
-    rest = in_reach(open_.join(early, "token").where(F.col("e_at") < F.col("at")))
-    rest = store(placed(rest.join(star.select("k", "e_k"), ["k", "e_k"], "left_anti")), "rest")
-    later = similar(rest, docs, order)
-
-    stay = classes.select("k", "k2", "at").join(gone.unionByName(later), ["k", "k2"], "left_anti")
+    sketches = [f"s{i}" for i in range(SKETCH)]
+    found = keyed(lines_of(docs), order)
+    found = found.select("k", "k2", place.alias("at"), n.alias("n"), F.slice("keys", F.lit(1), prefix_size(n)).alias("prefix"), *[sketch(F.col("keys"), i).alias(s) for i, s in enumerate(sketches)])
+    classes = found.groupBy("k", "k2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix", *sketches)])
+    classes = store(classes, "lines")
+
+    # the words of the prefixes at which a class has a partner within the bounds
+    posted = classes.select("k", "n", *sketches, F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+    met = posted.alias("x").join(posted.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.k") != F.col("y.k")) & within_bounds("x", "y"), "left_semi")
+    met = store(met.select("k", "n", *sketches, "pos", "token"), "met")
+
+    # their classes' whole sets, from the texts, and the search for an earlier similar one
+    wanted = store(classes.join(met.select("k"), "k", "left_semi").select("k", "k2", "at"), "wanted")
+    line_hash = lambda *at: F.xxhash64(*at)
+    places = wanted.select(line_hash("at.id", "at.mark", "at.line_no").alias("line"))
+    bits = bitmap_bits(wanted.count())
+    some = lines_of(docs).where(in_bitmap(line_hash("id", "mark", "line_no"), bitmap(places, "line", bits), bits))
+    sets = keyed(some, order).select("k", "k2", place.alias("at"), "keys").join(wanted, ["k", "k2", "at"], "left_semi")
+    full = met.join(sets.dropDuplicates(["k", "k2", "at"]), "k")
+    similar = F.size(F.array_intersect("x.keys", "y.keys")) * 9 >= (F.col("x.n") + F.col("y.n")) * 4
+    gone = full.alias("x").join(full.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.at") < F.col("x.at")) & within_bounds("x", "y") & similar, "left_semi")
+    gone = store(gone.select("k", "k2").distinct(), "gone")
+    discard(met)
+
+    stay = classes.select("k", "k2", "at").join(gone, ["k", "k2"], "left_anti")
     return stay.groupBy(F.col("at.id").alias("id"), F.col("at.mark").alias("mark")).agg(F.collect_list("at.line_no").alias("kept"))
 
 

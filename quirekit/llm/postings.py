@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from quirekit.llm.common import store
 
 BUCKETS = 1 << 16
-#: Bits of the bitmap that keeps most unshared tokens out of the second shuffle: 2 MB at most.
+#: Least and most bits of a bitmap's places (it has two to that power): 8 KB and 16 MB. A fuller bitmap prunes less, but loses nothing.
+LEAST_BITS, MOST_BITS = 16, 27
+#: Bits of a bitmap whose number of values isn't known.
 BITMAP_BITS = 24
 
 
@@ -43,6 +45,11 @@ def prefix_size(n: Column) -> Column:
     return (F.floor(n / 5) + 1).cast("int")
 
 
+def bitmap_bits(values: int) -> int:
+    """The bits of a bitmap over so many values: 16 places or more for each, as long as that is allowed."""
+    return min(MOST_BITS, max(LEAST_BITS, (16 * values).bit_length()))
+
+
 def bitmap(df: DataFrame, value: str, bits: int = BITMAP_BITS) -> Column:
     """A scalar column: a Bloom filter of two hash functions over ``value`` (a 64-bit hash), as an array of longs."""
     places = F.explode(F.array(*_places(F.col(value), bits))).alias("place")
