@@ -7,11 +7,15 @@ common token to the rarest, so that copies share long paths: the probing set wal
 that share a beginning share the overlap counted so far, and a subtree is left as soon as the overlap
 and what can still come on either side fall short of what is needed.
 
+Postings carry a sketch of the whole set, in which each token flips one of 256 bits: sets differ in at
+least as many tokens as their sketches in bits. A semi-join drops all postings without any partner
+within the bounds of length, position and sketch, so what shares a passage only makes no pairs.
+
 A group of n near copies has n^2 links, but their component needs n - 1. Every set is first
 compared with the first set of each token it shares; sets that this connects are never compared
-again. As long as that would leave many pairs, sets outside a token's largest component are compared
-with a few sets of it, others each turn. At last all pairs across components that share a token are
-compared, within the bounds, so no link between components is lost.
+again. If that would leave many pairs, sets outside a token's largest component are compared with a
+few sets of it. At last all pairs across components that share a token are compared, within the
+bounds, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,20 +25,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirekit.llm.common import discard, slices, store
 from quirekit.llm.components import components
-from quirekit.llm.postings import BUCKETS, bitmap, common_needed, in_bitmap, near_in_size, ranks, shared, within_reach
+from quirekit.llm.postings import BUCKETS, bitmap, common_needed, in_bitmap, near_in_size, positions_allow, ranks, shared, sketch_allows
 
 GRAM = 5
 #: Member sets in one trie; larger groups are cut into several, each with its own copy of the probing set.
 TRIE = 512
 #: Sets of a task that make a token frequent, tokens looked at together, and frequent tokens kept (16 bytes each).
 SEEN, HELD, FREQUENT = 3, 2_000_000, 500_000
+#: The longs of a sketch.
+SKETCHES = ["s0", "s1", "s2", "s3"]
 #: Turns with a few sets of each largest component, how many, and the pairs a posting that are compared at once without them.
-LEADERS, LOTS, EASY = 4, 3, 4
+LEADERS, LOTS, EASY = 1, 3, 4
 #: Word hashes that a task remembers before it starts anew.
 REMEMBERED = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -168,29 +174,36 @@ def token_order(docs: DataFrame, n: int) -> Order:
     return Order(ranks_, hashes[by_hash], times[by_hash])
 
 
+def sketch(keys: np.ndarray) -> list[int]:
+    """The longs of a set's sketch: each token flips one of the bits."""
+    flips = np.bincount(keys & (64 * len(SKETCHES) - 1), minlength=64 * len(SKETCHES)) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def sets_of(docs: DataFrame, order: Order, n: int, id_kind: str) -> DataFrame:
-    """(id, mark, n, k, k2, prefix) per row. k and k2 tell sets apart; prefix is null for a set that the task has met before."""
+    """(id, mark, n, k, k2, the sketch's longs, prefix) per row. k and k2 tell sets apart; prefix is null for a set that the task has met before."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = Words(), set()
         for batch in slices(batches):
-            sizes, k, k2, prefixes = [], [], [], []
+            sizes, k, k2, prefixes, sketches = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 keys = order.keys(shingle_hashes(text, known, n))
                 digest = xxhash.xxh3_128_digest(keys.tobytes())
                 sizes.append(len(keys))
                 k.append(int.from_bytes(digest[:8], "big", signed=True))
                 k2.append(int.from_bytes(digest[8:], "big", signed=True))
+                sketches.append(sketch(keys))
                 prefixes.append(None if digest in met or not len(keys) else keys[: len(keys) // 5 + 1])
                 if len(met) >= REMEMBERED:
                     met.clear()
                 met.add(digest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(k, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["id", "mark", "n", "k", "k2", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(k, pa.int64()), pa.array(k2, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*sketches)), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["id", "mark", "n", "k", "k2", *SKETCHES, "prefix"],
             )
 
-    return docs.select("id", "mark", "text").mapInArrow(rows, f"id {id_kind}, mark long, n int, k long, k2 long, prefix array<long>")
+    return docs.select("id", "mark", "text").mapInArrow(rows, f"id {id_kind}, mark long, n int, k long, k2 long, {', '.join(f'{x} long' for x in SKETCHES)}, prefix array<long>")
 
 
 def verified(pairs: DataFrame, base: DataFrame, places: DataFrame, order: Order, n: int) -> DataFrame:
@@ -252,6 +265,21 @@ def mixed_postings(postings: DataFrame, labels: DataFrame) -> tuple[DataFrame, d
     return met, load
 
 
+def in_reach(rows: DataFrame, other: DataFrame, fits: Column) -> DataFrame:
+    """Pairs (a, b), a < b, of sets whose prefixes hold so many common tokens, and that are so near in size and sketch, that they can link."""
+    x, y = rows.alias("x"), other.alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits & within_bounds("x", "y"))
+    of = lambda side, c: F.col(f"{side}.{c}")
+    need = common_needed(of("x", "n"), of("x", "last"), of("y", "n"), of("y", "last")).alias("need")
+    counted = pairs.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b"), need).groupBy("a", "b", "need").agg(F.count("*").alias("common"))
+    return counted.where("common >= need").select("a", "b")
+
+
+def within_bounds(a: str, b: str) -> Column:
+    """Whether the sets of two postings of one token can link: length, position and sketch."""
+    return near_in_size(F.col(f"{a}.n"), F.col(f"{b}.n")) & positions_allow(a, b) & sketch_allows(a, b, SKETCHES)
+
+
 def across(met: DataFrame, turn: int, whole: bool) -> DataFrame:
     """Pairs (a, b) of sets of different components that share tokens, within the bounds.
 
@@ -260,18 +288,15 @@ def across(met: DataFrame, turn: int, whole: bool) -> DataFrame:
     """
     outside = met.where(F.col("label") != F.col("major"))
     if whole:
-        other = met.select("token", F.col("s").alias("o"), F.col("n").alias("o_n"), F.col("last").alias("o_last"), F.col("label").alias("o_label"))
-        fits = (F.col("label") != F.col("o_label")) & ((F.col("o_label") == F.col("major")) | (F.col("s") < F.col("o")))
+        other = met
+        fits = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("x.major")) | (F.col("x.s") < F.col("y.s")))
     else:
         inside = met.where(F.col("label") == F.col("major"))
         lots = F.array(*[F.min(F.struct(F.xxhash64("s", F.lit(turn * LOTS + i)).alias("h"), "s"))["s"] for i in range(LOTS)])
         chosen = inside.select("label", "s").distinct().groupBy("label").agg(F.array_distinct(lots).alias("l")).select(F.explode("l").alias("s"))
-        other = store(inside.join(chosen, "s", "left_semi").select("token", F.col("s").alias("o"), F.col("n").alias("o_n"), F.col("last").alias("o_last")), "leaders")
+        other = store(inside.join(chosen, "s", "left_semi"), "leaders")
         fits = F.lit(True)
-    pairs = outside.join(other, "token").where(fits & near_in_size(F.col("n"), F.col("o_n")))
-    need = common_needed(F.col("n"), F.col("last"), F.col("o_n"), F.col("o_last")).alias("need")
-    counted = pairs.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), need).groupBy("a", "b", "need").agg(F.count("*").alias("common"))
-    return counted.where("common >= need").select("a", "b")
+    return in_reach(outside, other, fits)
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM) -> DataFrame:
@@ -291,24 +316,24 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = store(sets_of(base, order, n, docs.schema[id_col].dataType.simpleString()), "sets")
     some = sets.where("prefix is not null")
     s = F.struct("k", "k2")
-    likely = shared(some.withColumn("last", F.element_at("prefix", -1)), ["id", "mark", "n", "k", "k2", "last"])
-    once = likely.groupBy("token", "n", "k", "k2", "last").agg(F.min(F.struct("id", "mark")).alias("at")).select("token", "n", s.alias("s"), "last", "at")
+    likely = shared(some.withColumn("last", F.element_at("prefix", -1)), ["id", "mark", "n", "k", "k2", "last", *SKETCHES])
+    once = likely.groupBy("token", "n", "pos", "k", "k2", "last", *SKETCHES).agg(F.min(F.struct("id", "mark")).alias("at")).select("token", "n", "pos", s.alias("s"), "last", "at", *SKETCHES)
     once = store(once, "likely")
 
-    # the first set of each token that at least two have, and the postings of those tokens
-    firsts = once.groupBy("token").agg(F.min(F.struct("at", "s", "n", "last")).alias("e"), F.count("*").alias("m")).where("m > 1").select("token", "e")
-    firsts = store(firsts, "firsts")
-    postings = store(once.join(firsts.select("token"), "token", "left_semi"), "postings")
+    # postings that have a partner within the bounds; a semi-join ends a row's search at the first
+    postings = once.alias("x").join(once.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.s") != F.col("y.s")) & within_bounds("x", "y"), "left_semi")
+    postings = store(postings, "postings")
     discard(once)
     places = store(postings.groupBy("s").agg(F.min("at").alias("at")), "places")
 
-    star = postings.join(firsts, "token").where((F.col("s") != F.col("e.s")) & near_in_size(F.col("n"), F.col("e.n")))
-    star = star.groupBy(F.col("e.s").alias("a"), F.col("s").alias("b"), F.col("e.n").alias("a_n"), F.col("e.last").alias("a_last"), "n", "last").agg(F.count("*").alias("common"))
-    star = store(star.where(within_reach(F.col("n"), F.col("last"), F.col("a_n"), F.col("a_last"), F.col("common"))).select("a", "b"), "star")
+    # every set with the first set of each of its tokens
+    first = F.min(F.struct("at", "s", "n", "pos", "last", *SKETCHES)).alias("e")
+    firsts = store(postings.groupBy("token").agg(first).select("token", "e.*"), "firsts")
+    star = store(in_reach(postings, firsts, F.col("x.s") != F.col("y.s")), "star")
     links = store(verified(star, base, places, order, n), "links")
     labels = components(links)
 
-    tried, more = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), True
+    tried, more = star, True
     for turn in range(LEADERS + 1):
         met, load = mixed_postings(postings, labels)
         if not load["rows"]:

@@ -103,6 +103,14 @@ def common_needed(n: Column, last: Column, m: Column, other_last: Column) -> Col
     return overlap_needed(n, m) - beyond
 
 
-def within_reach(n: Column, last: Column, m: Column, other_last: Column, common: Column) -> Column:
-    """Whether two sets whose prefixes have ``common`` tokens in common can be similar."""
-    return common >= common_needed(n, last, m, other_last)
+def sketch_allows(a: str, b: str, names: list[str]) -> Column:
+    """Whether two sets can have Jaccard 0.8 by their sketches, in which each token flips one bit: they differ in at most as many bits as the sets in tokens."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in names), F.lit(0))
+    return differ <= n + m - overlap_needed(n, m) * 2
+
+
+def positions_allow(a: str, b: str) -> Column:
+    """Whether two sets that share a token, at pos (from 1) of their ordered tokens, can have Jaccard 0.8: what is before and after in both must do."""
+    n, m, i, j = (F.col(f"{side}.{c}") for c in ("n", "pos") for side in (a, b))
+    return F.least(i, j) + F.least(n - i, m - j) >= overlap_needed(n, m)
