@@ -19,20 +19,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirekit.llm.common import discard, lower_ascii, store
-from quirekit.llm.postings import bitmap, bitmap_bits, bucket, in_bitmap, near_in_size, overlap_needed, prefix_size
+from quirekit.llm.postings import bitmap, bitmap_bits, bucket, in_bitmap, near_in_size, positions_allow, prefix_size, sketch_allows
 
 #: Bits of a bucket's number in the rarity table, which has a byte for each bucket: 256 KB.
 BUCKET_BITS = 18
 #: Bits of a key that tell rarity, in half powers of two of the count; the others are of the word's hash.
 LEVEL_BITS = 6
-#: Longs of a sketch.
-SKETCH = 2
+#: The longs of a sketch.
+SKETCHES = ["s0", "s1"]
 SPACES = r"[\x20\x09-\x0D]+"
+OTHER_UPPER = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 SOME_WORD = r"[^\x20\x09-\x0D]"
 
 
 def words_of(text: Column) -> Column:
-    return F.split(lower_ascii(text), SPACES)
+    """Words with A-Z lower-cased; where nothing but ASCII is upper case, lower() does just that at less cost."""
+    return F.split(F.when(text.rlike(OTHER_UPPER), lower_ascii(text)).otherwise(F.lower(text)), SPACES)
 
 
 def rarity(docs: DataFrame) -> DataFrame:
@@ -67,19 +69,14 @@ def keyed(lines: DataFrame, order: DataFrame) -> DataFrame:
 
 def sketch(keys: Column, i: int) -> Column:
     """The ith long of a set's sketch: of the words whose key names this long, each flips the bit that its key names."""
-    own = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(SKETCH - 1)) == i
+    own = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(len(SKETCHES) - 1)) == i
     flip = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.when(own(x), flip(x)).otherwise(F.lit(0).cast("long"))))
 
 
 def within_bounds(a: str, b: str) -> Column:
     """Whether the sets of two postings of one word can have Jaccard 0.8: length, position and sketch."""
-    of = lambda side, c: F.col(f"{side}.{c}")
-    n, m = of(a, "n"), of(b, "n")
-    need = overlap_needed(n, m)
-    before, after = F.least(of(a, "pos"), of(b, "pos")), F.least(n - of(a, "pos"), m - of(b, "pos"))
-    differ = sum((F.bit_count(of(a, f"s{i}").bitwiseXOR(of(b, f"s{i}"))) for i in range(SKETCH)), F.lit(0))
-    return near_in_size(n, m) & (before + after >= need) & (differ <= n + m - need * 2)
+    return near_in_size(F.col(f"{a}.n"), F.col(f"{b}.n")) & positions_allow(a, b) & sketch_allows(a, b, SKETCHES)
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
@@ -87,16 +84,15 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     order = rarity(docs)
     n = F.size("keys")
     place = F.struct("id", "mark", "line_no")
-    sketches = [f"s{i}" for i in range(SKETCH)]
     found = keyed(lines_of(docs), order)
-    found = found.select("k", "k2", place.alias("at"), n.alias("n"), F.slice("keys", F.lit(1), prefix_size(n)).alias("prefix"), *[sketch(F.col("keys"), i).alias(s) for i, s in enumerate(sketches)])
-    classes = found.groupBy("k", "k2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix", *sketches)])
+    found = found.select("k", "k2", place.alias("at"), n.alias("n"), F.slice("keys", F.lit(1), prefix_size(n)).alias("prefix"), *[sketch(F.col("keys"), i).alias(s) for i, s in enumerate(SKETCHES)])
+    classes = found.groupBy("k", "k2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix", *SKETCHES)])
     classes = store(classes, "lines")
 
     # the words of the prefixes at which a class has a partner within the bounds
-    posted = classes.select("k", "n", *sketches, F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+    posted = classes.select("k", "n", *SKETCHES, F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
     met = posted.alias("x").join(posted.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.k") != F.col("y.k")) & within_bounds("x", "y"), "left_semi")
-    met = store(met.select("k", "n", *sketches, "pos", "token"), "met")
+    met = store(met.select("k", "n", *SKETCHES, "pos", "token"), "met")
 
     # their classes' whole sets, from the texts, and the search for an earlier similar one
     wanted = store(classes.join(met.select("k"), "k", "left_semi").select("k", "k2", "at"), "wanted")
