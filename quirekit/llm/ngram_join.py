@@ -7,7 +7,7 @@ common token to the rarest, so that copies share long paths: the probing set wal
 that share a beginning share the overlap counted so far, and a subtree is left as soon as the overlap
 and what can still come on either side fall short of what is needed.
 
-Postings carry a sketch of the whole set, in which each token flips one of 256 bits: sets differ in at
+Postings carry a sketch of the whole set, in which each token flips one of 128 bits: sets differ in at
 least as many tokens as their sketches in bits. A semi-join drops all postings without any partner
 within the bounds of length, position and sketch, so what shares a passage only makes no pairs.
 
@@ -38,7 +38,7 @@ TRIE = 512
 #: Sets of a task that make a token frequent, tokens looked at together, and frequent tokens kept (16 bytes each).
 SEEN, HELD, FREQUENT = 3, 2_000_000, 500_000
 #: The longs of a sketch.
-SKETCHES = ["s0", "s1", "s2", "s3"]
+SKETCHES = ["s0", "s1"]
 #: Turns with a few sets of each largest component, how many, and the pairs a posting that are compared at once without them.
 LEADERS, LOTS, EASY = 1, 3, 4
 #: Word hashes that a task remembers before it starts anew.
@@ -206,10 +206,11 @@ def sets_of(docs: DataFrame, order: Order, n: int, id_kind: str) -> DataFrame:
     return docs.select("id", "mark", "text").mapInArrow(rows, f"id {id_kind}, mark long, n int, k long, k2 long, {', '.join(f'{x} long' for x in SKETCHES)}, prefix array<long>")
 
 
-def verified(pairs: DataFrame, base: DataFrame, places: DataFrame, order: Order, n: int) -> DataFrame:
-    """The pairs (a, b: structs k, k2) that link. places: s (struct k, k2) and at (id, mark), where a set's text is."""
+def verified(pairs: DataFrame, base: DataFrame, sets: DataFrame, order: Order, n: int) -> DataFrame:
+    """The pairs (a, b: structs k, k2) that link. The texts of the sets are where ``sets`` says."""
     wanted = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    p = store(places.join(wanted, "s", "left_semi"), "wanted").alias("p")
+    places = sets.select(F.struct("k", "k2").alias("s"), F.struct("id", "mark").alias("at")).join(wanted, "s", "left_semi")
+    p = store(places.groupBy("s").agg(F.min("at").alias("at")), "wanted").alias("p")
     near = base.where(in_bitmap(F.xxhash64("id", "mark"), bitmap(p.select(F.xxhash64("at.id", "at.mark").alias("doc")), "doc"))).alias("d")
     texts = near.join(p, F.col("d.id").eqNullSafe(F.col("p.at.id")) & (F.col("d.mark") == F.col("p.at.mark"))).select("s", "text")
     texts = store(texts.groupBy("s").agg(F.first("text").alias("text")), "texts")
@@ -316,21 +317,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = store(sets_of(base, order, n, docs.schema[id_col].dataType.simpleString()), "sets")
     some = sets.where("prefix is not null")
     s = F.struct("k", "k2")
-    likely = shared(some.withColumn("last", F.element_at("prefix", -1)), ["id", "mark", "n", "k", "k2", "last", *SKETCHES])
-    once = likely.groupBy("token", "n", "pos", "k", "k2", "last", *SKETCHES).agg(F.min(F.struct("id", "mark")).alias("at")).select("token", "n", "pos", s.alias("s"), "last", "at", *SKETCHES)
-    once = store(once, "likely")
+    likely = shared(some.withColumn("last", F.element_at("prefix", -1)), ["n", "k", "k2", "last", *SKETCHES])
+    once = store(likely.distinct().select("token", "n", "pos", s.alias("s"), "last", *SKETCHES), "likely")
 
     # postings that have a partner within the bounds; a semi-join ends a row's search at the first
     postings = once.alias("x").join(once.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.s") != F.col("y.s")) & within_bounds("x", "y"), "left_semi")
     postings = store(postings, "postings")
     discard(once)
-    places = store(postings.groupBy("s").agg(F.min("at").alias("at")), "places")
 
-    # every set with the first set of each of its tokens
-    first = F.min(F.struct("at", "s", "n", "pos", "last", *SKETCHES)).alias("e")
+    # every set with the first set, by its hash, of each of its tokens
+    first = F.min(F.struct("s", "n", "pos", "last", *SKETCHES)).alias("e")
     firsts = store(postings.groupBy("token").agg(first).select("token", "e.*"), "firsts")
     star = store(in_reach(postings, firsts, F.col("x.s") != F.col("y.s")), "star")
-    links = store(verified(star, base, places, order, n), "links")
+    links = store(verified(star, base, sets, order, n), "links")
     labels = components(links)
 
     tried, more = star, True
@@ -341,7 +340,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         last_turn = turn == LEADERS or not more or load["pairs"] <= EASY * load["rows"]
         pairs = across(met, turn, whole=last_turn).join(tried, ["a", "b"], "left_anti")
         pairs = store(pairs, "pairs")
-        found = store(verified(pairs, base, places, order, n), "links")
+        found = store(verified(pairs, base, sets, order, n), "links")
         won = found.count()
         if won:
             links = links.unionByName(found)
