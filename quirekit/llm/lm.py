@@ -21,7 +21,7 @@ words, which grow with the corpus, stay in a table of the shared folder.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ ORDER, BACK_OFF, BASE, HASHES = 6, 3.0, 1.2, 3
 #: Bits for each entry, and the most bits of the whole filter: 32 MB.
 ENTRY_BITS, FILTER_BITS = 12, 1 << 28
 SEGMENTS = 64
+#: Bits of a word n-gram's code; codes that a task sorts and passes on at once; codes of a segment, about.
+CODE_BITS, CHUNK, SEGMENT_CODES = 48, 4_000_000, 2_000_000
 #: Words whose scores are sent to all workers at once (16 bytes each); with more words, texts and scores are joined.
 BROADCAST_WORDS = 5_000_000
 #: Distinct words that a task holds before it passes their counts on.
@@ -83,35 +85,46 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A Bloom filter over (n-gram, level), in segments of equal size."""
+    """A Bloom filter over (n-gram, level), in segments, each sized by its entries."""
 
-    def __init__(self, segments: list[np.ndarray] | np.ndarray):
-        self.segments = segments.reshape(-1) if isinstance(segments, np.ndarray) else np.concatenate(segments)
-        self.bits = np.uint64(len(segments[0]) * 64)
-        self.found: dict[int, float] = {}
+    def __init__(self, segments: list[np.ndarray], most: int):
+        """``most``: the highest level in the filter, where each search ends."""
+        sizes = np.array([len(x) for x in segments], dtype=np.uint64)
+        self.words, self.bits, self.most = np.concatenate(segments), sizes * np.uint64(64), most
+        self.starts = (np.cumsum(sizes) - sizes) * np.uint64(64)
 
     @staticmethod
-    def places(codes: np.ndarray, level: np.ndarray | int, bits: np.uint64) -> list[np.ndarray]:
+    def places(codes: np.ndarray, level: np.ndarray | int, bits: np.ndarray | np.uint64) -> list[np.ndarray]:
         base = mix(codes + np.asarray(level, dtype=np.uint64) * P2, 7)
         step = mix(base, 11) | np.uint64(1)
         return [(base + np.uint64(i) * step) % bits for i in range(HASHES)]
 
     @staticmethod
-    def segment(codes: np.ndarray) -> np.ndarray:
-        return mix(codes, 3) % np.uint64(SEGMENTS)
+    def segment(codes: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+        return ((mix(codes, 3) >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+
+    @staticmethod
+    def fill(block: np.ndarray, codes: np.ndarray, level: np.ndarray) -> None:
+        """Sets in ``block`` the bits of each code with each of its levels."""
+        for q in range(1, int(level.max(initial=0)) + 1):
+            for at in Filter.places(codes[level >= q], q, np.uint64(len(block) * 64)):
+                np.bitwise_or.at(block, (at >> np.uint64(6)).astype(np.intp), np.uint64(1) << (at & np.uint64(63)))
 
     def counts(self, codes: np.ndarray) -> np.ndarray:
         """The quantised counts of n-grams or contexts, 0 where the filter has none."""
         unique, back = np.unique(codes, return_inverse=True)
-        base = self.segment(unique) * self.bits
+        segment = self.segment(unique, len(self.bits)).astype(np.intp)
         level, on = np.zeros(len(unique), dtype=np.int64), np.arange(len(unique))
-        while len(on):
+        for q in range(1, self.most + 1):
             hit = np.ones(len(on), dtype=bool)
-            for p in self.places(unique[on], level[on] + 1, self.bits):
-                at = base[on] + p
-                hit &= (self.segments[(at >> np.uint64(6)).astype(np.intp)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            start, bits = self.starts[segment[on]], self.bits[segment[on]]
+            for p in self.places(unique[on], q, bits):
+                at = start + p
+                hit &= (self.words[(at >> np.uint64(6)).astype(np.intp)] >> (at & np.uint64(63))) & np.uint64(1) > 0
             on = on[hit]
-            level[on] += 1
+            if not len(on):
+                break
+            level[on] = q
         return np.where(level > 0, BASE ** (level - 1.0), 0.0)[back]
 
     def log10_words(self, words: list[bytes]) -> np.ndarray:
@@ -150,8 +163,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return store(docs.select("text", "training").mapInArrow(rows, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
-def spelling_filter(words: DataFrame) -> list[np.ndarray]:
-    """The filter's segments over the n-grams of the training words."""
+def spelling_filter(words: DataFrame) -> tuple[list[np.ndarray], int]:
+    """The filter over the n-grams of the training words: segments of one size, FILTER_BITS in all at most, and the highest level."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 20_000):
@@ -161,40 +174,28 @@ def spelling_filter(words: DataFrame) -> list[np.ndarray]:
                 found, n = np.unique(every, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], names=["code", "n"])
 
-    return filter_of(store(words.where("c > 0").select("word").mapInArrow(rows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams"), FILTER_BITS)
-
-
-def filter_of(grams: DataFrame, most: int | None = None) -> list[np.ndarray]:
-    """The segments of a filter over grams (code, n), of ``most`` bits at most if given."""
-
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code, n = np.asarray(batch.column(0)).astype(np.uint64), np.asarray(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels(n)), pa.array(Filter.segment(code).astype(np.int32))], names=["code", "level", "segment"])
 
+    grams = words.where("c > 0").select("word").mapInArrow(rows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     marked = store(grams.mapInArrow(sized, "code long, level long, segment int"), "levels")
-    entries = marked.agg(F.sum("level")).first()[0] or 0
-    if most:
-        bits = min(most, max(SEGMENTS * 64, 1 << (int(entries) * ENTRY_BITS).bit_length())) // SEGMENTS
-    else:
-        bits = 64 * (int(entries) * ENTRY_BITS // (SEGMENTS * 64) + 1)
+    entries, most = marked.agg(F.sum("level"), F.max("level")).first()
+    bits = min(FILTER_BITS, max(SEGMENTS * 64, 1 << (int(entries or 0) * ENTRY_BITS).bit_length())) // SEGMENTS
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
         for batch in batches:
             code, level, segment = np.asarray(batch.column(0)).astype(np.uint64), np.asarray(batch.column(1)), np.asarray(batch.column(2))
             for s in np.unique(segment):
-                block = made.setdefault(int(s), np.zeros(bits // 64, dtype=np.uint64))
-                some, most = code[segment == s], level[segment == s]
-                for q in range(1, int(most.max()) + 1):
-                    for at in Filter.places(some[most >= q], q, np.uint64(bits)):
-                        np.bitwise_or.at(block, (at >> np.uint64(6)).astype(np.intp), np.uint64(1) << (at & np.uint64(63)))
+                Filter.fill(made.setdefault(int(s), np.zeros(bits // 64, dtype=np.uint64)), code[segment == s], level[segment == s])
         for s, block in made.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["segment", "block"])
 
     blocks = {r["segment"]: np.frombuffer(r["block"], dtype=np.uint64) for r in marked.repartition(SEGMENTS, "segment").mapInArrow(filled, "segment int, block binary").collect()}
     empty = np.zeros(bits // 64, dtype=np.uint64)
-    return [blocks.get(s, empty) for s in range(SEGMENTS)]
+    return [blocks.get(s, empty) for s in range(SEGMENTS)], int(most or 0)
 
 
 def hashed(words: Iterable[bytes]) -> np.ndarray:
@@ -215,20 +216,94 @@ def word_grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     real = ~first & ~np.roll(first, 1)
     two = mix(mix(before, 22) + every, 23)
     three = mix(mix(mix(earlier, 24) + before, 25) + every, 26)
-    return mix(every, 21)[~first], two[~first], three[~first], real[~first]
+    short = np.uint64(64 - CODE_BITS)
+    return mix(every, 21)[~first] >> short, two[~first] >> short, three[~first] >> short, real[~first]
+
+
+def packed(codes: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted codes and their counts as bytes: the width of a difference, differences, and the counts other than 1 by place."""
+    steps = np.diff(codes, prepend=np.uint64(0))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    often = np.flatnonzero(n > 1)
+    head = np.array([width, len(codes), len(often)], dtype=np.int64).tobytes()
+    return head + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + often.astype(np.uint32).tobytes() + n[often].astype(np.int64).tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width, size, often = np.frombuffer(data, dtype=np.int64, count=3).tolist()
+    steps = np.zeros((size, 8), dtype=np.uint8)
+    steps[:, :width] = np.frombuffer(data, dtype=np.uint8, count=size * width, offset=24).reshape(size, width)
+    n = np.ones(size, dtype=np.int64)
+    at = np.frombuffer(data, dtype=np.uint32, count=often, offset=24 + size * width)
+    n[at] = np.frombuffer(data, dtype=np.int64, count=often, offset=24 + size * width + 4 * often)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64), n
+
+
+def summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted codes with the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, dtype=np.intp)
+    return codes[starts], np.add.reduceat(n[order], starts) if len(codes) else n
 
 
-def word_filter(docs: DataFrame) -> np.ndarray:
-    """The filter's segments over the word n-grams of training texts. docs: text, training."""
+def word_filter(docs: DataFrame, events: int) -> tuple[list[np.ndarray], int]:
+    """The filter over the word n-grams of training texts: segments, and the highest level. docs: text, training; events: their number.
+
+    Tasks pass on sorted runs of codes, cut by segment and packed; a segment's runs meet in one task,
+    which counts, quantises and fills its block. Segments grow in number with the events, so none is large.
+    """
+    segments = max(SEGMENTS, -(-3 * events // SEGMENT_CODES))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def passed() -> pa.RecordBatch:
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            codes, n = summed(every, np.ones(len(every), dtype=np.int64))
+            segment = Filter.segment(codes, segments).astype(np.int64)
+            order = np.argsort(segment, kind="stable")
+            cuts = np.searchsorted(segment[order], np.arange(segments + 1))
+            runs = [(s, packed(codes[order[i:j]], n[order[i:j]])) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())], names=["segment", "run"])
+
         for batch in slices(batches):
             one, two, three, real = word_grams([hashed(t.encode().lower().split() if t else ()) for t in batch.column(0).to_pylist()])
-            found, n = np.unique(np.concatenate([one, two, three[real]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["code", "n"])
+            held += [one, two, three[real]]
+            size += len(one) * 3
+            if size >= CHUNK:
+                yield passed()
+                size = 0
+        if held:
+            yield passed()
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, runs = None, []
+
+        def block() -> pa.RecordBatch:
+            codes, n = summed(*(np.concatenate(x) for x in zip(*map(unpacked, runs))))
+            runs.clear()
+            level = levels(n)
+            made = np.zeros(int(level.sum()) * ENTRY_BITS // 64 + 1, dtype=np.uint64)
+            Filter.fill(made, codes, level)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([made.tobytes()], pa.binary()), pa.array([int(level.max())], pa.int32())], names=["segment", "block", "most"])
+
+        for batch in batches:
+            for s, run in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if s != now and runs:
+                    yield block()
+                now = s
+                runs.append(run.as_py())
+        if runs:
+            yield block()
 
-    grams = docs.where("training").select("text").mapInArrow(rows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return np.stack(filter_of(grams))
+    runs = docs.where("training").select("text").mapInArrow(rows, "segment int, run binary")
+    made = runs.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(filled, "segment int, block binary, most int")
+    found = {r["segment"]: r for r in made.collect()}
+    empty = np.zeros(1, dtype=np.uint64)
+    return [np.frombuffer(found[s]["block"], dtype=np.uint64) if s in found else empty for s in range(segments)], max((r["most"] for r in found.values()), default=0)
 
 
 def in_context(known: Filter, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -243,11 +318,11 @@ def in_context(known: Filter, texts: list[np.ndarray]) -> tuple[np.ndarray, np.n
 
 
 def word_scores(words: DataFrame, total: int, distinct: int, once: int, twice: int) -> tuple[DataFrame, float]:
-    """(h, c, score): the hash, training count and log10 probability of every word; and the discount."""
+    """(h, c, score): the hash, training count and log10 probability (single precision) of every word; and the discount."""
     sent = words.sparkSession.sparkContext.broadcast(spelling_filter(words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filter(sent.value)
+        known = Filter(*sent.value)
         for batch in slices(batches, 20_000):
             some, c = batch.column(0).to_pylist(), np.asarray(batch.column(1))
             fit = np.zeros(len(some))
@@ -262,7 +337,7 @@ def word_scores(words: DataFrame, total: int, distinct: int, once: int, twice: i
     sum_of_fits = fits.agg(F.sum("fit")).first()[0] or 1.0
     seen = (F.col("c") - discount + F.col("fit") * (freed * (1 - new) / sum_of_fits)) / max(1, total)
     unseen = freed * new / total if total else 1.0
-    return fits.select("h", "c", F.log10(F.when(F.col("c") > 0, seen).otherwise(F.lit(unseen))).alias("score")), discount
+    return fits.select("h", "c", F.log10(F.when(F.col("c") > 0, seen).otherwise(F.lit(unseen))).cast("float").alias("score")), discount
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -283,7 +358,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base_log = lambda c: np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
     end_p = (ends - discount) / total if ends else 1.0
     end_base, end_known = float(base_log(ends)), int(ends > 0)
-    grams = docs.sparkSession.sparkContext.broadcast(word_filter(base))
+    grams = docs.sparkSession.sparkContext.broadcast(word_filter(base, total))
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -296,7 +371,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, c, score = sent.value
-            known = Filter(grams.value)
+            known = Filter(*grams.value)
             place: dict[bytes, int] = {}
             for batch in slices(batches):
                 out = []
@@ -322,7 +397,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return base.mapInArrow(scored, schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filter(grams.value)
+        known = Filter(*grams.value)
         for batch in slices(batches, 256):
             texts = [hashed(t.encode().lower().split() if t else ()) for t in batch.column(2).to_pylist()]
             a, b = in_context(known, texts)
@@ -344,7 +419,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     used = marked.select("id", "mark", "text").dropDuplicates(["id", "mark"]).mapInArrow(counted, f"id {kind}, mark long, h long, a double, b double, log double")
     log_base = F.log10((F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
     known_word, is_word = F.col("c") > 0, F.col("h").isNotNull()
-    log_score = F.when(is_word, F.log10(F.col("a") + F.col("b") * F.pow(F.lit(10.0), F.col("score")))).otherwise(F.col("log"))
+    log_score = F.when(is_word, F.log10(F.col("a") + F.col("b") * F.pow(F.lit(10.0), F.col("score").cast("double")))).otherwise(F.col("log"))
     sums = used.join(scores, "h", "left").groupBy("id", "mark").agg(F.count("h").alias("n"), F.count_if(known_word).alias("k"), F.sum(log_base).alias("b"), F.sum(log_score).alias("s"))
     sums = sums.select(F.col("id").alias("_id"), F.col("mark").alias("_m"), "n", "k", "b", "s")
     rows = marked.select("id", "mark", (~F.col("training")).alias("held_out"))

@@ -159,16 +159,79 @@ def test_filter_gives_back_quantised_counts():
     rnd = np.random.default_rng(5)
     codes, counts = np.unique(rnd.integers(0, 1 << 62, 3000).astype(np.uint64)), rnd.integers(1, 100_000, 3000)[: len(np.unique(rnd.integers(0, 1, 1)))]
     counts = rnd.integers(1, 100_000, len(codes))
-    level, bits = lm.levels(counts), 1 << 16
-    segments = [np.zeros(bits // 64, dtype=np.uint64) for _ in range(lm.SEGMENTS)]
+    level = lm.levels(counts)
+    segments = [np.zeros(1 << 10, dtype=np.uint64) for _ in range(lm.SEGMENTS)]
     where = lm.Filter.segment(codes).astype(int)
-    for code, q, s in zip(codes, level, where):
-        for j in range(1, q + 1):
-            for at in lm.Filter.places(np.array([code]), j, np.uint64(bits)):
-                segments[s][int(at[0]) >> 6] |= np.uint64(1) << np.uint64(int(at[0]) & 63)
-    found = lm.Filter(segments).counts(codes)
+    for i in range(lm.SEGMENTS):
+        lm.Filter.fill(segments[i], codes[where == i], level[where == i])
+    known = lm.Filter(segments, int(level.max()))
+    found = known.counts(codes)
     assert (found >= lm.BASE ** (level - 1.0) * 0.999).all()
-    assert np.median(found / counts) < 1.2 and (lm.Filter(segments).counts(codes ^ np.uint64(1 << 40)) == 0).mean() > 0.5
+    assert np.median(found / counts) < 1.2 and (known.counts(codes ^ np.uint64(1 << 40)) == 0).mean() > 0.5
+    full = lm.Filter([np.full(4, ~np.uint64(0)) for _ in range(lm.SEGMENTS)], 9)  # the search ends at the highest level
+    assert np.allclose(full.counts(codes), lm.BASE**8.0)
+
+
+def test_runs_are_packed_and_unpacked():
+    rnd = np.random.default_rng(3)
+    for size in (1, 2, 5000):
+        codes = np.unique(rnd.integers(0, 1 << lm.CODE_BITS, size).astype(np.uint64))
+        n = rnd.integers(1, 3, len(codes)) * rnd.integers(1, 10**12, len(codes)) ** rnd.integers(0, 2, len(codes))
+        got = lm.unpacked(lm.packed(codes, n))
+        assert (got[0] == codes).all() and (got[1] == n).all()
+
+
+def brute_lm(rows, no_context=False):
+    """Scores with back-off by exact counts of word n-grams, quantised, over the unigram of the base score's events."""
+    from collections import Counter
+    from zlib import crc32
+
+    words = {d: [*(t or "").lower().split()] for d, t in rows}
+    held = {d: crc32(str(d).encode()) % lm.FOLDS == 0 for d in words}
+    grams = Counter()
+    for d, w in words.items():
+        if not held[d]:
+            events = ["<s>", "<s>", *w, "</s>"]
+            for i in range(1, len(events)):
+                grams[tuple(events[i : i + 1])] += 1
+                grams[tuple(events[i - 1 : i + 1])] += 1
+                if i > 1:
+                    grams[tuple(events[i - 2 : i + 1])] += 1
+    count = lambda g: lm.BASE ** (lm.levels(np.array([grams[g]]))[0] - 1.0) if grams[g] and not no_context else 0.0
+    out = {}
+    for d, w in words.items():
+        events, pairs = ["<s>", "<s>", *w, "</s>"], []
+        for i in range(2, len(events)):
+            a, b = 0.0, 1.0
+            for k in (1, 2):
+                seen, before = count(tuple(events[i - k : i + 1])), count(tuple(events[i - k : i]))
+                weight = lm.CONTEXT_WEIGHT * before**lm.CONTEXT_POWER if before else 1.0
+                a, b = (min(seen, before) + weight * a) / (before + weight), weight * b / (before + weight)
+            pairs.append((events[i], a, b))
+        out[d] = pairs
+    return out
+
+
+def test_scores_equal_brute_force_and_come_from_the_filter(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ENTRY_BITS", 400)  # no false positives to speak of
+    monkeypatch.setattr(lm, "CHUNK", 500)  # several runs a task
+    rnd = random.Random(9)
+    vocab = [f"v{i}" for i in range(40)]
+    phrases = [[rnd.choice(vocab) for _ in range(12)] for _ in range(6)]
+    rows = [(i, " ".join(w for _ in range(rnd.randint(1, 4)) for w in rnd.choice(phrases))) for i in range(150)] + [(900, None), (901, ""), (902, "v1 new words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(df).collect()}
+    base = df.selectExpr("text", "crc32(cast(cast(doc_id as string) as binary)) % 10 != 0 AS training")
+    words = lm.word_counts(base)
+    t = words.selectExpr("sum(c) n", "count_if(c > 0) v", "count_if(c = 1) o", "count_if(c = 2) w").first()
+    ends = base.where("training").count()
+    scores, discount = lm.word_scores(words, t["n"] + ends, t["v"] + 1, t["o"], t["w"])
+    single = {r["h"]: 10.0 ** r["score"] for r in scores.collect()}
+    p_of = lambda w: (ends - discount) / (t["n"] + ends) if w == "</s>" else single[lm.xxhash.xxh3_64_intdigest(w.encode()) - 2**63]
+    for d, pairs in brute_lm(rows).items():
+        assert got[d] == pytest.approx(sum(np.log10(a + b * p_of(w)) for w, a, b in pairs), rel=1e-4)
+    without = sum(np.log10(a + b * p_of(w)) for d, pairs in brute_lm(rows, no_context=True).items() for w, a, b in pairs)
+    assert sum(got.values()) > 0.5 * without  # log10: without the filter the texts are less than half as likely in bits
 
 
 def test_chunks_cover_and_resist_shifts():
