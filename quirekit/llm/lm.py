@@ -1,21 +1,17 @@
-"""Language model scores from log-frequency Bloom filters.
+"""Language model scores from a log-frequency Bloom filter.
 
-A word is scored by the two words before it: trigrams back off to bigrams, bigrams to single words.
-Counts of word n-grams of all training texts are kept as quantised logarithms in a Bloom filter: an
-n-gram of level q is in the filter with each of the levels 1 to q, and a count is found again by
-asking for level after level until one is missing. Texts begin with two start marks and have an end.
-The filter's size follows the number of its entries; it is sent to all workers.
+A word is scored by the word before it: bigrams back off to single words. Counts of word bigrams and
+of their contexts, over all training texts, are kept as quantised logarithms in a Bloom filter: an
+n-gram of level q is in the filter with each of the levels 1 to q, and a count is found again by asking
+for level after level until one is missing or the highest is reached. Texts begin with a start mark and
+have an end. The filter has 12 bits for each entry, so it grows with the distinct bigrams of the corpus;
+it is sent to all workers, whose memory bounds the corpus (about 1.5 bytes for each distinct bigram).
 
 The events of single words are those of the base score: the end, every word of the training tokens,
 and one event for all other words. A word's probability is its discounted share of the training
-tokens, by exact counts. What the discount frees goes to unseen words, as much as words seen once make
-likely, and to the training words in proportion to how well their spelling fits. Discount and shares
-follow from the numbers of words seen once and twice; these probabilities add up to one. Those with
-context do so up to the quantisation of counts and the filter's false positives.
-
-The spelling model is an n-gram model over the bytes of words, trained on the distinct training words.
-Its counts are in a filter of the same kind, whose size is bounded (FILTER_BITS). The exact counts of
-words, which grow with the corpus, stay in a table of the shared folder.
+tokens, by exact counts; what the discount frees, as much as the words seen once weigh, goes to unseen
+words. These probabilities add up to one; those with context do so up to the quantisation of counts and
+the filter's false positives. The exact counts of words stay in a table of the shared folder.
 """
 
 from __future__ import annotations
@@ -32,14 +28,11 @@ from pyspark.sql import functions as F
 from quirekit.llm.common import slices, store, training_row
 
 FOLDS = 10
-#: Longest n-gram in bytes, weight of the next shorter one, base of the logarithms, hash functions.
-ORDER, BACK_OFF, BASE, HASHES = 6, 3.0, 1.2, 3
-#: Bits for each entry, and the most bits of the whole filter: 32 MB.
-ENTRY_BITS, FILTER_BITS = 12, 1 << 28
-SEGMENTS = 64
+#: Base of the logarithms, hash functions, bits for each entry, least number of segments.
+BASE, HASHES, ENTRY_BITS, SEGMENTS = 1.2, 3, 12, 64
 #: Bits of a word n-gram's code; codes that a task sorts and passes on at once; codes of a segment, about.
 CODE_BITS, CHUNK, SEGMENT_CODES = 48, 4_000_000, 2_000_000
-#: Words whose scores are sent to all workers at once (16 bytes each); with more words, texts and scores are joined.
+#: Words whose counts are sent to all workers at once (12 or 16 bytes each); with more words, texts and scores are joined.
 BROADCAST_WORDS = 5_000_000
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 200_000
@@ -55,30 +48,6 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of the words and an end after each: the packed ORDER bytes up to it, and its word's number."""
-    pad = bytes([START]) * (ORDER - 1)
-    data = np.frombuffer(b"".join(pad + w + bytes([END]) for w in words), dtype=np.uint8).astype(np.uint64)
-    sizes = np.array([len(w) + ORDER for w in words], dtype=np.int64)
-    code = np.zeros(len(data), dtype=np.uint64)
-    for j in range(ORDER):
-        code[ORDER - 1 :] |= data[j : len(data) - ORDER + 1 + j] << np.uint64(8 * (ORDER - 1 - j))
-    owner = np.repeat(np.arange(len(words)), sizes)
-    begun = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    real = begun >= ORDER - 1
-    return code[real], owner[real]
-
-
-def gram(code: np.ndarray, k: int) -> np.ndarray:
-    """The last k bytes of packed bytes, marked with k."""
-    return (code & np.uint64((1 << (8 * k)) - 1)) | np.uint64(k << 56)
-
-
-def context(code: np.ndarray, k: int) -> np.ndarray:
-    """The k - 1 bytes before the last, marked as a context."""
-    return ((code >> np.uint64(8)) & np.uint64((1 << (8 * (k - 1))) - 1)) | np.uint64((k << 56) | (1 << 63))
-
-
 def levels(counts: np.ndarray) -> np.ndarray:
     """Quantised logarithms: level q stands for BASE ** (q - 1), the nearest to the count."""
     return 1 + np.rint(np.log(counts) / np.log(BASE)).astype(np.int64)
@@ -127,15 +96,6 @@ class Filter:
             level[on] = q
         return np.where(level > 0, BASE ** (level - 1.0), 0.0)[back]
 
-    def log10_words(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the spelling model's probability of each word."""
-        code, owner = spelled(words)
-        p = np.full(len(code), 1 / 256)
-        for k in range(1, ORDER + 1):
-            inside, all_ = self.counts(gram(code, k)), self.counts(context(code, k))
-            p = (np.minimum(inside, all_) + BACK_OFF * p) / (all_ + BACK_OFF)
-        return np.bincount(owner, weights=np.log10(p), minlength=len(words))
-
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c): every word of all texts with its count in training texts. docs: text, training."""
@@ -163,61 +123,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return store(docs.select("text", "training").mapInArrow(rows, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
-def spelling_filter(words: DataFrame) -> tuple[list[np.ndarray], int]:
-    """The filter over the n-grams of the training words: segments of one size, FILTER_BITS in all at most, and the highest level."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 20_000):
-            code, _ = spelled(batch.column(0).to_pylist())
-            if len(code):
-                every = np.concatenate([x for k in range(1, ORDER + 1) for x in (gram(code, k), context(code, k))])
-                found, n = np.unique(every, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], names=["code", "n"])
-
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code, n = np.asarray(batch.column(0)).astype(np.uint64), np.asarray(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels(n)), pa.array(Filter.segment(code).astype(np.int32))], names=["code", "level", "segment"])
-
-    grams = words.where("c > 0").select("word").mapInArrow(rows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    marked = store(grams.mapInArrow(sized, "code long, level long, segment int"), "levels")
-    entries, most = marked.agg(F.sum("level"), F.max("level")).first()
-    bits = min(FILTER_BITS, max(SEGMENTS * 64, 1 << (int(entries or 0) * ENTRY_BITS).bit_length())) // SEGMENTS
-
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            code, level, segment = np.asarray(batch.column(0)).astype(np.uint64), np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            for s in np.unique(segment):
-                Filter.fill(made.setdefault(int(s), np.zeros(bits // 64, dtype=np.uint64)), code[segment == s], level[segment == s])
-        for s, block in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["segment", "block"])
-
-    blocks = {r["segment"]: np.frombuffer(r["block"], dtype=np.uint64) for r in marked.repartition(SEGMENTS, "segment").mapInArrow(filled, "segment int, block binary").collect()}
-    empty = np.zeros(bits // 64, dtype=np.uint64)
-    return [blocks.get(s, empty) for s in range(SEGMENTS)], int(most or 0)
+def hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (word, c) to (h, c): the word's hash as a signed number."""
+    for batch in slices(batches, 20_000):
+        h = (hashed(batch.column(0).to_pylist()) - np.uint64(1 << 63)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(1)], names=["h", "c"])
 
 
 def hashed(words: Iterable[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64)
 
 
-def word_grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The codes of one, two and three words that end at each event of texts given as word hashes, and which are real.
+def word_grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of one and of two words that end at each event of texts given as word hashes, and which are real.
 
     The events of a text are a start mark, its words and an end; the mark is the one event that is not real.
     """
-    start, end = np.array([START, START], dtype=np.uint64), np.array([END], dtype=np.uint64)
+    start, end = np.array([START], dtype=np.uint64), np.array([END], dtype=np.uint64)
     every = np.concatenate([x for t in texts for x in (start, t, end)]) if texts else np.zeros(0, dtype=np.uint64)
-    sizes = np.array([len(t) + 3 for t in texts], dtype=np.int64)
-    first = np.zeros(len(every), dtype=bool)
-    first[np.cumsum(sizes) - sizes] = True
-    before, earlier = np.roll(every, 1), np.roll(every, 2)
-    real = ~first & ~np.roll(first, 1)
-    two = mix(mix(before, 22) + every, 23)
-    three = mix(mix(mix(earlier, 24) + before, 25) + every, 26)
+    sizes = np.array([len(t) + 2 for t in texts], dtype=np.int64)
+    real = np.ones(len(every), dtype=bool)
+    real[np.cumsum(sizes) - sizes] = False
     short = np.uint64(64 - CODE_BITS)
-    return mix(every, 21)[~first] >> short, two[~first] >> short, three[~first] >> short, real[~first]
+    return mix(every, 21) >> short, mix(mix(np.roll(every, 1), 22) + every, 23) >> short, real
 
 
 def packed(codes: np.ndarray, n: np.ndarray) -> bytes:
@@ -253,7 +181,7 @@ def word_filter(docs: DataFrame, events: int) -> tuple[list[np.ndarray], int]:
     Tasks pass on sorted runs of codes, cut by segment and packed; a segment's runs meet in one task,
     which counts, quantises and fills its block. Segments grow in number with the events, so none is large.
     """
-    segments = max(SEGMENTS, -(-3 * events // SEGMENT_CODES))
+    segments = max(SEGMENTS, -(-2 * events // SEGMENT_CODES))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -270,9 +198,9 @@ def word_filter(docs: DataFrame, events: int) -> tuple[list[np.ndarray], int]:
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())], names=["segment", "run"])
 
         for batch in slices(batches):
-            one, two, three, real = word_grams([hashed(t.encode().lower().split() if t else ()) for t in batch.column(0).to_pylist()])
-            held += [one, two, three[real]]
-            size += len(one) * 3
+            one, two, real = word_grams([hashed(t.encode().lower().split() if t else ()) for t in batch.column(0).to_pylist()])
+            held += [one, two[real]]
+            size += len(one) * 2
             if size >= CHUNK:
                 yield passed()
                 size = 0
@@ -308,36 +236,16 @@ def word_filter(docs: DataFrame, events: int) -> tuple[list[np.ndarray], int]:
 
 def in_context(known: Filter, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) for every word and end of the texts: with its probability p as a single word, that in its context is a + b p."""
-    one, two, three, real = word_grams(texts)
-    n1, n2, n3 = np.split(known.counts(np.concatenate([one, two, three])), 3)
-    a, b = np.zeros(len(one)), np.ones(len(one))
-    for seen, context_ in ((n2, np.roll(n1, 1)), (n3, np.roll(n2, 1))):
-        weight = np.where(context_ > 0, CONTEXT_WEIGHT * context_**CONTEXT_POWER, 1.0)
-        a, b = (np.minimum(seen, context_) + weight * a) / (context_ + weight), weight * b / (context_ + weight)
-    return a[real], b[real]
+    one, two, real = word_grams(texts)
+    before, seen = np.split(known.counts(np.concatenate([np.roll(one, 1)[real], two[real]])), 2)
+    weight = np.where(before > 0, CONTEXT_WEIGHT * before**CONTEXT_POWER, 1.0)
+    return np.minimum(seen, before) / (before + weight), weight / (before + weight)
 
 
-def word_scores(words: DataFrame, total: int, distinct: int, once: int, twice: int) -> tuple[DataFrame, float]:
-    """(h, c, score): the hash, training count and log10 probability (single precision) of every word; and the discount."""
-    sent = words.sparkSession.sparkContext.broadcast(spelling_filter(words))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filter(*sent.value)
-        for batch in slices(batches, 20_000):
-            some, c = batch.column(0).to_pylist(), np.asarray(batch.column(1))
-            fit = np.zeros(len(some))
-            fit[c > 0] = 10.0 ** known.log10_words([w for w, n in zip(some, c) if n])
-            h = np.fromiter((xxhash.xxh3_64_intdigest(w) - 2**63 for w in some), dtype=np.int64, count=len(some))
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(1), pa.array(fit)], names=["h", "c", "fit"])
-
-    fits = store(words.mapInArrow(rows, "h long, c long, fit double"), "fits")
-    discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
-    freed = discount * distinct
-    new = min(0.99, max(0.01, once / freed)) if freed else 1.0  # the share of what is freed that unseen words get
-    sum_of_fits = fits.agg(F.sum("fit")).first()[0] or 1.0
-    seen = (F.col("c") - discount + F.col("fit") * (freed * (1 - new) / sum_of_fits)) / max(1, total)
-    unseen = freed * new / total if total else 1.0
-    return fits.select("h", "c", F.log10(F.when(F.col("c") > 0, seen).otherwise(F.lit(unseen))).cast("float").alias("score")), discount
+def discounted(total: int, distinct: int, once: int) -> tuple[float, float]:
+    """How much less each word counts, and the probability of all unseen words together."""
+    discount = min(0.9, max(0.01, once / distinct)) if distinct else 0.0
+    return discount, discount * distinct / total if total else 1.0
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -352,25 +260,28 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), training_row(F.col(id_col), folds).alias("training"))
     words = word_counts(base)
     ends = base.where("training").count()
-    tallied = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count("*").alias("all"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    tallied = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count("*").alias("all"), F.count_if(F.col("c") == 1).alias("once")).first()
     total, distinct = (tallied["n"] or 0) + ends, (tallied["v"] or 0) + (ends > 0)
-    scores, discount = word_scores(words, total, distinct, tallied["once"] or 0, tallied["twice"] or 0)
+    discount, unseen = discounted(total, distinct, tallied["once"] or 0)
     base_log = lambda c: np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
     end_p = (ends - discount) / total if ends else 1.0
     end_base, end_known = float(base_log(ends)), int(ends > 0)
     grams = docs.sparkSession.sparkContext.broadcast(word_filter(base, total))
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the runs' shuffle files
+    by_hash = words.mapInArrow(hashed_words, "h long, c long")
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     if tallied["all"] <= broadcast_words:
-        held = scores.orderBy("h").toArrow()
-        order = np.asarray(held.column("h").combine_chunks())
-        sent = docs.sparkSession.sparkContext.broadcast((order, np.asarray(held.column("c").combine_chunks()).astype(np.uint32 if total < 2**32 else np.int64), np.asarray(held.column("score").combine_chunks()).astype(np.float32)))
-        del held, order
+        held = by_hash.toArrow()
+        h, c = (np.asarray(held.column(i).combine_chunks()) for i in (0, 1))
+        order = np.argsort(h)
+        sent = docs.sparkSession.sparkContext.broadcast((h[order], c[order].astype(np.uint32 if total < 2**32 else np.int64)))
+        del held, h, c, order
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            h, c, score = sent.value
+            h, c = sent.value
             known = Filter(*grams.value)
             place: dict[bytes, int] = {}
             for batch in slices(batches):
@@ -384,10 +295,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 a, b = in_context(known, [h[at].astype(np.uint64) + np.uint64(1 << 63) for at in places])
                 done = 0
                 for found, at in zip(texts, places):
-                    p = np.append(10.0 ** score[at].astype(np.float64), end_p)
+                    n = c[at].astype(np.float64)
+                    p = np.append(np.where(n > 0, (n - discount) / max(1, total), unseen), end_p)
                     log = float(np.log10(a[done : done + len(p)] + b[done : done + len(p)] * p).sum())
                     done += len(p)
-                    n = c[at].astype(np.float64)
                     out.append((len(found) + 1, int((n > 0).sum()) + end_known, total, float(base_log(n).sum()) + end_base, log))
                 columns = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
@@ -419,8 +330,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     used = marked.select("id", "mark", "text").dropDuplicates(["id", "mark"]).mapInArrow(counted, f"id {kind}, mark long, h long, a double, b double, log double")
     log_base = F.log10((F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
     known_word, is_word = F.col("c") > 0, F.col("h").isNotNull()
-    log_score = F.when(is_word, F.log10(F.col("a") + F.col("b") * F.pow(F.lit(10.0), F.col("score").cast("double")))).otherwise(F.col("log"))
-    sums = used.join(scores, "h", "left").groupBy("id", "mark").agg(F.count("h").alias("n"), F.count_if(known_word).alias("k"), F.sum(log_base).alias("b"), F.sum(log_score).alias("s"))
+    log_score = F.when(is_word, F.log10(F.col("a") + F.col("b") * F.when(known_word, (F.col("c") - discount) / max(1, total)).otherwise(F.lit(unseen)))).otherwise(F.col("log"))
+    sums = used.join(by_hash, "h", "left").groupBy("id", "mark").agg(F.count("h").alias("n"), F.count_if(known_word).alias("k"), F.sum(log_base).alias("b"), F.sum(log_score).alias("s"))
     sums = sums.select(F.col("id").alias("_id"), F.col("mark").alias("_m"), "n", "k", "b", "s")
     rows = marked.select("id", "mark", (~F.col("training")).alias("held_out"))
     joined = rows.join(sums, rows["id"].eqNullSafe(sums["_id"]) & (rows["mark"] == sums["_m"]), "left")

@@ -131,12 +131,10 @@ def test_lm_probabilities_add_up_to_one(spark):
     held = [r for r in lm.score_texts(both.where("doc_id < 10000000 or crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")).collect()]
     assert held and all(r["score"] <= 0 for r in held)
     base = lm.word_counts(df.selectExpr("text", "true AS training"))
-    t = base.selectExpr("sum(c) n", "count(*) v", "count_if(c=1) o", "count_if(c=2) w").first()
+    t = base.selectExpr("sum(c) n", "count(*) v", "count_if(c=1) o").first()
     total, distinct = t["n"] + 60, t["v"] + 1
-    scores, discount = lm.word_scores(base, total, distinct, t["o"], t["w"])
-    known = sum(10 ** r["score"] for r in scores.collect()) + (60 - discount) / total
-    freed = discount * distinct
-    assert known + freed / total * min(0.99, max(0.01, t["o"] / freed)) == pytest.approx(1)
+    discount, unseen = lm.discounted(total, distinct, t["o"])
+    assert sum((r["c"] - discount) / total for r in base.collect()) + (60 - discount) / total + unseen == pytest.approx(1)
 
 
 def test_lm_without_training_rows(spark):
@@ -191,23 +189,17 @@ def brute_lm(rows, no_context=False):
     grams = Counter()
     for d, w in words.items():
         if not held[d]:
-            events = ["<s>", "<s>", *w, "</s>"]
-            for i in range(1, len(events)):
-                grams[tuple(events[i : i + 1])] += 1
-                grams[tuple(events[i - 1 : i + 1])] += 1
-                if i > 1:
-                    grams[tuple(events[i - 2 : i + 1])] += 1
+            events = ["<s>", *w, "</s>"]
+            grams.update((e,) for e in events)
+            grams.update(zip(events, events[1:]))
     count = lambda g: lm.BASE ** (lm.levels(np.array([grams[g]]))[0] - 1.0) if grams[g] and not no_context else 0.0
     out = {}
     for d, w in words.items():
-        events, pairs = ["<s>", "<s>", *w, "</s>"], []
-        for i in range(2, len(events)):
-            a, b = 0.0, 1.0
-            for k in (1, 2):
-                seen, before = count(tuple(events[i - k : i + 1])), count(tuple(events[i - k : i]))
-                weight = lm.CONTEXT_WEIGHT * before**lm.CONTEXT_POWER if before else 1.0
-                a, b = (min(seen, before) + weight * a) / (before + weight), weight * b / (before + weight)
-            pairs.append((events[i], a, b))
+        events, pairs = ["<s>", *w, "</s>"], []
+        for one, two in zip(events, events[1:]):
+            seen, before = count((one, two)), count((one,))
+            weight = lm.CONTEXT_WEIGHT * before**lm.CONTEXT_POWER if before else 1.0
+            pairs.append((two, min(seen, before) / (before + weight), weight / (before + weight)))
         out[d] = pairs
     return out
 
@@ -223,11 +215,12 @@ def test_scores_equal_brute_force_and_come_from_the_filter(spark, monkeypatch):
     got = {r["doc_id"]: r["score"] for r in lm.score_texts(df).collect()}
     base = df.selectExpr("text", "crc32(cast(cast(doc_id as string) as binary)) % 10 != 0 AS training")
     words = lm.word_counts(base)
-    t = words.selectExpr("sum(c) n", "count_if(c > 0) v", "count_if(c = 1) o", "count_if(c = 2) w").first()
+    t = words.selectExpr("sum(c) n", "count_if(c > 0) v", "count_if(c = 1) o").first()
     ends = base.where("training").count()
-    scores, discount = lm.word_scores(words, t["n"] + ends, t["v"] + 1, t["o"], t["w"])
-    single = {r["h"]: 10.0 ** r["score"] for r in scores.collect()}
-    p_of = lambda w: (ends - discount) / (t["n"] + ends) if w == "</s>" else single[lm.xxhash.xxh3_64_intdigest(w.encode()) - 2**63]
+    total = t["n"] + ends
+    discount, unseen = lm.discounted(total, t["v"] + 1, t["o"])
+    c = {r["word"].decode(): r["c"] for r in words.collect()} | {"</s>": ends}
+    p_of = lambda w: (c[w] - discount) / total if c[w] else unseen
     for d, pairs in brute_lm(rows).items():
         assert got[d] == pytest.approx(sum(np.log10(a + b * p_of(w)) for w, a, b in pairs), rel=1e-4)
     without = sum(np.log10(a + b * p_of(w)) for d, pairs in brute_lm(rows, no_context=True).items() for w, a, b in pairs)
@@ -300,4 +293,4 @@ def test_repeated_rows_are_one_document(spark):
 
 def test_lm_counts_are_kept_to_a_tenth():
     counts = np.arange(1, 5000)
-    assert lm.ORDER == 6 and np.abs(np.log(lm.BASE ** (lm.levels(counts) - 1.0) / counts)).max() < 0.1
+    assert np.abs(np.log(lm.BASE ** (lm.levels(counts) - 1.0) / counts)).max() < 0.1
