@@ -25,13 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import slices, store, training_row
+from quirekit.llm.common import discard, slices, store, training_row
+from quirekit.llm.ngram_join import Words
 
 FOLDS = 10
 #: Base of the logarithms, hash functions, bits for each entry, least number of segments.
 BASE, HASHES, ENTRY_BITS, SEGMENTS = 1.2, 3, 12, 64
 #: Bits of a word n-gram's code; codes that a task sorts and passes on at once; codes of a segment, about.
 CODE_BITS, CHUNK, SEGMENT_CODES = 48, 4_000_000, 2_000_000
+#: Blocks (of some 3 MB) fetched at once.
+FETCHED = 16
 #: Words whose counts are sent to all workers at once (12 or 16 bytes each); with more words, texts and scores are joined.
 BROADCAST_WORDS = 5_000_000
 #: Distinct words that a task holds before it passes their counts on.
@@ -56,10 +59,10 @@ def levels(counts: np.ndarray) -> np.ndarray:
 class Filter:
     """A Bloom filter over (n-gram, level), in segments, each sized by its entries."""
 
-    def __init__(self, segments: list[np.ndarray], most: int):
-        """``most``: the highest level in the filter, where each search ends."""
-        sizes = np.array([len(x) for x in segments], dtype=np.uint64)
-        self.words, self.bits, self.most = np.concatenate(segments), sizes * np.uint64(64), most
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, most: int):
+        """The segments' words in a row, how many each has, and the highest level in the filter, where each search ends."""
+        sizes = sizes.astype(np.uint64)
+        self.words, self.bits, self.most = words, sizes * np.uint64(64), most
         self.starts = (np.cumsum(sizes) - sizes) * np.uint64(64)
 
     @staticmethod
@@ -126,12 +129,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (word, c) to (h, c): the word's hash as a signed number."""
     for batch in slices(batches, 20_000):
-        h = (hashed(batch.column(0).to_pylist()) - np.uint64(1 << 63)).view(np.int64)
+        h = (hashed(batch.column(0).to_pylist(), Words()) - np.uint64(1 << 63)).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(1)], names=["h", "c"])
 
 
-def hashed(words: Iterable[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64)
+def hashed(words: Iterable[bytes], known: Words) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64)
 
 
 def word_grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,16 +178,17 @@ def summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[starts], np.add.reduceat(n[order], starts) if len(codes) else n
 
 
-def word_filter(docs: DataFrame, events: int) -> tuple[list[np.ndarray], int]:
-    """The filter over the word n-grams of training texts: segments, and the highest level. docs: text, training; events: their number.
+def word_filter(docs: DataFrame, events: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The filter over the word n-grams of training texts, as Filter takes it. docs: text, training; events: their number.
 
     Tasks pass on sorted runs of codes, cut by segment and packed; a segment's runs meet in one task,
     which counts, quantises and fills its block. Segments grow in number with the events, so none is large.
+    Blocks reach the driver a few at a time.
     """
     segments = max(SEGMENTS, -(-2 * events // SEGMENT_CODES))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, known = [], 0, Words()
 
         def passed() -> pa.RecordBatch:
             every = np.concatenate(held)
@@ -198,7 +202,7 @@ def word_filter(docs: DataFrame, events: int) -> tuple[list[np.ndarray], int]:
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())], names=["segment", "run"])
 
         for batch in slices(batches):
-            one, two, real = word_grams([hashed(t.encode().lower().split() if t else ()) for t in batch.column(0).to_pylist()])
+            one, two, real = word_grams([hashed(t.encode().lower().split() if t else (), known) for t in batch.column(0).to_pylist()])
             held += [one, two[real]]
             size += len(one) * 2
             if size >= CHUNK:
@@ -228,10 +232,16 @@ def word_filter(docs: DataFrame, events: int) -> tuple[list[np.ndarray], int]:
             yield block()
 
     runs = docs.where("training").select("text").mapInArrow(rows, "segment int, run binary")
-    made = runs.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(filled, "segment int, block binary, most int")
-    found = {r["segment"]: r for r in made.collect()}
-    empty = np.zeros(1, dtype=np.uint64)
-    return [np.frombuffer(found[s]["block"], dtype=np.uint64) if s in found else empty for s in range(segments)], max((r["most"] for r in found.values()), default=0)
+    made = store(runs.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(filled, "segment int, block binary, most int"), "filter")
+    sizes, most = np.ones(segments, dtype=np.int64), 0
+    for r in made.select("segment", F.octet_length("block").alias("n"), "most").collect():
+        sizes[r["segment"]], most = r["n"] // 8, max(most, r["most"])
+    words, starts = np.zeros(sizes.sum(), dtype=np.uint64), np.cumsum(sizes) - sizes
+    for first in range(0, segments, FETCHED):
+        for r in made.where((F.col("segment") >= first) & (F.col("segment") < first + FETCHED)).select("segment", "block").collect():
+            words[starts[r["segment"]] :][: sizes[r["segment"]]] = np.frombuffer(r["block"], dtype=np.uint64)
+    discard(made)
+    return words, sizes, most
 
 
 def in_context(known: Filter, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -308,9 +318,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return base.mapInArrow(scored, schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filter(*grams.value)
+        known, met = Filter(*grams.value), Words()
         for batch in slices(batches, 256):
-            texts = [hashed(t.encode().lower().split() if t else ()) for t in batch.column(2).to_pylist()]
+            texts = [hashed(t.encode().lower().split() if t else (), met) for t in batch.column(2).to_pylist()]
             a, b = in_context(known, texts)
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             last = np.zeros(len(a), dtype=bool)

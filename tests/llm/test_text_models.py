@@ -162,11 +162,12 @@ def test_filter_gives_back_quantised_counts():
     where = lm.Filter.segment(codes).astype(int)
     for i in range(lm.SEGMENTS):
         lm.Filter.fill(segments[i], codes[where == i], level[where == i])
-    known = lm.Filter(segments, int(level.max()))
+    sizes = np.full(lm.SEGMENTS, 1 << 10)
+    known = lm.Filter(np.concatenate(segments), sizes, int(level.max()))
     found = known.counts(codes)
     assert (found >= lm.BASE ** (level - 1.0) * 0.999).all()
     assert np.median(found / counts) < 1.2 and (known.counts(codes ^ np.uint64(1 << 40)) == 0).mean() > 0.5
-    full = lm.Filter([np.full(4, ~np.uint64(0)) for _ in range(lm.SEGMENTS)], 9)  # the search ends at the highest level
+    full = lm.Filter(np.full(4 * lm.SEGMENTS, ~np.uint64(0)), np.full(lm.SEGMENTS, 4), 9)  # the search ends at the highest level
     assert np.allclose(full.counts(codes), lm.BASE**8.0)
 
 
