@@ -34,7 +34,7 @@ BASE, HASHES, ENTRY_BITS, SEGMENTS = 1.2, 3, 12, 64
 #: Bits of a word n-gram's code; codes that a task sorts and passes on at once; codes of a segment, about.
 CODE_BITS, CHUNK, SEGMENT_CODES = 48, 4_000_000, 2_000_000
 #: Blocks (of some 3 MB) fetched at once.
-FETCHED = 16
+FETCHED = 8
 #: Words whose counts are sent to all workers at once (12 or 16 bytes each); with more words, texts and scores are joined.
 BROADCAST_WORDS = 5_000_000
 #: Distinct words that a task holds before it passes their counts on.
@@ -51,9 +51,15 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def level_values(most: float = 1e18) -> np.ndarray:
+    """The counts that levels 1, 2, ... stand for: whole numbers to 10, then in steps of BASE."""
+    return np.concatenate([np.arange(1.0, 10.0), 10.0 * BASE ** np.arange(0, np.log(most / 10) / np.log(BASE))])
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
-    """Quantised logarithms: level q stands for BASE ** (q - 1), the nearest to the count."""
-    return 1 + np.rint(np.log(counts) / np.log(BASE)).astype(np.int64)
+    """Quantised logarithms of counts: the level whose value is nearest."""
+    between = np.log(level_values())
+    return 1 + np.searchsorted((between[1:] + between[:-1]) / 2, np.log(counts))
 
 
 class Filter:
@@ -66,14 +72,17 @@ class Filter:
         self.starts = (np.cumsum(sizes) - sizes) * np.uint64(64)
 
     @staticmethod
-    def places(codes: np.ndarray, level: np.ndarray | int, bits: np.ndarray | np.uint64) -> list[np.ndarray]:
+    def places(codes: np.ndarray, level: np.ndarray | int, bits: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
+        """The places of each code with a level in a segment of so many bits (under 2**32), one hash function after the other."""
         base = mix(codes + np.asarray(level, dtype=np.uint64) * P2, 7)
         step = mix(base, 11) | np.uint64(1)
-        return [(base + np.uint64(i) * step) % bits for i in range(HASHES)]
+        for i in range(HASHES):
+            yield (((base + np.uint64(i) * step) >> np.uint64(32)) * bits) >> np.uint64(32)
 
     @staticmethod
     def segment(codes: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
-        return ((mix(codes, 3) >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+        """By the high bits of codes, so that sorted codes are sorted by segment."""
+        return ((codes >> np.uint64(CODE_BITS - 32)) * np.uint64(segments)) >> np.uint64(32)
 
     @staticmethod
     def fill(block: np.ndarray, codes: np.ndarray, level: np.ndarray) -> None:
@@ -89,15 +98,16 @@ class Filter:
         level, on = np.zeros(len(unique), dtype=np.int64), np.arange(len(unique))
         for q in range(1, self.most + 1):
             hit = np.ones(len(on), dtype=bool)
-            start, bits = self.starts[segment[on]], self.bits[segment[on]]
-            for p in self.places(unique[on], q, bits):
+            where = segment[on]
+            start = self.starts[where]
+            for p in self.places(unique[on], q, self.bits[where]):
                 at = start + p
-                hit &= (self.words[(at >> np.uint64(6)).astype(np.intp)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+                hit &= (self.words[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
             on = on[hit]
             if not len(on):
                 break
             level[on] = q
-        return np.where(level > 0, BASE ** (level - 1.0), 0.0)[back]
+        return np.concatenate([[0.0], level_values()])[level][back]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -194,11 +204,10 @@ def word_filter(docs: DataFrame, events: int) -> tuple[np.ndarray, np.ndarray, i
             every = np.concatenate(held)
             held.clear()
             every.sort()
-            codes, n = summed(every, np.ones(len(every), dtype=np.int64))
-            segment = Filter.segment(codes, segments).astype(np.int64)
-            order = np.argsort(segment, kind="stable")
-            cuts = np.searchsorted(segment[order], np.arange(segments + 1))
-            runs = [(s, packed(codes[order[i:j]], n[order[i:j]])) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
+            starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+            codes, n = every[starts], np.diff(starts, append=len(every))
+            cuts = np.searchsorted(Filter.segment(codes, segments), np.arange(segments + 1, dtype=np.uint64))
+            runs = [(s, packed(codes[i:j], n[i:j])) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())], names=["segment", "run"])
 
         for batch in slices(batches):
@@ -240,6 +249,7 @@ def word_filter(docs: DataFrame, events: int) -> tuple[np.ndarray, np.ndarray, i
     for first in range(0, segments, FETCHED):
         for r in made.where((F.col("segment") >= first) & (F.col("segment") < first + FETCHED)).select("segment", "block").collect():
             words[starts[r["segment"]] :][: sizes[r["segment"]]] = np.frombuffer(r["block"], dtype=np.uint64)
+        docs.sparkSession.sparkContext._jvm.System.gc()
     discard(made)
     return words, sizes, most
 
