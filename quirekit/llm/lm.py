@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -305,25 +306,29 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             known = Filter(*grams.value)
             place: dict[bytes, int] = {}
             for batch in slices(batches):
-                out = []
                 texts = [t.encode().lower().split() if t else [] for t in batch.column(1).to_pylist()]
                 if len(place) > HELD:
                     place = {}
                 fresh = list(set().union(*texts).difference(place))
-                place.update(zip(fresh, np.searchsorted(h, np.fromiter((xxhash.xxh3_64_intdigest(w) - 2**63 for w in fresh), dtype=np.int64, count=len(fresh))).tolist()))
-                places = [np.fromiter(map(place.__getitem__, found), dtype=np.intp, count=len(found)) for found in texts]
-                a, b = in_context(known, [h[at].astype(np.uint64) + np.uint64(1 << 63) for at in places])
-                done = 0
-                for found, at in zip(texts, places):
-                    n = c[at].astype(np.float64)
-                    p = np.append(np.where(n > 0, (n - discount) / max(1, total), unseen), end_p)
-                    log = float(np.log10(a[done : done + len(p)] + b[done : done + len(p)] * p).sum())
-                    done += len(p)
-                    out.append((len(found) + 1, int((n > 0).sum()) + end_known, total, float(base_log(n).sum()) + end_base, log))
-                columns = list(zip(*out)) or [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([not t for t in batch.column(2).to_pylist()], pa.bool_()), *(pa.array(x, pa.int64()) for x in columns[:3]), *(pa.array(x, pa.float64()) for x in columns[3:])], names=names
-                )
+                sought = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), dtype=np.uint64, count=len(fresh))
+                sought = (sought - np.uint64(1 << 63)).view(np.int64)
+                order = np.argsort(sought)  # neighbours are near in memory
+                for i, at in zip(order.tolist(), np.searchsorted(h, sought[order]).tolist()):
+                    place[fresh[i]] = at
+                sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+                places = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), dtype=np.intp, count=sizes.sum())
+                hashes = h[places].view(np.uint64) + np.uint64(1 << 63)
+                a, b = in_context(known, np.split(hashes, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+                ends_at = np.cumsum(sizes + 1) - 1
+                word = np.ones(len(a), dtype=bool)
+                word[ends_at] = False
+                n = c[places].astype(np.float64)
+                p, base_logs, seen = np.full(len(a), end_p), np.full(len(a), end_base), np.full(len(a), end_known)
+                p[word], base_logs[word], seen[word] = np.where(n > 0, (n - discount) / max(1, total), unseen), base_log(n), n > 0
+                sums = [np.add.reduceat(x, ends_at - sizes) for x in (seen, base_logs, np.log10(a + b * p))] if len(sizes) else [np.zeros(0)] * 3
+                held_out = pa.array([not t for t in batch.column(2).to_pylist()], pa.bool_())
+                columns = [pa.array(x, pa.int64()) for x in (sizes + 1, sums[0].astype(np.int64), np.full(len(sizes), total))] + [pa.array(x, pa.float64()) for x in sums[1:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), held_out, *columns], names=names)
 
         return base.mapInArrow(scored, schema)
 
