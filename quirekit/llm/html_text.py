@@ -30,21 +30,24 @@ SHARE = 0.2
 BROADCAST = 200_000
 SALTS = 16
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# a tag ends at ">", at the next "<" outside quotes, or at the end; a quote without an end is a character like others
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z|(?=<))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math mi mn mo mrow msub msup mfrac msqrt mtext".split())
 CELLS = frozenset("td th".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: An end tag or an implied end never reaches beyond one of these.
 SCOPES = frozenset("article main section aside nav body html table td th ul ol dl div blockquote".split())
-DROPPED = frozenset("nav footer aside form button menu dialog script style noscript template textarea title iframe svg math object select head".split())
-MARKED = frozenset("div section ul ol dl p span table figure details article header center".split())
+DROPPED = frozenset("nav footer aside form button menu dialog script style noscript template textarea title iframe svg object select head".split())
+MARKED = frozenset("div section ul ol dl p table figure details header center".split())
 NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices alert banner ad ads adv advert adverts advertisement sponsor sponsored promo promotion "
     "comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay search pagination pager toolbar skip form".split()
 )
+#: Inside an article or main part a name says so only if it is the whole class or id, and one of these.
+INNER_NAMES = frozenset("ad ads advert adverts advertisement sponsored cookie cookies consent comment comments disqus replies share sharing newsletter".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 PLACES = ("article", "main", "body")
 
@@ -144,7 +147,12 @@ class Page:
             return True
         if found.get("role", "").lower() in ROLES:
             return True
-        return name in MARKED and not NAMES.isdisjoint(re.split(r"[\s_\-]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+        if name not in MARKED:
+            return False
+        given = f"{found.get('class', '')} {found.get('id', '')}".lower()
+        if any(self.tags[e] in ("article", "main") for e in stack):
+            return not INNER_NAMES.isdisjoint(given.split())
+        return not NAMES.isdisjoint(re.split(r"[\s_\-]+", given))
 
     def text(self, raw: str, holder: int, inside: list[str]) -> None:
         decoded = html.unescape(raw) if "&" in raw else raw
