@@ -9,7 +9,6 @@ that grows with the logarithm of the document's length.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,6 @@ BITS = 14
 FOLDS = 5
 #: A further language must raise the log-likelihood by this many times the logarithm of the n-grams.
 PENALTY = 6.0
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: ASCII characters other than letters count as spaces; bytes beyond ASCII stay.
 PLAIN = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], dtype=np.uint32)
@@ -48,40 +46,40 @@ class Model:
 
     def mixture(self, text: str | None) -> tuple[list[int], np.ndarray]:
         """The selected languages and their proportions; none for a text without letters."""
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return [], np.zeros(0)
-        g = grams(text)
-        single = self.log_p[g].sum(axis=0)
+        g, n = np.unique(grams(text), return_counts=True)  # as many rows as buckets at most, however long the text
+        single = n @ self.log_p[g]
         chosen = [int(single.argmax())]
         now, share = float(single[chosen[0]]), np.ones(1)
         p = self.p[g]
-        penalty = PENALTY * np.log(len(g) + 1)
+        penalty = PENALTY * np.log(n.sum() + 1)
         while len(chosen) < len(self.languages):
             mixed = p[:, chosen] @ share
             # the log-likelihood is concave: adding a language can't gain more than its slope
-            slope = len(g) * ((p / mixed[:, None]).mean(axis=0) - 1)
+            slope = n @ (p / mixed[:, None]) - n.sum()
             slope[chosen] = -np.inf
             best = int(slope.argmax())
             if slope[best] <= penalty:
                 break
             tried = [*chosen, best]
-            weights, value = self.maximise(p[:, tried], np.append(share * 0.9, 0.1))
+            weights, value = self.maximise(p[:, tried], n, np.append(share * 0.9, 0.1))
             if value - now <= penalty:
                 break
             chosen, share, now = tried, weights, value
         return chosen, share
 
     @staticmethod
-    def maximise(p: np.ndarray, share: np.ndarray, rounds: int = 60, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
-        """Proportions by expectation-maximisation, and their log-likelihood."""
+    def maximise(p: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int = 60, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
+        """Proportions by expectation-maximisation, and their log-likelihood, of n-grams met n times."""
         before = -np.inf
         for _ in range(rounds):
             weighted = p * share
             total = weighted.sum(axis=1)
-            value = float(np.log(total).sum())
+            value = float(n @ np.log(total))
             if value - before < tolerance:
                 break
-            before, share = value, (weighted / total[:, None]).mean(axis=0)
+            before, share = value, n @ (weighted / total[:, None]) / n.sum()
         return share, value
 
     def predict(self, text: str | None) -> tuple[str, float]:

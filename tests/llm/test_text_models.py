@@ -30,9 +30,39 @@ PAGES = [
     ("<article><header><h1>Title</h1></header><p>x</article><p>outside", "Title\nx"),
     ("<ARTICLE><P>up</P></ARTICLE>", "up"),
     ("<article><p>a</b></i>b</p></article></div></body>", "ab"),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>x</article>', "Title\nx"),
+    ('<article><section class="related work"><p>On related work.</p></section><div id="search"><p>We search.</p></div></article>', "On related work.\nWe search."),
+    ('<article class="social history"><p>The guilds</p></article>', "The guilds"),
+    ('<article><p>a <span class="form">form</span> and <math><mi>x</mi></math></p><div class="comments">bad</div></article>', "a form and x"),
+    ('<p>a <b title="never closed>x</p><p>y', "a x\ny"),
 ]
 
 
+def test_very_long_and_broken_pages_take_linear_time():
+    import time
+
+    for piece in ("<a ", '<a x="', "<a '", "<!--", "<p>&amp;", '<b "<b \'', "<div>", "</p>"):
+        began = time.perf_counter()
+        html_text.Page("<p>start" + piece * 40_000).main_text(frozenset())
+        assert time.perf_counter() - began < 20, piece
+
+
+def test_templates_decide_on_pages_without_an_article(spark):
+    """Brute force: of pages without names or places that tell, blocks that recur on many pages of the host go, all others stay."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    fixed = {h: [" ".join(word() for _ in range(5)) for _ in range(4)] for h in ("a", "b")}
+    rows, expected = [], {}
+    for i in range(40):
+        host = "ab"[i % 2]
+        own = [" ".join(word() for _ in range(12)) for _ in range(rnd.randint(1, 4))]
+        parts = [f"<div><div>{t}</div></div>" for t in fixed[host][:2]] + [f"<div><p>{t}</p></div>" for t in own] + [f"<div><ul><li>{t}</ul></div>" for t in fixed[host][2:]]
+        rows.append((i, f"http://{host}.example/{i}", f"<body>{''.join(parts)}</body>"))
+        expected[i] = "\n".join(own)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == expected
+
+
 @pytest.mark.parametrize("source,expected", PAGES)
 def test_main_text(source, expected):
     assert text_of(source) == expected
@@ -72,6 +102,26 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_mixtures_equal_brute_force_em():
+    """The proportions of every set of languages that the model may choose, by EM over single n-grams."""
+    rnd = np.random.default_rng(1)
+    model = language.Model(["a", "b", "c"], rnd.integers(0, 50, (3, 1 << language.BITS)) * (rnd.random((3, 1 << language.BITS)) < 0.05))
+    text = "".join(rnd.choice(list("abcdefghij klm"), 3000))
+    chosen, share = model.mixture(text)
+    p, w = model.p[language.grams(text)][:, chosen], np.full(len(chosen), 1 / len(chosen))
+    for _ in range(500):
+        w = (p * w / (p @ w)[:, None]).mean(axis=0)
+    assert share == pytest.approx(w, abs=0.02)
+    best = max(np.log(model.p[language.grams(text)][:, i]).sum() for i in range(3))
+    assert np.log(p @ share).sum() >= best - 1e-6
+
+
+def test_only_letters_make_a_language(spark):
+    docs = spark.createDataFrame([(1, "the cat of the house", "en"), (2, "\u00bd \u00b2 7", None), (3, "\u00e9", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict_all(docs).collect()}
+    assert got[2] == "und" and got[3] in ("en", "und")
+
+
 def test_language_mixtures_and_odd_rows(spark):
     rnd = random.Random(1)
     make = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 7))) for _ in range(n))
