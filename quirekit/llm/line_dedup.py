@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirekit.llm.common import discard, lower_ascii, store
-from quirekit.llm.postings import bitmap, bitmap_bits, bucket, in_bitmap, near_in_size, positions_allow, prefix_size, sketch_allows
+from quirekit.llm.postings import bitmap, bitmap_bits, bucket, in_bitmap, in_own_prefixes, near_in_size, positions_allow, prefix_size, sketch_allows
 
 #: Bits of a bucket's number in the rarity table, which has a byte for each bucket: 256 KB.
 BUCKET_BITS = 18
@@ -76,7 +76,7 @@ def sketch(keys: Column, i: int) -> Column:
 
 def within_bounds(a: str, b: str) -> Column:
     """Whether the sets of two postings of one word can have Jaccard 0.8: length, position and sketch."""
-    return near_in_size(F.col(f"{a}.n"), F.col(f"{b}.n")) & positions_allow(a, b) & sketch_allows(a, b, SKETCHES)
+    return near_in_size(F.col(f"{a}.n"), F.col(f"{b}.n")) & in_own_prefixes(a, b) & positions_allow(a, b) & sketch_allows(a, b, SKETCHES)
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
@@ -94,20 +94,19 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     met = posted.alias("x").join(posted.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.k") != F.col("y.k")) & within_bounds("x", "y"), "left_semi")
     met = store(met.select("k", "n", *SKETCHES, "pos", "token"), "met")
 
-    # their classes' whole sets, from the texts, and the search for an earlier similar one
-    wanted = store(classes.join(met.select("k"), "k", "left_semi").select("k", "k2", "at"), "wanted")
-    line_hash = lambda *at: F.xxhash64(*at)
-    places = wanted.select(line_hash("at.id", "at.mark", "at.line_no").alias("line"))
+    # their classes' whole sets, from the texts, and the search for an earlier similar one; a further line of
+    # a class that the bitmap lets through is a later place of an equal set, which changes nothing
+    wanted = store(classes.join(met.select("k"), "k", "left_semi").select("at"), "wanted")
     bits = bitmap_bits(wanted.count())
-    some = lines_of(docs).where(in_bitmap(line_hash("id", "mark", "line_no"), bitmap(places, "line", bits), bits))
-    sets = keyed(some, order).select("k", "k2", place.alias("at"), "keys").join(wanted, ["k", "k2", "at"], "left_semi")
-    full = met.join(sets.dropDuplicates(["k", "k2", "at"]), "k")
+    places = bitmap(wanted.select(F.xxhash64("at.id", "at.mark", "at.line_no").alias("line")), "line", bits)
+    sets = keyed(lines_of(docs).where(in_bitmap(F.xxhash64("id", "mark", "line_no"), places, bits)), order)
+    full = met.join(sets.select("k", place.alias("at"), "keys"), "k").select("token", "pos", "n", *SKETCHES, "at", "keys")
     similar = F.size(F.array_intersect("x.keys", "y.keys")) * 9 >= (F.col("x.n") + F.col("y.n")) * 4
     gone = full.alias("x").join(full.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.at") < F.col("x.at")) & within_bounds("x", "y") & similar, "left_semi")
-    gone = store(gone.select("k", "k2").distinct(), "gone")
+    gone = store(gone.select("at").distinct(), "gone")
     discard(met)
 
-    stay = classes.select("k", "k2", "at").join(gone, ["k", "k2"], "left_anti")
+    stay = classes.select("at").join(gone, "at", "left_anti")
     return stay.groupBy(F.col("at.id").alias("id"), F.col("at.mark").alias("mark")).agg(F.collect_list("at.line_no").alias("kept"))
 
 

@@ -114,3 +114,10 @@ def positions_allow(a: str, b: str) -> Column:
     """Whether two sets that share a token, at pos (from 1) of their ordered tokens, can have Jaccard 0.8: what is before and after in both must do."""
     n, m, i, j = (F.col(f"{side}.{c}") for c in ("n", "pos") for side in (a, b))
     return F.least(i, j) + F.least(n - i, m - j) >= overlap_needed(n, m)
+
+
+def in_own_prefixes(a: str, b: str) -> Column:
+    """Whether the place of a shared token is in the prefixes that this pair's sizes call for: sets with Jaccard 0.8 share a token there."""
+    n, m, i, j = (F.col(f"{side}.{c}") for c in ("n", "pos") for side in (a, b))
+    need = overlap_needed(n, m)
+    return (i <= n - need + 1) & (j <= m - need + 1)
