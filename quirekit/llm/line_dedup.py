@@ -126,9 +126,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     blank = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(SOME_WORD), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
     rows = rows.withColumn("_blank", F.coalesce(blank, F.array().cast("array<int>"))).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
     rows = rows.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-    stay = kept_lines(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))).select(F.col("id").alias("_id"), F.col("mark").alias("_m"), "kept")
-    out = rows.join(stay, rows[id_col].eqNullSafe(stay["_id"]) & (rows["_mark"] == stay["_m"]), "left")
-    out = out.withColumn("kept", F.array_sort(F.concat(F.coalesce("kept", F.array().cast("array<int>")), "_blank")))
-    out = out.withColumn("n_removed", F.col("n_lines") - F.size("kept"))
-    out = out.withColumn("_lines", lines).withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.array_join(F.transform("kept", lambda i: F.get("_lines", i)), "\n")))
-    return out.select(*[c for c in rows.columns if c not in ("_mark", "_blank", "n_lines")], *new)
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    stay = kept_lines(plain)
+    # documents that lose a line, by narrow rows; only their texts are shuffled
+    with_words = rows.select(F.col(id_col).alias("_id"), F.col("_mark").alias("_m"), (F.col("n_lines") - F.size("_blank")).alias("_n")).where("_n > 0").distinct()
+    lost = with_words.join(stay, with_words["_id"].eqNullSafe(stay["id"]) & (with_words["_m"] == stay["mark"]), "left")
+    lost = lost.withColumn("_kept", F.coalesce("kept", F.array().cast("array<int>"))).where(F.size("_kept") < F.col("_n"))
+    lost = store(lost.select("_id", "_m", "_kept"), "lost")
+    bits = bitmap_bits(lost.count())
+    touched = in_bitmap(F.xxhash64(id_col, "_mark"), bitmap(lost.select(F.xxhash64("_id", "_m").alias("doc")), "doc", bits), bits)
+    every = F.when(F.col("n_lines") > 0, F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    whole = rows.where(~touched).withColumn("kept", every)
+    some = rows.where(touched).join(lost, rows[id_col].eqNullSafe(lost["_id"]) & (rows["_mark"] == lost["_m"]), "left")
+    some = some.withColumn("kept", F.when(F.col("_kept").isNull(), every).otherwise(F.array_sort(F.concat("_kept", "_blank"))))
+    some = some.withColumn("_lines", lines).withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.array_join(F.transform("kept", lambda i: F.get("_lines", i)), "\n")))
+    names = [c for c in rows.columns if c not in ("_mark", "_blank", "n_lines")]
+    removed = (F.col("n_lines") - F.size("kept")).alias("n_removed")
+    return some.select(*names, "n_lines", removed, "kept").unionByName(whole.select(*names, "n_lines", removed, "kept"))
