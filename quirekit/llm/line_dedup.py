@@ -28,18 +28,26 @@ LEVEL_BITS = 6
 #: The longs of a sketch.
 SKETCHES = ["s0", "s1"]
 SPACES = r"[\x20\x09-\x0D]+"
+SPACES_BUT_BLANKS = r"[\x09-\x0D]"
 OTHER_UPPER = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 SOME_WORD = r"[^\x20\x09-\x0D]"
 
 
 def words_of(text: Column) -> Column:
-    """Words with A-Z lower-cased; where nothing but ASCII is upper case, lower() does just that at less cost."""
-    return F.split(F.when(text.rlike(OTHER_UPPER), lower_ascii(text)).otherwise(F.lower(text)), SPACES)
+    """Words with A-Z lower-cased, and perhaps empty strings.
+
+    Where nothing but ASCII is upper case, lower() does just that at less cost; where all white space
+    is blanks, they are cut one by one, without a regular expression.
+    """
+    other = (F.octet_length(text) != F.char_length(text)) & text.rlike(OTHER_UPPER)
+    low = F.when(other, lower_ascii(text)).otherwise(F.lower(text))
+    return F.when(text.rlike(SPACES_BUT_BLANKS), F.split(low, SPACES)).otherwise(F.split(low, " "))
 
 
 def rarity(docs: DataFrame) -> DataFrame:
     """(place, levels): the buckets' levels of frequency, eight in each long, for every place."""
-    met = docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy(bucket(F.xxhash64("word"), 1 << BUCKET_BITS).alias("bucket")).agg(F.count("*").alias("n"))
+    texts = docs.select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    met = texts.select(F.explode(words_of(F.col("text"))).alias("word")).where("word <> ''").groupBy(bucket(F.xxhash64("word"), 1 << BUCKET_BITS).alias("bucket")).agg(F.count("*").alias("n"))
     level = F.least(F.floor(F.log2("n") * 2), F.lit((1 << LEVEL_BITS) - 1)).cast("long").alias("level")
     packed = met.select(F.shiftright("bucket", 3).alias("place"), (F.col("bucket").bitwiseAND(F.lit(7)) * 8).alias("at"), level)
     blank = docs.sparkSession.range(1 << (BUCKET_BITS - 3)).select(F.col("id").cast("int").alias("place"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("level"))
@@ -54,12 +62,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def keyed(lines: DataFrame, order: DataFrame) -> DataFrame:
     """Adds keys (the line's distinct words, rare ones first) and k, k2, which tell sets apart."""
-    table = order.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "levels"))), lambda s: s["levels"])).scalar()
+    # a long for each bucket, its level in the highest bits: little is left to do for each word
+    level = lambda x, i: F.shiftright(x, 8 * i).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
+    high = lambda x: F.array(*[F.shiftleft(level(x, i) - (1 << (LEVEL_BITS - 1)), 64 - LEVEL_BITS) for i in range(8)])
+    table = order.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "levels"))), lambda s: high(s["levels"])))).scalar()
 
     def key(h: Column) -> Column:
-        at = bucket(h, 1 << BUCKET_BITS)
-        level = F.call_function("shiftright", F.get("_levels", F.shiftright(at, 3)), at.bitwiseAND(F.lit(7)) * 8).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
-        return F.shiftleft(level - (1 << (LEVEL_BITS - 1)), 64 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(h, LEVEL_BITS))
+        return F.get("_levels", bucket(h, 1 << BUCKET_BITS)).bitwiseOR(F.shiftrightunsigned(h, LEVEL_BITS))
 
     # the table is a column as a lambda may not have a subquery; the optimizer puts it into the lambda, so no row holds it
     hashes = F.transform(F.array_remove(words_of(F.col("line")), ""), lambda w: F.xxhash64(w))
@@ -69,9 +78,9 @@ def keyed(lines: DataFrame, order: DataFrame) -> DataFrame:
 
 def sketch(keys: Column, i: int) -> Column:
     """The ith long of a set's sketch: of the words whose key names this long, each flips the bit that its key names."""
-    own = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(len(SKETCHES) - 1)) == i
-    flip = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.when(own(x), flip(x)).otherwise(F.lit(0).cast("long"))))
+    own = lambda x: F.shiftright(x if i else F.bitwise_not(x), 6).bitwiseAND(F.lit(1))
+    flip = lambda x: F.call_function("shiftleft", own(x), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(flip(x)))
 
 
 def within_bounds(a: str, b: str) -> Column:
