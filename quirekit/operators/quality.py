@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirekit.functions import text as T
+from quirekit.operators import layout
 
 # Weights of a text page and a visual page, thresholds, what parsers leave behind.
 WEIGHTS = {"recall": 0.40, "kept": 0.15, "table_score": 0.15, "judge": 0.30}
@@ -36,6 +37,17 @@ def extra(common: Column, n_md: Column) -> Column:
     return F.when(n_md == 0, F.lit(0.0)).otherwise((n_md - common) / n_md)
 
 
+def content_overlap(lines: DataFrame, markdown: DataFrame) -> DataFrame:
+    """(doc_id, page_no, n_truth, n_md, common): the overlap with source lines other than running headers and footers.
+
+    lines: doc_id, page_no, line_no, line; markdown: doc_id, page_no, markdown. Pages without a text have zeros.
+    """
+    keys = ["doc_id", "page_no"]
+    body = lines.withColumn("normal", T.running_line(F.col("line"))).join(layout.furniture(lines).select("doc_id", "normal"), ["doc_id", "normal"], "left_anti")
+    pages = lines.select(*keys).distinct().join(layout.joined(body, keys, "truth"), keys, "left").join(markdown.select(*keys, "markdown"), keys, "left")
+    return token_overlap(pages.fillna("", ["truth", "markdown"]), keys, "truth", "markdown")
+
+
 def table_score(truth: Column, markdown: Column) -> Column:
     """Null without a table in the source, else 1 if the markdown has table cells, 0 if not."""
     return F.when(~T.has_columns(truth), F.lit(None).cast("double")).when(T.table_cells(markdown) > 0, F.lit(1.0)).otherwise(F.lit(0.0))

@@ -139,3 +139,36 @@ def sync_state(page: Column, included: Column, current: Column, written: Column)
 def top_recent(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The k rows that come first; Spark keeps k rows a task on the way."""
     return rows.orderBy(*order).limit(k)
+
+
+def types_present(nodes: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """(ord, type_name, label, n): the types of the taxonomy that some node has."""
+    some = type_counts(nodes).where("section_type is not null")
+    return taxonomy.join(some, taxonomy["type_name"] == some["section_type"]).select("ord", "type_name", "label", "n")
+
+
+def reviewed(pages: DataFrame, reviews: DataFrame, keys: list[str]) -> DataFrame:
+    """``pages`` with status and notes of their reviews; a page without one is 'unreviewed'. Reviews are unique by ``keys``."""
+    own = reviews.select(*keys, F.nullif("status", F.lit("")).alias("status"), "notes")
+    blank = {"status": "unreviewed", "notes": ""}
+    return pages.join(own, keys, "left").fillna(blank)
+
+
+def big_images(images: DataFrame, keys: list[str], least: int = 200_000) -> DataFrame:
+    """(keys, xref, ordinal): images of at least that many pixels, each xref once, at its first place."""
+    big = images.where(F.col("width") * F.col("height") >= least)
+    return big.groupBy(*keys, "xref").agg(F.min("ordinal").alias("ordinal"))
+
+
+def of_page(warnings: DataFrame, page: int) -> DataFrame:
+    """Warnings of a page and those of the whole document (null page)."""
+    return warnings.where(F.col("page_no").isNull() | (F.col("page_no") == page))
+
+
+def hybrid_parts(local: DataFrame, cloud: DataFrame, accepted: DataFrame, generated: DataFrame) -> DataFrame:
+    """Assets or warnings of a hybrid run: local ones of pages that were not replaced, all of the cloud run, and the run's own.
+
+    Local rows without a page stay.
+    """
+    kept = local.join(accepted.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_anti")
+    return kept.select(cloud.columns).unionByName(cloud).unionByName(generated)

@@ -463,3 +463,52 @@ def recent_sessions(spark, d):
     """A top-k report: the fifty longest sessions."""
     turns = X.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
     return records.top_recent(turns, [F.desc("turns"), F.col("conv_id")], 50)
+
+
+_CONTENT = f"""WITH {S.WEB}, {S.RECALL}, p AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM web GROUP BY ALL), c AS (SELECT doc_id, {S.running('line')} AS normal, count(DISTINCT page_no) AS n FROM web GROUP BY ALL),
+fu AS (SELECT doc_id, normal FROM c JOIN p USING (doc_id) WHERE pages >= 3 AND len(normal) >= 6 AND n >= greatest(2, round_even(0.5 * pages, 0))),
+pn AS (SELECT DISTINCT doc_id, page_no FROM web),
+tk AS (SELECT doc_id, page_no, unnest({S.tokens('line')}) AS tok, 1 AS t, 0 AS m FROM web w WHERE NOT EXISTS (SELECT 1 FROM fu WHERE fu.doc_id = w.doc_id AND fu.normal = {S.running('w.line')}) UNION ALL SELECT doc_id, page_no, unnest({S.tokens('markdown')}), 0, 1 FROM pn JOIN rp ON page_no = page_id),
+tc AS (SELECT doc_id, page_no, tok, sum(t) AS t, sum(m) AS m FROM tk GROUP BY ALL),
+ov AS (SELECT pn.doc_id, pn.page_no, coalesce(sum(t), 0)::BIGINT AS n_truth, coalesce(sum(least(t, m)), 0)::BIGINT AS common FROM pn LEFT JOIN tc ON pn.doc_id = tc.doc_id AND pn.page_no = tc.page_no GROUP BY ALL)"""
+
+
+@query(_CONTENT + " SELECT doc_id, page_no, n_truth, common, floor(CASE WHEN n_truth = 0 THEN 1.0 ELSE common / n_truth END * 1000000 + 0.5) / 1000000 AS recall FROM ov")
+def content_recall(spark, d):
+    lines = X.web_lines(spark, d)
+    articles = lines.select("doc_id", "page_no").distinct().join(X.recall_pages(spark, d).select(F.col("page_id").alias("page_no"), "markdown"), "page_no")
+    o = quality.content_overlap(lines, articles)
+    return o.select("doc_id", "page_no", "n_truth", "common", _million(quality.recall(F.col("common"), F.col("n_truth"))).alias("recall"))
+
+
+@query(f"WITH {S.TYPED}, {S.TAXONOMY} SELECT ord, type_name, label, count(*) AS n FROM tax JOIN typed ON type_name = section_type GROUP BY ALL")
+def types_present(spark, d):
+    return records.types_present(X.typed(spark, d), X.taxonomy(spark))
+
+
+@query(f"WITH {S.SCORES} SELECT sa.doc_id, sa.page_no, CASE WHEN sb.page_no % 2 = 0 THEN 'approved' ELSE 'unreviewed' END AS status, CASE WHEN sb.page_no % 3 = 0 THEN 'see table' ELSE '' END AS notes FROM sa LEFT JOIN sb ON sa.doc_id = sb.doc_id AND sa.page_no = sb.page_no")
+def reviewed_pages(spark, d):
+    own = X.scores(spark, d, "b").select("doc_id", "page_no", F.when(F.col("page_no") % 2 == 0, "approved").otherwise("").alias("status"), F.when(F.col("page_no") % 3 == 0, "see table").alias("notes"))
+    return records.reviewed(X.scores(spark, d, "a").select("doc_id", "page_no"), own, ["doc_id", "page_no"])
+
+
+@query("SELECT l_orderkey AS doc_id, l_suppkey % 3 AS xref, min(l_linenumber) AS ordinal FROM lineitem WHERE CAST(l_quantity AS BIGINT) * 20 * (l_partkey % 1000) >= 200000 GROUP BY ALL")
+def big_images(spark, d):
+    li = X.table(spark, d, "lineitem")
+    images = li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 3).alias("xref"), F.col("l_linenumber").alias("ordinal"), (F.col("l_quantity").cast("long") * 20).alias("width"), (F.col("l_partkey") % 1000).alias("height"))
+    return records.big_images(images, ["doc_id"])
+
+
+@query(f"WITH {S.SCORES} SELECT doc_id, CASE WHEN extra >= 0.1 THEN page_no END AS page_no, extra FROM sa WHERE extra < 0.1 OR page_no = 2")
+def page_warnings(spark, d):
+    """Low scores stand in for warnings: those under 0.1 belong to the whole document."""
+    w = X.scores(spark, d, "a").select("doc_id", F.when(F.col("extra") >= 0.1, F.col("page_no")).alias("page_no"), "extra")
+    return records.of_page(w, 2)
+
+
+@query(f"WITH {S.SCORES}, u AS (SELECT doc_id, page_no, 'local' AS origin FROM sa WHERE NOT EXISTS (SELECT 1 FROM sb WHERE sb.doc_id = sa.doc_id AND sb.page_no = sa.page_no AND sb.recall >= 0.9) UNION ALL SELECT doc_id, page_no, 'cloud' FROM sb UNION ALL SELECT doc_id, page_no, 'run' FROM sa WHERE recall < 0.75) SELECT doc_id, origin, count(*) AS n, sum(page_no)::BIGINT AS places FROM u GROUP BY ALL")
+def hybrid_parts(spark, d):
+    a, b = X.scores(spark, d, "a"), X.scores(spark, d, "b")
+    of = lambda df, name: df.select("doc_id", "page_no", F.lit(name).alias("origin"))
+    found = records.hybrid_parts(of(a, "local"), of(b, "cloud"), b.where("recall >= 0.9"), of(a.where("recall < 0.75"), "run"))
+    return found.groupBy("doc_id", "origin").agg(F.count("*").alias("n"), F.sum("page_no").cast("long").alias("places"))
