@@ -142,18 +142,6 @@ def blocks(df: DataFrame, keep: list[str], column: str) -> DataFrame:
     return per_text(df, keep, column, "block_no int, type string, level int, markdown string", lambda t: [(i, b["type"], b["level"], b["markdown"]) for i, b in enumerate(folds.blocks(t or ""))])
 
 
-def stitched(pages: DataFrame) -> DataFrame:
-    """pages (doc_id, page_no, markdown) with tables that cross pages put together; a document is one group."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("page_no")
-        done = folds.stitched([(n, t or "") for n, t in zip(ordered["page_no"], ordered["markdown"])])
-        return pd.DataFrame({"doc_id": ordered["doc_id"].to_numpy(), "page_no": [n for n, _ in done], "markdown": [t for _, t in done]})
-
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in ("doc_id", "page_no")}
-    return pages.select("doc_id", "page_no", "markdown").groupBy("doc_id").applyInPandas(fold, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, markdown string")
-
-
 def table_cells(pages: DataFrame, keys: list[str], column: str) -> DataFrame:
     """keys, row, col, cell: the cells of table rows of a text, rows counted from 0 over the text, separator rows left out."""
     rows = F.filter(T.lines(F.col(column)), lambda x: x.rlike(T.PIPE_ROW) & ~x.rlike(T.SEPARATOR_ROW))

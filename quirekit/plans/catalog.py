@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirekit.functions import folds
 from quirekit.functions import text as T
-from quirekit.operators import layout, quality, records, references, trees
+from quirekit.operators import layout, quality, records, references, remediation, stitching, trees
 from quirekit.plans import sql as S
 from quirekit.sources import fixtures as X
 
@@ -291,9 +291,41 @@ def fix_separators(spark, d):
     return references.with_separators(X.pages(spark, d), ["doc_id", "page_no"], "md").select("doc_id", "page_no", F.md5("md").alias("md_md5"))
 
 
-@query()
+_ROW, _SEP = "'^\\s*\\|.*\\|\\s*$'", "'^\\s*\\|[\\s:|-]+\\|\\s*$'"
+_STITCHED = f"""WITH RECURSIVE {S.PAGES}, {S.TABLE_PAGES},
+l AS (SELECT doc_id, page_no, place, markdown, string_split(markdown, chr(10)) AS x FROM tp),
+h AS (SELECT *, list_transform(x, lambda r: regexp_matches(r, {_ROW})) AS is_row FROM l),
+c AS (SELECT doc_id, page_no, place, x, coalesce(list_position(is_row, false) - 1, len(x)) AS head, coalesce(list_position(list_reverse(is_row), false) - 1, len(x)) AS tail FROM h),
+walk AS (
+    SELECT doc_id, page_no, place, x, tail, CAST(0 AS BIGINT) AS gone FROM c WHERE place = 1
+    UNION ALL
+    SELECT c.doc_id, c.page_no, c.place, c.x, CASE WHEN g AND c.head = len(c.x) THEN 0 ELSE c.tail END, CASE WHEN g THEN c.head ELSE 0 END
+    FROM (SELECT c.*, c.head > 0 AND w.tail > 0 AND len(string_split(c.x[1], '|')) = len(string_split(w.x[len(w.x) - w.tail + 1], '|')) AS g FROM walk w JOIN c ON c.doc_id = w.doc_id AND c.place = w.place + 1) c
+),
+up AS (SELECT doc_id, place - 1 AS place, x[CASE WHEN gone >= 2 AND regexp_matches(x[2], {_SEP}) THEN 3 ELSE 1 END : gone] AS got FROM walk WHERE gone > 0)"""
+
+
+@query(_STITCHED + " SELECT w.doc_id, w.page_no, md5(array_to_string(list_concat(w.x[w.gone + 1 : len(w.x)], coalesce(got, [])), chr(10))) AS md_md5 FROM walk w LEFT JOIN up ON up.doc_id = w.doc_id AND up.place = w.place")
 def stitch_tables(spark, d):
-    return references.stitched(X.pages(spark, d).select("doc_id", "page_no", F.col("md").alias("markdown"))).select("doc_id", "page_no", F.md5("markdown").alias("md_md5"))
+    return stitching.stitched(X.table_pages(spark, d)).select("doc_id", "page_no", F.md5("markdown").alias("md_md5"))
+
+
+def _remediated(spark, d):
+    return remediation.remediated(X.drafts(spark, d), X.offline_vlm, X.offline_cleanup, X.offline_judge, scope="flagged")
+
+
+@query(f"WITH {S.PAGES}, {S.REMEDIATED} SELECT doc_id, page_no, target, recorded, adopted, base_composite, canonical_composite, canonical_source, md5(canonical) AS canonical_md5, cost_units, failed FROM rem")
+def remediated_pages(spark, d):
+    """Flagged pages with two attempts each, the adopted texts, and what every page's text is in the end."""
+    units = F.round(F.col("cost") / 0.0005).cast("int")
+    return _remediated(spark, d).select("doc_id", "page_no", "target", "recorded", "adopted", "base_composite", "canonical_composite", "canonical_source", F.md5("canonical").alias("canonical_md5"), units.alias("cost_units"), F.coalesce(F.col("notes").contains("vlm failed"), F.lit(False)).alias("failed"))
+
+
+@query(f"WITH {S.PAGES}, {S.REMEDIATED} SELECT doc_id, count(*) FILTER (target) AS targets, count(*) FILTER (adopted) AS adopted, sum(CAST(round(canonical_composite * 1000) AS BIGINT))::BIGINT / count(canonical_composite) AS mean, sum(cost_units)::BIGINT AS cost_units FROM rem GROUP BY doc_id")
+def remediation_summary(spark, d):
+    done = _remediated(spark, d)
+    sums = remediation.summary(done).join(done.groupBy("doc_id").agg((F.sum(F.round(F.col("canonical_composite") * 1000).cast("long")) / F.count("canonical_composite")).alias("mean")), "doc_id")
+    return sums.select("doc_id", "targets", "adopted", "mean", F.round(F.col("cost") / 0.0005).cast("long").alias("cost_units"))
 
 
 @query()

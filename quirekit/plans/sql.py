@@ -39,6 +39,53 @@ EDGES = "edges AS (SELECT CAST(0 AS BIGINT) AS doc_id, l_suppkey AS from_id, l_p
 CALLS = "calls AS (SELECT user_id AS job, event_id AS seq, event_type AS status, CASE WHEN event_type = 'view' THEN 'judge' ELSE 'parse' END AS label, CASE WHEN event_type <> 'error' THEN floor(value * 100) / 100 END AS cost, ts FROM events)"
 
 
+TABLE_PAGES = """tp AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS place,
+    CASE WHEN k % 3 = 0 THEN 'Intro' || chr(10) ELSE '' END || CASE WHEN k % 4 = 0 THEN '' WHEN k % 5 = 0 THEN '| A | B | C |' || chr(10) || '|---|:-:|---|' || chr(10) ELSE '| A | B |' || chr(10) || '|---|---|' || chr(10) END
+    || '| ' || page_no || CASE WHEN k % 5 = 0 THEN ' | x | y |' ELSE ' | x |' END || CASE WHEN k % 7 = 0 THEN chr(10) || 'End' ELSE '' END AS markdown FROM (SELECT doc_id, page_no, doc_id + page_no AS k FROM pg))"""
+_LEFT_OUT = "'==> picture intentionally omitted <=='"
+DRAFTS = f"""dr0 AS (SELECT doc_id, page_no, doc_id + page_no AS k, 'Operations Manual ' || doc_id AS banner, 'Page ' || page_no || ' of ' || n_pages AS foot, x[(page_no - 1) * 5 + 1 : page_no * 5] AS b FROM pg1),
+dr AS (SELECT doc_id, page_no, k, CASE WHEN k % 13 = 0 THEN 'visual' ELSE 'text' END AS kind, k % 4 <> 1 AS target, 0.5 + (k % 5) / CAST(10 AS DOUBLE) AS stored, list_concat(list_concat([banner], b), [foot]) AS source,
+    list_concat(list_concat(list_concat([banner], CASE WHEN k % 3 = 0 THEN b[1 : len(b) - 1] ELSE b END), CASE WHEN k % 5 = 0 THEN [{_LEFT_OUT}] ELSE [] END), [foot]) AS lines,
+    CASE WHEN k % 3 = 0 THEN b[1 : len(b) - 1] ELSE b END AS kept, b FROM dr0),
+txt AS (SELECT doc_id, page_no, k, kind, target, stored, source, array_to_string(source, chr(10)) AS src, array_to_string(lines, chr(10)) AS base,
+    CASE WHEN target AND k % 11 <> 0 THEN array_to_string(list_concat(['# Page ' || page_no], b), chr(10)) END AS vlm,
+    CASE WHEN target AND kind <> 'visual' THEN array_to_string(CASE WHEN k % 7 = 0 THEN kept[1 : len(kept) // 2] ELSE kept END, chr(10)) END AS cleanup FROM dr),
+sl AS (SELECT doc_id, page_no, unnest(source) AS line, generate_subscripts(source, 1) AS i FROM txt),
+sn AS (SELECT *, {running('line')} AS normal FROM sl),
+fp AS (SELECT doc_id, count(*) AS pages FROM txt GROUP BY ALL),
+fu AS (SELECT doc_id, normal FROM (SELECT doc_id, normal, count(DISTINCT page_no) AS n FROM sn WHERE len(normal) >= 6 GROUP BY ALL) JOIN fp USING (doc_id) WHERE pages >= 3 AND n >= greatest(2, round_even(0.5 * pages, 0))),
+sides AS (
+    SELECT doc_id, page_no, unnest({tokens('src')}) AS tok, 's' AS side FROM txt WHERE target
+    UNION ALL SELECT doc_id, page_no, unnest({tokens('line')}), 'c' FROM sn WHERE NOT EXISTS (SELECT 1 FROM fu WHERE fu.doc_id = sn.doc_id AND fu.normal = sn.normal)
+    UNION ALL SELECT doc_id, page_no, unnest({tokens('base')}), 'b' FROM txt WHERE target
+    UNION ALL SELECT doc_id, page_no, unnest({tokens('vlm')}), 'v' FROM txt WHERE target
+    UNION ALL SELECT doc_id, page_no, unnest({tokens('cleanup')}), 'u' FROM txt WHERE target),
+tk AS (SELECT doc_id, page_no, tok, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 'c') AS c, count(*) FILTER (side = 'b') AS b, count(*) FILTER (side = 'v') AS v, count(*) FILTER (side = 'u') AS u FROM sides GROUP BY ALL),
+ov AS (SELECT doc_id, page_no, sum(s) AS s, sum(c) AS c, sum(b) AS b, sum(v) AS v, sum(u) AS u, sum(least(s, b)) AS sb, sum(least(s, v)) AS sv, sum(least(s, u)) AS su, sum(least(c, b)) AS cb, sum(least(c, u)) AS cu FROM tk GROUP BY ALL)"""
+
+
+def composite(common: str, n: str, text: str) -> str:
+    """The score of one candidate text of a page of ``txt`` joined to ``ov``."""
+    one, zero = "CAST(1 AS DOUBLE)", "CAST(0 AS DOUBLE)"
+    table = f"CASE WHEN len(list_filter(string_split(src, chr(10)), lambda l: len(regexp_extract_all(l, '\\S {{2,}}')) >= 2)) >= 3 THEN CASE WHEN len(list_filter(string_split({text}, chr(10)), lambda l: regexp_matches(l, '^\\s*\\|.*\\|\\s*$') AND NOT regexp_matches(l, '^\\s*\\|[\\s:|-]+\\|\\s*$'))) > 0 THEN {one} ELSE {zero} END END"
+    recall, kept = f"CASE WHEN coalesce(s, 0) = 0 THEN {one} ELSE {common} / s END", f"{one} - CASE WHEN coalesce({n}, 0) = 0 THEN {zero} ELSE ({n} - {common}) / {n} END"
+    plain = f"(CAST(0.4 AS DOUBLE) * ({recall}) + CAST(0.15 AS DOUBLE) * ({kept}) + coalesce(CAST(0.15 AS DOUBLE) * ({table}), {zero})) / (CAST(0.4 AS DOUBLE) + CAST(0.15 AS DOUBLE) + CASE WHEN ({table}) IS NULL THEN {zero} ELSE CAST(0.15 AS DOUBLE) END)"
+    judge = f"least(5, length({text}) // 50) / CAST(5 AS DOUBLE)"
+    visual = f"(CAST(0.85 AS DOUBLE) * ({judge}) + coalesce(CAST(0.15 AS DOUBLE) * ({table}), {zero})) / (CAST(0.85 AS DOUBLE) + CASE WHEN ({table}) IS NULL THEN {zero} ELSE CAST(0.15 AS DOUBLE) END)"
+    marred = f"CASE WHEN contains({text}, 'intentionally omitted') THEN CAST(0.7 AS DOUBLE) ELSE {one} END"
+    return f"CASE WHEN {text} IS NOT NULL THEN floor(CASE WHEN kind = 'visual' THEN {visual} ELSE ({plain}) * {marred} END * 1000 + 0.5) / 1000 END"
+
+
+REMEDIATED = f"""{DRAFTS},
+scored AS (SELECT txt.*, {composite('sb', 'b', 'base')} AS base_c, {composite('sv', 'v', 'vlm')} AS vlm_c, {composite('su', 'u', 'cleanup')} AS cleanup_c,
+    CASE WHEN coalesce(c, 0) = 0 THEN CAST(1 AS DOUBLE) ELSE cb / c END AS base_kept, CASE WHEN coalesce(c, 0) = 0 THEN CAST(1 AS DOUBLE) ELSE cu / c END AS cleanup_kept FROM txt LEFT JOIN ov ON txt.doc_id = ov.doc_id AND txt.page_no = ov.page_no),
+ok AS (SELECT *, target AND coalesce(vlm_c > base_c, false) AS v_ok, target AND cleanup_c IS NOT NULL AND cleanup_kept >= base_kept - CAST(0.12 AS DOUBLE) AS u_ok FROM scored),
+won AS (SELECT *, CASE WHEN v_ok AND (NOT u_ok OR vlm_c >= cleanup_c) THEN 'vlm' WHEN u_ok THEN 'cleanup' ELSE 'baseline' END AS method FROM ok),
+rem AS (SELECT doc_id, page_no, target, CASE WHEN NOT target THEN NULL WHEN method <> 'baseline' THEN method WHEN vlm IS NULL AND cleanup IS NOT NULL THEN 'cleanup' ELSE 'vlm' END AS recorded, method <> 'baseline' AS adopted, CASE WHEN target THEN base_c END AS base_composite,
+    CASE method WHEN 'vlm' THEN vlm_c WHEN 'cleanup' THEN cleanup_c ELSE stored END AS canonical_composite, method AS canonical_source, CASE method WHEN 'vlm' THEN vlm WHEN 'cleanup' THEN cleanup ELSE base END AS canonical,
+    CASE WHEN target THEN (CASE WHEN vlm IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN cleanup IS NOT NULL THEN 1 ELSE 0 END) ELSE 0 END AS cost_units, target AND vlm IS NULL AS failed FROM won)"""
+
+
 def _scores(k: int) -> str:
     n = f"(l_orderkey * {k} + l_linenumber * {k + 1})"
     return f"SELECT l_orderkey AS doc_id, l_linenumber AS page_no, (100 - {n} % 30) / CAST(100 AS DOUBLE) AS recall, ({n} % 40) / CAST(100 AS DOUBLE) AS extra, CASE {n} % 4 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN CAST(1 AS DOUBLE) END AS table_score FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_linenumber IS NOT NULL"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 PER_PAGE = 5
 # The section types and their labels, in order.
 TYPES = [(1, "de", "German"), (2, "en", "English"), (3, "es", "Spanish"), (4, "fr", "French"), (5, "it", "Italian"), (99, "other", "Other")]
+LEFT_OUT = "==> picture intentionally omitted <=="
 TABLES = ["| A | B |\n|---|---|\n| 1 | 2 |", "| A | B |\n| 1 | 2 |", "| A | B |\n|---|---|\n| 1 |", "| orphan |"]
 
 
@@ -121,3 +122,44 @@ def scores(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     n = F.col("l_orderkey") * k + F.col("l_linenumber") * (k + 1)
     own = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), ((100 - n % 30) / 100.0).alias("recall"), ((n % 40) / 100.0).alias("extra"), F.when(n % 4 == 0, F.lit(0.0)).when(n % 4 == 1, F.lit(1.0)).alias("table_score"))
     return own.where(F.col("doc_id") % 7 != 0) if which == "b" else own
+
+
+def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_no, markdown): pages of table rows; some have a line before or after, other columns, or no header."""
+    p = pages(spark, sf_dir).select("doc_id", "page_no", (F.col("doc_id") + F.col("page_no")).alias("k"))
+    head = F.when(F.col("k") % 3 == 0, "Intro\n").otherwise("")
+    header = F.when(F.col("k") % 4 == 0, "").when(F.col("k") % 5 == 0, "| A | B | C |\n|---|:-:|---|\n").otherwise("| A | B |\n|---|---|\n")
+    row = F.concat(F.lit("| "), F.col("page_no").cast("string"), F.when(F.col("k") % 5 == 0, F.lit(" | x | y |")).otherwise(F.lit(" | x |")))
+    return p.select("doc_id", "page_no", F.concat(head, header, row, F.when(F.col("k") % 7 == 0, "\nEnd").otherwise("")).alias("markdown"))
+
+
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_no, kind, source, markdown, composite, verdict): pages with a banner and a foot, and a parser's text that lost some lines."""
+    p = pages(spark, sf_dir).select("doc_id", "page_no", "n_pages", "body", (F.col("doc_id") + F.col("page_no")).alias("k"))
+    text = lambda c: F.col(c).cast("string")
+    banner, foot = F.concat(F.lit("Operations Manual "), text("doc_id")), F.concat(F.lit("Page "), text("page_no"), F.lit(" of "), text("n_pages"))
+    body = F.split("body", "\n", -1)
+    kept = F.when(F.col("k") % 3 == 0, F.slice(body, F.lit(1), F.size(body) - 1)).otherwise(body)
+    left = F.when(F.col("k") % 5 == 0, F.array(F.lit(LEFT_OUT))).otherwise(F.array().cast("array<string>"))
+    parsed = F.array_join(F.concat(F.array(banner), kept, left, F.array(foot)), "\n")
+    kind = F.when(F.col("k") % 13 == 0, "visual").otherwise("text")
+    verdict = F.when(F.col("k") % 4 == 1, "pass").otherwise("review")
+    return p.select("doc_id", "page_no", kind.alias("kind"), F.concat_ws("\n", banner, "body", foot).alias("source"), parsed.alias("markdown"), (F.lit(0.5) + F.col("k") % 5 / 10.0).alias("composite"), verdict.alias("verdict"))
+
+
+def offline_vlm(page: dict) -> dict:
+    """Stands in for a model that reads a page's image: the lines between banner and foot under a heading; no reply for every eleventh."""
+    if (page["doc_id"] + page["page_no"]) % 11 == 0:
+        raise RuntimeError("no reply")
+    return {"text": "\n".join([f"# Page {page['page_no']}", *page["source"].split("\n")[1:-1]]), "cost": 0.002}
+
+
+def offline_cleanup(page: dict) -> dict:
+    """Stands in for a model that cleans a text: banner, foot and what the parser left go; for every seventh half of the lines go as well."""
+    lines = [x for x in page["markdown"].split("\n")[1:-1] if x != LEFT_OUT]
+    return {"text": "\n".join(lines[: len(lines) // 2] if (page["doc_id"] + page["page_no"]) % 7 == 0 else lines), "cost": 0.0005}
+
+
+def offline_judge(page: dict, text: str) -> str:
+    """Stands in for a judge: a point for each 50 characters."""
+    return '{"overall": %d}' % min(5, len(text) // 50)
