@@ -101,9 +101,10 @@ def level_of(heading: Column) -> Column:
 
 
 def page_references(text: Column) -> Column:
-    """array<struct<cue, kind, page>> of all page references of a text."""
-    get = lambda g: F.regexp_extract_all(text, F.lit(PAGE_REFERENCE), F.lit(g))
-    return F.transform(F.arrays_zip(get(1).alias("cue"), get(2).alias("kind"), get(3).alias("page")), lambda r: F.struct(r["cue"].alias("cue"), r["kind"].alias("kind"), r["page"].cast("int").alias("page")))
+    """array<struct<cue, kind, page, anchor>> of all page references of a text, which is searched once; their parts come from the matches."""
+    part = lambda m, g: F.regexp_extract(m, PAGE_REFERENCE, g)
+    found = F.regexp_extract_all(text, F.lit(PAGE_REFERENCE), F.lit(0))
+    return F.transform(found, lambda m: F.struct(part(m, 1).alias("cue"), part(m, 2).alias("kind"), part(m, 3).cast("int").alias("page"), m.alias("anchor")))
 
 
 def is_internal(reference: Column, page_count: Column) -> Column:

@@ -5,62 +5,84 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirekit.functions import folds
 from quirekit.functions import text as T
 
 
-def covering(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """points (doc_id, page) with every span (doc_id, id, page_start, page_end) that covers them. Null and zero bounds cover nothing.
+#: No reference names a later page: they have four digits at most.
+LAST_PAGE = 9999
+
+
+def by_page(spans: DataFrame, last: int = LAST_PAGE) -> DataFrame:
+    """Spans (doc_id, id, page_start, page_end) once for each page up to ``last``, as column ``page``. Null and zero bounds cover nothing.
 
-    The document is an equality, so the join hashes on it and only checks the bounds within one
-    document; without it Spark would pair everything with everything.
+    Sections of a tree have together no more pages than the document has pages times levels, so an equality join on
+    (doc_id, page) stays linear where bounds would be checked for all pairs of a document.
     """
-    real = spans.where((F.col("page_start") != 0) & (F.col("page_end") != 0))
-    return points.join(real, "doc_id").where(F.col("page").between(F.col("page_start"), F.col("page_end")))
+    real = spans.where((F.col("page_start") > 0) & (F.col("page_end") >= F.col("page_start")) & (F.col("page_start") <= last))
+    return real.withColumn("page", F.explode(F.sequence(F.col("page_start").cast("long"), F.least(F.col("page_end").cast("long"), F.lit(last).cast("long")))))
+
+
+def covering(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """points (doc_id, page, from 1 to LAST_PAGE) with every span (doc_id, id, page_start, page_end) that covers them."""
+    return points.withColumn("page", F.col("page").cast("long")).join(by_page(spans), ["doc_id", "page"])
 
 
 def smallest_covering(points: DataFrame, spans: DataFrame, order: str = "ord") -> DataFrame:
     """(doc_id, page, id): the shortest covering span, the first by ``order`` of equal ones; pages without one are left out."""
-    found = covering(points.select("doc_id", "page").distinct(), spans)
-    return found.groupBy("doc_id", "page").agg(F.min_by("id", F.struct(F.col("page_end") - F.col("page_start"), F.col(order))).alias("id"))
+    kind = points.schema["page"].dataType
+    best = by_page(spans).groupBy("doc_id", "page").agg(F.min_by("id", F.struct(F.col("page_end") - F.col("page_start"), F.col(order))).alias("id"))
+    wanted = points.select("doc_id", F.col("page").cast("long").alias("page")).distinct()
+    return wanted.join(best, ["doc_id", "page"]).select("doc_id", F.col("page").cast(kind).alias("page"), "id")
 
 
 def deepest_covering(points: DataFrame, tree: DataFrame) -> DataFrame:
-    """(doc_id, page, id): covering sections (with lft, rgt) that have no covering section below them."""
+    """(doc_id, page, id): covering sections (with lft, rgt) that have no covering section below them.
+
+    A section has one below it if, of those that cover the page and begin later in the tree, the least rgt is smaller.
+    """
+    kind = points.schema["page"].dataType
     found = covering(points.select("doc_id", "page").distinct(), tree).select("doc_id", "page", "id", "lft", "rgt")
-    below = found.select("doc_id", "page", F.col("lft").alias("b_l"), F.col("rgt").alias("b_r")).alias("b")
-    a = found.alias("a")
-    inside = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("a.lft") < F.col("b.b_l")) & (F.col("b.b_r") < F.col("a.rgt"))
-    return a.join(below, inside, "left_anti").select("doc_id", "page", "id")
+    later = Window.partitionBy("doc_id", "page").orderBy(F.desc("lft")).rangeBetween(Window.unboundedPreceding, -1)
+    below = F.min("rgt").over(later) < F.col("rgt")
+    return found.withColumn("_below", F.coalesce(below, F.lit(False))).where("not _below").select("doc_id", F.col("page").cast(kind).alias("page"), "id")
 
 
 def overlapping(spans: DataFrame) -> DataFrame:
-    """(doc_id, id, other): sections that share pages and of which neither is above the other."""
-    b = spans.select("doc_id", F.col("id").alias("other"), F.col("page_start").alias("s"), F.col("page_end").alias("e"), F.col("lft").alias("l"), F.col("rgt").alias("r"))
-    met = spans.join(b, "doc_id").where((F.col("id") != F.col("other")) & (F.col("page_start") <= F.col("e")) & (F.col("s") <= F.col("page_end")))
+    """(doc_id, id, other): sections that share pages and of which neither is above the other.
+
+    Of two sections that share pages, one covers the page on which the other starts: an equality join on that page.
+    """
+    b = spans.select("doc_id", F.col("page_start").cast("long").alias("page"), F.col("id").alias("other"), F.col("page_start").alias("s"), F.col("lft").alias("l"), F.col("rgt").alias("r"))
+    met = by_page(spans, 2**31 - 1).join(b, ["doc_id", "page"]).where(F.col("id") != F.col("other"))
     apart = ~((F.col("lft") < F.col("l")) & (F.col("r") < F.col("rgt"))) & ~((F.col("l") < F.col("lft")) & (F.col("rgt") < F.col("r")))
-    return met.where(apart).select("doc_id", "id", "other")
+    ways = F.when(F.col("s") == F.col("page_start"), F.array(F.struct("id", "other"))).otherwise(F.array(F.struct("id", "other"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"))))
+    return met.where(apart).select("doc_id", F.explode(ways).alias("w")).select("doc_id", "w.id", "w.other")
 
 
 def extract(sections: DataFrame, page_counts: DataFrame, order: str = "ord") -> DataFrame:
-    """(doc_id, from_id, to_id, page, occurrences): references of sections (doc_id, id, ord, page_start, page_end, markdown) to other sections.
+    """(doc_id, from_id, to_id, page, anchor, occurrences): references of sections (doc_id, id, ord, page_start, page_end, markdown) to other sections.
 
     A reference without a cue, or to a page that the document has not, is external; so is none to the
-    section itself. ``page_counts``: doc_id, page_count; documents without one take any page.
+    section itself. ``page_counts``: doc_id, page_count; documents without one take any page. ``anchor`` is the text of
+    the reference. Texts are searched once and not shuffled but for their references.
     """
-    met = sections.join(page_counts, "doc_id", "left").withColumn("page_count", F.coalesce("page_count", F.lit(10**9)))
-    found = met.select("doc_id", F.col("id").alias("from_id"), "page_count", F.explode(T.page_references(F.col("markdown"))).alias("r")).where(T.is_internal(F.col("r"), F.col("page_count")))
-    found = found.select("doc_id", "from_id", F.col("r.page").alias("page"))
-    targets = smallest_covering(found, sections, order).withColumnRenamed("id", "to_id")
-    return found.join(targets, ["doc_id", "page"]).where(F.col("from_id") != F.col("to_id")).groupBy("doc_id", "from_id", "to_id", "page").agg(F.count("*").alias("occurrences"))
+    found = sections.select("doc_id", F.col("id").alias("from_id"), F.explode(T.page_references(F.col("markdown"))).alias("r"))
+    counted = found.groupBy("doc_id", "from_id", F.col("r.page").alias("page"), F.col("r.anchor").alias("anchor")).agg(F.first("r").alias("r"), F.count("*").alias("occurrences"))
+    known = counted.join(page_counts, "doc_id", "left").where(T.is_internal(F.col("r"), F.coalesce("page_count", F.lit(10**9)))).drop("r", "page_count")
+    best = by_page(sections).groupBy("doc_id", "page").agg(F.min_by("id", F.struct(F.col("page_end") - F.col("page_start"), F.col(order))).alias("to_id"))
+    met = known.withColumn("_page", F.col("page").cast("long")).join(best.withColumnRenamed("page", "_page"), ["doc_id", "_page"])
+    return met.where(F.col("from_id") != F.col("to_id")).select("doc_id", "from_id", "to_id", "page", "anchor", "occurrences")
 
 
 def weighted_edges(references: DataFrame) -> DataFrame:
-    """(doc_id, from_id, to_id, weight): references between two sections added up; missing or zero occurrences count 1."""
-    return references.groupBy("doc_id", "from_id", "to_id").agg(F.sum(F.coalesce(F.nullif("occurrences", F.lit(0).cast("long")), F.lit(1).cast("long"))).alias("weight"))
+    """(doc_id, from_id, to_id, weight, and anchors if there are any): references between two sections added up; missing or zero occurrences count 1."""
+    weight = F.sum(F.coalesce(F.nullif("occurrences", F.lit(0).cast("long")), F.lit(1).cast("long"))).alias("weight")
+    anchors = [F.array_sort(F.collect_set("anchor")).alias("anchors")] if "anchor" in references.columns else []
+    return references.groupBy("doc_id", "from_id", "to_id").agg(weight, *anchors)
 
 
 def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

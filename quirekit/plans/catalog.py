@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirekit.functions import folds
 from quirekit.functions import text as T
-from quirekit.operators import layout, quality, records, references, remediation, stitching, trees
+from quirekit.operators import edits, layout, quality, records, references, remediation, stitching, trees
 from quirekit.plans import sql as S
 from quirekit.sources import fixtures as X
 
@@ -188,7 +188,7 @@ def overlaps(spark, d):
 _REFS = f"WITH {S.PAGES}, refs AS (SELECT doc_id, page_no AS from_id, n_pages, CAST(regexp_extract(md, 'See page (\\d+)', 1) AS INT) AS page FROM pg), tgt AS (SELECT doc_id, from_id, page, CASE WHEN page = 1 AND n_pages > 1 THEN 1 ELSE page END AS to_id FROM refs), body AS (SELECT * FROM tgt WHERE from_id <> to_id)"
 
 
-@query(_REFS + " SELECT doc_id, from_id, to_id, page, count(*) AS occurrences FROM body GROUP BY ALL")
+@query(_REFS + " SELECT doc_id, from_id, to_id, page, 'See page ' || page AS anchor, count(*) AS occurrences FROM body GROUP BY ALL")
 def reference_edges(spark, d):
     s = X.sections(spark, d)
     return references.extract(s, s.groupBy("doc_id").agg(F.max("n_pages").alias("page_count")))
@@ -310,6 +310,30 @@ def stitch_tables(spark, d):
     return stitching.stitched(X.table_pages(spark, d)).select("doc_id", "page_no", F.md5("markdown").alias("md_md5"))
 
 
+#: Types that the edits of the queries may give.
+_TYPES = [name for _, name, _ in X.TYPES]
+
+
+@query(f"WITH {S.PAGES}, {S.EDITED} SELECT doc_id, id, parent_id, ord, title, section_type, included, page_start, page_end, md5(markdown) AS markdown_md5, level, lft, rgt, is_group, path FROM ed")
+def section_edits(spark, d):
+    """Sections of every third document after nine edits each."""
+    found = edits.edited(X.outline(spark, d), X.edits(spark, d), _TYPES)
+    return found.withColumn("markdown_md5", F.md5("markdown")).drop("markdown")
+
+
+@query(f"WITH {S.PAGES}, m AS (SELECT DISTINCT doc_id, n_pages AS n FROM pg WHERE doc_id % 3 = 0) SELECT doc_id, CAST(seq AS BIGINT) AS seq, op, CASE WHEN seq = 4 THEN 'unknown type ' || chr(39) || 'zz' || chr(39) WHEN seq = 8 THEN 'a title can' || chr(39) || 't be empty' WHEN n < least THEN 'no such section' END AS error FROM m, (VALUES (1, 'rename', 1), (2, 'include', 3), (3, 'retype', 1), (4, 'retype', 2), (5, 'delete', 7), (6, 'create', 1), (7, 'split', 3), (8, 'rename', 2), (9, 'move', 3)) v(seq, op, least)")
+def section_edit_log(spark, d):
+    return edits.outcomes(X.outline(spark, d), X.edits(spark, d), _TYPES)
+
+
+@query(f"WITH {S.PAGES}, {S.EDITED}, s AS (SELECT doc_id, id, n, markdown FROM ed UNION ALL SELECT doc_id, page_no, n_pages, md FROM pg WHERE doc_id % 3 <> 0), f AS (SELECT doc_id, id AS from_id, n, CAST(regexp_extract(markdown, 'See page (\\d+)', 1) AS INT) AS page FROM s WHERE markdown LIKE '%See page %'), t AS (SELECT *, CASE WHEN doc_id % 3 = 0 AND page IN (7, 8) THEN 1 ELSE page END AS to_id FROM f WHERE page <= n) SELECT doc_id, from_id, to_id, page, 'See page ' || page AS anchor, count(*) AS occurrences FROM t WHERE from_id <> to_id GROUP BY ALL")
+def edited_references(spark, d):
+    """All references after the edits: those of edited documents found anew, the others as they were."""
+    tree, log = X.outline(spark, d), X.edits(spark, d)
+    counts = tree.groupBy("doc_id").agg(F.max("n_pages").alias("page_count"))
+    return edits.with_references(references.extract(tree, counts), edits.edited(tree, log, _TYPES), log, counts)
+
+
 def _remediated(spark, d):
     return remediation.remediated(X.drafts(spark, d), X.offline_vlm, X.offline_cleanup, X.offline_judge, scope="flagged")
 

@@ -42,6 +42,24 @@ CALLS = "calls AS (SELECT user_id AS job, event_id AS seq, event_type AS status,
 TABLE_PAGES = """tp AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS place,
     CASE WHEN k % 3 = 0 THEN 'Intro' || chr(10) ELSE '' END || CASE WHEN k % 4 = 0 THEN '' WHEN k % 5 = 0 THEN '| A | B | C |' || chr(10) || '|---|:-:|---|' || chr(10) ELSE '| A | B |' || chr(10) || '|---|---|' || chr(10) END
     || '| ' || page_no || CASE WHEN k % 5 = 0 THEN ' | x | y |' ELSE ' | x |' END || CASE WHEN k % 7 = 0 THEN chr(10) || 'End' ELSE '' END AS markdown FROM (SELECT doc_id, page_no, doc_id + page_no AS k FROM pg))"""
+EDITED = """ed0 AS (SELECT doc_id, page_no AS id, n_pages AS n, md, (doc_id + page_no) % 7 AS k FROM pg WHERE doc_id % 3 = 0),
+ed1 AS (
+    SELECT doc_id, id, n, CASE WHEN id = 2 AND n >= 3 THEN 3 WHEN id % 4 = 0 THEN id - 1 WHEN id > 1 THEN 1 END AS parent_id, CASE WHEN id = 1 THEN 0 WHEN id = 2 AND n >= 3 THEN 45 ELSE id * 10 END AS place,
+           CASE WHEN id = doc_id % n + 1 THEN 'Renamed ' || doc_id ELSE 'Part ' || k END AS title, CASE WHEN id = 1 THEN 'en' END AS section_type, id NOT IN (3, 4) AS included,
+           id AS page_start, CASE WHEN id = 1 THEN n ELSE id END AS page_end, CASE WHEN id = 3 THEN '' ELSE md END AS markdown
+    FROM ed0 WHERE id NOT IN (7, 8)
+    UNION ALL SELECT doc_id, 1000, n, 1, 1, 'Glossary', 'fr', true, NULL, NULL, 'See page 2.' FROM ed0 WHERE id = 1
+    UNION ALL SELECT doc_id, 2003, n, 1, 47, '3. Part ' || k, NULL, false, 3, 3, md FROM ed0 WHERE id = 3
+),
+ed2 AS (SELECT *, CASE WHEN id = 1 THEN 1 WHEN parent_id = 1 THEN 2 ELSE 3 END AS level, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS r, CAST(row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY place) - 1 AS INTEGER) AS ord FROM ed1),
+below AS (SELECT doc_id, parent_id, count(*) AS n_kids FROM ed2 GROUP BY ALL),
+low AS (SELECT doc_id, count(*) AS n_low FROM ed2 WHERE level = 3 GROUP BY ALL),
+ed AS (
+    SELECT a.*, 2 * a.r - a.level AS lft, 2 * a.r - a.level + 2 * (1 + coalesce(n_kids, 0) + CASE WHEN a.id = 1 THEN coalesce(n_low, 0) ELSE 0 END) - 1 AS rgt, n_kids IS NOT NULL AS is_group,
+           concat_ws(' > ', CASE WHEN a.level > 1 THEN top.title END, CASE WHEN a.level > 2 THEN up.title END, a.title) AS path
+    FROM ed2 a LEFT JOIN below ON below.doc_id = a.doc_id AND below.parent_id = a.id LEFT JOIN low ON low.doc_id = a.doc_id
+    LEFT JOIN ed2 top ON top.doc_id = a.doc_id AND top.id = 1 LEFT JOIN ed2 up ON up.doc_id = a.doc_id AND up.id = a.parent_id
+)"""
 _LEFT_OUT = "'==> picture intentionally omitted <=='"
 DRAFTS = f"""dr0 AS (SELECT doc_id, page_no, doc_id + page_no AS k, 'Operations Manual ' || doc_id AS banner, 'Page ' || page_no || ' of ' || n_pages AS foot, x[(page_no - 1) * 5 + 1 : page_no * 5] AS b FROM pg1),
 dr AS (SELECT doc_id, page_no, k, CASE WHEN k % 13 = 0 THEN 'visual' ELSE 'text' END AS kind, k % 4 <> 1 AS target, 0.5 + (k % 5) / CAST(10 AS DOUBLE) AS stored, list_concat(list_concat([banner], b), [foot]) AS source,

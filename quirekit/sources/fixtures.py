@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lines of a document that make a page.
@@ -163,3 +163,33 @@ def offline_cleanup(page: dict) -> dict:
 def offline_judge(page: dict, text: str) -> str:
     """Stands in for a judge: a point for each 50 characters."""
     return '{"overall": %d}' % min(5, len(text) // 50)
+
+
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of documents as trees of three levels: every fourth page's section is below the one before it, the others below the first."""
+    s = sections(spark, sf_dir)
+    parent = F.when(F.col("id") % 4 == 0, F.col("id") - 1).when(F.col("id") > 1, 1)
+    return s.select("doc_id", "id", parent.alias("parent_id"), "ord", "title", F.lit(None).cast("string").alias("section_type"), F.lit(True).alias("included"), "page_start", "page_end", "markdown", "n_pages")
+
+
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine edits for every third document; which can be done depends on how many sections it has."""
+    one = pages(spark, sf_dir).where("page_no = 1").where("doc_id % 3 = 0")
+    text, null = F.col("doc_id").cast("string"), F.lit(None)
+
+    def edit(seq: int, op: str, **given) -> Column:
+        kinds = {"id": "int", "parent_id": "int", "place": "int", "title": "string", "heading": "string", "section_type": "string", "included": "boolean", "markdown": "string", "new_id": "int", "others": "array<int>"}
+        return F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), *[given.get(c, null).cast(k).alias(c) for c, k in kinds.items()])
+
+    log = F.array(
+        edit(1, "rename", id=F.col("doc_id") % F.col("n_pages") + 1, title=F.concat(F.lit(" Renamed "), text)),
+        edit(2, "include", id=F.lit(3), included=F.lit(False)),
+        edit(3, "retype", id=F.lit(1), section_type=F.lit("en")),
+        edit(4, "retype", id=F.lit(2), section_type=F.lit("zz")),
+        edit(5, "delete", id=F.lit(7)),
+        edit(6, "create", new_id=F.lit(1000), parent_id=F.lit(1), place=F.lit(0), title=F.lit(" Glossary "), section_type=F.lit("fr"), markdown=F.lit("See page 2.")),
+        edit(7, "split", id=F.lit(3), heading=F.concat(F.lit("3. part "), F.pmod(F.col("doc_id") + 3, F.lit(7)).cast("string")), new_id=F.lit(2003)),
+        edit(8, "rename", id=F.lit(2), title=F.lit("  ")),
+        edit(9, "move", id=F.lit(2), parent_id=F.lit(3)),
+    )
+    return one.select("doc_id", F.explode(log).alias("e")).select("doc_id", "e.*")

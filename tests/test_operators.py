@@ -1,5 +1,7 @@
 """Operators on small literal tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,7 +131,8 @@ def test_references_and_degrees(spark):
     s = spark.createDataFrame([(d, i, i, t, a, b, m) for d, i, t, a, b, m in SECTIONS], "doc_id int, id int, ord int, title string, page_start int, page_end int, markdown string")
     counts = spark.createDataFrame([(1, 6)], "doc_id int, page_count int")
     found = references.extract(s, counts)
-    assert {tuple(r) for r in found.collect()} == {(1, 1, 4, 5, 2), (1, 2, 4, 5, 1)}
+    assert {tuple(r) for r in found.collect()} == {(1, 1, 4, 5, "see page 5", 2), (1, 2, 4, 5, "Refer Page No. 5", 1)}
+    assert {tuple(r["anchors"]) for r in references.weighted_edges(found).collect()} == {("see page 5",), ("Refer Page No. 5",)}
     degree = {r["id"]: r["degree"] for r in references.degrees(references.weighted_edges(found), s).collect()}
     assert degree == {4: 3, 1: 2, 2: 1, 3: 0}
     again = references.extract(s.where("id <> 4"), counts)
@@ -144,6 +147,22 @@ def test_smallest_cover(spark):
     assert {r["page"]: r["id"] for r in references.smallest_covering(points, spans).collect()} == {3: "wide", 5: "tight", 6: "tight"}
 
 
+def test_covers_and_overlaps_equal_all_pairs(spark):
+    rnd = random.Random(6)
+    rows = [(d, i, i, rnd.choice([None, 0, *range(1, 12)]), rnd.choice([None, 0, *range(1, 12)]), rnd.randint(1, 9), rnd.randint(5, 14)) for d in range(30) for i in range(8)]
+    spans = spark.createDataFrame(rows, "doc_id int, id int, ord int, page_start int, page_end int, lft int, rgt int")
+    points = spark.createDataFrame([(d, n) for d in range(30) for n in range(13)] * 2, "doc_id int, page int")
+    real = [r for r in rows if r[3] and r[4] and r[3] <= r[4]]
+    covers = {(d, n): [r for r in real if r[0] == d and r[3] <= n <= r[4]] for d in range(30) for n in range(13)}
+    assert {tuple(r) for r in references.smallest_covering(points, spans).collect()} == {(d, n, min(c, key=lambda r: (r[4] - r[3], r[2]))[1]) for (d, n), c in covers.items() if c}
+    deepest = {(d, n, a[1]) for (d, n), c in covers.items() for a in c if not any(a[5] < b[5] and b[6] < a[6] for b in c)}
+    assert {tuple(r) for r in references.deepest_covering(points, spans).collect()} == deepest
+    inside = lambda a, b: a[5] < b[5] and b[6] < a[6]
+    pairs = {(a[0], a[1], b[1]) for a in real for b in real if a[0] == b[0] and a[1] != b[1] and a[3] <= b[4] and b[3] <= a[4] and not inside(a, b) and not inside(b, a)}
+    got = [tuple(r) for r in references.overlapping(spans).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+
+
 def test_summary_folds_null_and_empty(spark):
     sections = spark.createDataFrame([("a",), ("",), (None,), ("gone",)], "section_type string")
     taxonomy = spark.createDataFrame([(1, "a", "A"), (2, "b", "B")], "ord int, type_name string, label string")
