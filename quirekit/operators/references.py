@@ -55,8 +55,10 @@ def overlapping(spans: DataFrame) -> DataFrame:
     """(doc_id, id, other): sections that share pages and of which neither is above the other.
 
     Of two sections that share pages, one covers the page on which the other starts: an equality join on that page.
+    Null and zero bounds share nothing.
     """
-    b = spans.select("doc_id", F.col("page_start").cast("long").alias("page"), F.col("id").alias("other"), F.col("page_start").alias("s"), F.col("lft").alias("l"), F.col("rgt").alias("r"))
+    real = spans.where((F.col("page_start") > 0) & (F.col("page_end") >= F.col("page_start")))
+    b = real.select("doc_id", F.col("page_start").cast("long").alias("page"), F.col("id").alias("other"), F.col("page_start").alias("s"), F.col("lft").alias("l"), F.col("rgt").alias("r"))
     met = by_page(spans, 2**31 - 1).join(b, ["doc_id", "page"]).where(F.col("id") != F.col("other"))
     apart = ~((F.col("lft") < F.col("l")) & (F.col("r") < F.col("rgt"))) & ~((F.col("l") < F.col("lft")) & (F.col("rgt") < F.col("r")))
     ways = F.when(F.col("s") == F.col("page_start"), F.array(F.struct("id", "other"))).otherwise(F.array(F.struct("id", "other"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"))))
