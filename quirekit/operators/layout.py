@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +56,34 @@ def finalized(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame
     """(keys, old, new) of texts that cleaning really changes and does not make blank."""
     both = before.select(*keys, F.col("markdown").alias("old")).join(after.select(*keys, F.col("markdown").alias("new")), keys)
     return both.where((F.trim("new") != F.trim("old")) & (F.trim("new") != ""))
+
+
+def recurring_hashes(pages: DataFrame, owner: list[str], column: str, normal: Callable[[Column], Column], fits: Callable[[Column], Column], threshold: Callable[[Column], Column], least: int, min_pages: int) -> DataFrame:
+    """(owner, recurs): 64-bit hashes of the normal forms that recur on an owner's pages, for owners that have any.
+
+    One row of ``pages`` is one page. Its lines are counted as hashes, each once, before anything is shuffled; what
+    recurs on a share of the pages is no longer than a few pages, so the array is bounded by them.
+    """
+    keys = F.array_distinct(F.transform(F.filter(F.transform(T.lines(F.col(column)), normal), fits), lambda x: F.xxhash64(x)))
+    counts = pages.select(*owner, F.explode(F.concat(keys, F.array(F.lit(None).cast("long")))).alias("key")).groupBy(*owner, "key").agg(F.count("*").alias("n"))
+    of = counts.where(F.col("key").isNull() & (F.col("n") >= min_pages)).select(*owner, F.col("n").alias("pages"))
+    met = counts.where(F.col("key").isNotNull() & (F.col("n") >= least)).join(of, owner).where(F.col("n") >= F.greatest(F.lit(least), threshold(F.col("pages"))))
+    return met.groupBy(*owner).agg(F.collect_set("key").alias("recurs"))
+
+
+def boilerplate_hashes(pages: DataFrame, owner: list[str], column: str) -> DataFrame:
+    """(owner, recurs) by the rule of :func:`boilerplate`."""
+    return recurring_hashes(pages, owner, column, T.plain_line, lambda x: F.length(x).between(1, 90), lambda n: F.floor(n * 0.30), 3, 0)
+
+
+def cleaned_text(text: Column, recurs: Column) -> Column:
+    """A page's text as :func:`cleaned` leaves it, from the hashes of its owner's boilerplate (null: none)."""
+    told = lambda x: F.coalesce(F.array_contains(recurs, F.xxhash64(T.plain_line(x))), F.lit(False))
+    kept = F.filter(T.lines(text), lambda x: ~told(x) & ~T.is_stamp(x))
+
+    def stays(lines: Column) -> Column:
+        signed = lambda at: F.coalesce(T.is_sign_off(F.get(lines, at)), F.lit(False))
+        return F.filter(lines, lambda x, i: ~T.is_sign_off(x) & ~(x.rlike(T.SEPARATOR_ROW) & (signed(i - 1) | signed(i + 1))))
+
+    # a let binding: the lines that are left are worked out once
+    return F.array_join(F.element_at(F.transform(F.array(kept), stays), 1), "\n")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quirekit.functions import folds
 from quirekit.functions import text as T
-from quirekit.operators import quality, stitching
+from quirekit.operators import layout, quality, stitching
 
 Model = Callable[[dict], dict]
 CANDIDATES = ("base", "vlm", "cleanup")
@@ -28,17 +28,8 @@ _TOKEN = re.compile("[a-z0-9]+")
 
 
 def furniture_keys(pages: DataFrame, column: str) -> DataFrame:
-    """(doc_id, furniture): 64-bit hashes of the running lines of documents that have any.
-
-    Lines are counted as hashes, once a page, before anything is shuffled. A running line is on half of the pages, so
-    the array of a document is no longer than two of its pages.
-    """
-    normal = F.filter(F.transform(T.lines(F.col(column)), T.running_line), lambda x: F.length(x) >= 6)
-    keys = F.array_distinct(F.transform(normal, lambda x: F.xxhash64(x)))
-    counts = pages.select("doc_id", F.explode(F.concat(keys, F.array(F.lit(None).cast("long")))).alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    of = counts.where("key is null and n >= 3").select("doc_id", F.col("n").alias("pages"))
-    met = counts.where("key is not null and n >= 2").join(of, "doc_id").where(F.col("n") >= F.greatest(F.lit(2), F.bround(F.col("pages") * 0.5)))
-    return met.groupBy("doc_id").agg(F.collect_set("key").alias("furniture"))
+    """(doc_id, recurs): 64-bit hashes of the running lines of documents that have any, by the rule of ``layout.furniture``."""
+    return layout.recurring_hashes(pages, ["doc_id"], column, T.running_line, lambda x: F.length(x) >= 6, lambda n: F.bround(n * 0.5), 2, 3)
 
 
 def without_furniture(text: Column, furniture: Column) -> Column:
@@ -162,7 +153,7 @@ def remediated(pages: DataFrame, vlm: Model, cleanup: Model, judge: Callable[[di
     keys = ["doc_id", "page_no"]
     target = F.lit(True) if scope == "all" else ~F.col("verdict").eqNullSafe("pass")
     own = pages.select(*keys, F.coalesce("kind", F.lit("text")).alias("kind"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("markdown", F.lit("")).alias("markdown"), F.col("composite").cast("double").alias("stored"), target.alias("target"))
-    met = own.join(furniture_keys(own, "source"), "doc_id", "left").withColumn("content", without_furniture(F.col("source"), F.col("furniture"))).drop("furniture")
+    met = own.join(furniture_keys(own, "source"), "doc_id", "left").withColumn("content", without_furniture(F.col("source"), F.col("recurs"))).drop("recurs")
     tried = attempted(met, vlm, cleanup, judge, judge_all, forced)
     texts = {"base": F.col("markdown"), "vlm": F.col("vlm_text"), "cleanup": F.col("cleanup_text")}
     scores = {k: v for name, text in texts.items() for k, v in _scored(tried, name, text).items()}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirekit.functions import folds
 from quirekit.functions import text as T
-from quirekit.operators import edits, layout, quality, records, references, remediation, stitching, trees
+from quirekit.operators import edits, layout, quality, rebuilding, records, references, remediation, stitching, trees
 from quirekit.plans import sql as S
 from quirekit.sources import fixtures as X
 
@@ -334,6 +334,26 @@ def edited_references(spark, d):
     return edits.with_references(references.extract(tree, counts), edits.edited(tree, log, _TYPES), log, counts)
 
 
+_UNDER = "'| A | B |' || chr(10) || '| 1 | 2 |', '| A | B |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |'"
+
+
+@query(f"WITH {S.PAGES}, {S.OUTLINE}, {S.REBUILT} SELECT np.doc_id, np.id, CAST(pages AS INTEGER) AS pages, md5(replace(coalesce(t, ''), {_UNDER})) AS markdown_md5, coalesce(ovs.near, '') AS overlaps FROM np LEFT JOIN tx ON tx.doc_id = np.doc_id AND tx.id = np.id LEFT JOIN ovs ON ovs.doc_id = np.doc_id AND ovs.id = np.id")
+def rebuilt_sections(spark, d):
+    """The first section and every third of all documents, made again from their pages."""
+    tree = X.numbered_outline(spark, d)
+    pages = X.pages(spark, d).select("doc_id", "page_no", F.col("md").alias("markdown"))
+    found = rebuilding.rebuilt(pages, tree, tree.where("id = 1 or id % 3 = 0"))
+    return found.select("doc_id", "id", "pages", F.md5("markdown").alias("markdown_md5"), F.array_join(F.transform("overlaps", lambda x: x.cast("string")), ",").alias("overlaps"))
+
+
+@query(f"WITH {S.PAGES}, {S.OUTLINE}, pts AS (SELECT doc_id, page_no AS page FROM pg WHERE page_no % 3 = 0 UNION SELECT doc_id, n_pages + 1 FROM pg), c AS (SELECT pts.doc_id, page, id, lft, rgt FROM pts JOIN ol ON pts.doc_id = ol.doc_id AND page BETWEEN page_start AND page_end), dp AS (SELECT * FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE a.doc_id = b.doc_id AND a.page = b.page AND a.lft < b.lft AND b.rgt < a.rgt)), n AS (SELECT pts.doc_id, pts.page, count(dp.id) AS n_owners, min(dp.id) AS one FROM pts LEFT JOIN dp ON dp.doc_id = pts.doc_id AND dp.page = pts.page GROUP BY ALL) SELECT doc_id, page, n_owners, CASE WHEN n_owners = 1 THEN one END AS owner, CASE n_owners WHEN 0 THEN 'no_owner' WHEN 1 THEN 'owned' ELSE 'shared' END AS state FROM n")
+def page_owners(spark, d):
+    """Which section a changed page goes to: every third page, and one past the end."""
+    p = X.pages(spark, d)
+    points = p.where("page_no % 3 = 0").select("doc_id", F.col("page_no").alias("page")).unionByName(p.select("doc_id", (F.col("n_pages") + 1).alias("page")))
+    return rebuilding.owners(points, X.numbered_outline(spark, d))
+
+
 def _remediated(spark, d):
     return remediation.remediated(X.drafts(spark, d), X.offline_vlm, X.offline_cleanup, X.offline_judge, scope="flagged")
 

@@ -60,6 +60,17 @@ ed AS (
     FROM ed2 a LEFT JOIN below ON below.doc_id = a.doc_id AND below.parent_id = a.id LEFT JOIN low ON low.doc_id = a.doc_id
     LEFT JOIN ed2 top ON top.doc_id = a.doc_id AND top.id = 1 LEFT JOIN ed2 up ON up.doc_id = a.doc_id AND up.id = a.parent_id
 )"""
+OUTLINE = """ol0 AS (SELECT doc_id, page_no AS id, n_pages AS n, page_no % 4 = 3 AND page_no < n_pages AS over, CASE WHEN page_no = 1 THEN 1 WHEN page_no % 4 = 0 THEN 3 ELSE 2 END AS level FROM pg),
+ol AS (SELECT doc_id, id, id AS page_start, CASE WHEN id = 1 THEN n WHEN over OR id % 5 = 0 THEN least(id + 1, n) ELSE id END AS page_end, 2 * id - level AS lft, 2 * id - level + 2 * CASE WHEN id = 1 THEN n WHEN over THEN 2 ELSE 1 END - 1 AS rgt FROM ol0)"""
+REBUILT = f"""wt AS (SELECT * FROM ol WHERE id = 1 OR id % 3 = 0),
+sp AS (SELECT w.doc_id, w.id, p.page_no, string_split(p.md, chr(10)) AS x FROM wt w JOIN pg p ON p.doc_id = w.doc_id AND p.page_no BETWEEN w.page_start AND w.page_end),
+sl AS (SELECT doc_id, id, page_no, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM sp),
+sn AS (SELECT *, {plain('line')} AS normal FROM sl),
+np AS (SELECT doc_id, id, count(*) AS pages FROM sp GROUP BY ALL),
+bo AS (SELECT doc_id, id, normal FROM (SELECT doc_id, id, normal, count(DISTINCT page_no) AS k FROM sn GROUP BY ALL) JOIN np USING (doc_id, id) WHERE len(normal) BETWEEN 1 AND 90 AND k >= greatest(3, floor(0.30 * pages))),
+pt AS (SELECT doc_id, id, page_no, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS t FROM sn WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.doc_id = sn.doc_id AND bo.id = sn.id AND bo.normal = sn.normal) AND NOT {stamp('line')} GROUP BY ALL),
+tx AS (SELECT doc_id, id, string_agg(t, chr(10) || chr(10) ORDER BY page_no) AS t FROM pt WHERE t <> '' GROUP BY ALL),
+ovs AS (SELECT a.doc_id, a.id, string_agg(CAST(b.id AS VARCHAR), ',' ORDER BY b.id) AS near FROM wt a JOIN ol b ON a.doc_id = b.doc_id AND a.id <> b.id AND a.page_start <= b.page_end AND b.page_start <= a.page_end WHERE NOT (a.lft < b.lft AND b.rgt < a.rgt) AND NOT (b.lft < a.lft AND a.rgt < b.rgt) GROUP BY ALL)"""
 _LEFT_OUT = "'==> picture intentionally omitted <=='"
 DRAFTS = f"""dr0 AS (SELECT doc_id, page_no, doc_id + page_no AS k, 'Operations Manual ' || doc_id AS banner, 'Page ' || page_no || ' of ' || n_pages AS foot, x[(page_no - 1) * 5 + 1 : page_no * 5] AS b FROM pg1),
 dr AS (SELECT doc_id, page_no, k, CASE WHEN k % 13 = 0 THEN 'visual' ELSE 'text' END AS kind, k % 4 <> 1 AS target, 0.5 + (k % 5) / CAST(10 AS DOUBLE) AS stored, list_concat(list_concat([banner], b), [foot]) AS source,

@@ -193,3 +193,14 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         edit(9, "move", id=F.lit(2), parent_id=F.lit(3)),
     )
     return one.select("doc_id", F.explode(log).alias("e")).select("doc_id", "e.*")
+
+
+def numbered_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, id, page_start, page_end, lft, rgt): :func:`outline` with its numbers; sections over others span them, every fifth runs into the next page."""
+    s = outline(spark, sf_dir).select("doc_id", "id", "n_pages", "page_start", "page_end")
+    over = (F.col("id") % 4 == 3) & (F.col("id") < F.col("n_pages"))
+    level = F.when(F.col("id") == 1, 1).when(F.col("id") % 4 == 0, 3).otherwise(2)
+    size = F.when(F.col("id") == 1, F.col("n_pages")).when(over, 2).otherwise(1)
+    end = F.when((F.col("id") > 1) & (over | (F.col("id") % 5 == 0)), F.least(F.col("id") + 1, F.col("n_pages"))).otherwise(F.col("page_end"))
+    lft = 2 * F.col("id") - level
+    return s.select("doc_id", "id", "page_start", end.alias("page_end"), lft.alias("lft"), (lft + 2 * size - 1).alias("rgt"))

@@ -121,6 +121,6 @@ def test_furniture_by_hashes(spark):
     df = spark.createDataFrame([(1, n, f"Report 4.{n}\nbody {'abc'[n]}\nshort") for n in range(3)] + [(2, n, "Report 4.1\nx") for n in range(2)], "doc_id int, page_no int, source string")
     keys = remediation.furniture_keys(df, "source")
     assert [r["doc_id"] for r in keys.collect()] == [1]
-    left = df.join(keys, "doc_id", "left").select("doc_id", "page_no", remediation.without_furniture(F.col("source"), F.col("furniture")).alias("s")).collect()
+    left = df.join(keys, "doc_id", "left").select("doc_id", "page_no", remediation.without_furniture(F.col("source"), F.col("recurs")).alias("s")).collect()
     assert {(r["doc_id"], r["page_no"]): r["s"] for r in left}[1, 2] == "body c\nshort" and all(r["s"].startswith("Report") for r in left if r["doc_id"] == 2)
     assert folds.table_faults("| a | b |\n| 1 | 2 |") == ["table missing separator row"]
