@@ -65,17 +65,17 @@ def overlapping(spans: DataFrame) -> DataFrame:
     return met.where(apart).select("doc_id", F.explode(ways).alias("w")).select("doc_id", "w.id", "w.other")
 
 
-def extract(sections: DataFrame, page_counts: DataFrame, order: str = "ord") -> DataFrame:
+def extract(sections: DataFrame, page_counts: DataFrame, order: str = "ord", spans: DataFrame | None = None) -> DataFrame:
     """(doc_id, from_id, to_id, page, anchor, occurrences): references of sections (doc_id, id, ord, page_start, page_end, markdown) to other sections.
 
     A reference without a cue, or to a page that the document has not, is external; so is none to the
     section itself. ``page_counts``: doc_id, page_count; documents without one take any page. ``anchor`` is the text of
-    the reference. Texts are searched once and not shuffled but for their references.
+    the reference. ``spans`` has all sections to which references lead, if ``sections`` are only some of them. Texts are searched once and not shuffled but for their references.
     """
     found = sections.select("doc_id", F.col("id").alias("from_id"), F.explode(T.page_references(F.col("markdown"))).alias("r"))
     counted = found.groupBy("doc_id", "from_id", F.col("r.page").alias("page"), F.col("r.anchor").alias("anchor")).agg(F.first("r").alias("r"), F.count("*").alias("occurrences"))
     known = counted.join(page_counts, "doc_id", "left").where(T.is_internal(F.col("r"), F.coalesce("page_count", F.lit(10**9)))).drop("r", "page_count")
-    best = by_page(sections).groupBy("doc_id", "page").agg(F.min_by("id", F.struct(F.col("page_end") - F.col("page_start"), F.col(order))).alias("to_id"))
+    best = by_page(sections if spans is None else spans).groupBy("doc_id", "page").agg(F.min_by("id", F.struct(F.col("page_end") - F.col("page_start"), F.col(order))).alias("to_id"))
     met = known.withColumn("_page", F.col("page").cast("long")).join(best.withColumnRenamed("page", "_page"), ["doc_id", "_page"])
     return met.where(F.col("from_id") != F.col("to_id")).select("doc_id", "from_id", "to_id", "page", "anchor", "occurrences")
 

@@ -15,6 +15,7 @@ from quirekit.functions import text as T
 from quirekit.operators import edits, layout, quality, rebuilding, records, references, remediation, stitching, trees
 from quirekit.plans import sql as S
 from quirekit.sources import fixtures as X
+from quirekit.streaming import writes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,21 +277,47 @@ def bake_off(spark, d):
     return wide.groupBy("page_no").agg(F.sum(F.round(F.col("a") * 100).cast("long")).alias("a"), F.sum(F.round(F.col("b") * 100).cast("long")).alias("b"), F.count_if(F.col("a") >= F.coalesce("b", F.lit(0.0))).alias("a_wins"))
 
 
-@query()
+_SRC = f"WITH {S.PAGES}, src AS (SELECT doc_id, page_no AS id, md AS text FROM pg), {S.LINT}"
+
+
+@query(_SRC + " SELECT doc_id, id AS page_no, code, CAST(line AS INTEGER) AS line, message FROM lint")
 def lint_issues(spark, d):
     return references.lint(X.pages(spark, d), ["doc_id", "page_no"], "md")
 
 
-@query(f"WITH {S.PAGES}, c AS (SELECT doc_id, count(*) AS pages FROM pg GROUP BY ALL) SELECT CASE doc_id % 4 WHEN 1 THEN 'missing_separator' WHEN 2 THEN 'ragged_row' ELSE 'lone_pipe_row' END AS code, sum(pages)::BIGINT AS n FROM c WHERE doc_id % 4 <> 0 GROUP BY ALL")
+@query(_SRC + " SELECT code, count(*) AS n FROM lint GROUP BY code")
 def lint_counts(spark, d):
     return references.lint(X.pages(spark, d), ["doc_id"], "md").groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_SRC + f", {S.SEPARATED} SELECT doc_id, id AS page_no, md5(text) AS md_md5 FROM fixed")
 def fix_separators(spark, d):
     return references.with_separators(X.pages(spark, d), ["doc_id", "page_no"], "md").select("doc_id", "page_no", F.md5("md").alias("md_md5"))
 
 
+_WRITTEN = f"""WITH {S.PAGES}, src AS (SELECT doc_id, page_no AS id, n_pages AS n, CASE WHEN page_no % 2 = 0 THEN md || chr(10) || 'Refer to page ' || (page_no * 3 % n_pages + 1) || '.' || chr(10) || '| lone |' || chr(10) || '```' ELSE md END AS text FROM pg), {S.LINT},
+rf AS (SELECT doc_id, id, unnest(regexp_extract_all(text, '(?:See|Refer to) page \\d+')) AS anchor FROM src),
+rt AS (SELECT doc_id, id, anchor, CAST(regexp_extract(anchor, '(\\d+)', 1) AS INT) AS page FROM rf),
+rn AS (SELECT doc_id, id, count(DISTINCT anchor) AS n_references FROM rt WHERE page <> id GROUP BY ALL),
+lc AS (SELECT doc_id, id, count(*) AS n, string_agg(code, ',' ORDER BY place) AS codes FROM lint GROUP BY ALL)"""
+
+
+@query(_WRITTEN + " SELECT src.doc_id, src.id, md5(text) AS markdown_md5, CAST(coalesce(lc.n, 0) AS INTEGER) AS lint_count, coalesce(codes, '') AS lint_codes, coalesce(n_references, 0) AS n_references FROM src LEFT JOIN lc ON lc.doc_id = src.doc_id AND lc.id = src.id LEFT JOIN rn ON rn.doc_id = src.doc_id AND rn.id = src.id")
+def sections_on_write(spark, d):
+    """Every second section's text is written again, first with a draft; lint issues and references follow the stored texts."""
+    tree = X.outline(spark, d)
+    counts = tree.groupBy("doc_id").agg(F.max("n_pages").alias("page_count"))
+    some = tree.where("id % 2 = 0")
+    final = F.concat("markdown", F.lit("\nRefer to page "), (F.col("id") * 3 % F.col("n_pages") + 1).cast("string"), F.lit(".\n| lone |\n```"))
+    changes = some.select("doc_id", "id", F.lit("a draft").alias("markdown"), F.lit(1).alias("seq")).unionByName(some.select("doc_id", "id", final.alias("markdown"), F.lit(2).alias("seq")))
+    bodies, links = writes.on_write(changes, tree, counts)
+    base = tree.select("doc_id", "id", "markdown", writes.lint_column(F.col("markdown")).alias("lint_issues"))
+    now, found = writes.current(base, references.extract(tree, counts), bodies.withColumn("batch", F.lit(0)), links.withColumn("batch", F.lit(0)))
+    codes = F.array_join(F.transform(F.from_json("lint_issues", "array<struct<code:string>>"), lambda x: x["code"]), ",")
+    n = found.groupBy("doc_id", F.col("from_id").alias("id")).agg(F.count("*").alias("n_references"))
+    return now.join(n, ["doc_id", "id"], "left").select("doc_id", "id", F.md5("markdown").alias("markdown_md5"), writes.lint_count(F.col("lint_issues")).alias("lint_count"), F.coalesce(codes, F.lit("")).alias("lint_codes"), F.coalesce("n_references", F.lit(0).cast("long")).alias("n_references"))
+
+
 _ROW, _SEP = "'^\\s*\\|.*\\|\\s*$'", "'^\\s*\\|[\\s:|-]+\\|\\s*$'"
 _STITCHED = f"""WITH RECURSIVE {S.PAGES}, {S.TABLE_PAGES},
 l AS (SELECT doc_id, page_no, place, markdown, string_split(markdown, chr(10)) AS x FROM tp),

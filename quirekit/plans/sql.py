@@ -71,6 +71,32 @@ bo AS (SELECT doc_id, id, normal FROM (SELECT doc_id, id, normal, count(DISTINCT
 pt AS (SELECT doc_id, id, page_no, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS t FROM sn WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.doc_id = sn.doc_id AND bo.id = sn.id AND bo.normal = sn.normal) AND NOT {stamp('line')} GROUP BY ALL),
 tx AS (SELECT doc_id, id, string_agg(t, chr(10) || chr(10) ORDER BY page_no) AS t FROM pt WHERE t <> '' GROUP BY ALL),
 ovs AS (SELECT a.doc_id, a.id, string_agg(CAST(b.id AS VARCHAR), ',' ORDER BY b.id) AS near FROM wt a JOIN ol b ON a.doc_id = b.doc_id AND a.id <> b.id AND a.page_start <= b.page_end AND b.page_start <= a.page_end WHERE NOT (a.lft < b.lft AND b.rgt < a.rgt) AND NOT (b.lft < a.lft AND a.rgt < b.rgt) GROUP BY ALL)"""
+_RULE = "'^\\s*\\|?[\\s:|-]*-[\\s:|-]*\\|?\\s*$'"
+
+
+def _cells(row: str) -> str:
+    """One more than the unescaped bars inside a row's outer ones."""
+    plain_row = f"replace(regexp_replace({row}, '^\\s+|\\s+$', '', 'g'), '\\|', 'xx')"
+    inner = f"substr({plain_row}, 2, greatest(length({plain_row}) - 2, 0))"
+    return f"(1 + length({inner}) - length(replace({inner}, '|', '')))"
+
+
+#: Lint of ``src`` (doc_id, id, text): rows of tables outside fences, and issues in order, eight at most.
+LINT = f"""ln AS (SELECT doc_id, id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT doc_id, id, string_split(text, chr(10)) AS x FROM src)),
+lf AS (SELECT *, regexp_matches(line, '^\\s*(```|~~~)') AS fence FROM ln),
+lg AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY doc_id, id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM lf),
+lp AS (SELECT *, NOT inside AND regexp_matches(line, '^\\s*\\|') AS is_row FROM lg),
+li AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, id ORDER BY i) AS g FROM lp WHERE is_row),
+lr AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY doc_id, id, g) AS n, first_value(line) OVER w AS header, lead(line) OVER w AS following, nth_value(line, 2) OVER (PARTITION BY doc_id, id, g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM li WINDOW w AS (PARTITION BY doc_id, id, g ORDER BY i)),
+lx AS (
+    SELECT doc_id, id, i AS place, 'lone_pipe_row' AS code, i AS line, 'orphaned table row (no surrounding table)' AS message FROM lr WHERE n = 1
+    UNION ALL SELECT doc_id, id, i, 'missing_separator', i, 'table missing separator row' FROM lr WHERE n > 1 AND r = 1 AND NOT regexp_matches(second, {_RULE})
+    UNION ALL SELECT doc_id, id, i, 'ragged_row', i, 'table row has ' || {_cells('line')} || ' cells, header has ' || {_cells('header')} FROM lr WHERE n > 1 AND r > 2 AND regexp_matches(second, {_RULE}) AND NOT regexp_matches(line, {_RULE}) AND {_cells('line')} <> {_cells('header')}
+    UNION ALL SELECT doc_id, id, 1000000000, 'unclosed_fence', 0, 'unclosed code fence — content after it renders as code' FROM lf GROUP BY doc_id, id HAVING sum(fence::INT) % 2 = 1
+),
+lint AS (SELECT * FROM lx QUALIFY row_number() OVER (PARTITION BY doc_id, id ORDER BY place) <= 8)"""
+#: ``src`` with separators under headers that lack one.
+SEPARATED = f"""fixed AS (SELECT lp.doc_id, lp.id, string_agg(lp.line || CASE WHEN lr.r = 1 AND lr.n > 1 AND NOT regexp_matches(lr.second, {_RULE}) THEN chr(10) || '|' || repeat('---|', {_cells('lp.line')}) ELSE '' END, chr(10) ORDER BY lp.i) AS text FROM lp LEFT JOIN lr ON lr.doc_id = lp.doc_id AND lr.id = lp.id AND lr.i = lp.i GROUP BY ALL)"""
 _LEFT_OUT = "'==> picture intentionally omitted <=='"
 DRAFTS = f"""dr0 AS (SELECT doc_id, page_no, doc_id + page_no AS k, 'Operations Manual ' || doc_id AS banner, 'Page ' || page_no || ' of ' || n_pages AS foot, x[(page_no - 1) * 5 + 1 : page_no * 5] AS b FROM pg1),
 dr AS (SELECT doc_id, page_no, k, CASE WHEN k % 13 = 0 THEN 'visual' ELSE 'text' END AS kind, k % 4 <> 1 AS target, 0.5 + (k % 5) / CAST(10 AS DOUBLE) AS stored, list_concat(list_concat([banner], b), [foot]) AS source,
