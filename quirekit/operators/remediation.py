@@ -32,10 +32,11 @@ def furniture_keys(pages: DataFrame, column: str) -> DataFrame:
     return layout.recurring_hashes(pages, ["doc_id"], column, T.running_line, lambda x: F.length(x) >= 6, lambda n: F.bround(n * 0.5), 2, 3)
 
 
-def without_furniture(text: Column, furniture: Column) -> Column:
-    """A text without its document's running lines; a null ``furniture`` is none."""
-    recurs = lambda x: (F.length(T.running_line(x)) >= 6) & F.array_contains(furniture, F.xxhash64(T.running_line(x)))
-    return F.when(furniture.isNull(), text).otherwise(F.array_join(F.filter(T.lines(text), lambda x: ~F.coalesce(recurs(x), F.lit(False))), "\n"))
+def without_furniture(text: Column, recurs: Column) -> Column:
+    """A text without its document's running lines; null ``recurs`` is none."""
+    keyed = F.transform(T.lines(text), lambda x: F.struct(x.alias("line"), F.xxhash64(T.running_line(x)).alias("key")))
+    left = F.filter(keyed, lambda x: ~F.array_contains(recurs, x["key"]))
+    return F.when(recurs.isNull(), text).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
 
 
 def _tokens(text: str | None) -> Counter:
@@ -120,23 +121,34 @@ def composite(kind: Column, recall: Column, extra: Column, table: Column, judge:
     return T.thousandths(F.when(kind == "visual", visual).when(marred, plain * quality.FAULT_FACTOR).otherwise(plain))
 
 
-def _scored(tried: DataFrame, name: str, text: Column) -> dict[str, Column]:
+def _read(tried: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """What is read off the texts, each once, in columns: whether the source has a table, and tables and faults of the candidates."""
+    marked = tried.withColumn("has_table", F.col("target") & T.has_columns(F.col("source")))
+    read = {}
+    for name, text in texts.items():
+        there = F.col(f"{name}_n").isNotNull()
+        read[f"{name}_table"] = F.when(there & F.col("has_table"), F.when(T.table_cells(text) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+        read[f"{name}_marks"] = F.when(there, F.concat(quality.leftovers(F.coalesce(text, F.lit(""))), F.coalesce(f"{name}_faults", F.array().cast("array<string>"))))
+        read[f"{name}_recall"] = quality.recall(F.col(f"{name}_common"), F.col("n_source"))
+        read[f"{name}_extra"] = quality.extra(F.col(f"{name}_common"), F.col(f"{name}_n"))
+    return marked.withColumns(read)
+
+
+def _scored(name: str) -> dict[str, Column]:
     """The composite and content recall of a candidate, null where it is not there, and its notes."""
-    there = F.col(f"{name}_n").isNotNull()
-    recall, extra = quality.recall(F.col(f"{name}_common"), F.col("n_source")), quality.extra(F.col(f"{name}_common"), F.col(f"{name}_n"))
-    faults = F.concat(quality.leftovers(F.coalesce(text, F.lit(""))), F.coalesce(f"{name}_faults", F.array().cast("array<string>")))
-    marred = F.size(faults) > 0
-    table, plain = quality.table_score(F.col("source"), text), F.col("kind") != "visual"
+    there, plain = F.col(f"{name}_n").isNotNull(), F.col("kind") != "visual"
+    recall, extra, table, marks = (F.col(f"{name}_{x}") for x in ("recall", "extra", "table", "marks"))
     notes = F.array_compact(
         F.array(
             F.when(plain & (recall < quality.LOW_RECALL), F.lit("low text recall")),
             F.when(plain & (extra > quality.HIGH_EXTRA), F.lit("high extra ratio")),
             F.when(plain & (table == 0), F.lit("table present but not reproduced")),
             F.col(f"{name}_note"),
-            F.when(plain & marred, F.concat(F.lit("parser artifacts: "), F.array_join(faults, ", "))),
+            F.when(plain & (F.size(marks) > 0), F.concat(F.lit("parser artifacts: "), F.array_join(marks, ", "))),
         )
     )
-    return {name: F.when(there, composite(F.col("kind"), recall, extra, table, F.col(f"{name}_judge"), marred)), f"{name}_kept": F.when(there, quality.recall(F.col(f"{name}_content"), F.col("n_content"))), f"{name}_notes": F.when(there, notes)}
+    score = composite(F.col("kind"), recall, extra, table, F.col(f"{name}_judge"), F.size(marks) > 0)
+    return {name: F.when(there, score), f"{name}_kept": F.when(there, quality.recall(F.col(f"{name}_content"), F.col("n_content"))), f"{name}_notes": F.when(there, notes)}
 
 
 def remediated(pages: DataFrame, vlm: Model, cleanup: Model, judge: Callable[[dict, str], str] | None = None, scope: str = "all", judge_all: bool = False, tolerance: float = 0.12, forced: str | None = None) -> DataFrame:
@@ -156,9 +168,9 @@ def remediated(pages: DataFrame, vlm: Model, cleanup: Model, judge: Callable[[di
     met = own.join(furniture_keys(own, "source"), "doc_id", "left").withColumn("content", without_furniture(F.col("source"), F.col("recurs"))).drop("recurs")
     tried = attempted(met, vlm, cleanup, judge, judge_all, forced)
     texts = {"base": F.col("markdown"), "vlm": F.col("vlm_text"), "cleanup": F.col("cleanup_text")}
-    scores = {k: v for name, text in texts.items() for k, v in _scored(tried, name, text).items()}
+    scores = {k: v for name in texts for k, v in _scored(name).items()}
     slim = [*keys, "target", "markdown", "stored", "vlm_text", "cleanup_text", "cost", "errors"]
-    scored = tried.select(*slim, *[v.alias(k) for k, v in scores.items()]).withColumnsRenamed({"base_kept": "base_content", "cleanup_kept": "cleanup_content"})
+    scored = _read(tried, texts).select(*slim, *[v.alias(k) for k, v in scores.items()]).withColumnsRenamed({"base_kept": "base_content", "cleanup_kept": "cleanup_content"})
     picked = quality.adopt(scored, scored.columns, tolerance).drop("composite")
     if forced:
         asked = F.col("target") & F.col(forced).isNotNull()
