@@ -15,7 +15,7 @@ from quirekit.functions import text as T
 from quirekit.operators import edits, layout, quality, rebuilding, records, references, remediation, stitching, trees
 from quirekit.plans import sql as S
 from quirekit.sources import fixtures as X
-from quirekit.streaming import writes
+from quirekit.streaming import states, writes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -435,6 +435,45 @@ def invalid_transitions(spark, d):
     return wrong.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+#: Which event may follow which, as statuses of a user's job.
+_ALLOWED = [("", "signup"), ("signup", "view"), ("signup", "click"), ("view", "click"), ("view", "error"), ("click", "purchase"), ("click", "error"), ("purchase", "view"), ("error", "signup")]
+
+
+@query(f"""WITH RECURSIVE ok(src, dst) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _ALLOWED)}),
+o AS (SELECT user_id AS key, event_id AS seq, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+w AS (
+    SELECT key, seq, r, CAST('' AS VARCHAR) AS source, ok.dst IS NOT NULL AS good, coalesce(ok.dst, '') AS value FROM o LEFT JOIN ok ON ok.src = '' AND ok.dst = kind WHERE r = 1
+    UNION ALL
+    SELECT o.key, o.seq, o.r, w.value, ok.dst IS NOT NULL, coalesce(ok.dst, w.value) FROM w JOIN o ON o.key = w.key AND o.r = w.r + 1 LEFT JOIN ok ON ok.src = w.value AND ok.dst = o.kind
+)
+SELECT key, seq, source, CASE WHEN good THEN 'accepted' ELSE 'refused' END AS outcome, value FROM w""")
+def status_machine(spark, d):
+    """Each event as a wish for a status: whether it was granted, and the status after it."""
+    e = X.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.col("event_type").alias("kind"))
+    return states.outcomes(e, states.Statuses(frozenset(_ALLOWED))).select("key", "seq", "source", "outcome", "value")
+
+
+_KINDS = {"click": "start", "signup": "start", "purchase": "finish", "error": "cancel", "view": "look"}
+
+
+@query(f"""WITH RECURSIVE k(event_type, kind) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _KINDS.items())}),
+o AS (SELECT user_id AS key, event_id AS seq, epoch_us(ts) AS t, kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events JOIN k USING (event_type)),
+w AS (
+    SELECT key, seq, r, kind, t, CAST(NULL AS BIGINT) AS was, CASE WHEN kind = 'start' THEN t END AS since FROM o WHERE r = 1
+    UNION ALL
+    SELECT o.key, o.seq, o.r, o.kind, o.t, w.since, CASE WHEN w.since IS NOT NULL AND o.t < w.since + 172800000000 THEN CASE WHEN o.kind IN ('finish', 'cancel') THEN NULL ELSE w.since END WHEN o.kind = 'start' THEN o.t END
+    FROM w JOIN o ON o.key = w.key AND o.r = w.r + 1
+),
+live AS (SELECT *, was IS NOT NULL AND t < was + 172800000000 AS running, was IS NOT NULL AND t >= was + 172800000000 AS over, lag(seq) OVER (PARTITION BY key ORDER BY r) AS before FROM w)
+SELECT key, seq, CASE WHEN kind = 'start' THEN CASE WHEN running THEN 'refused' ELSE 'started' END WHEN kind IN ('finish', 'cancel') AND running THEN CASE kind WHEN 'finish' THEN 'finished' ELSE 'cancelled' END ELSE 'ignored' END AS outcome FROM live
+UNION ALL SELECT key, before, 'expired' FROM live WHERE over""")
+def running_turns(spark, d):
+    """Clicks and signups as starts of turns, purchases and errors as their ends; a turn of two days expires."""
+    kind = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])[F.col("event_type")]
+    e = X.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), kind.alias("kind"))
+    return states.outcomes(e, states.Turns(2 * 86_400_000_000)).select("key", "seq", "outcome")
+
+
 @query(f"WITH {S.CALLS}, f AS (SELECT job, status, min(seq) AS o FROM calls GROUP BY ALL) SELECT job, string_agg(status, ',' ORDER BY o, status) AS layers FROM f GROUP BY job")
 def changed_layers(spark, d):
     return records.distinct_in_order(X.calls(spark, d), ["job"], "seq", "status")
