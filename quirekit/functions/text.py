@@ -82,6 +82,11 @@ def table_cells(text: Column) -> Column:
     return F.aggregate(rows, F.lit(0), lambda a, x: a + F.size(F.split(x, r"\|", -1)) - 2)
 
 
+def plain_text(markdown: Column) -> Column:
+    """A markdown text without tags and signs, on one line."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(markdown, r"<[^>]+>", " "), r"[#*_`>|\-]+", " "), r"\s+", " "))
+
+
 def has_columns(text: Column) -> Column:
     """Whether a plain text looks like a table: three lines with two wide gaps."""
     wide = F.filter(lines(text), lambda x: F.size(F.regexp_extract_all(x, F.lit(r"(\S {2,})"), F.lit(1))) >= 2)

@@ -14,6 +14,7 @@ from quirekit.functions import folds
 from quirekit.functions import text as T
 from quirekit.operators import edits, layout, quality, rebuilding, records, references, remediation, stitching, trees
 from quirekit.plans import sql as S
+from quirekit.sources import canonical
 from quirekit.sources import fixtures as X
 from quirekit.streaming import states, writes
 
@@ -337,6 +338,40 @@ def stitch_tables(spark, d):
     return stitching.stitched(X.table_pages(spark, d)).select("doc_id", "page_no", F.md5("markdown").alias("md_md5"))
 
 
+_CANONICAL = f"""WITH {S.PAGES}, whole AS (SELECT *, doc_id + page_no AS k FROM pg WHERE doc_id % 10 <> 0), src AS (SELECT doc_id, page_no AS id, md AS text FROM whole WHERE k % 3 <> 0), {S.BLOCKS},
+raws AS (SELECT doc_id, page_no AS id, unnest([1, 2, 3]) AS n, k, '**' || x[(page_no - 1) * 5 + 1] || '**' AS bold FROM whole JOIN pg1 USING (doc_id, page_no) WHERE k % 3 = 0),
+al AS (
+    SELECT doc_id, id, n, type, {S.plain_text('markdown')} AS text, markdown, level, true AS lost FROM blk
+    UNION ALL SELECT doc_id, id, n, CASE n WHEN 1 THEN 'heading' WHEN 2 THEN 'paragraph' ELSE 'table' END, CASE n WHEN 1 THEN 'Part ' || k WHEN 2 THEN {S.plain_text('bold')} ELSE 'A B 1 2' END, CASE n WHEN 1 THEN '## Part ' || k WHEN 2 THEN bold ELSE '| A | B |' || chr(10) || '| 1 | 2 |' END, CASE n WHEN 1 THEN 2 END, n = 2 FROM raws
+)"""
+
+
+@query(_CANONICAL + " SELECT doc_id, 'block_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY id, n) AS VARCHAR), 6, '0') AS block_id, 'page_' || lpad(CAST(id AS VARCHAR), CAST(greatest(3, length(CAST(id AS VARCHAR))) AS INTEGER), '0') AS page_id, type, md5(text) AS text_md5, md5(markdown) AS markdown_md5, CAST(level AS INTEGER) AS level, CAST(n AS INTEGER) AS reading_order FROM al")
+def canonical_blocks(spark, d):
+    """The blocks of all documents from a parser's JSON, with those that it gave and those cut from markdown."""
+    found = canonical.blocks(X.raw_output(spark, d))
+    return found.select("doc_id", "block_id", "page_id", "type", F.md5("text").alias("text_md5"), F.md5("markdown").alias("markdown_md5"), "level", "reading_order")
+
+
+@query(_CANONICAL + ", w AS (SELECT doc_id, 'missing_bbox' AS code FROM al WHERE lost UNION ALL SELECT DISTINCT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'no_pages' ELSE 'slow' END FROM pg) SELECT doc_id, code, count(*) AS n FROM w GROUP BY ALL")
+def parser_warnings(spark, d):
+    raw = X.raw_output(spark, d)
+    return canonical.warnings(raw, canonical.blocks(raw)).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'text ' || event_type WHEN 1 THEN event_type WHEN 2 THEN event_type WHEN 3 THEN '' ELSE props END AS markdown, CASE event_id % 4 WHEN 0 THEN CAST(CAST(json_extract(props, '$.k') AS INTEGER) / 4 AS DOUBLE) WHEN 1 THEN CAST(CAST(json_extract(props, '$.k') AS INTEGER) / 8 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS cost FROM events")
+def model_replies(spark, d):
+    """Events as replies of models: plain texts, JSON with the text under several names, JSON without it; costs in several places."""
+    e = X.table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    n = F.pmod(F.col("event_id"), F.lit(5))
+    reply = F.when(n == 0, F.concat(F.lit(" text "), "event_type", F.lit(" "))).when(n == 1, F.to_json(F.struct(F.col("event_type").alias("md"), F.lit("x").alias("content")))).when(n == 2, F.to_json(F.struct(F.col("event_type").alias("content")))).when(n == 3, F.to_json(F.struct(F.lit(1).alias("other")))).otherwise(F.concat(F.lit('"'), F.replace("props", F.lit('"'), F.lit('\\"')), F.lit('"')))
+    m = F.pmod(F.col("event_id"), F.lit(4))
+    response = F.when(m == 0, F.to_json(F.struct(F.struct((k / 4).alias("total_cost")).alias("usage")))).when(m == 1, F.to_json(F.struct(F.struct(F.lit(0).alias("cost")).alias("usage"), (k / 8).alias("cost")))).when(m == 2, F.lit('{"cost": "dear"}')).otherwise(F.lit("not json"))
+    found = canonical.with_replies(e.select("event_id", reply.alias("reply"), response.alias("response")), "reply", "response")
+    return found.select("event_id", "markdown", "cost")
+
+
 #: Types that the edits of the queries may give.
 _TYPES = [name for _, name, _ in X.TYPES]
 
@@ -399,7 +434,7 @@ def remediation_summary(spark, d):
     return sums.select("doc_id", "targets", "adopted", "mean", F.round(F.col("cost") / 0.0005).cast("long").alias("cost_units"))
 
 
-@query()
+@query(f"WITH {S.PAGES}, src AS (SELECT doc_id, page_no AS id, md AS text FROM pg), {S.BLOCKS} SELECT doc_id, type, count(*) AS n FROM blk GROUP BY ALL")
 def markdown_blocks(spark, d):
     return references.blocks(X.pages(spark, d), ["doc_id", "page_no"], "md").groupBy("doc_id", "type").agg(F.count("*").alias("n"))
 

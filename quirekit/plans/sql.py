@@ -97,6 +97,16 @@ lx AS (
 lint AS (SELECT * FROM lx QUALIFY row_number() OVER (PARTITION BY doc_id, id ORDER BY place) <= 8)"""
 #: ``src`` with separators under headers that lack one.
 SEPARATED = f"""fixed AS (SELECT lp.doc_id, lp.id, string_agg(lp.line || CASE WHEN lr.r = 1 AND lr.n > 1 AND NOT regexp_matches(lr.second, {_RULE}) THEN chr(10) || '|' || repeat('---|', {_cells('lp.line')}) ELSE '' END, chr(10) ORDER BY lp.i) AS text FROM lp LEFT JOIN lr ON lr.doc_id = lp.doc_id AND lr.id = lp.id AND lr.i = lp.i GROUP BY ALL)"""
+def plain_text(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '[#*_`>|\\-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+#: Blocks of ``src`` (doc_id, id, text): kinds of lines, and runs of one kind.
+BLOCKS = """bl AS (SELECT doc_id, id, unnest(range(1, len(x) + 1)) AS i, regexp_replace(unnest(x), '\\s+$', '') AS line FROM (SELECT doc_id, id, string_split(text, chr(10)) AS x FROM src)),
+bk AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}\\s+\\S') THEN 'heading' WHEN regexp_matches(line, '^\\s*\\|.*\\|$') THEN 'table' WHEN regexp_matches(line, '^\\s*([-*+]|\\d+[.)])\\s+\\S') THEN 'list' WHEN regexp_matches(line, '\\S') THEN 'paragraph' ELSE '' END AS kind FROM bl),
+bn AS (SELECT *, kind <> '' AND (kind = 'heading' OR kind <> coalesce(lag(kind) OVER (PARTITION BY doc_id, id ORDER BY i), '')) AS begins FROM bk),
+bg AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id, id ORDER BY i) AS n FROM bn WHERE kind <> ''),
+blk AS (SELECT doc_id, id, n, min(kind) AS type, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS markdown, min(CASE WHEN kind = 'heading' THEN length(regexp_extract(line, '^(#+)', 1)) END) AS level FROM bg GROUP BY ALL)"""
 _LEFT_OUT = "'==> picture intentionally omitted <=='"
 DRAFTS = f"""dr0 AS (SELECT doc_id, page_no, doc_id + page_no AS k, 'Operations Manual ' || doc_id AS banner, 'Page ' || page_no || ' of ' || n_pages AS foot, x[(page_no - 1) * 5 + 1 : page_no * 5] AS b FROM pg1),
 dr AS (SELECT doc_id, page_no, k, CASE WHEN k % 13 = 0 THEN 'visual' ELSE 'text' END AS kind, k % 4 <> 1 AS target, 0.5 + (k % 5) / CAST(10 AS DOUBLE) AS stored, list_concat(list_concat([banner], b), [foot]) AS source,

@@ -204,3 +204,22 @@ def numbered_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.when((F.col("id") > 1) & (over | (F.col("id") % 5 == 0)), F.least(F.col("id") + 1, F.col("n_pages"))).otherwise(F.col("page_end"))
     lft = 2 * F.col("id") - level
     return s.select("doc_id", "id", "page_start", end.alias("page_end"), lft.alias("lft"), (lft + 2 * size - 1).alias("rgt"))
+
+
+def raw_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, raw): a parser's JSON for every document. Every third page has blocks, others markdown, some of it under another name; every tenth document's JSON is cut off."""
+    p = pages(spark, sf_dir).withColumn("k", F.col("doc_id") + F.col("page_no"))
+    line = F.get(F.split("body", "\n", -1), F.lit(0))
+    null = F.lit(None)
+
+    def block(kind: Column, level: Column, text: Column, markdown: Column, bbox: Column, id_: Column) -> Column:
+        return F.struct(kind.cast("string").alias("type"), level.cast("int").alias("level"), text.cast("string").alias("text"), markdown.cast("string").alias("markdown"), bbox.cast("array<double>").alias("bbox"), id_.cast("string").alias("id"))
+
+    given = F.array(block(F.lit("heading"), F.lit(2), F.concat(F.lit("Part "), F.col("k").cast("string")), null, F.array(F.lit(0.0), F.lit(1.0)), F.lit("h")), block(null, null, null, F.concat(F.lit("**"), line, F.lit("**")), null, null), block(F.lit("table"), null, null, F.lit("| A | B |\n| 1 | 2 |"), F.array(F.lit(2.5)), null))
+    page = F.struct(
+        F.when(F.col("k") % 4 != 0, F.col("page_no")).alias("page_number"), F.when(F.col("k") % 3 == 0, given).alias("blocks"),
+        F.when((F.col("k") % 3 != 0) & (F.col("k") % 2 == 0), F.col("md")).alias("markdown"), F.when((F.col("k") % 3 != 0) & (F.col("k") % 2 == 1), F.col("md")).alias("text"),
+    )
+    whole = p.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", page.alias("p")))), lambda x: x["p"]).alias("pages"))
+    raw = F.to_json(F.struct(F.lit("plain").alias("provider"), "pages", F.array(F.struct(F.lit("slow").alias("code"), F.lit("took long").alias("message"))).alias("warnings")))
+    return whole.select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.left(raw, F.length(raw) - 2)).otherwise(raw).alias("raw"))
