@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirekit.functions import folds
 from quirekit.functions import text as T
-from quirekit.operators import edits, layout, quality, rebuilding, records, references, remediation, stitching, trees
+from quirekit.operators import edits, figures, layout, quality, rebuilding, records, references, remediation, stitching, trees
 from quirekit.plans import sql as S
 from quirekit.sources import canonical
 from quirekit.sources import fixtures as X
@@ -372,6 +372,18 @@ def model_replies(spark, d):
     return found.select("event_id", "markdown", "cost")
 
 
+_FIGURES = f"""WITH {S.PAGES}, p AS (SELECT doc_id, page_no, doc_id + page_no AS k, array_to_string(x[(page_no - 1) * 5 + 1 : page_no * 5], chr(10)) AS body FROM pg1),
+q AS (SELECT *, k % 3 AS n, 'f-' || doc_id || '-' || page_no || '-' AS f, '**==> picture [12 x 34] intentionally omitted <==**' AS m1, '==> picture [5 x 6] intentionally omitted <==' AS m2, chr(10) || repeat('x', 220) || chr(10) AS mid, CASE WHEN k % 3 = 0 THEN chr(10) || '---- Start of picture text ----' ELSE '' END AS read FROM p),
+t AS (SELECT *, body || CASE WHEN k % 4 = 0 THEN '' ELSE chr(10) || m1 || mid || m2 || read END AS text, '![Figure ' || page_no || '.1](' || f || '1)' AS g1, '![Figure ' || page_no || '.2](' || f || '2)' AS g2 FROM q),
+r AS (SELECT *, CASE WHEN n = 0 THEN 0 WHEN k % 4 <> 0 THEN n WHEN k % 7 <> 0 AND NOT contains(body, '![') AND length(body) < 700 THEN 1 ELSE 0 END AS placed FROM t)"""
+
+
+@query(_FIGURES + " SELECT doc_id, page_no, md5(CASE WHEN placed = 0 THEN text WHEN k % 4 = 0 THEN regexp_replace(text, '\\s+$', '') || chr(10) || chr(10) || g1 || chr(10) ELSE body || chr(10) || g1 || mid || CASE WHEN n = 2 THEN g2 ELSE m2 END || read END) AS markdown_md5, CAST(placed AS INTEGER) AS n_placed FROM r")
+def embedded_images(spark, d):
+    pages, images = X.figure_pages(spark, d)
+    return figures.embedded(pages, images).select("doc_id", "page_no", F.md5("markdown").alias("markdown_md5"), "n_placed")
+
+
 #: Types that the edits of the queries may give.
 _TYPES = [name for _, name, _ in X.TYPES]
 

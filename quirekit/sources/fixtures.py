@@ -223,3 +223,17 @@ def raw_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = p.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", page.alias("p")))), lambda x: x["p"]).alias("pages"))
     raw = F.to_json(F.struct(F.lit("plain").alias("provider"), "pages", F.array(F.struct(F.lit("slow").alias("code"), F.lit("took long").alias("message"))).alias("warnings")))
     return whole.select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.left(raw, F.length(raw) - 2)).otherwise(raw).alias("raw"))
+
+
+def figure_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, images): pages with two placeholders each, or none, and up to two large images and a small one."""
+    p = pages(spark, sf_dir).withColumn("k", F.col("doc_id") + F.col("page_no"))
+    first, second = "**==> picture [12 x 34] intentionally omitted <==**", "==> picture [5 x 6] intentionally omitted <=="
+    read = F.when(F.col("k") % 3 == 0, "\n---- Start of picture text ----").otherwise("")
+    text = F.concat("body", F.when(F.col("k") % 4 == 0, "").otherwise(F.concat(F.lit(f"\n{first}\n{'x' * 220}\n{second}"), read)))
+    kind = F.when(F.col("k") % 7 == 0, "visual").otherwise("text")
+    own = p.select("doc_id", "page_no", "k", kind.alias("kind"), F.col("body").alias("source"), text.alias("markdown"))
+    some = own.select("doc_id", "page_no", "k", F.explode(F.sequence(F.lit(0), (F.col("k") % 3).cast("int"))).alias("i"))
+    url = F.concat_ws("-", F.lit("f"), F.col("doc_id").cast("string"), F.col("page_no").cast("string"), F.col("i").cast("string"))
+    images = some.select("doc_id", "page_no", F.col("i").alias("xref"), F.col("i").alias("ordinal"), F.when(F.col("i") == 0, 10).otherwise(500).alias("width"), F.lit(400).alias("height"), url.alias("url"))
+    return own, images.unionByName(images.where("xref = 1").withColumn("ordinal", F.col("ordinal") + 5))
