@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 STAMPS = [r"(?iu)\bpg\.?\s*\d+\s*of\s*\d+", r"(?iu)\bpage\s*\d+\s*of\s*\d+", r"(?iu)^man/[a-z0-9/]+", r"(?iu)\bver\.?\s*:", r"(?iu)\bissue\s*:\s*\d", r"(?iu)^\s*date\s*:"]
 SIGN_OFFS = ["prepared by", "issued by", "approved by", "reviewed by", "authorized by"]
 PAGE_REFERENCE = r"(?i)((?:see|refer(?:\s+to)?)\s+)?(page\s*no\.?|page|pg\.?|p\.)\s*(\d{1,4})\b"
+REVISION_HEADS = ["revision", "description", "initiated by", "approved by", "page", "issue"]
 SEPARATOR_ROW = r"^\s*\|[\s:|-]+\|\s*$"
 PIPE_ROW = r"^\s*\|.*\|\s*$"
 HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
@@ -93,6 +94,23 @@ def has_columns(text: Column) -> Column:
     return F.size(wide) >= 3
 
 
+def looks_tabular(text: Column) -> Column:
+    """Whether a source text has a table: three lines of cells or of columns, or the head of a revision list over dates or numbers."""
+    wide = lambda x: F.regexp_count(x, F.lit(r"\S\s{2,}\S")) >= 2
+    cells = F.size(F.filter(lines(text), lambda x: x.rlike(PIPE_ROW) | wide(x)))
+    heads = sum((F.contains(F.lower(text), F.lit(t)).cast("int") for t in REVISION_HEADS), F.lit(0))
+    dates, numbers = F.regexp_count(text, F.lit(r"\b\d{1,2}/\d{4}\b")), F.regexp_count(text, F.lit(r"(?m)^\s*\d+\s*$"))
+    return F.coalesce((cells >= 3) | ((heads >= 3) & ((dates >= 3) | (numbers >= 4))), F.lit(False))
+
+
+def expected_headings(text: Column) -> Column:
+    """How many lines of a source text look like headings: up to 100 characters, four letters or more, three quarters of them capitals."""
+    letters = lambda x: F.length(F.regexp_replace(x, r"\P{L}", ""))
+    capitals = lambda x: F.length(F.regexp_replace(x, r"\P{Lu}", ""))
+    trimmed = F.transform(lines(text), lambda x: F.trim(x))
+    return F.size(F.filter(trimmed, lambda x: (F.length(x) <= 100) & (letters(x) >= 4) & (capitals(x) >= 0.75 * letters(x))))
+
+
 def title_of(heading: Column) -> Column:
     """The plain title of a heading line, without emphasis signs around it."""
     return F.trim(F.regexp_replace(F.trim(F.regexp_extract(heading, HEADING, 2)), r"^[*_]+|[*_]+$", ""))

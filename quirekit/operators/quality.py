@@ -137,3 +137,22 @@ def card(scores: DataFrame, keys: list[str]) -> DataFrame:
     share = lambda good, all_: F.when(F.count_if(all_) == 0, F.lit(1.0)).otherwise(F.count_if(good) / F.count_if(all_))
     has_table = F.col("table_score").isNotNull()
     return scores.groupBy(*keys).agg(F.count("*").alias("pages"), F.avg("recall").alias("avg_recall"), F.min("recall").alias("min_recall"), F.avg("extra").alias("avg_extra"), share(F.col("table_score") == 1.0, has_table).alias("table_coverage"), share(F.col("verdict") == "pass", F.lit(True)).alias("pass_share"))
+
+
+def page_quality(pages: DataFrame, keys: list[str], truth: str, markdown: str) -> DataFrame:
+    """keys, recall, extra, table_score, heading_score, has_table, tables, expected, headings of parsed pages.
+
+    Scores are null where there is nothing to hold them to: no source text, no table or no heading in it. Headings and
+    table rows are lines of the markdown. Tags are no tokens here.
+    """
+    overlap = token_overlap(pages, keys, truth, markdown, tags=True)
+    lines = T.lines(F.col(markdown))
+    own = pages.select(
+        *keys, T.looks_tabular(F.col(truth)).alias("has_table"), T.expected_headings(F.col(truth)).alias("expected"), (F.trim(F.coalesce(F.col(truth), F.lit(""))) != "").alias("_some"),
+        F.size(F.filter(lines, lambda x: x.rlike(T.PIPE_ROW))).alias("table_rows"), F.size(F.filter(lines, lambda x: x.rlike(T.HEADING))).alias("headings"),
+    )
+    met = own.join(overlap, keys)
+    some = lambda c: F.when(F.col("_some"), T.thousandths(c))
+    table = F.when(F.col("has_table"), F.when(F.col("table_rows") > 0, 1.0).otherwise(0.0))
+    heading = F.when(F.col("expected") > 0, T.thousandths(F.least(F.lit(1.0), F.col("headings") / F.col("expected"))))
+    return met.select(*keys, some(recall(F.col("common"), F.col("n_truth"))).alias("recall"), some(extra(F.col("common"), F.col("n_md"))).alias("extra"), table.alias("table_score"), heading.alias("heading_score"), "has_table", "table_rows", "expected", "headings")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirekit.functions import folds
 from quirekit.functions import text as T
-from quirekit.operators import edits, figures, layout, quality, rebuilding, records, references, remediation, stitching, trees
+from quirekit.operators import edits, figures, layout, quality, rebuilding, records, references, remediation, runs, stitching, trees
 from quirekit.plans import sql as S
 from quirekit.sources import canonical
 from quirekit.sources import fixtures as X
@@ -384,6 +384,41 @@ def embedded_images(spark, d):
     return figures.embedded(pages, images).select("doc_id", "page_no", F.md5("markdown").alias("markdown_md5"), "n_placed")
 
 
+_CAPITALS = f"""WITH b AS (SELECT doc_id, text, translate(array_to_string(string_split(text, ' ')[1:3], ' '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS f FROM documents WHERE text IS NOT NULL),
+cp AS (SELECT doc_id, f || chr(10) || 'SECOND HEADING' || chr(10) || text || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'aa  bb  cc' || chr(10) || 'dd  ee  ff' || chr(10) || 'gg  hh  ii' WHEN 1 THEN chr(10) || 'Revision Description Issue' || chr(10) || '1/2020' || chr(10) || '2/2021 3/2022' ELSE '' END AS src,
+    CASE WHEN doc_id % 2 = 0 THEN '# ' || f ELSE f END || chr(10) || text || CASE WHEN doc_id % 8 = 0 THEN chr(10) || '| a | b |' ELSE '' END AS md FROM b),
+l AS (SELECT doc_id, trim(unnest(string_split(src, chr(10)))) AS line FROM cp),
+e AS (SELECT doc_id, count(*) FILTER (length(line) <= 100 AND length(regexp_replace(line, '\\P{{L}}', '', 'g')) >= 4 AND length(regexp_replace(line, '\\P{{Lu}}', '', 'g')) >= 0.75 * length(regexp_replace(line, '\\P{{L}}', '', 'g'))) AS expected, count(*) FILTER (regexp_matches(line, '^\\|.*\\|$') OR len(regexp_extract_all(line, '\\S\\s{{2,}}\\S')) >= 2) AS cells FROM l GROUP BY ALL),
+h AS (SELECT doc_id, count(*) FILTER (regexp_matches(x, '^#{{1,6}}\\s+.*\\S\\s*$')) AS headings, count(*) FILTER (regexp_matches(x, '^\\s*\\|.*\\|\\s*$')) AS table_rows FROM (SELECT doc_id, unnest(string_split(md, chr(10))) AS x FROM cp) GROUP BY ALL),
+tk AS (SELECT doc_id, unnest({S.tokens("regexp_replace(src, '<[^>]+>', ' ', 'g')")}) AS tok, 1 AS t, 0 AS m FROM cp UNION ALL SELECT doc_id, unnest({S.tokens("regexp_replace(md, '<[^>]+>', ' ', 'g')")}), 0, 1 FROM cp),
+tc AS (SELECT doc_id, tok, sum(t) AS t, sum(m) AS m FROM tk GROUP BY ALL),
+o AS (SELECT doc_id, sum(t) AS t, sum(m) AS m, sum(least(t, m)) AS c FROM tc GROUP BY ALL),
+z AS (SELECT cp.doc_id, expected, headings, table_rows, coalesce(t, 0)::BIGINT AS t, coalesce(m, 0)::BIGINT AS m, coalesce(c, 0)::BIGINT AS c, cells >= 3 OR ((contains(lower(src), 'revision')::INT + contains(lower(src), 'description')::INT + contains(lower(src), 'initiated by')::INT + contains(lower(src), 'approved by')::INT + contains(lower(src), 'page')::INT + contains(lower(src), 'issue')::INT) >= 3 AND (len(regexp_extract_all(src, '\\b\\d{{1,2}}/\\d{{4}}\\b')) >= 3 OR len(regexp_extract_all(src, '(?m)^\\s*\\d+\\s*$')) >= 4)) AS has_table FROM cp JOIN e USING (doc_id) JOIN h USING (doc_id) LEFT JOIN o USING (doc_id))"""
+
+
+@query(_CAPITALS + " SELECT doc_id, floor(CASE WHEN t = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(c AS DOUBLE) / CAST(t AS DOUBLE) END * CAST(1000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / 1000 AS recall, floor(CASE WHEN m = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(m - c AS DOUBLE) / CAST(m AS DOUBLE) END * CAST(1000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / 1000 AS extra, CASE WHEN has_table THEN CASE WHEN table_rows > 0 THEN 1.0 ELSE 0.0 END END AS table_score, CASE WHEN expected > 0 THEN floor(least(1.0, headings / expected) * 1000 + 0.5) / 1000 END AS heading_score, has_table, CAST(expected AS INTEGER) AS expected FROM z")
+def page_quality(spark, d):
+    found = quality.page_quality(X.capital_pages(spark, d), ["doc_id"], "source", "markdown")
+    return found.select("doc_id", "recall", "extra", "table_score", "heading_score", "has_table", "expected")
+
+
+_RUNS = f"""WITH {S.PAGES}, pr AS (SELECT doc_id, page_no, r, (doc_id + page_no) * r AS k FROM pg, (VALUES (1), (2), (3)) v(r)),
+res AS (SELECT doc_id, 'run' || r AS profile, r, page_no, CASE WHEN k % 11 <> 0 THEN (k % 30) END AS cents, r = 3 AND doc_id % 7 = 0 AS failed FROM pr WHERE r <> 2 OR doc_id % 5 <> 0)"""
+
+
+@query(_RUNS + ", q AS (SELECT DISTINCT doc_id, 'run' || r AS profile FROM pr), s AS (SELECT doc_id, profile, count(*) AS pages, sum(cents) AS total, count(cents) AS n, min(cents) AS low, bool_or(failed) AS failed FROM res GROUP BY ALL), t AS (SELECT q.*, CASE WHEN pages IS NULL THEN 'skipped' WHEN failed THEN 'error' ELSE 'ok' END AS status, pages, total, n, low FROM q LEFT JOIN s ON q.doc_id = s.doc_id AND q.profile = s.profile) SELECT doc_id, profile, status, CASE status WHEN 'skipped' THEN 'parser is not available' WHEN 'error' THEN 'timed out' END AS reason, CASE WHEN status = 'ok' THEN pages END AS pages, CASE WHEN status = 'ok' THEN floor(total * 10000 / n + 0.5) / 1000000 END AS avg_recall, CASE WHEN status = 'ok' THEN CAST(row_number() OVER (PARTITION BY doc_id, status ORDER BY floor(total * 10000 / n + 0.5) DESC NULLS LAST, profile) AS INTEGER) END AS place FROM t")
+def run_compare(spark, d):
+    requested, results, _ = X.parser_runs(spark, d)
+    return runs.run_compare(requested, results).select("doc_id", "profile", "status", "reason", "pages", _million(F.col("avg_recall")).alias("avg_recall"), "place")
+
+
+@query(_RUNS + ", o AS (SELECT *, CASE r WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 1 END AS started FROM res WHERE cents IS NOT NULL) SELECT doc_id, page_no, CAST(count(*) AS INTEGER) AS n_runs, string_agg(profile, ',' ORDER BY started DESC) AS run_ids, min_by(profile, {'c': -cents, 'p': profile}) AS best_run, CAST(max(cents) - min(cents) AS BIGINT) AS spread FROM o GROUP BY ALL")
+def page_compare(spark, d):
+    _, results, started = X.parser_runs(spark, d)
+    found = runs.page_compare(results.where("recall is not null").withColumnRenamed("profile", "run_id"), started)
+    return found.select("doc_id", "page_no", "n_runs", F.array_join(F.transform("runs", lambda r: r["run_id"]), ",").alias("run_ids"), "best_run", F.round(F.col("spread") * 100).cast("long").alias("spread"))
+
+
 #: Types that the edits of the queries may give.
 _TYPES = [name for _, name, _ in X.TYPES]
 

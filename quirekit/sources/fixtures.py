@@ -237,3 +237,25 @@ def figure_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     url = F.concat_ws("-", F.lit("f"), F.col("doc_id").cast("string"), F.col("page_no").cast("string"), F.col("i").cast("string"))
     images = some.select("doc_id", "page_no", F.col("i").alias("xref"), F.col("i").alias("ordinal"), F.when(F.col("i") == 0, 10).otherwise(500).alias("width"), F.lit(400).alias("height"), url.alias("url"))
     return own, images.unionByName(images.where("xref = 1").withColumn("ordinal", F.col("ordinal") + 5))
+
+
+def capital_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, markdown): documents with their first lines in capitals, tables at the end of some; as markdown, half of the headings are marked."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    first = F.translate(F.substring_index("text", " ", 3), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    tail = F.when(F.col("doc_id") % 4 == 0, "\naa  bb  cc\ndd  ee  ff\ngg  hh  ii").when(F.col("doc_id") % 4 == 1, "\nRevision Description Issue\n1/2020\n2/2021 3/2022").otherwise("")
+    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# "), first)).otherwise(first)
+    rows = F.when(F.col("doc_id") % 8 == 0, "\n| a | b |").otherwise("")
+    return d.select("doc_id", F.concat(first, F.lit("\nSECOND HEADING\n"), "text", tail).alias("source"), F.concat(marked, F.lit("\n"), "text", rows).alias("markdown"))
+
+
+def parser_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requested, results, runs): three runs over the pages of documents; one parser is missing for some, one fails on some."""
+    p = pages(spark, sf_dir).select("doc_id", "page_no", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("r"))
+    profile = F.concat(F.lit("run"), F.col("r").cast("string"))
+    k = (F.col("doc_id") + F.col("page_no")) * F.col("r")
+    error = F.when((F.col("r") == 3) & (F.col("doc_id") % 7 == 0) & (F.col("page_no") == 1), "timed out")
+    results = p.where("r <> 2 or doc_id % 5 <> 0").select("doc_id", profile.alias("profile"), "page_no", F.when(k % 11 != 0, (k % 30) / 100.0).alias("recall"), error.alias("error"))
+    requested = p.where("page_no = 1").select("doc_id", profile.alias("profile"), ((F.col("r") != 2) | (F.col("doc_id") % 5 != 0)).alias("available"))
+    runs = spark.range(1, 4).select(F.concat(F.lit("run"), F.col("id").cast("string")).alias("run_id"), F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 7) % 5).alias("started_at"))
+    return requested, results, runs
