@@ -71,9 +71,10 @@ def recurring_hashes(pages: DataFrame, owner: list[str], column: str, normal: Ca
     return met.groupBy(*owner).agg(F.collect_set("key").alias("recurs"))
 
 
-def boilerplate_hashes(pages: DataFrame, owner: list[str], column: str) -> DataFrame:
-    """(owner, recurs) by the rule of :func:`boilerplate`."""
-    return recurring_hashes(pages, owner, column, T.plain_line, lambda x: F.length(x).between(1, 90), lambda n: F.floor(n * 0.30), 3, 0)
+def boilerplate_keys(text: Column) -> Column:
+    """64-bit hashes of the lines of a page that can be boilerplate, each once."""
+    normal = F.filter(F.transform(T.lines(text), T.plain_line), lambda x: F.length(x).between(1, 90))
+    return F.array_distinct(F.transform(normal, lambda x: F.xxhash64(x)))
 
 
 def cleaned_text(text: Column, recurs: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirekit.operators import layout, references
@@ -14,17 +14,24 @@ def rebuilt(pages: DataFrame, tree: DataFrame, wanted: DataFrame) -> DataFrame:
     ``pages``: doc_id, page_no, markdown (canonical texts). ``tree``: doc_id, id, page_start, page_end, lft, rgt. A
     section takes whole pages, so what it shares with neighbours is told: ``overlaps`` has the ids of sections, neither
     above nor below it, that have pages of it. Recurring lines are those of the section's own slice of pages. Tables
-    without a separator get one. Sections without a page range, or without pages there, give no row. A page belongs to
-    no more sections than the tree has levels (and boundaries), so the join on pages is linear.
+    without a separator get one. Sections without a page range, or without pages there, give no row. The texts
+    of a document with wanted sections are shuffled once, by document, and its sections are made in that row.
     """
     keys = ["doc_id", "id"]
-    asked = tree.join(wanted.select(*keys).distinct(), keys, "left_semi")
-    slices = references.by_page(asked).select(*keys, "page").join(pages.select("doc_id", F.col("page_no").cast("long").alias("page"), "markdown"), ["doc_id", "page"])
-    met = slices.join(layout.boilerplate_hashes(slices, keys, "markdown"), keys, "left")
-    text = F.regexp_replace(layout.cleaned_text(F.col("markdown"), F.col("recurs")), r"(?U)^\s+|\s+$", "")
-    parts = met.select(*keys, F.struct("page", text.alias("text")).alias("part")).groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    whole = F.array_join(F.filter(F.transform("parts", lambda p: p["text"]), lambda x: x != ""), "\n\n")
-    joined = references.with_separators(parts.select(*keys, whole.alias("markdown"), F.size("parts").alias("pages")), [*keys, "pages"], "markdown")
+    asked = tree.where((F.col("page_start") > 0) & (F.col("page_end") >= F.col("page_start"))).join(wanted.select(*keys).distinct(), keys, "left_semi")
+    spans = asked.groupBy("doc_id").agg(F.collect_list(F.struct("id", "page_start", "page_end")).alias("spans"))
+    texts = pages.join(spans.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "markdown"))).alias("texts"))
+
+    def cut(span: Column) -> Column:
+        return F.struct(span["id"].alias("id"), F.transform(F.filter("texts", lambda p: p["page_no"].between(span["page_start"], span["page_end"])), lambda p: p["markdown"]).alias("slice"))
+
+    slices = texts.join(spans, "doc_id").select("doc_id", F.explode(F.transform("spans", cut)).alias("s")).select("doc_id", "s.*").where(F.size("slice") > 0)
+    counted = slices.withColumns({"keys": F.array_sort(F.flatten(F.transform("slice", layout.boilerplate_keys))), "least": F.greatest(F.lit(3), F.floor(F.size("slice") * 0.30)).cast("int")})
+    # of sorted keys, one that comes again so many places on is there so often
+    known = counted.withColumn("recurs", F.array_distinct(F.filter("keys", lambda x, i: x == F.get("keys", i + F.col("least") - 1))))
+    clean = F.transform("slice", lambda t: F.regexp_replace(layout.cleaned_text(t, F.col("recurs")), r"(?U)^\s+|\s+$", ""))
+    rows = known.withColumn("clean", clean).select("doc_id", "id", F.size("slice").alias("pages"), F.array_join(F.filter("clean", lambda x: x != ""), "\n\n").alias("markdown"))
+    joined = references.with_separators(rows, [*keys, "pages"], "markdown")
     near = references.overlapping(tree).join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list("other")).alias("overlaps"))
     kind = near.schema["overlaps"].dataType
     return joined.join(near, keys, "left").select(*keys, "markdown", "pages", F.coalesce("overlaps", F.array().cast(kind)).alias("overlaps"))

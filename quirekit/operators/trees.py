@@ -170,8 +170,13 @@ def contents(tree: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def outlines(tree: DataFrame) -> DataFrame:
-    """(doc_id, outline): a tree as indented lines, '- title' with its pages where it has any."""
-    line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("- "), F.coalesce("title", F.lit("")))
+    """(doc_id, outline): a tree as indented lines: title, pages where the tree has page_start and page_end and they are set, and id."""
+    pages = F.lit("")
+    if {"page_start", "page_end"} <= set(tree.columns):
+        start, end = F.nullif("page_start", F.lit(0)), F.nullif("page_end", F.lit(0))
+        one = F.concat(F.lit(" [p."), start.cast("string"), F.lit("]"))
+        pages = F.when(start.isNull(), "").when(end.isNull() | (end == start), one).otherwise(F.concat(F.lit(" [p."), start.cast("string"), F.lit("-"), end.cast("string"), F.lit("]")))
+    line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("- "), F.coalesce("title", F.lit("")), pages, F.lit(" <"), F.col("id").cast("string"), F.lit(">"))
     return tree.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lft", line.alias("x")))).alias("l")).select("doc_id", F.array_join(F.transform("l", lambda r: r["x"]), "\n").alias("outline"))
 
 

@@ -598,13 +598,11 @@ def review_status_counts(spark, d):
     return by.withColumn("total", by.agg(F.sum("n").alias("total")).scalar())
 
 
-@query("WITH t AS (SELECT lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS k, min_by(p_brand || '/' || p_partkey, {'s': p_partkey % 3 = 0, 'c': p_partkey}) AS survivor FROM part GROUP BY 1) SELECT p_brand || '/' || p_partkey AS name, survivor FROM part JOIN t ON lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) = k WHERE p_brand || '/' || p_partkey <> survivor")
+@query("WITH n AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 't_' ELSE '' END || p_brand || '/' || p_partkey AS name, lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS k, p_partkey AS created FROM part), t AS (SELECT k, min_by(name, {'s': starts_with(name, 't_'), 'c': created}) AS survivor FROM n GROUP BY k) SELECT name, survivor FROM n JOIN t USING (k) WHERE name <> survivor")
 def same_label_types(spark, d):
-    p = X.table(spark, d, "part")
-    name = F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"))
-    key = p.select(name.alias("name"), T.label_key(F.col("p_type")).alias("key"), F.struct(F.col("p_partkey") % 3 == 0, "p_partkey").alias("o"))
-    first = key.groupBy("key").agg(F.min_by("name", "o").alias("survivor"))
-    return key.join(first, "key").where(F.col("name") != F.col("survivor")).select("name", "survivor")
+    """Parts as types: those whose label differs in case and spaces only go to one of them."""
+    name = F.concat(F.when(F.col("p_partkey") % 3 == 0, "t_").otherwise(""), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"))
+    return records.same_labels(X.table(spark, d, "part").select(name.alias("name"), F.col("p_type").alias("label"), F.col("p_partkey").alias("created")))
 
 
 @query("SELECT c.c_custkey, c.c_name, c.c_acctbal AS value, false AS is_new FROM customer c WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_name || '*', c_acctbal + 1, false FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT s_suppkey + 10000000, s_name, s_acctbal, true FROM supplier")
@@ -647,9 +645,10 @@ def hourly_events(spark, d):
     return X.table(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-@query(_TREE + " SELECT ns.doc_id, md5(string_agg(repeat('  ', CAST(level - 1 AS INT)) || '- ' || title, chr(10) ORDER BY lft)) AS outline_md5 FROM ns JOIN tree ON ns.doc_id = tree.doc_id AND ns.id = tree.id GROUP BY ns.doc_id")
+@query(f"WITH {S.PAGES}, {S.EDITED} SELECT doc_id, md5(string_agg(repeat('  ', level - 1) || '- ' || title || CASE WHEN page_start IS NULL THEN '' WHEN page_end = page_start THEN ' [p.' || page_start || ']' ELSE ' [p.' || page_start || '-' || page_end || ']' END || ' <' || id || '>', chr(10) ORDER BY lft)) AS outline_md5 FROM ed GROUP BY doc_id")
 def tree_outline(spark, d):
-    return trees.outlines(trees.nested_set(X.regions(spark, d))).select("doc_id", F.md5("outline").alias("outline_md5"))
+    """Outlines of edited documents, with pages and ids."""
+    return trees.outlines(edits.edited(X.outline(spark, d), X.edits(spark, d), _TYPES)).select("doc_id", F.md5("outline").alias("outline_md5"))
 
 
 @query(f"WITH RECURSIVE {S.REGIONS}, w AS (SELECT doc_id, id, title AS crumbs FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.doc_id, t.id, w.crumbs || ' > ' || t.title FROM tree t JOIN w ON t.doc_id = w.doc_id AND t.parent_id = w.id) SELECT doc_id, id, crumbs FROM w")
@@ -682,11 +681,11 @@ def sync_states(spark, d):
     return p.select("p_partkey", records.sync_state(F.col("l_partkey"), F.col("p_size") % 5 != 0, F.lit("new"), written).alias("state"))
 
 
-@query("SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id ORDER BY turns DESC, conv_id LIMIT 50")
+@query("SELECT user_id, count(*) AS n_events, max(event_id) AS last_event FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 50")
 def recent_sessions(spark, d):
-    """A top-k report: the fifty longest sessions."""
-    turns = X.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
-    return records.top_recent(turns, [F.desc("turns"), F.col("conv_id")], 50)
+    """A top-k report: the fifty sessions with the latest last event."""
+    sessions = X.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event"), F.max("ts").alias("last"))
+    return records.top_recent(sessions, [F.desc("last"), F.col("user_id")], 50).drop("last")
 
 
 _CONTENT = f"""WITH {S.WEB}, {S.RECALL}, p AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM web GROUP BY ALL), c AS (SELECT doc_id, {S.running('line')} AS normal, count(DISTINCT page_no) AS n FROM web GROUP BY ALL),
