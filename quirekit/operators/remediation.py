@@ -188,6 +188,11 @@ def remediated(pages: DataFrame, vlm: Model, cleanup: Model, judge: Callable[[di
 
 
 def summary(done: DataFrame) -> DataFrame:
-    """(doc_id, targets, adopted, canonical_mean, cost) of remediated pages: the mean to three places over pages that have a score."""
-    mean = T.thousandths(F.avg("canonical_composite"))
-    return done.groupBy("doc_id").agg(F.count_if("target").alias("targets"), F.count_if("adopted").alias("adopted"), mean.alias("canonical_mean"), F.round(F.sum("cost"), 6).alias("cost"))
+    """(doc_id, targets, adopted, canonical_mean, cost) of remediated pages: the mean to three places over pages that have a score.
+
+    Scores have three places, so they are added up as whole thousandths and the mean is rounded exactly, halves up.
+    """
+    total, n = F.sum(F.round(F.col("canonical_composite") * 1000).cast("long")), F.count("canonical_composite")
+    sums = done.groupBy("doc_id").agg(F.count_if("target").alias("targets"), F.count_if("adopted").alias("adopted"), total.alias("total"), n.alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
+    mean = F.when(F.col("n") > 0, F.expr("(2 * total + n) div (2 * n)") / 1000)
+    return sums.select("doc_id", "targets", "adopted", mean.alias("canonical_mean"), "cost")

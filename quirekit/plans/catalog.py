@@ -474,11 +474,10 @@ def remediated_pages(spark, d):
     return _remediated(spark, d).select("doc_id", "page_no", "target", "recorded", "adopted", "base_composite", "canonical_composite", "canonical_source", F.md5("canonical").alias("canonical_md5"), units.alias("cost_units"), F.coalesce(F.col("notes").contains("vlm failed"), F.lit(False)).alias("failed"))
 
 
-@query(f"WITH {S.PAGES}, {S.REMEDIATED} SELECT doc_id, count(*) FILTER (target) AS targets, count(*) FILTER (adopted) AS adopted, sum(CAST(round(canonical_composite * 1000) AS BIGINT))::BIGINT / count(canonical_composite) AS mean, sum(cost_units)::BIGINT AS cost_units FROM rem GROUP BY doc_id")
+@query(f"WITH {S.PAGES}, {S.REMEDIATED}, s AS (SELECT doc_id, count(*) FILTER (target) AS targets, count(*) FILTER (adopted) AS adopted, sum(CAST(round(canonical_composite * 1000) AS BIGINT))::BIGINT AS total, count(canonical_composite) AS n, sum(cost_units)::BIGINT AS cost_units FROM rem GROUP BY doc_id) SELECT doc_id, targets, adopted, ((2 * total + n) // (2 * n)) / CAST(1000 AS DOUBLE) AS canonical_mean, cost_units FROM s")
 def remediation_summary(spark, d):
-    done = _remediated(spark, d)
-    sums = remediation.summary(done).join(done.groupBy("doc_id").agg((F.sum(F.round(F.col("canonical_composite") * 1000).cast("long")) / F.count("canonical_composite")).alias("mean")), "doc_id")
-    return sums.select("doc_id", "targets", "adopted", "mean", F.round(F.col("cost") / 0.0005).cast("long").alias("cost_units"))
+    sums = remediation.summary(_remediated(spark, d))
+    return sums.select("doc_id", "targets", "adopted", "canonical_mean", F.round(F.col("cost") / 0.0005).cast("long").alias("cost_units"))
 
 
 @query(f"WITH {S.PAGES}, src AS (SELECT doc_id, page_no AS id, md AS text FROM pg), {S.BLOCKS} SELECT doc_id, type, count(*) AS n FROM blk GROUP BY ALL")
