@@ -119,7 +119,7 @@ def section_bodies_windowed(spark, d):
     return trees.windowed_sections(lines).select("doc_id", "section_no", "title", "level", "page_start", "page_end", F.md5("body").alias("body_md5"))
 
 
-@query()
+@query(f"WITH {S.PAGES}, t AS (SELECT *, page_no || '. Part ' || ((doc_id + page_no) % 7) AS title FROM pg) SELECT doc_id, CAST(page_no - 1 AS INTEGER) AS ord, title, 1 AS level, title AS path, page_no AS page_start, page_no AS page_end, md5(regexp_replace(substr(md, length(title) + 5), '^\\s+|\\s+$', '', 'g')) AS body_md5 FROM t")
 def sectionize_full(spark, d):
     found = trees.sectionize(X.pages(spark, d).select("doc_id", "page_no", F.col("md").alias("markdown")))
     return found.select("doc_id", "ord", "title", "level", F.array_join("path", " > ").alias("path"), "page_start", "page_end", F.md5("markdown").alias("body_md5"))
@@ -159,7 +159,7 @@ def slugs(spark, d):
     return X.regions(spark, d).select("doc_id", "id", T.slug(F.col("title")).alias("slug"))
 
 
-@query()
+@query(_TREE + f", named AS (SELECT ns.doc_id, ns.id, ns.parent_id, ns.lft, {S.slug("CASE WHEN ns.id > 1000 THEN 'Customer ' || (ns.id % 7) ELSE title END")} AS base FROM ns JOIN tree ON ns.doc_id = tree.doc_id AND ns.id = tree.id), one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_id, base ORDER BY lft) AS k FROM named), sl AS (SELECT *, base || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS slug FROM one), rt AS (SELECT doc_id, id, slug, 'wiki/' || slug AS route FROM sl WHERE parent_id IS NULL UNION ALL SELECT sl.doc_id, sl.id, sl.slug, rt.route || '/' || sl.slug FROM sl JOIN rt ON rt.doc_id = sl.doc_id AND rt.id = sl.parent_id) SELECT doc_id, id, slug, route FROM rt")
 def slug_routes(spark, d):
     return trees.slug_routes(trees.nested_set(X.regions(spark, d).withColumn("title", F.when(F.col("id") > 1000, F.concat(F.lit("Customer "), (F.col("id") % 7).cast("string"))).otherwise(F.col("title")))))
 
@@ -485,7 +485,7 @@ def markdown_blocks(spark, d):
     return references.blocks(X.pages(spark, d), ["doc_id", "page_no"], "md").groupBy("doc_id", "type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_REFS.replace("SELECT doc_id, page_no AS from_id,", "SELECT doc_id, page_no AS from_id, md,", 1).replace("SELECT doc_id, from_id, page,", "SELECT doc_id, from_id, md, page,", 1) + " SELECT doc_id, from_id AS id, md5(CASE WHEN from_id <> to_id THEN replace(md, 'See page ' || page || '. W', '[See page ' || page || '](/wiki/' || doc_id || '/' || to_id || '). W') ELSE md END) AS content_md5, CAST(from_id <> to_id AS INTEGER) AS links FROM tgt")
 def linked_pages(spark, d):
     s = X.sections(spark, d).withColumn("page_count", F.col("n_pages"))
     routes = s.select("doc_id", "id", F.concat(F.lit("wiki/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("id").cast("string")).alias("route"))
