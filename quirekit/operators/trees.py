@@ -93,11 +93,14 @@ def subtree(tree: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def nearest_included(tree: DataFrame) -> DataFrame:
-    """(doc_id, id, ancestor): for every included node the nearest included one above it, null for none."""
-    some = tree.where("included")
-    up = some.select("doc_id", F.col("id").alias("a_id"), F.col("lft").alias("a_l"), F.col("rgt").alias("a_r"))
-    inside = some.join(up, "doc_id").where((F.col("a_l") < F.col("lft")) & (F.col("rgt") < F.col("a_r"))).groupBy("doc_id", "id").agg(F.max_by("a_id", "a_l").alias("ancestor"))
-    return some.select("doc_id", "id").join(inside, ["doc_id", "id"], "left")
+    """(doc_id, id, ancestor): for every included node the nearest included one above it, null for none.
+
+    Ancestors come from the parent closure: linear in the tree's depth, where bounds alone would pair all nodes of a document.
+    """
+    some = tree.where("included").select("doc_id", F.col("id").alias("ancestor"))
+    up = closure(tree).where("distance > 0").join(some, ["doc_id", "ancestor"])
+    near = up.groupBy("doc_id", F.col("node").alias("id")).agg(F.min_by("ancestor", "distance").alias("ancestor"))
+    return tree.where("included").select("doc_id", "id").join(near, ["doc_id", "id"], "left")
 
 
 def sibling_order(tree: DataFrame) -> DataFrame:

@@ -141,12 +141,7 @@ def subtree_counts(spark, d):
 
 @query(_TREE + ", inc AS (SELECT ns.*, included FROM ns JOIN tree ON ns.doc_id = tree.doc_id AND ns.id = tree.id WHERE included) SELECT a.doc_id, a.id, max_by(b.id, b.lft) AS ancestor FROM inc a LEFT JOIN inc b ON a.doc_id = b.doc_id AND b.lft < a.lft AND a.rgt < b.rgt GROUP BY ALL")
 def nearest_included_ancestor(spark, d):
-    """Ancestors come from the parent closure: linear in the tree's depth, where bounds alone would pair all nodes of a document."""
-    tree = X.regions(spark, d)
-    some = tree.where("included").select("doc_id", F.col("id").alias("ancestor"))
-    up = trees.closure(tree).where("distance > 0").join(some, ["doc_id", "ancestor"])
-    near = up.groupBy("doc_id", F.col("node").alias("id")).agg(F.min_by("ancestor", "distance").alias("ancestor"))
-    return tree.where("included").select("doc_id", "id").join(near, ["doc_id", "id"], "left")
+    return trees.nearest_included(X.regions(spark, d))
 
 
 @query(_TREE + " SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY lft) - 1 AS sort_order FROM ns")
