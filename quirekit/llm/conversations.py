@@ -37,8 +37,8 @@ MOVES = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
 ENDS = (0, 3)
 LEGAL_PAIRS = ("su", "ua", "au")
 NEXT_ROLE = {0: "user", 1: "user", 2: "assistant", 3: "user"}
-#: A turn's fault: none, blank, duplicate, truncated.
-FINE, BLANK, DUPLICATE, CUT = range(4)
+#: A turn's fault: none, blank, truncated, duplicate. Of equal turns the duplicates are read last, so theirs is the highest.
+FINE, BLANK, CUT, DUPLICATE = range(4)
 
 FIGURES = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
 

@@ -168,6 +168,14 @@ def test_repair_equals_brute_force(spark):
     assert conversations.repair(df.limit(0)).count() == 0
 
 
+def test_of_equal_turns_the_later_are_duplicates(spark):
+    rows = [(1, 1, "user", "no end")] * 3 + [(1, 2, "assistant", "Fine."), (2, None, "user", "cut"), (2, None, "user", "cut"), (2, 1, "assistant", "end"), (2, 1, "assistant", "end")]
+    got = {r["conv_id"]: tuple(r)[1:] for r in conversations.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for c in (1, 2):
+        assert got[c] == brute_conversation(in_order([r[1:] for r in rows if r[0] == c]))
+    assert got[1][6] == "KDDK"
+
+
 def slow_repair(initials, faults):
     """Bellman-Ford over (cost, audit) on the whole lattice."""
     best = {(0, 0): (0, "")}
@@ -229,7 +237,7 @@ def test_repair_of_the_damaged_table(spark, sf_dir):
         if len(turns) <= 4:
             assert got[c] == brute_conversation(turns), c
         else:
-            faults = bytes(["", "blank", "duplicate", "truncated"].index(f) for f in fault_list([t[1:] for t in turns]))
+            faults = bytes({"": conversations.FINE, "blank": conversations.BLANK, "duplicate": conversations.DUPLICATE, "truncated": conversations.CUT}[f] for f in fault_list([t[1:] for t in turns]))
             assert got[c][5:7] == slow_repair("".join(t[1][:1] for t in turns), faults)
     assert got[next(c for c, t in hurt.items() if not t)] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
     found = queries.op12_conversation_repair(spark, sf_dir)
