@@ -19,22 +19,24 @@ def rebuilt(pages: DataFrame, tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     keys = ["doc_id", "id"]
     asked = tree.where((F.col("page_start") > 0) & (F.col("page_end") >= F.col("page_start"))).join(wanted.select(*keys).distinct(), keys, "left_semi")
-    spans = asked.groupBy("doc_id").agg(F.collect_list(F.struct("id", "page_start", "page_end")).alias("spans"))
+    near = references.overlapping(tree).join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list("other")).alias("overlaps"))
+    kind = near.schema["overlaps"].dataType
+    told = asked.join(near, keys, "left").withColumn("overlaps", F.coalesce("overlaps", F.array().cast(kind)))
+    spans = told.groupBy("doc_id").agg(F.collect_list(F.struct("id", "page_start", "page_end", "overlaps")).alias("spans"))
     texts = pages.join(spans.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "markdown"))).alias("texts"))
 
     def cut(span: Column) -> Column:
-        return F.struct(span["id"].alias("id"), F.transform(F.filter("texts", lambda p: p["page_no"].between(span["page_start"], span["page_end"])), lambda p: p["markdown"]).alias("slice"))
+        return F.struct(span["id"].alias("id"), span["overlaps"].alias("overlaps"), F.transform(F.filter("texts", lambda p: p["page_no"].between(span["page_start"], span["page_end"])), lambda p: p["markdown"]).alias("slice"))
 
     slices = texts.join(spans, "doc_id").select("doc_id", F.explode(F.transform("spans", cut)).alias("s")).select("doc_id", "s.*").where(F.size("slice") > 0)
     counted = slices.withColumns({"keys": F.array_sort(F.flatten(F.transform("slice", layout.boilerplate_keys))), "least": F.greatest(F.lit(3), F.floor(F.size("slice") * 0.30)).cast("int")})
     # of sorted keys, one that comes again so many places on is there so often
     known = counted.withColumn("recurs", F.array_distinct(F.filter("keys", lambda x, i: x == F.get("keys", i + F.col("least") - 1))))
-    clean = F.transform("slice", lambda t: F.regexp_replace(layout.cleaned_text(t, F.col("recurs")), r"(?U)^\s+|\s+$", ""))
-    rows = known.withColumn("clean", clean).select("doc_id", "id", F.size("slice").alias("pages"), F.array_join(F.filter("clean", lambda x: x != ""), "\n\n").alias("markdown"))
-    joined = references.with_separators(rows, [*keys, "pages"], "markdown")
-    near = references.overlapping(tree).join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list("other")).alias("overlaps"))
-    kind = near.schema["overlaps"].dataType
-    return joined.join(near, keys, "left").select(*keys, "markdown", "pages", F.coalesce("overlaps", F.array().cast(kind)).alias("overlaps"))
+    # bound as an array of one: worked out once a section, not once a line
+    page = lambda r: lambda t: F.regexp_replace(layout.cleaned_text(t, r), r"(?U)^\s+|\s+$", "")
+    clean = F.element_at(F.transform(F.array("recurs"), lambda r: F.transform("slice", page(r))), 1)
+    rows = known.withColumn("clean", clean).select("doc_id", "id", F.size("slice").alias("pages"), "overlaps", F.array_join(F.filter("clean", lambda x: x != ""), "\n\n").alias("markdown"))
+    return references.with_separators(rows, [*keys, "pages", "overlaps"], "markdown").select(*keys, "markdown", "pages", "overlaps")
 
 
 def owners(points: DataFrame, tree: DataFrame) -> DataFrame:
