@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,19 +144,36 @@ def card(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(F.count("*").alias("pages"), F.avg("recall").alias("avg_recall"), F.min("recall").alias("min_recall"), F.avg("extra").alias("avg_extra"), share(F.col("table_score") == 1.0, has_table).alias("table_coverage"), share(F.col("verdict") == "pass", F.lit(True)).alias("pass_share"))
 
 
+_TAG, _TOKEN = re.compile(r"<[^>]+>"), re.compile("[a-z0-9]+")
+
+
+def counts_in_row(truth: Column, markdown: Column, tags: bool = False) -> Column:
+    """struct<n_truth, n_md, common> of two texts of one row: the figures of :func:`token_overlap` without a shuffle."""
+
+    def tokens(text: str | None) -> Counter:
+        low = (text or "").lower()
+        return Counter(_TOKEN.findall(_TAG.sub(" ", low) if tags else low))
+
+    @F.pandas_udf("n_truth long, n_md long, common long")
+    def counted(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for some in pairs:
+            both = [(tokens(a), tokens(b)) for a, b in zip(*some)]
+            yield pd.DataFrame({"n_truth": [a.total() for a, _ in both], "n_md": [b.total() for _, b in both], "common": [(a & b).total() for a, b in both]}, dtype="int64")
+
+    return counted(truth, markdown)
+
+
 def page_quality(pages: DataFrame, keys: list[str], truth: str, markdown: str) -> DataFrame:
     """keys, recall, extra, table_score, heading_score, has_table, tables, expected, headings of parsed pages.
 
     Scores are null where there is nothing to hold them to: no source text, no table or no heading in it. Headings and
     table rows are lines of the markdown. Tags are no tokens here.
     """
-    overlap = token_overlap(pages, keys, truth, markdown, tags=True)
     lines = T.lines(F.col(markdown))
-    own = pages.select(
+    met = pages.select(
         *keys, T.looks_tabular(F.col(truth)).alias("has_table"), T.expected_headings(F.col(truth)).alias("expected"), (F.trim(F.coalesce(F.col(truth), F.lit(""))) != "").alias("_some"),
-        F.size(F.filter(lines, lambda x: x.rlike(T.PIPE_ROW))).alias("table_rows"), F.size(F.filter(lines, lambda x: x.rlike(T.HEADING))).alias("headings"),
-    )
-    met = own.join(overlap, keys)
+        F.size(F.filter(lines, lambda x: x.rlike(T.PIPE_ROW))).alias("table_rows"), F.size(F.filter(lines, lambda x: x.rlike(T.HEADING))).alias("headings"), counts_in_row(F.col(truth), F.col(markdown), tags=True).alias("_n"),
+    ).select("*", "_n.*")
     some = lambda c: F.when(F.col("_some"), T.thousandths(c))
     table = F.when(F.col("has_table"), F.when(F.col("table_rows") > 0, 1.0).otherwise(0.0))
     heading = F.when(F.col("expected") > 0, T.thousandths(F.least(F.lit(1.0), F.col("headings") / F.col("expected"))))
