@@ -36,7 +36,7 @@ BASE, HASHES, ENTRY_BITS, SEGMENTS = 1.2, 3, 12, 64
 CODE_BITS, CHUNK, SEGMENT_CODES = 48, 4_000_000, 2_000_000
 #: Blocks (of some 3 MB) fetched at once.
 FETCHED = 8
-#: Words whose counts are sent to all workers at once (12 or 16 bytes each); with more words, texts and scores are joined.
+#: Words whose counts are sent to all workers at once (12 or 16 bytes each): with more, those seen most often; the others' places are joined.
 BROADCAST_WORDS = 5_000_000
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 200_000
@@ -293,75 +293,98 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    if tallied["all"] <= broadcast_words:
-        held = by_hash.toArrow()
-        h, c = (np.asarray(held.column(i).combine_chunks()) for i in (0, 1))
-        order = np.argsort(h)
-        sent = docs.sparkSession.sparkContext.broadcast((h[order], c[order].astype(np.uint32 if total < 2**32 else np.int64)))
-        del held, h, c, order
-
-        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            h, c = sent.value
-            known = Filter(*grams.value)
-            place: dict[bytes, int] = {}
-            for batch in slices(batches):
-                texts = [t.encode().lower().split() if t else [] for t in batch.column(1).to_pylist()]
-                if len(place) > HELD:
-                    place = {}
-                fresh = list(set().union(*texts).difference(place))
-                sought = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), dtype=np.uint64, count=len(fresh))
-                sought = (sought - np.uint64(1 << 63)).view(np.int64)
-                order = np.argsort(sought)  # neighbours are near in memory
-                for i, at in zip(order.tolist(), np.searchsorted(h, sought[order]).tolist()):
-                    place[fresh[i]] = at
-                sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-                places = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), dtype=np.intp, count=sizes.sum())
-                hashes = h[places].view(np.uint64) + np.uint64(1 << 63)
-                a, b = in_context(known, np.split(hashes, np.cumsum(sizes)[:-1]) if len(sizes) else [])
-                ends_at = np.cumsum(sizes + 1) - 1
-                word = np.ones(len(a), dtype=bool)
-                word[ends_at] = False
-                n = c[places].astype(np.float64)
-                p, base_logs, seen = np.full(len(a), end_p), np.full(len(a), end_base), np.full(len(a), end_known)
-                p[word], base_logs[word], seen[word] = np.where(n > 0, (n - discount) / max(1, total), unseen), base_log(n), n > 0
-                sums = [np.add.reduceat(x, ends_at - sizes) for x in (seen, base_logs, np.log10(a + b * p))] if len(sizes) else [np.zeros(0)] * 3
-                held_out = pa.array([not t for t in batch.column(2).to_pylist()], pa.bool_())
-                columns = [pa.array(x, pa.int64()) for x in (sizes + 1, sums[0].astype(np.int64), np.full(len(sizes), total))] + [pa.array(x, pa.float64()) for x in sums[1:]]
-                yield pa.RecordBatch.from_arrays([batch.column(0), held_out, *columns], names=names)
-
-        return base.mapInArrow(scored, schema)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, met = Filter(*grams.value), Words()
-        for batch in slices(batches, 256):
-            texts = [hashed(t.encode().lower().split() if t else (), met) for t in batch.column(2).to_pylist()]
-            a, b = in_context(known, texts)
-            sizes = np.array([len(t) for t in texts], dtype=np.int64)
-            last = np.zeros(len(a), dtype=bool)
-            last[np.cumsum(sizes + 1) - 1] = True
-            end = np.log10(a[last] + b[last] * end_p)
-            # every word of a text in a row, and one row without a word for its end
-            order = np.repeat(np.arange(len(texts)), sizes + 1)
-            hashes = np.zeros(len(a), dtype=np.uint64)
-            hashes[~last] = np.concatenate(texts)
-            ends_ = np.zeros(len(a))
-            ends_[last] = end
-            at = pa.array(order)
-            h = pa.array((hashes - np.uint64(1 << 63)).view(np.int64), mask=last)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), h, pa.array(a), pa.array(b), pa.array(ends_)], names=["id", "mark", "h", "a", "b", "log"])
-
-    marked = base.withColumn("mark", F.xxhash64("text"))
-    used = marked.select("id", "mark", "text").dropDuplicates(["id", "mark"]).mapInArrow(counted, f"id {kind}, mark long, h long, a double, b double, log double")
-    log_base = F.log10((F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
-    known_word, is_word = F.col("c") > 0, F.col("h").isNotNull()
-    log_score = F.when(is_word, F.log10(F.col("a") + F.col("b") * F.when(known_word, (F.col("c") - discount) / max(1, total)).otherwise(F.lit(unseen)))).otherwise(F.col("log"))
-    sums = used.join(by_hash, "h", "left").groupBy("id", "mark").agg(F.count("h").alias("n"), F.count_if(known_word).alias("k"), F.sum(log_base).alias("b"), F.sum(log_score).alias("s"))
-    sums = sums.select(F.col("id").alias("_id"), F.col("mark").alias("_m"), "n", "k", "b", "s")
-    rows = marked.select("id", "mark", (~F.col("training")).alias("held_out"))
-    joined = rows.join(sums, rows["id"].eqNullSafe(sums["_id"]) & (rows["mark"] == sums["_m"]), "left")
-    zero, none = F.lit(0).cast("long"), F.lit(0.0)
-    return joined.select(
-        F.col("id").alias(id_col), "held_out", (F.coalesce("n", zero) + 1).alias("n_tokens"), (F.coalesce("k", zero) + end_known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.coalesce("b", none) + end_base).alias("base_score"), F.col("s").alias("score"),
-    )
+    least = 0 if tallied["all"] <= broadcast_words else least_sent(words, broadcast_words)
+    held = by_hash.where(F.col("c") >= least).toArrow()
+    h, c = (held.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(h)
+    sent = docs.sparkSession.sparkContext.broadcast((h[order], c[order].astype(np.uint32 if total < 2**32 else np.int64)))
+    del held, h, c, order
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Batches, their texts' lengths with ends, (known, base, score) added up over ends and words that were sent, and the other words: (text, hash, a, b)."""
+        h, c = sent.value
+        known = Filter(*grams.value)
+        place: dict[bytes, int] = {}  # below 0: the place among the words that were not sent, from -1 down
+        others = np.zeros(0, dtype=np.int64)
+        for batch in slices(batches):
+            texts = [t.encode().lower().split() if t else [] for t in batch.column(1).to_pylist()]
+            if len(place) > HELD:
+                place, others = {}, others[:0]
+            fresh = list(set().union(*texts).difference(place))
+            sought = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), dtype=np.uint64, count=len(fresh))
+            sought = (sought - np.uint64(1 << 63)).view(np.int64)
+            order = np.argsort(sought)  # neighbours are near in memory
+            sought = sought[order]
+            at = np.searchsorted(h, sought)
+            if least:
+                absent = h[np.minimum(at, len(h) - 1)] != sought if len(h) else np.ones(len(at), dtype=bool)
+                at[absent] = -1 - len(others) - np.arange(absent.sum())
+                others = np.concatenate([others, sought[absent]])
+            for i, x in zip(order.tolist(), at.tolist()):
+                place[fresh[i]] = x
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            places = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), dtype=np.intp, count=sizes.sum())
+            was_sent = places >= 0
+            hashes, n = np.empty(len(places), dtype=np.int64), np.zeros(len(places))
+            hashes[was_sent], hashes[~was_sent], n[was_sent] = h[places[was_sent]], others[-1 - places[~was_sent]], c[places[was_sent]]
+            a, b = in_context(known, np.split(hashes.view(np.uint64) + np.uint64(1 << 63), np.cumsum(sizes)[:-1]) if len(sizes) else [])
+            ends_at = np.cumsum(sizes + 1) - 1
+            word = np.ones(len(a), dtype=bool)
+            word[ends_at] = False
+            p, base_logs, seen = np.full(len(a), end_p), np.full(len(a), end_base), np.full(len(a), end_known)
+            p[word], base_logs[word], seen[word] = np.where(n > 0, (n - discount) / max(1, total), unseen), base_log(n), n > 0
+            logs = np.log10(a + b * p)
+            left = np.flatnonzero(word)[~was_sent]
+            seen[left], base_logs[left], logs[left] = 0, 0.0, 0.0
+            sums = [np.add.reduceat(x, ends_at - sizes) for x in (seen, base_logs, logs)] if len(sizes) else [np.zeros(0)] * 3
+            yield batch, sizes + 1, sums, (np.repeat(np.arange(len(sizes)), sizes)[~was_sent], hashes[~was_sent], a[left], b[left])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sizes, (seen, base_logs, logs), _ in scored(batches):
+            held_out = pa.array([not t for t in batch.column(2).to_pylist()], pa.bool_())
+            columns = [pa.array(x, pa.int64()) for x in (sizes, seen.astype(np.int64), np.full(len(sizes), total))] + [pa.array(x, pa.float64()) for x in (base_logs, logs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), held_out, *columns], names=names)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sizes, sums, (of, *other) in scored(batches):
+            at = pa.array(np.concatenate([np.arange(len(sizes)), of]))
+            first = np.arange(len(at)) < len(sizes)
+            of_word = [pa.array(np.concatenate([np.zeros(len(sizes), dtype=x.dtype), x]), mask=first) for x in other]
+            of_text = [pa.array(np.concatenate([x, np.zeros(len(of))]).astype(k), mask=~first) for x, k in zip((sizes, *sums), (np.int64, np.int64, float, float))]
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in (0, 2, 3)] + of_word + of_text, names=["id", "training", "mark", "h", "a", "b", "n", "k", "base", "log"])
+
+    if not least:
+        return base.mapInArrow(whole, schema)
+    rows = base.withColumn("mark", F.xxhash64("id", "text")).mapInArrow(parts, f"id {kind}, training boolean, mark long, h long, a double, b double, n long, k long, base double, log double")
+    return whole_texts(rows, by_hash.where(F.col("c") < least), total, distinct, discount, unseen).select(
+        F.col("id").alias(id_col), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
+def least_sent(words: DataFrame, most: int) -> int:
+    """The least count, from 1, of which no more than ``most`` words (word, c) have it or a higher one."""
+    least, n = None, 0
+    for r in words.where("c > 0").groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
+        n += r["n"]
+        if n > most:
+            return r["c"] + 1
+        least = r["c"]
+    return least or 1
+
+
+def whole_texts(rows: DataFrame, counts: DataFrame, total: int, distinct: int, discount: float, unseen: float) -> DataFrame:
+    """(id, training, n_tokens, n_known, base_score, score) of texts from rows in parts, as often as each text is there.
+
+    ``rows``: id, training, mark (of id and text); a text has one row with n, k, base and log, its sums without the words
+    that were not sent, and one for each of those words, with h, a and b. ``counts``: h, c of those words. Only they are
+    shuffled: the rest of the vocabulary, whose words come a few times each, and one row a text.
+    """
+    is_word, c = F.col("h").isNotNull(), F.when(F.col("h").isNotNull(), F.coalesce("c", F.lit(0)))
+    joined = rows.withColumn("key", F.coalesce("h", "mark")).join(counts.withColumnRenamed("h", "key"), "key", "left")  # texts' own rows go by their marks
+    p = F.when(c > 0, (c - discount) / max(1, total)).otherwise(F.lit(unseen))
+    base = F.when(is_word, F.log10((c + 0.1) / F.lit(total + 0.1 * (distinct + 1)))).otherwise(F.col("base"))
+    log = F.when(is_word, F.log10(F.col("a") + F.col("b") * p)).otherwise(F.col("log"))
+    known = F.when(is_word, (c > 0).cast("long")).otherwise(F.col("k"))
+    sums = joined.groupBy("id", "training", "mark").agg(F.count("n").alias("times"), F.max("n").alias("n_tokens"), F.sum(known).alias("k"), F.sum(base).alias("b"), F.sum(log).alias("s"))
+    once = sums.select("id", "training", "n_tokens", F.expr("k div times").alias("n_known"), (F.col("b") / F.col("times")).alias("base_score"), (F.col("s") / F.col("times")).alias("score"), "times")
+    return once.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("_i", "times")

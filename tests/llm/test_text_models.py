@@ -173,6 +173,25 @@ def test_lm_base_is_exact_and_the_model_is_better(spark, sf_dir, broadcast):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_joins_only_words_that_were_not_sent(spark, sf_dir, monkeypatch):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(9001, None), (9002, ""), (9003, "UNSEENWORD zzqy"), (9004, "unseenword zzqy zzqy"), (7, "the copy"), (7, "the copy"), (None, "zzqy"), (None, "zzqy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(w for d, t in rows if zlib.crc32(str(d if d is not None else "").encode()) % 10 for w in (t or "").encode().lower().split())
+    limit = 2000
+    least = lm.least_sent(lm.word_counts(df.selectExpr("text", "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 10 != 0 AS training")), limit)
+    assert sum(c >= least for c in counts.values()) <= limit < sum(c >= least - 1 for c in counts.values())
+    joined, whole_texts = [], lm.whole_texts
+    monkeypatch.setattr(lm, "whole_texts", lambda made, *rest: joined.append(made.count()) or whole_texts(made, *rest))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"])
+    got, want = (sorted(lm.score_texts(df, broadcast_words=n).collect(), key=key) for n in (limit, 10**6))
+    words = [w for _, t in rows for w in (t or "").encode().lower().split()]
+    assert joined == [len(rows) + sum(counts[w] < least for w in words)] and joined[0] < 0.5 * len(words)
+    assert [tuple(r)[:5] for r in got] == [tuple(r)[:5] for r in want]
+    for i in ("base_score", "score"):
+        assert [r[i] for r in got] == pytest.approx([r[i] for r in want], rel=1e-9)
+
+
 def test_lm_probabilities_add_up_to_one(spark):
     rows = [(i, " ".join(f"w{j % (i + 2)}" for j in range(i))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
