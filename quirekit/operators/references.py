@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirekit.functions import folds
 from quirekit.functions import text as T
+from quirekit.operators.trees import by_document
 
 
 #: No reference names a later page: they have four digits at most.
@@ -122,23 +123,38 @@ def graph(tree: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]
 def with_links(sections: DataFrame, routes: DataFrame) -> DataFrame:
     """(doc_id, id, content, links): texts whose page references are links to the smallest covering section's route.
 
-    sections: doc_id, id, ord, page_start, page_end, page_count, markdown; routes: doc_id, id, route. A
-    document's sections are folded in one group.
+    sections: doc_id, id, ord, page_start, page_end, page_count, markdown; routes: doc_id, id, route. Sections without a
+    route, or without keys, are left out. Texts and routes are dealt by document once; a document's pages are given to its
+    sections once, the shortest first, so time is linear in both.
     """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("ord").to_dict("records")
-
-        def route_of(page: int) -> str | None:
-            fits = [(r["page_end"] - r["page_start"], i) for i, r in enumerate(rows) if r["page_start"] and r["page_end"] and r["page_start"] <= page <= r["page_end"]]
-            return rows[min(fits)[1]]["route"] if fits else None
-
-        made = [folds.linked(r["markdown"], int(r["page_count"]), route_of, r["route"]) for r in rows]
-        return pd.DataFrame({"doc_id": [r["doc_id"] for r in rows], "id": [r["id"] for r in rows], "content": [t for t, _ in made], "links": [n for _, n in made]})
-
-    kinds = {c: sections.schema[c].dataType.simpleString() for c in ("doc_id", "id")}
-    wanted = sections.select("doc_id", "id", "ord", "page_start", "page_end", "page_count", "markdown").join(routes.select("doc_id", "id", "route"), ["doc_id", "id"])
-    return wanted.groupBy("doc_id").applyInPandas(fold, f"doc_id {kinds['doc_id']}, id {kinds['id']}, content string, links int")
+    def fold(rows: list[tuple]) -> Iterator[tuple]:
+        route = {r[0]: r[-1] for r in rows if r[1]}
+        some = [r for r in rows if not r[1] and r[0] in route]
+        spans = sorted((end - start, i, start, end) for i, (_, _, _, start, end, *_) in enumerate(some) if start and end)
+        last = min(LAST_PAGE, max((r[5] or 0 for r in some), default=0))
+        owner: list[int | None] = [None] * (last + 2)
+        free = list(range(last + 2))  # the next page from here on that has no owner, or on the way to it
+
+        def next_free(page: int) -> int:
+            while free[page] != page:
+                free[page] = free[free[page]]
+                page = free[page]
+            return page
+
+        for _, i, start, end in spans:
+            page = next_free(min(max(start, 1), last + 1))
+            while page <= min(end, last):
+                owner[page], free[page] = i, page + 1
+                page = next_free(page + 1)
+        route_of = lambda page: route[some[owner[page]][0]] if page <= last and owner[page] is not None else None
+        for id_, _, _, _, _, count, markdown, _ in some:
+            yield id_, *folds.linked(markdown, count or 0, route_of, route[id_])
+
+    kind = sections.schema["id"].dataType.simpleString()
+    texts = sections.select("doc_id", "id", F.lit(False).alias("is_route"), "ord", F.col("page_start").cast("long"), F.col("page_end").cast("long"), F.col("page_count").cast("long"), "markdown", F.lit(None).cast("string").alias("route"))
+    named = routes.select("doc_id", "id", F.lit(True).alias("is_route"), *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("ord", "page_start", "page_end", "page_count", "markdown")), "route")
+    return by_document(texts.unionByName(named).where("doc_id is not null and id is not null"), ["ord", "id"], fold, f"id {kind}, content string, links int")
 
 
 def per_text(df: DataFrame, keep: list[str], column: str, schema: str, one) -> DataFrame:

@@ -148,6 +148,44 @@ def test_slugs_among_many_siblings_are_ranked_not_searched(spark, monkeypatch):
     assert folds.unique_slugs(["Same"] * 60_000)[-1] == "same-60000"  # by search from 2 on: 1.8 billion steps
 
 
+def calls_of_groups(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FlatMapGroups")
+
+
+def test_documents_are_read_one_after_the_other(spark):
+    rows = [(d, n, f"# {d}.{n} Title\ntext of {d}" if d % 3 else f"only text {n}") for d in [None, *range(900)] for n in range(1, 4) if d is not None] + [(None, 2, None), (None, 1, "# 1 Null's\na"), (5000, 1, None)]
+    found = trees.sectionize(spark.createDataFrame(rows, "doc_id int, page_no int, markdown string").repartition(7))
+    assert not calls_of_groups(found)
+    got = sorted((tuple(r) for r in found.collect()), key=str)
+    want = []
+    for d in {r[0] for r in rows}:
+        want += [(d, i, *s.values()) for i, s in enumerate(folds.sections([(n, t or "") for _, n, t in sorted((r for r in rows if r[0] == d), key=lambda r: r[1])]))]
+    assert [(*r[:4], r[4], *r[5:]) for r in got] == sorted(want, key=str) and len(got) > 1500
+
+
+def test_links_lead_to_the_shortest_section_over_a_page(spark):
+    rnd = random.Random(8)
+    rows, routes = [], []
+    for d in range(40):
+        for i in range(30):
+            start = rnd.choice([None, 0, *range(1, 25)])
+            rows.append((d, i, rnd.randint(0, 5), start, None if start is None else start + rnd.choice([0, 0, 1, 3, 9, 40]), 20, f"See page {rnd.randint(0, 30)}, page {i} and refer to p. {rnd.randint(1, 20)}"))
+            if rnd.random() < 0.9:
+                routes.append((d, i, rnd.choice(["", f"r/{d}/{i}", f"r/{d}/{i}", None])))
+    sections = spark.createDataFrame(rows, "doc_id int, id int, ord int, page_start int, page_end int, page_count int, markdown string")
+    found = references.with_links(sections, spark.createDataFrame(routes, "doc_id int, id int, route string"))
+    assert not calls_of_groups(found)
+    named, want = {(d, i): r for d, i, r in routes}, {}
+    for d in range(40):
+        some = sorted((r for r in rows if r[0] == d and (d, r[1]) in named), key=lambda r: (r[2], r[1]))
+        fits = lambda page, some=some: min(((r[4] - r[3], k) for k, r in enumerate(some) if r[3] and r[4] and r[3] <= page <= r[4]), default=None)
+        route_of = lambda page, some=some, d=d: named[d, some[fits(page)[1]][1]] if fits(page) else None
+        want |= {(d, r[1]): folds.linked(r[6], 20, route_of, named[d, r[1]]) for r in some}
+    assert {(r["doc_id"], r["id"]): (r["content"], r["links"]) for r in found.collect()} == want and any(n for _, n in want.values())
+    whole = spark.range(1, 3001).selectExpr("1 AS doc_id", "id", "id AS ord", "1 AS page_start", "9999 AS page_end", "9999 AS page_count", "'See page 7' AS markdown")
+    assert references.with_links(whole, whole.selectExpr("doc_id", "id", "concat('r', id) AS route")).where("links = 1 and content = '[See page 7](/r1)'").count() == 2999
+
+
 SECTIONS = [
     (1, 1, "Alpha", 1, 2, "see page 5 and see page 5. Williams p. 820. page 3. see page 1. see page 99"),
     (1, 2, "Beta", 3, 4, "Refer Page No. 5"),
