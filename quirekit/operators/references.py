@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quirekit.functions import folds
 from quirekit.functions import text as T
@@ -15,6 +17,8 @@ from quirekit.operators.trees import by_document
 
 #: No reference names a later page: they have four digits at most.
 LAST_PAGE = 9999
+#: Texts that a worker holds as Python values at once.
+TEXTS = 64
 
 
 def by_page(spans: DataFrame, last: int = LAST_PAGE) -> DataFrame:
@@ -158,16 +162,21 @@ def with_links(sections: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def per_text(df: DataFrame, keep: list[str], column: str, schema: str, one) -> DataFrame:
-    """Rows that ``one(text)`` (a list of tuples) makes of every text, after the columns ``keep``: lint issues, blocks and the like."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    names = [*keep, *(f.strip().split(" ")[0] for f in schema.split(","))]
+    """Rows that ``one(text)`` (a list of tuples) makes of every text, after the columns ``keep``: lint issues, blocks and the like.
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(*key, *r) for *key, t in frame.itertuples(index=False, name=None) for r in one(t)]
-            yield pd.DataFrame(out, columns=names)
+    A worker holds ``TEXTS`` texts as Python values at once, however many come in a batch.
+    """
+    whole = StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(whole)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                out = [(*key, *r) for *key, t in zip(*(c.to_pylist() for c in batch.slice(at, TEXTS).columns)) for r in one(t)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return df.select(*keep, column).mapInPandas(rows, f"{kinds}, {schema}")
+    return df.select(*keep, column).mapInArrow(rows, whole)
 
 
 def lint(df: DataFrame, keep: list[str], column: str) -> DataFrame:
