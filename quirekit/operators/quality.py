@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ WEIGHTS = {"recall": 0.40, "kept": 0.15, "table_score": 0.15, "judge": 0.30}
 VISUAL_WEIGHTS = {"judge": 0.85, "table_score": 0.15}
 PASS, ESCALATE = 0.90, 0.70
 LOW_RECALL, HIGH_EXTRA, FAULT_FACTOR = 0.85, 0.25, 0.7
+#: Texts that a worker holds as Python values at once.
+ROWS = 64
 LEFTOVERS = {"picture omitted": r"intentionally omitted", "picture-text wrapper": r"-+\s*Start of picture text", "empty table cells": r"(?m)^\s*\|(\s*\|){2,}\s*$"}
 
 
@@ -154,11 +156,16 @@ def counts_in_row(truth: Column, markdown: Column, tags: bool = False) -> Column
         low = (text or "").lower()
         return Counter(_TOKEN.findall(_TAG.sub(" ", low) if tags else low))
 
-    @F.pandas_udf("n_truth long, n_md long, common long")
-    def counted(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for some in pairs:
-            both = [(tokens(a), tokens(b)) for a, b in zip(*some)]
-            yield pd.DataFrame({"n_truth": [a.total() for a, _ in both], "n_md": [b.total() for _, b in both], "common": [(a & b).total() for a, b in both]}, dtype="int64")
+    def figures(a: str | None, b: str | None) -> tuple[int, int, int]:
+        x, y = tokens(a), tokens(b)
+        return x.total(), y.total(), (x & y).total()
+
+    @F.arrow_udf("n_truth long, n_md long, common long")
+    def counted(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        # of a batch only a few texts are Python values at once, and of their tokens one row's
+        for a, b in pairs:
+            found = [figures(x, y) for at in range(0, len(a), ROWS) for x, y in zip(a.slice(at, ROWS).to_pylist(), b.slice(at, ROWS).to_pylist())]
+            yield pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)] or [pa.array([], pa.int64())] * 3, names=["n_truth", "n_md", "common"])
 
     return counted(truth, markdown)
 

@@ -186,6 +186,50 @@ def test_links_lead_to_the_shortest_section_over_a_page(spark):
     assert references.with_links(whole, whole.selectExpr("doc_id", "id", "concat('r', id) AS route")).where("links = 1 and content = '[See page 7](/r1)'").count() == 2999
 
 
+def most_alive(monkeypatch, module, name):
+    """The most results of a function of a module that live at once."""
+    alive, most, plain = [0], [0], getattr(module, name)
+
+    class Held(plain):
+        def __init__(self, *given):
+            super().__init__(*given)
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+
+        def __del__(self):
+            alive[0] -= 1
+
+    monkeypatch.setattr(module, name, Held)
+    return most
+
+
+def test_tokens_of_one_row_are_held_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    made = []
+    monkeypatch.setattr(quality.F, "arrow_udf", lambda schema: lambda f: lambda *columns: made.append(f))
+    most = most_alive(monkeypatch, quality, "Counter")
+    quality.counts_in_row(F.lit(""), F.lit(""), tags=True)
+    a, b = pa.array(["a b b <i> c", None, ""] * 1000), pa.array(["b b b c", "x", None] * 1000)
+    got = [r for x in made[0](iter([(a, b), (a[:0], b[:0])])) for r in x.to_pylist()]
+    assert got[:3] == [{"n_truth": 4, "n_md": 4, "common": 3}, {"n_truth": 0, "n_md": 1, "common": 0}, {"n_truth": 0, "n_md": 0, "common": 0}] and len(got) == 3000
+    assert most[0] <= 6
+
+
+def test_texts_are_worked_on_a_few_at_once(spark):
+    many = spark.range(0, 5000, 1, 1).selectExpr("id", "if(id % 3 = 0, null, '| a |') AS t")
+
+    def one(text, seen=[0]):  # noqa: B006
+        seen[0] += 1
+        return [(seen[0],)] if text else []
+
+    # rows come out a few texts at a time: the reader that stops early has not had them all worked on
+    found = references.per_text(many, ["id"], "t", "n int", one)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["n"] for r in found.orderBy("id").collect()] == [i + 1 for i in range(5000) if i % 3]
+    assert references.TEXTS <= 256
+
+
 SECTIONS = [
     (1, 1, "Alpha", 1, 2, "see page 5 and see page 5. Williams p. 820. page 3. see page 1. see page 99"),
     (1, 2, "Beta", 3, 4, "Refer Page No. 5"),
