@@ -26,14 +26,15 @@ LEFTOVERS = {"picture omitted": r"intentionally omitted", "picture-text wrapper"
 def token_overlap(pages: DataFrame, keys: list[str], truth: str, markdown: str, tags: bool = False) -> DataFrame:
     """keys, n_truth, n_md, common: tokens on either side and in common, as multisets.
 
-    Tokens are counted per page and side before they meet, so pages shuffle once, by their keys and
-    token; pages without any token have zeros.
+    A page may have its texts in several rows. They shuffle once, by their keys, and tokens are counted
+    where the page is, so a task holds the tokens of one page; pages without any token, or with a null key, have zeros.
     """
-    side = lambda c, name: pages.select(*keys, F.explode(T.tokens(F.col(c), tags)).alias("token"), F.lit(name).alias("side"))
-    counts = side(truth, "t").unionByName(side(markdown, "m")).groupBy(*keys, "token").agg(F.count_if(F.col("side") == "t").alias("t"), F.count_if(F.col("side") == "m").alias("m"))
-    totals = counts.groupBy(*keys).agg(F.sum("t").alias("n_truth"), F.sum("m").alias("n_md"), F.sum(F.least("t", "m")).alias("common"))
-    zero = F.lit(0).cast("long")
-    return pages.select(*keys).distinct().join(totals, keys, "left").select(*keys, *[F.coalesce(c, zero).alias(c) for c in ("n_truth", "n_md", "common")])
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    whole = lambda c: F.regexp_replace(F.lower(c), r"<[^>]+>", " ") if tags else F.col(c)
+    texts = lambda c: F.array_join(F.collect_list(F.when(known, whole(c))), "\n").alias(c)
+    return pages.groupBy(*keys).agg(texts(truth), texts(markdown)).select(*keys, counts_in_row(F.col(truth), F.col(markdown)).alias("_n")).select(*keys, "_n.*")
 
 
 def recall(common: Column, n_truth: Column) -> Column:
@@ -51,8 +52,10 @@ def content_overlap(lines: DataFrame, markdown: DataFrame) -> DataFrame:
     """
     keys = ["doc_id", "page_no"]
     body = lines.withColumn("normal", T.running_line(F.col("line"))).join(layout.furniture(lines).select("doc_id", "normal"), ["doc_id", "normal"], "left_anti")
-    pages = lines.select(*keys).distinct().join(layout.joined(body, keys, "truth"), keys, "left").join(markdown.select(*keys, "markdown"), keys, "left")
-    return token_overlap(pages.fillna("", ["truth", "markdown"]), keys, "truth", "markdown")
+    pages, none = lines.select(*keys).distinct(), F.lit(None).cast("string")
+    own = markdown.select(*keys, "markdown").join(pages, keys, "left_semi")
+    sides = body.select(*keys, F.col("line").alias("truth"), none.alias("markdown")).unionByName(own.withColumn("truth", none)).unionByName(pages.withColumn("truth", none).withColumn("markdown", none))
+    return token_overlap(sides, keys, "truth", "markdown")
 
 
 def table_score(truth: Column, markdown: Column) -> Column:

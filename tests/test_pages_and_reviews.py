@@ -44,3 +44,17 @@ def test_running_headers_do_not_count_as_lost(spark):
     markdown = spark.createDataFrame([(1, 1, "red fox"), (1, 2, "whale")], "doc_id int, page_no int, markdown string")
     found = quality.content_overlap(lines, markdown).select("page_no", "n_truth", "n_md", "common")
     assert rows(found) == [(1, 2, 2, 2), (2, 2, 1, 1), (3, 2, 0, 0)]
+
+
+def test_tokens_of_pages_are_not_exploded(spark):
+    rows_ = [(1, "red fox red", None), (1, "red", "fox <b>red</b>"), (2, None, "x"), (3, None, None), (None, "lost", "lost")]
+    found = quality.token_overlap(spark.createDataFrame(rows_, "page_no int, truth string, md string"), ["page_no"], "truth", "md", tags=True)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # a task would hold all tokens of its pages
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 4, 2, 2), (2, 0, 1, 0), (3, 0, 0, 0), (None, 0, 0, 0)]
+
+
+def test_a_second_markdown_of_a_page_adds_no_truth(spark):
+    lines = spark.createDataFrame([(1, 1, 0, "red fox"), (1, None, 0, "red")], "doc_id int, page_no int, line_no int, line string")
+    markdown = spark.createDataFrame([(1, 1, "red"), (1, 1, "owl"), (9, 9, "none")], "doc_id int, page_no int, markdown string")
+    found = quality.content_overlap(lines, markdown).select("page_no", "n_truth", "n_md", "common")
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 2, 2, 1), (None, 0, 0, 0)]
