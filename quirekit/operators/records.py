@@ -170,5 +170,5 @@ def hybrid_parts(local: DataFrame, cloud: DataFrame, accepted: DataFrame, genera
 
     Local rows without a page stay.
     """
-    kept = local.join(accepted.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_anti")
+    kept = local.join(accepted.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_anti")
     return kept.select(cloud.columns).unionByName(cloud).unionByName(generated)

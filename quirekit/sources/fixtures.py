@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Lines of a document that make a page.
 PER_PAGE = 5
+#: Rows whose keys one task tells apart.
+PER_TASK = 500_000
 # The section types and their labels, in order.
 TYPES = [(1, "de", "German"), (2, "en", "English"), (3, "es", "Spanish"), (4, "fr", "French"), (5, "it", "Italian"), (99, "other", "Other")]
 LEFT_OUT = "==> picture intentionally omitted <=="
@@ -17,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``rows``, n of them or fewer, by their keys: PER_TASK on average in a task at most, however many rows there are."""
+    parts = -(-n // PER_TASK)
+    return rows.repartition(parts, *keys) if parts > rows.sparkSession.sparkContext.defaultParallelism else rows.repartition(*keys)
+
+
 def taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TYPES, "ord int, type_name string, label string")
 
@@ -116,8 +124,12 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """(doc_id, page_no, recall, extra, table_score): scores of run 'a' or 'b', worked out from line items."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber is not null").select("l_orderkey", "l_linenumber").distinct()
+    """(doc_id, page_no, recall, extra, table_score): scores of run 'a' or 'b', worked out from line items.
+
+    Rows are dealt by their keys before they are told apart, so no task holds more keys than its share.
+    """
+    items = table(spark, sf_dir, "lineitem")
+    li = dealt(items.where("l_linenumber is not null").select("l_orderkey", "l_linenumber"), items.count(), "l_orderkey", "l_linenumber").distinct()
     k = 1 if which == "a" else 3
     n = F.col("l_orderkey") * k + F.col("l_linenumber") * (k + 1)
     own = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), ((100 - n % 30) / 100.0).alias("recall"), ((n % 40) / 100.0).alias("extra"), F.when(n % 4 == 0, F.lit(0.0)).when(n % 4 == 1, F.lit(1.0)).alias("table_score"))

@@ -59,3 +59,13 @@ def test_flagship(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_scores_are_dealt_by_their_rows(spark, sf_dir, monkeypatch):
+    from quirekit.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "PER_TASK", 100)
+    items = fixtures.table(spark, sf_dir, "lineitem")
+    met = fixtures.scores(spark, sf_dir, "a").select("doc_id", "page_no")
+    assert met.rdd.getNumPartitions() == -(-items.count() // 100)  # shares of 100 rows, however many there are
+    assert met.count() == met.distinct().count() == items.select("l_orderkey", "l_linenumber").distinct().count()
