@@ -34,6 +34,13 @@ def running_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\d+", "#"), r"\s+", " "))
 
 
+def running_lines(text: Column) -> Column:
+    """:func:`running_line` of all lines of a text, which is read as a whole: neither digit runs nor single spaces go beyond a line."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    spaced = F.regexp_replace(F.regexp_replace(low, r"\d+", "#"), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")  # a single blank is one already
+    return F.transform(F.split(spaced, "\n", -1), lambda x: F.trim(x))
+
+
 def plain_line(line: Column) -> Column:
     """A line without markdown signs, in lower case with single spaces."""
     return F.lower(F.trim(F.regexp_replace(line, r"[#*_`>\-\s]+", " ")))

@@ -59,12 +59,12 @@ def finalized(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame
 
 
 def recurring_hashes(pages: DataFrame, owner: list[str], column: str, normal: Callable[[Column], Column], fits: Callable[[Column], Column], threshold: Callable[[Column], Column], least: int, min_pages: int) -> DataFrame:
-    """(owner, recurs): 64-bit hashes of the normal forms that recur on an owner's pages, for owners that have any.
+    """(owner, recurs): 64-bit hashes of the normal forms that recur on an owner's pages, for owners that have any. ``normal`` gives those of a text's lines.
 
     One row of ``pages`` is one page. Its lines are counted as hashes, each once, before anything is shuffled; what
     recurs on a share of the pages is no longer than a few pages, so the array is bounded by them.
     """
-    keys = F.array_distinct(F.transform(F.filter(F.transform(T.lines(F.col(column)), normal), fits), lambda x: F.xxhash64(x)))
+    keys = F.array_distinct(F.transform(F.filter(normal(F.col(column)), fits), lambda x: F.xxhash64(x)))
     counts = pages.select(*owner, F.explode(F.concat(keys, F.array(F.lit(None).cast("long")))).alias("key")).groupBy(*owner, "key").agg(F.count("*").alias("n"))
     of = counts.where(F.col("key").isNull() & (F.col("n") >= min_pages)).select(*owner, F.col("n").alias("pages"))
     met = counts.where(F.col("key").isNotNull() & (F.col("n") >= least)).join(of, owner).where(F.col("n") >= F.greatest(F.lit(least), threshold(F.col("pages"))))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirekit.functions import folds
 from quirekit.functions import text as T
 from quirekit.operators import layout
 
@@ -149,7 +150,7 @@ def card(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(F.count("*").alias("pages"), F.avg("recall").alias("avg_recall"), F.min("recall").alias("min_recall"), F.avg("extra").alias("avg_extra"), share(F.col("table_score") == 1.0, has_table).alias("table_coverage"), share(F.col("verdict") == "pass", F.lit(True)).alias("pass_share"))
 
 
-_TAG, _TOKEN = re.compile(r"<[^>]+>"), re.compile("[a-z0-9]+")
+_TAG = re.compile(r"<[^>]+>")
 
 
 def counts_in_row(truth: Column, markdown: Column, tags: bool = False) -> Column:
@@ -157,11 +158,11 @@ def counts_in_row(truth: Column, markdown: Column, tags: bool = False) -> Column
 
     def tokens(text: str | None) -> Counter:
         low = (text or "").lower()
-        return Counter(_TOKEN.findall(_TAG.sub(" ", low) if tags else low))
+        return Counter(folds.tokens(_TAG.sub(" ", low) if tags else low))
 
     def figures(a: str | None, b: str | None) -> tuple[int, int, int]:
         x, y = tokens(a), tokens(b)
-        return x.total(), y.total(), (x & y).total()
+        return x.total(), y.total(), folds.in_common(x, y)
 
     @F.arrow_udf("n_truth long, n_md long, common long")
     def counted(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

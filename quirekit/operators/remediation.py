@@ -7,7 +7,6 @@ pages need other pages of the document.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -24,23 +23,20 @@ CANDIDATES = ("base", "vlm", "cleanup")
 #: Rows of an Arrow batch that are Python objects at once.
 ROWS = 512
 
-_TOKEN = re.compile("[a-z0-9]+")
-
 
 def furniture_keys(pages: DataFrame, column: str) -> DataFrame:
     """(doc_id, recurs): 64-bit hashes of the running lines of documents that have any, by the rule of ``layout.furniture``."""
-    return layout.recurring_hashes(pages, ["doc_id"], column, T.running_line, lambda x: F.length(x) >= 6, lambda n: F.bround(n * 0.5), 2, 3)
+    return layout.recurring_hashes(pages, ["doc_id"], column, T.running_lines, lambda x: F.length(x) >= 6, lambda n: F.bround(n * 0.5), 2, 3)
 
 
 def without_furniture(text: Column, recurs: Column) -> Column:
     """A text without its document's running lines; null ``recurs`` is none."""
-    keyed = F.transform(T.lines(text), lambda x: F.struct(x.alias("line"), F.xxhash64(T.running_line(x)).alias("key")))
-    left = F.filter(keyed, lambda x: ~F.array_contains(recurs, x["key"]))
-    return F.when(recurs.isNull(), text).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
+    left = F.zip_with(T.lines(text), T.running_lines(text), lambda x, r: F.when(~F.array_contains(recurs, F.xxhash64(r)), x))
+    return F.when(recurs.isNull(), text).otherwise(F.array_join(left, "\n"))  # nulls are left out
 
 
 def _tokens(text: str | None) -> Counter:
-    return Counter(_TOKEN.findall((text or "").lower()))
+    return Counter(folds.tokens(text))
 
 
 def judged(judge: Callable[[dict, str], str], page: dict, text: str) -> tuple[float | None, str | None]:
@@ -92,12 +88,13 @@ def attempted(pages: DataFrame, vlm: Model, cleanup: Model, judge: Callable[[dic
         if not page["target"]:
             return {}
         texts, cost, errors = _tries(page, models, forced is not None)
-        source, content = _tokens(page["source"]), _tokens(page["content"])
+        source = _tokens(page["source"])
+        content = source if page["content"] == page["source"] else _tokens(page["content"])
         out = {"vlm_text": texts.get("vlm"), "cleanup_text": texts.get("cleanup"), "cost": cost, "errors": "; ".join(errors) or None, "n_source": source.total(), "n_content": content.total()}
         for name, text in {"base": page["markdown"] or "", **texts}.items():
             tokens = _tokens(text)
             score, note = judged(judge, page, text) if judge and (judge_all or page["kind"] == "visual") else (None, None)
-            values = (tokens.total(), (tokens & source).total(), (tokens & content).total(), score, note, folds.table_faults(text))
+            values = (tokens.total(), folds.in_common(tokens, source), folds.in_common(tokens, content), score, note, folds.table_faults(text))
             out |= dict(zip((f"{name}_{x}" for x in ("n", "common", "content", "judge", "note", "faults")), values))
         return out
 

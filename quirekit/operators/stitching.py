@@ -11,7 +11,13 @@ from quirekit.functions import text as T
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
+
+
+def _ended(text: Column) -> Column:
+    """A text without white space at its end; only texts that have some are searched."""
+    return F.when(F.substring(text, -1, 1).rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)\s+$", "")).otherwise(text)
 
 
 def _run(lines: Column) -> Column:
@@ -34,7 +40,7 @@ def stitched(pages: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """
     kept = F.struct(*carried) if carried else F.lit(None)
     own = pages.select("doc_id", "page_no", kept.alias("kept"), F.coalesce("markdown", F.lit("")).alias("text"))
-    own = own.withColumns({"upper": F.split(F.regexp_replace("text", r"(?U)\s+$", ""), "\n", -1), "lower": F.split(F.regexp_replace("text", r"^\n+", ""), "\n", -1)})
+    own = own.withColumns({"upper": F.split(_ended(F.col("text")), "\n", -1), "lower": F.split(F.regexp_replace("text", r"^\n+", ""), "\n", -1)})
     own = own.withColumns({"tail": _run(F.reverse("upper")), "head": _run(F.col("lower"))})
     rest = _stripped(F.array_join(F.slice("lower", F.col("head") + 1, F.size("lower")), "\n"))
     again = (F.col("head") >= 2) & F.get("lower", F.lit(1)).rlike(T.SEPARATOR_ROW)
@@ -49,5 +55,5 @@ def stitched(pages: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     moved = begun.withColumn("moves", F.when((F.col("place") - F.col("begun.place")) % 2 == 0, F.col("begun.fits")).otherwise(~F.col("begun.fits")))
     gained = moved.withColumn("gained", F.lead(F.when(F.col("moves"), F.col("rows"))).over(order))
     left = F.when(F.col("moves"), F.col("rest")).otherwise(F.col("text"))
-    longer = _stripped(F.array_join(F.concat(F.split(F.regexp_replace(left, r"(?U)\s+$", ""), "\n", -1), "gained"), "\n"))
+    longer = _stripped(F.array_join(F.concat(F.split(_ended(left), "\n", -1), "gained"), "\n"))
     return gained.select("doc_id", "page_no", F.when(F.col("gained").isNotNull(), longer).otherwise(left).alias("markdown"), *[F.col("kept")[c].alias(c) for c in carried])

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirekit.functions import folds
+from quirekit.functions import text as T
 from quirekit.operators import remediation, stitching
 
 IS_ROW, IS_RULE = re.compile(r"\s*\|.*\|\s*"), re.compile(r"\s*\|[\s:|-]+\|\s*")
@@ -124,3 +125,18 @@ def test_furniture_by_hashes(spark):
     left = df.join(keys, "doc_id", "left").select("doc_id", "page_no", remediation.without_furniture(F.col("source"), F.col("recurs")).alias("s")).collect()
     assert {(r["doc_id"], r["page_no"]): r["s"] for r in left}[1, 2] == "body c\nshort" and all(r["s"].startswith("Report") for r in left if r["doc_id"] == 2)
     assert folds.table_faults("| a | b |\n| 1 | 2 |") == ["table missing separator row"]
+
+
+def test_running_lines_of_a_text_are_those_of_its_lines(spark):
+    texts = ["Page 12  of 30\t x\n\n  A\x0b\x0c\r B \nİΣ\n12", "", None, " \n \n", "a b  c  d", "one  two   three\r\n4 5"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(T.running_lines(F.col("t")).alias("a"), F.transform(T.lines(F.col("t")), T.running_line).alias("b")).collect():
+        assert r["a"] == r["b"]
+
+
+def test_ends_are_stripped_of_all_white_space(spark):
+    texts = ["", "a", " a", "a\n", " a b ", " a\u0085", "a\r\n", "  ", None, "a\x1cb "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = lambda p: F.regexp_replace("t", p, "")
+    for r in df.select(stitching._stripped(F.col("t")).alias("a"), plain(r"(?U)^\s+|\s+$").alias("b"), stitching._ended(F.col("t")).alias("c"), plain(r"(?U)\s+$").alias("d")).collect():
+        assert (r["a"], r["c"]) == (r["b"], r["d"])
