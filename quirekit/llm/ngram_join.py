@@ -7,14 +7,14 @@ common token to the rarest, so that copies share long paths: the probing set wal
 that share a beginning share the overlap counted so far, and a subtree is left as soon as the overlap
 and what can still come on either side fall short of what is needed.
 
-Postings carry a sketch of the whole set, in which each token flips one of 128 bits: sets differ in at
+Postings carry a sketch of the whole set, in which each token flips one of 512 bits: sets differ in at
 least as many tokens as their sketches in bits. A semi-join drops all postings without any partner
 within the bounds of length, position and sketch, so what shares a passage only makes no pairs.
 
 A group of n near copies has n^2 links, but their component needs n - 1. Every set is first
 compared with the first set of each token it shares; sets that this connects are never compared
 again. If that would leave many pairs, sets outside a token's largest component are compared with a
-few sets of it. At last all pairs across components that share a token are compared, within the
+few sets of it, which share the largest parts of themselves. At last all pairs across components that share a token are compared, within the
 bounds, so no link between components is lost.
 """
 
@@ -38,7 +38,7 @@ TRIE = 512
 #: Sets of a task that make a token frequent, tokens looked at together, and frequent tokens kept (16 bytes each).
 SEEN, HELD, FREQUENT = 3, 2_000_000, 500_000
 #: The longs of a sketch.
-SKETCHES = ["s0", "s1"]
+SKETCHES = [f"s{i}" for i in range(8)]
 #: Turns with a few sets of each largest component, how many, and the pairs a posting that are compared at once without them.
 LEADERS, LOTS, EASY = 1, 3, 4
 #: Word hashes that a task remembers before it starts anew.
@@ -285,7 +285,8 @@ def across(met: DataFrame, turn: int, whole: bool) -> DataFrame:
     """Pairs (a, b) of sets of different components that share tokens, within the bounds.
 
     ``whole``: all of them. Otherwise every set outside the major component of a token with LOTS sets of
-    it, others each turn: as many pairs as LOTS times the postings at most.
+    it, others each turn: as many pairs as LOTS times the postings at most. These are the sets that share
+    the largest parts of themselves, as what all are copies of does.
     """
     outside = met.where(F.col("label") != F.col("major"))
     if whole:
@@ -293,8 +294,9 @@ def across(met: DataFrame, turn: int, whole: bool) -> DataFrame:
         fits = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("x.major")) | (F.col("x.s") < F.col("y.s")))
     else:
         inside = met.where(F.col("label") == F.col("major"))
-        lots = F.array(*[F.min(F.struct(F.xxhash64("s", F.lit(turn * LOTS + i)).alias("h"), "s"))["s"] for i in range(LOTS)])
-        chosen = inside.select("label", "s").distinct().groupBy("label").agg(F.array_distinct(lots).alias("l")).select(F.explode("l").alias("s"))
+        shared_ones = inside.groupBy("label", "s").agg((F.count("*") / F.first("n")).alias("share"))
+        lots = F.array(*[F.max(F.when(F.pmod(F.xxhash64("s", F.lit(turn)), F.lit(LOTS)) == i, F.struct("share", "s")))["s"] for i in range(LOTS)])
+        chosen = shared_ones.groupBy("label").agg(lots.alias("l")).select(F.explode("l").alias("s")).where("s is not null")
         other = store(inside.join(chosen, "s", "left_semi"), "leaders")
         fits = F.lit(True)
     return in_reach(outside, other, fits)
@@ -318,12 +320,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     some = sets.where("prefix is not null")
     s = F.struct("k", "k2")
     likely = shared(some.withColumn("last", F.element_at("prefix", -1)), ["n", "k", "k2", "last", *SKETCHES])
-    once = store(likely.distinct().select("token", "n", "pos", s.alias("s"), "last", *SKETCHES), "likely")
+    # dealt by token once: both sides of the semi-join are the same shuffle
+    once = likely.select("token", "n", "pos", s.alias("s"), "last", *SKETCHES).repartition("token").distinct()
 
     # postings that have a partner within the bounds; a semi-join ends a row's search at the first
     postings = once.alias("x").join(once.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.s") != F.col("y.s")) & within_bounds("x", "y"), "left_semi")
     postings = store(postings, "postings")
-    discard(once)
 
     # every set with the first set, by its hash, of each of its tokens
     first = F.min(F.struct("s", "n", "pos", "last", *SKETCHES)).alias("e")

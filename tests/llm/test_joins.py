@@ -147,3 +147,26 @@ def test_line_with_one_word_changed_in_the_middle_goes(spark):
     rows = [(1, " ".join(base)), (2, " ".join(base[:6] + ["x"] + base[7:])), (3, " ".join(base[::-1])), (4, " ".join(base[:6] + ["x", "y", "z"] + base[9:]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_near_copies_of_one_text_make_few_pairs(spark, monkeypatch):
+    """Copies with more and fewer changes: what one central text connects is not compared pair by pair."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(160)]
+    texts = []
+    for _ in range(400):
+        words = list(base)
+        for at in r.sample(range(len(words)), r.randrange(1, 5)):
+            words[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    compared, plain = [], ngram_join.verified
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return plain(pairs, *args)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((tuple(r)[:3] for r in ngram_join.ngram_components(docs).collect()), key=str)
+    assert got == brute_components(list(enumerate(texts)))
+    assert sum(compared) <= 4 * len(texts)
