@@ -14,8 +14,8 @@ within the bounds of length, position and sketch, so what shares a passage only
 A group of n near copies has n^2 links, but their component needs n - 1. Every set is first
 compared with the first set of each token it shares; sets that this connects are never compared
 again. If that would leave many pairs, sets outside a token's largest component are compared with a
-few sets of it, which share the largest parts of themselves. At last all pairs across components that share a token are compared, within the
-bounds, so no link between components is lost.
+few sets of it, which share the largest parts of themselves. At last all pairs across components that
+share a token are compared, within the bounds, so no link between components is lost.
 """
 
 from __future__ import annotations
